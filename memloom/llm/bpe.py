@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 from memloom.llm.arrow_text import BLOCK, distinct_fragments, ragged_take, row_blocks, text_bytes
 
 #: Distinct fragments whose ids a worker keeps between batches.
-KEPT_FRAGMENTS = 400_000
+KEPT_FRAGMENTS = 250_000
 
 
 def byte_letters() -> dict[str, int]:

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memloom.llm import bpe, ordinal_quality, packing, quality_rules
+from memloom.llm import bpe, html_text, ordinal_quality, packing, quality_rules, warc
 from memloom.sources.tables import table
 
 
@@ -22,6 +22,11 @@ def op1_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordinal_quality.classify(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels"))
 
 
+def op5_line_block_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_text.extract(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base statistics and verdict of every document."""
     judged = quality_rules.apply_rules(table(spark, sf_dir, "documents", "doc_id", "text"))
@@ -33,6 +38,12 @@ def op3_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents", "doc_id", "text"), byte_bpe(), end_id=0, capacity=1024)
 
 
+def op8_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page, written to archives, normalised and read back."""
+    records = warc.archive_and_read(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op10_forced_boundary_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of the ids of all documents and of the texts decoded from them."""
     ids = bpe.encode(table(spark, sf_dir, "documents", "doc_id", "text"), byte_bpe())
@@ -42,11 +53,24 @@ def op10_forced_boundary_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ordinal_quality": op1_ordinal_quality,
+        "op5_line_block_text": op5_line_block_text,
         "op7_quality_rules": op7_quality_rules,
+        "op8_warc_normaliser": op8_warc_normaliser,
         "op3_harmonic_packing": op3_harmonic_packing,
         "op10_forced_boundary_bpe": op10_forced_boundary_bpe,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_quality_rules": quality_rules.duckdb_sql()}
+    return {"op7_quality_rules": quality_rules.duckdb_sql(), "op8_warc_normaliser": WARC_SQL}
+
+
+#: What comes back of the archives.
+WARC_SQL = """
+WITH payloads AS (
+  SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+firsts AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM payloads)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN first_id END AS refers_to
+FROM firsts"""
