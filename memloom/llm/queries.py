@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memloom.llm import bpe, html_text, ordinal_quality, packing, quality_rules, warc
+from memloom.llm import bpe, html_text, ngram_jaccard, ordinal_quality, packing, quality_rules, warc
 from memloom.sources.tables import table
 
 
@@ -27,6 +27,11 @@ def op5_line_block_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages", "page_id", "url", "html"))
 
 
+def op6_bayesian_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate links of every document."""
+    return ngram_jaccard.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base statistics and verdict of every document."""
     judged = quality_rules.apply_rules(table(spark, sf_dir, "documents", "doc_id", "text"))
@@ -54,6 +59,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ordinal_quality": op1_ordinal_quality,
         "op5_line_block_text": op5_line_block_text,
+        "op6_bayesian_ngram_join": op6_bayesian_ngram_join,
         "op7_quality_rules": op7_quality_rules,
         "op8_warc_normaliser": op8_warc_normaliser,
         "op3_harmonic_packing": op3_harmonic_packing,
