@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memloom.llm import bpe, html_text, ngram_jaccard, ordinal_quality, packing, quality_rules, warc
+from memloom.llm import bpe, html_text, itq_neardup, ngram_jaccard, ordinal_quality, packing, quality_rules, warc
 from memloom.sources.tables import table
 
 
@@ -22,6 +22,11 @@ def op1_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordinal_quality.classify(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels"))
 
 
+def op4_itq_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate links of every vector within its label."""
+    return itq_neardup.near_duplicates(table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"))
+
+
 def op5_line_block_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     return html_text.extract(table(spark, sf_dir, "pages", "page_id", "url", "html"))
@@ -58,6 +63,7 @@ def op10_forced_boundary_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ordinal_quality": op1_ordinal_quality,
+        "op4_itq_near_duplicates": op4_itq_near_duplicates,
         "op5_line_block_text": op5_line_block_text,
         "op6_bayesian_ngram_join": op6_bayesian_ngram_join,
         "op7_quality_rules": op7_quality_rules,
