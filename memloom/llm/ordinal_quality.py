@@ -155,25 +155,25 @@ def train(rated: DataFrame, n_grades: int, text_column: str = "text", grade_colu
     return fit_ordinal(rows, np.concatenate(features), np.concatenate([np.frombuffer(x.weights, "<f4") for x in got]), np.array([x.grade for x in got]), n_grades, size)
 
 
-def score(docs: DataFrame, model: OrdinalModel, keep_at: int, least: float = 0.5, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def score(docs: DataFrame, model: OrdinalModel, keep_at: int, least: float = 0.5, text_column: str = "text", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Expected grade and tail probabilities of every whole text.
 
-    Returns the id column, ``expected_grade``, ``tail_1`` .. ``tail_K`` (double) and ``kept``: whether
+    Returns the ``carry`` columns, ``expected_grade``, ``tail_1`` .. ``tail_K`` (double) and ``kept``: whether
     P(grade >= keep_at) is at least ``least``. A null or empty text has no features and gets the
     probabilities of the thresholds alone. The model (a vector of 2^18 floats) is broadcast.
     """
     k = len(model.thresholds)
-    schema = T.StructType([docs.schema[id_column], T.StructField("expected_grade", T.DoubleType()), *(T.StructField(f"tail_{i}", T.DoubleType()) for i in range(1, k + 1))])
+    schema = T.StructType([*(docs.schema[x] for x in carry), T.StructField("expected_grade", T.DoubleType()), *(T.StructField(f"tail_{i}", T.DoubleType()) for i in range(1, k + 1))])
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         fitted = shared.value
         for batch in batches:
-            for row, end, owner, feature, value in batch_features(batch.column(1)):
+            for row, end, owner, feature, value in batch_features(batch.column(len(carry))):
                 tails = fitted.tails(np.bincount(owner, value * fitted.weights[feature], minlength=end - row))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, end - row), pa.array(tails.sum(axis=1)), *(pa.array(tails[:, i]) for i in range(k))], names=schema.names)
+                yield pa.RecordBatch.from_arrays([*(c.slice(row, end - row) for c in batch.columns[: len(carry)]), pa.array(tails.sum(axis=1)), *(pa.array(tails[:, i]) for i in range(k))], names=schema.names)
 
-    return docs.select(id_column, text_column).mapInArrow(run, schema).withColumn("kept", F.col(f"tail_{keep_at}") >= least)
+    return docs.select(*carry, F.col(text_column).alias("_text")).mapInArrow(run, schema).withColumn("kept", F.col(f"tail_{keep_at}") >= least)
 
 
 def sample_of_ratings(labels: DataFrame, most: int = MAX_TRAINING_ROWS) -> DataFrame:
@@ -187,7 +187,7 @@ def sample_of_ratings(labels: DataFrame, most: int = MAX_TRAINING_ROWS) -> DataF
     return grades.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
 
 
-def classify(docs: DataFrame, labels: DataFrame, least: float = 0.5, most: int = MAX_TRAINING_ROWS) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, least: float = 0.5, most: int = MAX_TRAINING_ROWS, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Train on the rated documents among ``docs`` and score all of them: see :func:`score`, with 3 grades.
 
     Kept are documents whose probability of the highest grade is at least ``least``. The sample of
@@ -195,4 +195,4 @@ def classify(docs: DataFrame, labels: DataFrame, least: float = 0.5, most: int =
     """
     sample = F.broadcast(sample_of_ratings(labels, most))
     model = train(docs.select("doc_id", "text").join(sample, "doc_id"), n_grades=3)
-    return score(docs, model, keep_at=2, least=least)
+    return score(docs, model, keep_at=2, least=least, carry=carry)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memloom.llm import bpe, html_text, itq_neardup, ngram_jaccard, ordinal_quality, packing, quality_rules, warc
+from memloom.llm import bpe, html_text, itq_neardup, line_dedup, ngram_jaccard, ordinal_quality, packing, quality_rules, warc
 from memloom.sources.tables import table
 
 
@@ -54,6 +54,11 @@ def op8_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op9_segment_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines that repeat earlier ones."""
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents", "doc_id", "text")).select("doc_id", "n_dropped_lines", "text")
+
+
 def op10_forced_boundary_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of the ids of all documents and of the texts decoded from them."""
     ids = bpe.encode(table(spark, sf_dir, "documents", "doc_id", "text"), byte_bpe())
@@ -69,6 +74,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_quality_rules": op7_quality_rules,
         "op8_warc_normaliser": op8_warc_normaliser,
         "op3_harmonic_packing": op3_harmonic_packing,
+        "op9_segment_line_dedup": op9_segment_line_dedup,
         "op10_forced_boundary_bpe": op10_forced_boundary_bpe,
     }
 
