@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from memloom.jobs import memory, retrieval, text
+
 #: Modules of memloom.jobs with QUERIES: name -> (function, SQL or None).
-MODULES: list = []
+MODULES = [retrieval, text, memory]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
