@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from memloom.jobs import memory, retrieval, text
+from memloom.jobs import domain, memory, retrieval, text
 
 #: Modules of memloom.jobs with QUERIES: name -> (function, SQL or None).
-MODULES = [retrieval, text, memory]
+MODULES = [retrieval, text, memory, domain]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
