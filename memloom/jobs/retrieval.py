@@ -51,7 +51,7 @@ def rrf_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.fuse(r.top_k(lexical, 20, "question_id"), r.top_k(dense, 20, "question_id"), 10, "question_id")
 
 
-def _evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item's text, found by the item's first words and verified on the text."""
     items = _items(spark, sf_dir).select("question_id", F.col("text").alias("item"), F.expr("array_join(slice(split(text, ' '), 3, 4), ' ')").alias("key"))
     docs = _docs(spark, sf_dir).withColumn("words", F.split("text", " "))
@@ -63,7 +63,7 @@ def _evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 def evidence_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share of the documents that hold an item among its 5 best by BM25."""
     top = bm25_topk(spark, sf_dir)
-    return r.recall(_evidence(spark, sf_dir), top, _items(spark, sf_dir)).select("question_id", F.round("recall", 9).alias("recall"))
+    return r.recall(evidence(spark, sf_dir), top, _items(spark, sf_dir)).select("question_id", F.round("recall", 9).alias("recall"))
 
 
 def lexical_retrieve_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,6 +98,9 @@ _DENSE = f"""
   FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0)"""
 _LABELLED = "SELECT vec_id AS source_id, label, text FROM embeddings JOIN documents ON doc_id = vec_id WHERE label IS NOT NULL"
 
+#: The CTE ``top``: the 5 best documents of each item.
+TOP5_SQL = f"{_bm25_sql(_ITEMS, _DOCS)}, top AS ({_TOP5.format(x='scored', k=5)})"
+
 QUERIES = {
     "bm25_topk": (bm25_topk, f"WITH {_bm25_sql(_ITEMS, _DOCS)} {_TOP5.format(x='scored', k=5)}"),
     "bm25_doc_freq": (bm25_doc_freq, f"SELECT token, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest({_TOKENS}) AS token FROM documents) GROUP BY token"),
