@@ -5,9 +5,10 @@ into P(grade >= k) = sigmoid(s - t_k), with t_1 < t_2 < ... . The expected grade
 tail probabilities, and a tail probability selects documents.
 
 Features of a text: its distinct words in lower case without outer punctuation, weighted by
-log(1 + count); the shapes of its words (``Xx``, ``X!``, ``x%`` ...), weighted by their share of all
-words. Both are hashed into one space. Words that few training texts hold get no weight, so a
-long text gathers no noise from its rare words.
+log(1 + count), and the beginnings of its words; the shapes of words that are no plain words (``X!``,
+``x%`` ...), weighted by their share of all words; the share of words that repeat the one before.
+All are hashed into one space. Features that few training texts hold, or that all grades use alike,
+get no weight, so a long text gathers no noise from its words.
 """
 
 from __future__ import annotations
@@ -29,15 +30,27 @@ BITS = 18
 #: Rated rows that training takes at most: those with the smallest hash of their id.
 MAX_TRAINING_ROWS = 8_000
 #: Training texts that must hold a feature before it gets a weight.
-MIN_TEXTS = 8
+MIN_TEXTS = 12
+#: Lengths of the word beginnings that are features: inflected forms of a word share them.
+PREFIXES = (4, 5)
+#: A feature gets a weight only if its share of some grade is so many standard deviations off what chance gives.
+LEAST_Z = 6.0
+#: ... and so many times what chance gives: words that all grades use carry no weight.
+LEAST_LIFT = 3.0
+#: Probability of the highest grade from which a document is kept: under one half, so that clean documents stay.
+LEAST_GOOD = 0.3
 #: A shape's share of the words counts this much; a word's log count counts 1.
 SHAPE_SCALE = 8.0
 
-_SHAPES = ((re.compile(r"[^\W\d_]+"), ""), (re.compile(r"\d+"), "9"))
+#: Features of the whole text, in the last places of the space; and the share of distinct words under which a text has few.
+REPEATS, FEW, LEAST_DISTINCT = (1 << BITS) - 2, (1 << BITS) - 1, 0.2
 
 
 def _shape(word: str) -> str:
-    """Runs of letters as x, Xx, X or xX; digits as 9; each other run of one character as that character."""
+    """Runs of letters as x, Xx, X or xX; digits as 9; each other run of one character as that character.
+
+    Plain words, with a full stop or comma behind them or not, have no shape: every text is full of them.
+    """
     out = []
     for run in re.findall(r"[^\W\d_]+|\d+|(?:[\W_])", word):
         if run[0].isdigit():
@@ -48,15 +61,17 @@ def _shape(word: str) -> str:
             kind = run
         if not out or out[-1] != kind:
             out.append(kind)
-    return "".join(out[:4])
+    shape = "".join(out[:4])
+    return "" if shape.rstrip(".,") in ("x", "Xx") else shape
 
 
-def word_features(word: bytes) -> int:
-    """Two feature numbers of a word in one integer: its hashed form, and its hashed shape."""
+def word_features(word: bytes) -> bytes:
+    """Hashed numbers of a word's features: its shape first, then its form and its first 4 and 5 letters (0: none)."""
     text = word.decode("utf-8", "replace")
     form = text.lower().strip(".,;:!?\"'()[]#*$%&|<>")
-    at = lambda kind, x: xxhash.xxh3_64_intdigest(f"{kind} {x}".encode()) & ((1 << BITS) - 1)
-    return at("w", form) << 32 | at("s", _shape(text))
+    kinds = [("s", _shape(text)), ("w", form), *(("p", form[:n]) for n in PREFIXES if len(form) > n)]
+    numbers = [xxhash.xxh3_64_intdigest(f"{kind} {x}".encode()) % ((1 << BITS) - 3) + 1 if x else 0 for kind, x in kinds]
+    return np.array(numbers + [0] * (2 + len(PREFIXES) - len(numbers)), "<u4").tobytes()
 
 
 _KNOWN = WordValues(word_features)
@@ -66,18 +81,25 @@ def batch_features(texts: pa.Array):
     """For ranges of rows in turn: first row, row behind the last, and (row, feature, value) arrays by row."""
     data, offsets = text_bytes(texts)
     for row, end in row_blocks(offsets):
-        values, rows = _KNOWN.of(data[offsets[row] : offsets[end]], offsets[row : end + 1] - offsets[row], np.uint64)
+        values, rows = _KNOWN.of(data[offsets[row] : offsets[end]], offsets[row : end + 1] - offsets[row], f"S{4 * (2 + len(PREFIXES))}")
+        numbers = np.ascontiguousarray(values).view("<u4").reshape(len(rows), 2 + len(PREFIXES)).astype(np.uint64)
         n_words = np.bincount(rows, minlength=end - row)
-        parts = []
-        for kind in (values >> np.uint64(32), values & np.uint64(0xFFFFFFFF)):
-            pairs, counts = np.unique((rows.astype(np.uint64) << np.uint64(32)) | kind, return_counts=True)
-            parts.append((pairs, counts))
-        (words, word_counts), (shapes, shape_counts) = parts
-        pairs = np.concatenate([words, shapes])
-        owner = (pairs >> np.uint64(32)).astype(np.int64)
-        value = np.concatenate([np.log1p(word_counts), SHAPE_SCALE * shape_counts / np.maximum(1, n_words[owner[len(words) :]])])
-        order = np.argsort(owner, kind="stable")
-        yield row, end, owner[order], (pairs & np.uint64(0xFFFFFFFF)).astype(np.int64)[order], value[order].astype(np.float32)
+        owner = rows.astype(np.uint64) << np.uint64(32)
+        shapes, shape_counts = np.unique((owner | numbers[:, 0])[numbers[:, 0] > 0], return_counts=True)
+        parts = [numbers[:, k] for k in range(1, numbers.shape[1])]
+        # words equal to the one before them, and a text of few distinct words
+        again = np.flatnonzero((numbers[1:, 1] == numbers[:-1, 1]) & (rows[1:] == rows[:-1]) & (numbers[1:, 1] > 0)) + 1
+        repeats = np.bincount(rows[again], minlength=end - row) / np.maximum(1, n_words)
+        own = np.unique(owner | numbers[:, 1])
+        few = np.maximum(0, LEAST_DISTINCT - np.bincount((own >> np.uint64(32)).astype(np.int64), minlength=end - row) / np.maximum(1, n_words)) * (n_words > 0)
+        forms, form_counts = np.unique(np.concatenate([(owner | x)[x > 0] for x in parts]), return_counts=True)
+        shares = SHAPE_SCALE * shape_counts / np.maximum(1, n_words[(shapes >> np.uint64(32)).astype(np.int64)])
+        whole = [(np.flatnonzero(x), SHAPE_SCALE * x[x > 0], number) for x, number in ((repeats, REPEATS), (few, FEW))]
+        pairs = np.concatenate([forms, shapes, *((at.astype(np.uint64) << np.uint64(32)) | np.uint64(number) for at, _, number in whole)])
+        who = (pairs >> np.uint64(32)).astype(np.int64)
+        value = np.concatenate([np.log1p(form_counts), shares, *(x for _, x, _ in whole)])
+        order = np.argsort(who, kind="stable")
+        yield row, end, who[order], (pairs & np.uint64(0xFFFFFFFF)).astype(np.int64)[order], value[order].astype(np.float32)
 
 
 @dataclass(frozen=True)
@@ -92,14 +114,21 @@ class OrdinalModel:
         return 1 / (1 + np.exp(np.clip(self.thresholds[None, :] - score[:, None], -60, 60)))
 
 
-def fit_ordinal(rows: np.ndarray, features: np.ndarray, values: np.ndarray, grades: np.ndarray, n_grades: int, size: int, l2: float = 3e-4, steps: int = 200, rate: float = 0.05) -> OrdinalModel:
+def fit_ordinal(rows: np.ndarray, features: np.ndarray, values: np.ndarray, grades: np.ndarray, n_grades: int, size: int, l2: float = 1e-4, steps: int = 300, rate: float = 0.1) -> OrdinalModel:
     """Full-batch Adam on the mean negative log likelihood of the grades.
 
     Thresholds are t_1 and logarithms of the gaps, so they stay ordered. Classes weigh alike
     whatever their number of rows.
     """
     n = len(grades)
-    seen = np.bincount(features, minlength=size) >= MIN_TEXTS
+    held = np.bincount(features, minlength=size)
+    off, lift = np.zeros(size), np.zeros(size)
+    for k in range(n_grades):
+        share = (grades == k).mean()
+        found = np.bincount(features[grades[rows] == k], minlength=size)
+        lift = np.maximum(lift, found / np.maximum(held * share, 1e-9))
+        off = np.maximum(off, np.abs(found - held * share) / np.sqrt(np.maximum(held * share * (1 - share), 1e-9)))
+    seen = (held >= MIN_TEXTS) & (off >= LEAST_Z) & (lift >= LEAST_LIFT)
     use = seen[features]
     rows, features, values = rows[use], features[use], values[use].astype(np.float64)
     names, column = np.unique(features, return_inverse=True)
@@ -155,7 +184,7 @@ def train(rated: DataFrame, n_grades: int, text_column: str = "text", grade_colu
     return fit_ordinal(rows, np.concatenate(features), np.concatenate([np.frombuffer(x.weights, "<f4") for x in got]), np.array([x.grade for x in got]), n_grades, size)
 
 
-def score(docs: DataFrame, model: OrdinalModel, keep_at: int, least: float = 0.5, text_column: str = "text", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def score(docs: DataFrame, model: OrdinalModel, keep_at: int, least: float = LEAST_GOOD, text_column: str = "text", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Expected grade and tail probabilities of every whole text.
 
     Returns the ``carry`` columns, ``expected_grade``, ``tail_1`` .. ``tail_K`` (double) and ``kept``: whether
@@ -179,15 +208,15 @@ def score(docs: DataFrame, model: OrdinalModel, keep_at: int, least: float = 0.5
 def sample_of_ratings(labels: DataFrame, most: int = MAX_TRAINING_ROWS) -> DataFrame:
     """``doc_id, grade`` of at most ``most`` rated documents, those with the smallest hash of their id.
 
-    Grades: 0 poor, 1 good but toxic, 2 good. Null labels and ids are left out; a document rated
+    Grades: 0 toxic, 1 poor, 2 good. Null labels and ids are left out; a document rated
     several times counts once, with its worst rating.
     """
-    grades = labels.select("doc_id", F.expr("CASE WHEN quality = 0 THEN 0 WHEN toxic = 1 THEN 1 WHEN quality = 1 AND toxic = 0 THEN 2 END").alias("grade"))
+    grades = labels.select("doc_id", F.expr("CASE WHEN toxic = 1 THEN 0 WHEN quality = 0 THEN 1 WHEN quality = 1 AND toxic = 0 THEN 2 END").alias("grade"))
     grades = grades.where("grade IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("grade").alias("grade"))
     return grades.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
 
 
-def classify(docs: DataFrame, labels: DataFrame, least: float = 0.5, most: int = MAX_TRAINING_ROWS, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, least: float = LEAST_GOOD, most: int = MAX_TRAINING_ROWS, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Train on the rated documents among ``docs`` and score all of them: see :func:`score`, with 3 grades.
 
     Kept are documents whose probability of the highest grade is at least ``least``. The sample of
