@@ -257,6 +257,6 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, tolerance: fl
     compared = materialize(block_pairs(_with_sets(texts)).mapInArrow(_compare(threshold, tolerance), "id long, links long, root long"), "compared")
 
     rows = sketches.select("id", "class").join(classes.select("class", "rep", "copies"), ["class"], "left")
-    rows = rows.select("id", F.when(F.col("id").isNotNull(), F.col("rep")).alias("rep"), "copies")
+    rows = rows.select("id", *(F.when(F.col("id").isNotNull(), F.col(x)).alias(x) for x in ("rep", "copies")))
     out = labelled(rows, compared)
     return out.select(F.col("id").alias(id_column), F.col("rep").alias("class_id"), "n_links", F.col("component").alias("component_id"), F.coalesce(F.col("id") == F.col("component"), F.lit(True)).alias("kept"))
