@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memloom.llm import bpe, html_text, itq_neardup, line_dedup, ngram_jaccard, ordinal_quality, packing, quality_rules, warc
+from memloom.llm import bpe, chat_collapse, html_text, itq_neardup, line_dedup, ngram_jaccard, ordinal_quality, packing, quality_rules, warc
 from memloom.sources.tables import table
 
 
@@ -43,6 +43,11 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op2_snapshot_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every maximal conversation as one text."""
+    return chat_collapse.collapse_and_render(table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))
+
+
 def op3_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of 1024 tokens."""
     return packing.pack(table(spark, sf_dir, "documents", "doc_id", "text"), byte_bpe(), end_id=0, capacity=1024)
@@ -71,6 +76,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_itq_near_duplicates": op4_itq_near_duplicates,
         "op5_line_block_text": op5_line_block_text,
         "op6_bayesian_ngram_join": op6_bayesian_ngram_join,
+        "op2_snapshot_collapse": op2_snapshot_collapse,
         "op7_quality_rules": op7_quality_rules,
         "op8_warc_normaliser": op8_warc_normaliser,
         "op3_harmonic_packing": op3_harmonic_packing,
@@ -80,7 +86,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_quality_rules": quality_rules.duckdb_sql(), "op8_warc_normaliser": WARC_SQL}
+    return {"op2_snapshot_collapse": chat_collapse.DUCKDB_SQL, "op7_quality_rules": quality_rules.duckdb_sql(), "op8_warc_normaliser": WARC_SQL}
 
 
 #: What comes back of the archives.
