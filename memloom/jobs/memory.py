@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from memloom.functions.text import approx_tokens
+from memloom.operators import annotation, packing, structure
 from memloom.operators import blocks as b
-from memloom.operators import packing, structure
 from memloom.sources.tables import table
 
 
@@ -107,6 +107,23 @@ def history_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.admit(items, "sample_id", ["session_index", "turn_index", "chunk_index", "source_id"], {"blocks": 6, "token_count": 300})
 
 
+def annotation_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reasons why made-up annotations of the conversations are not valid."""
+    units = _conversations(spark, sf_dir).groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"))
+    shape = F.expr("""CASE conv_id % 6 WHEN 0 THEN array(named_struct('id', 'a', 'packages', array(array(1L, 2L), array(n))))
+      WHEN 1 THEN array(named_struct('id', 'a', 'packages', array(array(1L))), named_struct('id', 'a', 'packages', array(array(1L))))
+      WHEN 2 THEN array(named_struct('id', 'a', 'packages', array(array(n + 1))))
+      WHEN 3 THEN array(named_struct('id', 'a', 'packages', array(array(1L, 1L))))
+      WHEN 4 THEN transform(sequence(1, 7), k -> named_struct('id', string(k), 'packages', array(array(1L)))) END""")
+    return units.withColumn("requirements", shape).select("conv_id", annotation.annotation_reason("requirements", "n").alias("reason"))
+
+
+def normalized_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of turns: given ones kept where a conversation's are positive and differ, else all renumbered."""
+    rows = _conversations(spark, sf_dir).select("conv_id", "turn", F.expr("if(conv_id % 3 = 0, turn div 2, turn + 10)").alias("given"))
+    return annotation.normalize_sources(rows, "conv_id", ["turn"], "given").select("conv_id", "turn", "id")
+
+
 _WORDS = "list_filter(string_split_regex({x}, '[ \\t\\n\\r]+'), lambda w: w <> '')"
 _TOKENS = "greatest(1, ceil(len(" + _WORDS + ") * 1.3e0))::BIGINT"
 _TURNS = """t AS (SELECT *, turn_index // 4 + 1 AS session_index, turn_index % 4 AS position_in_session, 'D' || (turn_index // 4 + 1) || ':' || (turn_index % 4 + 1) AS dia_id
@@ -155,6 +172,17 @@ SELECT conv_id, sum(n)::BIGINT AS turns, sum(empty)::BIGINT AS empty_texts, coun
         f"""WITH {_TURNS}, e AS (SELECT conv_id, turn_index, list_value(dia_id, 'D9:' || (turn_index + 90)) AS ids FROM t),
   x AS (SELECT conv_id, turn_index, i - 1 AS place, ids[i] AS dia_id FROM (SELECT *, unnest(range(1, 3)) AS i FROM e))
 SELECT conv_id::VARCHAR AS sample_id, turn_index, place, dia_id, EXISTS (SELECT 1 FROM t WHERE t.conv_id = x.conv_id AND t.dia_id = x.dia_id) AS known FROM x""",
+    ),
+    "annotation_check": (
+        annotation_check,
+        """SELECT conv_id, CASE conv_id % 6 WHEN 0 THEN CASE WHEN n < 2 THEN 'unknown source' END WHEN 1 THEN 'repeated requirement' WHEN 2 THEN 'unknown source' WHEN 3 THEN 'empty or repeated sources' WHEN 4 THEN 'too many requirements' ELSE 'no requirements' END AS reason
+FROM (SELECT conv_id, count(*) AS n FROM conversations GROUP BY 1)""",
+    ),
+    "normalized_sources": (
+        normalized_sources,
+        """WITH g AS (SELECT conv_id, turn, CASE WHEN conv_id % 3 = 0 THEN turn // 2 ELSE turn + 10 END AS given FROM conversations),
+  f AS (SELECT conv_id, min(given) > 0 AND count(DISTINCT given) = count(*) AS fine FROM g GROUP BY 1)
+SELECT g.conv_id, turn, CASE WHEN fine THEN given ELSE row_number() OVER (PARTITION BY g.conv_id ORDER BY turn) END AS id FROM g JOIN f ON g.conv_id = f.conv_id""",
     ),
     "struct_chain": (struct_chain, f"WITH {_NODES} SELECT * FROM (SELECT unit, id AS parent, lead(id) OVER (PARTITION BY unit ORDER BY id) AS child FROM n) WHERE child IS NOT NULL"),
     "struct_tree_asof": (struct_tree_asof, f"WITH {_NODES} SELECT * FROM (SELECT unit, coalesce(lag(id) OVER (PARTITION BY unit, session ORDER BY id), min(id) OVER (PARTITION BY unit)) AS parent, id AS child FROM n) WHERE parent <> child"),
