@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -11,6 +13,26 @@ import pyarrow as pa
 BLOCK = 2 << 20
 
 
+def tidy(run):
+    """``run`` for mapInArrow, after which the worker gives unused memory back to the system.
+
+    Workers live on between tasks and share an executor's memory with the JVM.
+    """
+
+    @functools.wraps(run)
+    def tidied(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):  # another C library
+                pass
+
+    return tidied
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string column and the n + 1 offsets of its rows; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -74,7 +96,7 @@ class WordValues:
     ``compute(word)`` gives the value of a word (bytes). At most ``most`` words are kept.
     """
 
-    def __init__(self, compute, most: int = 300_000):
+    def __init__(self, compute, most: int = 100_000):
         self.compute, self.most, self.known = compute, most, {}
 
     def of(self, data: np.ndarray, offsets: np.ndarray, dtype) -> tuple[np.ndarray, np.ndarray]:

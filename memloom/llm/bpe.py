@@ -27,10 +27,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from memloom.llm.arrow_text import BLOCK, distinct_fragments, ragged_take, row_blocks, text_bytes
+from memloom.llm.arrow_text import BLOCK, distinct_fragments, ragged_take, row_blocks, text_bytes, tidy
 
 #: Distinct fragments whose ids a worker keeps between batches.
-KEPT_FRAGMENTS = 250_000
+KEPT_FRAGMENTS = 150_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -198,7 +198,7 @@ def encode(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: s
             for row, end, ids, at in bpe.encode(texts):
                 yield pa.RecordBatch.from_arrays([keys.slice(row, end - row), pa.array(np.diff(at)), binary_rows(ids, at)], names=schema.names)
 
-    return docs.select(id_column, text_column).mapInArrow(run, schema)
+    return docs.select(id_column, text_column).mapInArrow(tidy(run), schema)
 
 
 def decode(encoded: DataFrame, path: str, id_column: str = "doc_id", ids_column: str = "ids") -> DataFrame:
@@ -214,4 +214,4 @@ def decode(encoded: DataFrame, path: str, id_column: str = "doc_id", ids_column:
             texts = [bpe.decode(np.frombuffer(x.as_buffer() or b"", "<u4")) if x.is_valid else b"" for x in batch.column(2)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary()).cast(pa.string())], names=schema.names)
 
-    return encoded.select(id_column, "n_tokens", ids_column).mapInArrow(run, schema)
+    return encoded.select(id_column, "n_tokens", ids_column).mapInArrow(tidy(run), schema)

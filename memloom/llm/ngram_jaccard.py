@@ -22,15 +22,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from memloom.llm.arrow_text import WordValues, keyed_groups, ragged_take, row_blocks, text_bytes
+from memloom.llm.arrow_text import WordValues, keyed_groups, ragged_take, row_blocks, text_bytes, tidy
 from memloom.llm.blocks import UNIT, block_pairs, group_blocks
 from memloom.llm.components import components
 from memloom.sources.scratch import materialize
 
 N, THRESHOLD, TOLERANCE = 5, 0.8, 1e-6
 BANDS, ROWS, STEP = 32, 5, 32
-#: n-grams in a block of a group (a member counts as 512 at least).
-BLOCK_GRAMS, LEAST_GRAMS = 1 << 20, 512
+#: n-grams in a block of a group (a member counts as 1024 at least).
+BLOCK_GRAMS, LEAST_GRAMS = 1 << 20, 1024
 
 _RANDOM = np.random.default_rng(20240229)
 _SEEDS = _RANDOM.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)[:, None]
@@ -120,7 +120,7 @@ def sketch(docs: DataFrame) -> DataFrame:
                     names=["id", "class", "n_grams", "bands"],
                 )
 
-    return docs.select("id", "text").mapInArrow(run, T.StructType([docs.schema["id"], *T._parse_datatype_string("class binary, n_grams long, bands array<long>").fields]))
+    return docs.select("id", "text").mapInArrow(tidy(run), T.StructType([docs.schema["id"], *T._parse_datatype_string("class binary, n_grams long, bands array<long>").fields]))
 
 
 def _with_sets(placed: DataFrame) -> DataFrame:
@@ -135,7 +135,7 @@ def _with_sets(placed: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*(c.slice(row, end - row) for c in batch.columns[: len(names)]), pa.array([x.tobytes() for x in sets], pa.binary()), pa.array(marks, pa.binary())], names=[*names, "grams", "mark"])
 
     fields = [placed.schema[x] for x in names]
-    return placed.select(*names, "text").mapInArrow(run, T.StructType([*fields, T.StructField("grams", T.BinaryType()), T.StructField("mark", T.BinaryType())]))
+    return placed.select(*names, "text").mapInArrow(tidy(run), T.StructType([*fields, T.StructField("grams", T.BinaryType()), T.StructField("mark", T.BinaryType())]))
 
 
 def similar_pairs(sets: list[np.ndarray], marks: np.ndarray, left: np.ndarray, right: np.ndarray, threshold: float, least: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
@@ -254,7 +254,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, tolerance: fl
     placed = group_blocks(members, BLOCK_GRAMS).drop("weight")
     placed = materialize(placed, "placed")
     texts = source.join(placed.hint("shuffle_hash"), "id")
-    compared = materialize(block_pairs(_with_sets(texts)).mapInArrow(_compare(threshold, tolerance), "id long, links long, root long"), "compared")
+    compared = materialize(block_pairs(_with_sets(texts)).mapInArrow(tidy(_compare(threshold, tolerance)), "id long, links long, root long"), "compared")
 
     rows = sketches.select("id", "class").join(classes.select("class", "rep", "copies"), ["class"], "left")
     rows = rows.select("id", *(F.when(F.col("id").isNotNull(), F.col(x)).alias(x) for x in ("rep", "copies")))

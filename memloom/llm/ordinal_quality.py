@@ -23,18 +23,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from memloom.llm.arrow_text import WordValues, row_blocks, text_bytes
+from memloom.llm.arrow_text import WordValues, row_blocks, text_bytes, tidy
 
 #: Size of the hashed space.
 BITS = 18
 #: Rated rows that training takes at most: those with the smallest hash of their id.
-MAX_TRAINING_ROWS = 8_000
+MAX_TRAINING_ROWS = 6_000
 #: Training texts that must hold a feature before it gets a weight.
-MIN_TEXTS = 12
+MIN_TEXTS = 8
 #: Lengths of the word beginnings that are features: inflected forms of a word share them.
 PREFIXES = (4, 5)
 #: A feature gets a weight only if its share of some grade is so many standard deviations off what chance gives.
-LEAST_Z = 6.0
+LEAST_Z = 5.0
 #: ... and so many times what chance gives: words that all grades use carry no weight.
 LEAST_LIFT = 3.0
 #: Probability of the highest grade from which a document is kept: under one half, so that clean documents stay.
@@ -125,7 +125,7 @@ def fit_ordinal(rows: np.ndarray, features: np.ndarray, values: np.ndarray, grad
     off, lift = np.zeros(size), np.zeros(size)
     for k in range(n_grades):
         share = (grades == k).mean()
-        found = np.bincount(features[grades[rows] == k], minlength=size)
+        found = np.bincount(features[(grades == k)[rows]], minlength=size)
         lift = np.maximum(lift, found / np.maximum(held * share, 1e-9))
         off = np.maximum(off, np.abs(found - held * share) / np.sqrt(np.maximum(held * share * (1 - share), 1e-9)))
     seen = (held >= MIN_TEXTS) & (off >= LEAST_Z) & (lift >= LEAST_LIFT)
@@ -175,13 +175,15 @@ def train(rated: DataFrame, n_grades: int, text_column: str = "text", grade_colu
                 cut = lambda x, kind: pa.array([x[at[i] : at[i + 1]].astype(kind).tobytes() for i in range(n)], pa.binary())  # noqa: B023, E731
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, n), cut(feature, "<u4"), cut(value, "<f4")], names=["grade", "features", "weights"])
 
-    got = rated.select(F.col(grade_column).cast("int"), text_column).mapInArrow(run, "grade int, features binary, weights binary").collect()
+    got = rated.select(F.col(grade_column).cast("int"), text_column).mapInArrow(tidy(run), "grade int, features binary, weights binary").collect()
     if not got:
         return OrdinalModel(np.zeros(size, np.float32), np.arange(n_grades - 1, dtype=float) - (n_grades - 2) / 2)
     got.sort(key=lambda x: (x.grade, x.features, x.weights))  # whatever order tasks end in
-    features = [np.frombuffer(x.features, "<u4").astype(np.int64) for x in got]
-    rows = np.repeat(np.arange(len(got)), [len(x) for x in features])
-    return fit_ordinal(rows, np.concatenate(features), np.concatenate([np.frombuffer(x.weights, "<f4") for x in got]), np.array([x.grade for x in got]), n_grades, size)
+    sizes, grades = [len(x.features) // 4 for x in got], np.array([x.grade for x in got])
+    features = np.frombuffer(b"".join(x.features for x in got), "<u4").astype(np.int32)
+    values = np.frombuffer(b"".join(x.weights for x in got), "<f4")
+    del got
+    return fit_ordinal(np.repeat(np.arange(len(sizes), dtype=np.int32), sizes), features, values, grades, n_grades, size)
 
 
 def score(docs: DataFrame, model: OrdinalModel, keep_at: int, least: float = LEAST_GOOD, text_column: str = "text", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -202,7 +204,7 @@ def score(docs: DataFrame, model: OrdinalModel, keep_at: int, least: float = LEA
                 tails = fitted.tails(np.bincount(owner, value * fitted.weights[feature], minlength=end - row))
                 yield pa.RecordBatch.from_arrays([*(c.slice(row, end - row) for c in batch.columns[: len(carry)]), pa.array(tails.sum(axis=1)), *(pa.array(tails[:, i]) for i in range(k))], names=schema.names)
 
-    return docs.select(*carry, F.col(text_column).alias("_text")).mapInArrow(run, schema).withColumn("kept", F.col(f"tail_{keep_at}") >= least)
+    return docs.select(*carry, F.col(text_column).alias("_text")).mapInArrow(tidy(run), schema).withColumn("kept", F.col(f"tail_{keep_at}") >= least)
 
 
 def sample_of_ratings(labels: DataFrame, most: int = MAX_TRAINING_ROWS) -> DataFrame:

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from memloom.llm.arrow_text import tidy
 from memloom.llm.bpe import tokenizer
 from memloom.sources.scratch import materialize
 
@@ -76,7 +77,7 @@ def _cut(docs: DataFrame, path: str, end_id: int, capacity: int, smallest: int,
                     known.clear()
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, end - row).take(pa.array(rows, pa.int64())), *(pa.array(x, pa.int64()) for x in (starts, lengths, sums, sizes))], names=schema.names)
 
-    return docs.select(id_column, text_column).mapInArrow(run, schema)
+    return docs.select(id_column, text_column).mapInArrow(tidy(run), schema)
 
 
 def _fit_leftovers(capacity: int):

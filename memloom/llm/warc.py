@@ -28,6 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from memloom.llm.arrow_text import tidy
 from memloom.sources.scratch import materialize, new_path
 
 #: A raw archive is closed at this many payload bytes or records.
@@ -142,7 +143,7 @@ def write_monolithic(pages: DataFrame, folder: str, html_column: str = "html", a
             yield close()
 
     columns = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col(html_column).cast("string"))
-    return columns.mapInArrow(run, "page_id long, url string, archive string, ordinal long, payload_bytes long, payload_digest string")
+    return columns.mapInArrow(tidy(run), "page_id long, url string, archive string, ordinal long, payload_bytes long, payload_digest string")
 
 
 def revisit_plan(written: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
@@ -197,7 +198,7 @@ def normalise(plan: DataFrame, source: str, target: str) -> DataFrame:
                 done.append((name, count, offset))
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in done], kind) for i, kind in enumerate((pa.string(), pa.int64(), pa.int64()))], names=["archive", "records", "bytes"])
 
-    return plan.mapInArrow(run, "archive string, records long, bytes long")
+    return plan.mapInArrow(tidy(run), "archive string, records long, bytes long")
 
 
 def read_back(archives: DataFrame, folder: str) -> DataFrame:
@@ -236,7 +237,7 @@ def read_back(archives: DataFrame, folder: str) -> DataFrame:
                 if rows:
                     yield batch_of(rows)
 
-    return archives.select("archive").mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, html string")
+    return archives.select("archive").mapInArrow(tidy(run), "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, html string")
 
 
 def archive_and_read(pages: DataFrame, folder: str | None = None, html_column: str = "html") -> DataFrame:

