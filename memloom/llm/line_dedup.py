@@ -9,7 +9,7 @@ common ends are cut off.
 
 Everything is a DataFrame or SQL expression; no Python runs on executors. Keys are 64-bit hashes;
 only keys that two different lines share keep their rows, and only their lines' texts are
-fetched. Lines under a key are dealt into blocks of bounded size and compared block by block inside
+fetched; a bitmap of fixed size, which is broadcast, sorts out most others without a shuffle. Lines under a key are dealt into blocks of bounded size and compared block by block inside
 an expression, so no row is made for a pair.
 """
 
@@ -44,19 +44,40 @@ def probe_shifts(i: int, difference: int, tau: int) -> range:
     return range(max(1 - i, difference - (tau + 1 - i)), min(i - 1, difference + (tau + 1 - i)) + 1)
 
 
+def probes(tau: int) -> list[tuple[int, int, int]]:
+    """All (difference in length, segment, shift) under which a line has a key; its own index keys first."""
+    every = [(d, i, shift) for d in range(tau + 1) for i in range(1, tau + 2) for shift in probe_shifts(i, d, tau)]
+    return sorted(every, key=lambda x: (x[0] > 0 or x[2] != 0, x))
+
+
 def segment_keys(line: str = "line", length: str = "len", tau: int = TAU) -> str:
-    """SQL of the array of keys of a line: structs of key and whether the line is indexed under it (else it only probes)."""
+    """SQL of the array of keys of a line. It is indexed under the first tau + 1 keys, under the others it only probes."""
     keys = []
-    for difference in range(tau + 1):
+    for difference, i, shift in probes(tau):
         other = f"({length} - {difference})"
-        for i in range(1, tau + 2):
-            at, size = segment(i, tau, other)
-            for shift in probe_shifts(i, difference, tau):
-                own = "true" if not difference and not shift else "false"
-                keys.append(f"named_struct('key', xxhash64({i}, {other}, substring({line}, int({at} + {shift} + 1), int({size}))), 'own', {own})")
+        at, size = segment(i, tau, other)
+        keys.append(f"xxhash64({i}, {other}, substring({line}, int({at} + {shift} + 1), int({size})))")
     return f"array({', '.join(keys)})"
 
 
+#: Bits of the filter of shared keys, words of 64 bits in a row of it, and so its fixed size: 2 MB.
+FILTER_BITS, ROW_WORDS = 1 << 24, 512
+
+
+def _slot(key: str = "key") -> dict[str, str]:
+    """SQL of the row, word and bit of a key in the filter."""
+    slot = f"pmod({key}, {FILTER_BITS}L)"
+    return {"row": f"int({slot} div {64 * ROW_WORDS})", "word": f"int({slot} % {64 * ROW_WORDS} div 64)", "bit": f"int({slot} % 64)"}
+
+
+def key_filter(keys: DataFrame) -> DataFrame:
+    """A bitmap of ``keys`` (column ``key``): ``row`` and ``words``, at most FILTER_BITS / (64 ROW_WORDS) rows whatever the number of keys."""
+    at = _slot()
+    words = keys.groupBy(F.expr(at["row"]).alias("row"), F.expr(at["word"]).alias("word")).agg(F.expr(f"bit_or(shiftleft(1L, {at['bit']}))").alias("bits"))
+    rows = words.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("m"))
+    return rows.select("row", F.expr(f"transform(sequence(0, {ROW_WORDS - 1}), w -> coalesce(try_element_at(m, w), 0L))").alias("words"))
+
+
 _POWERS = "array(" + ", ".join(str(1 << e) for e in range(22, -1, -1)) + ")"
 
 
@@ -115,11 +136,15 @@ def _near_repeats(source: DataFrame, first: DataFrame, tau: int, least: int) ->
 
     ``first``: h1, h2 and ``at``, the place of the first row of each line.
     """
-    keyed = lines_of(source, least, F.explode(F.expr(segment_keys(tau=tau))).alias("k"))
-    keyed = keyed.select(F.col("k.key").alias("key"), F.col("k.own").cast("int").alias("own"), "h1", "h2")
+    keyed = lines_of(source, least, F.posexplode(F.expr(segment_keys(tau=tau))).alias("place", "key"))
+    keyed = keyed.select("key", (F.col("place") <= tau).cast("int").alias("own"), "h1", "h2")
     shared = keyed.groupBy("key").agg(F.min("h1").alias("low"), F.max("h1").alias("high"), F.max("own").alias("own")).where("low <> high AND own = 1").select("key")
     shared = materialize(shared, "line-keys")
-    hits = keyed.join(shared, "key").groupBy("key", "h1", "h2").agg(F.max("own").alias("own"))
+    # few keys are shared: a bitmap of fixed size drops most other rows before any shuffle, the join drops the rest
+    at, bitmap = _slot(), F.broadcast(materialize(key_filter(shared), "line-filter"))
+    set_there = F.expr(f"(shiftright(get(words, {at['word']}), {at['bit']}) & 1) = 1")
+    likely = keyed.join(bitmap, (F.expr(at["row"]) == F.col("row")) & set_there).select("key", "own", "h1", "h2")
+    hits = likely.groupBy("key", "h1", "h2").agg(F.max("own").alias("own")).join(shared, "key")
     hits = materialize(hits, "line-hits")
 
     wanted = hits.select("h1", "h2").distinct().join(first, ["h1", "h2"]).select("h1", "h2", "at")
