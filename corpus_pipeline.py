@@ -16,7 +16,7 @@ from memloom.sources.tables import table
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose probability of the highest grade is at least one half."""
+    """Documents whose probability of the highest grade is high enough."""
     scored = ordinal_quality.classify(docs, table(spark, sf_dir, "labels"), carry=tuple(docs.columns))
     return scored.where("kept").select(*docs.columns)
 
