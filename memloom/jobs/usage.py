@@ -165,10 +165,10 @@ def events_watermark_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def break_even(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reads after which each arm's build cost against 'view' is won back; null if reads save nothing."""
-    costs = _scores(spark, sf_dir).groupBy("arm").agg(F.sum(F.when(F.col("category") == 1, F.col("tokens"))).alias("build"), F.avg(F.when(F.col("category") > 1, F.col("tokens"))).alias("read"))
-    base = costs.where("arm = 'view'").select(F.col("build").alias("base_build"), F.col("read").alias("base_read"))
+    costs = _scores(spark, sf_dir).groupBy("arm", F.lit("view").alias("against")).agg(F.sum(F.when(F.col("category") == 1, F.col("tokens"))).alias("build"), F.avg(F.when(F.col("category") > 1, F.col("tokens"))).alias("read"))
+    base = costs.where("arm = 'view'").select("against", F.col("build").alias("base_build"), F.col("read").alias("base_read"))
     saving = F.round(F.col("base_read") - F.col("read"), 9)
-    out = costs.where("arm <> 'view'").join(F.broadcast(base), F.lit(True))  # base is one row
+    out = costs.where("arm <> 'view'").join(base, "against")
     return out.select("arm", F.when(saving > 0, F.round(F.greatest(F.lit(0.0), (F.col("build") - F.col("base_build")).cast("double")) / saving, 4)).alias("reads"))
 
 

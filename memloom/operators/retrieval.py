@@ -33,12 +33,14 @@ def bm25(questions: DataFrame, docs: DataFrame, *sample: str, question_id: str =
     ``questions``: sample, question_id, text. ``docs``: sample, source_id, text. A token that a question
     repeats counts each time. Returns sample, question_id, source_id, score.
     """
+    if not sample:  # the whole corpus is one sample
+        one = lambda frame: frame.withColumn("_sample", F.lit(0))
+        return bm25(one(questions), one(docs), "_sample", question_id=question_id, source_id=source_id).drop("_sample")
     found = postings(docs, *sample, source_id)
     stats = docs.select(*sample, F.size(lexical_tokens(F.col("text"))).alias("length")).groupBy(*sample).agg(F.count(F.lit(1)).alias("n_docs"), F.avg("length").alias("avg_length"))
     asked = postings(questions, *sample, question_id).select(*sample, question_id, "token", F.col("frequency").alias("repeats"))
     rare = document_frequency(found.join(asked.select(*sample, "token").distinct(), [*sample, "token"], "left_semi"), *sample)
-    weighed = asked.join(rare, [*sample, "token"])
-    weighed = weighed.join(stats, list(sample)) if sample else weighed.join(F.broadcast(stats), F.lit(True))  # without samples: one row of statistics
+    weighed = asked.join(rare, [*sample, "token"]).join(stats, list(sample))
     n, df = F.col("n_docs"), F.col("df")
     idf = F.log(F.lit(1.0) + (n - df + F.lit(0.5)) / (df + F.lit(0.5)))
     pairs = weighed.withColumn("idf", idf).join(found, [*sample, "token"])
