@@ -26,13 +26,13 @@ TAU, MIN_CHARS = 2, 24
 BLOCK = 128
 
 
-def segment(i: int, tau: int, length: str) -> tuple[str, str]:
-    """SQL of the first place (from 0) and the length of segment i (from 1) of a line of ``length``.
+def segment(i: str, tau: int, length: str) -> tuple[str, str]:
+    """SQL of the first place (from 0) and the length of segment ``i`` (from 1) of a line of ``length``.
 
     The last (length mod tau + 1) segments are one longer than the others.
     """
     base, longer = f"(({length}) div {tau + 1})", f"(({length}) % {tau + 1})"
-    return f"({i - 1} * {base} + greatest(0, {i - 1} - ({tau + 1} - {longer})))", f"({base} + if({i} > {tau + 1} - {longer}, 1, 0))"
+    return f"(({i} - 1) * {base} + greatest(0, {i} - 1 - ({tau + 1} - {longer})))", f"({base} + if({i} > {tau + 1} - {longer}, 1, 0))"
 
 
 def probe_shifts(i: int, difference: int, tau: int) -> range:
@@ -44,20 +44,18 @@ def probe_shifts(i: int, difference: int, tau: int) -> range:
     return range(max(1 - i, difference - (tau + 1 - i)), min(i - 1, difference + (tau + 1 - i)) + 1)
 
 
-def probes(tau: int) -> list[tuple[int, int, int]]:
-    """All (difference in length, segment, shift) under which a line has a key; its own index keys first."""
-    every = [(d, i, shift) for d in range(tau + 1) for i in range(1, tau + 2) for shift in probe_shifts(i, d, tau)]
-    return sorted(every, key=lambda x: (x[0] > 0 or x[2] != 0, x))
-
+def keyed_lines(source: DataFrame, tau: int, least: int) -> DataFrame:
+    """``key, own, h1, h2`` of every line: own is 1 for keys that it is indexed under, 0 for those it only probes.
 
-def segment_keys(line: str = "line", length: str = "len", tau: int = TAU) -> str:
-    """SQL of the array of keys of a line. It is indexed under the first tau + 1 keys, under the others it only probes."""
-    keys = []
-    for difference, i, shift in probes(tau):
-        other = f"({length} - {difference})"
-        at, size = segment(i, tau, other)
-        keys.append(f"xxhash64({i}, {other}, substring({line}, int({at} + {shift} + 1), int({size})))")
-    return f"array({', '.join(keys)})"
+    One small expression for each (line, probe) row: written out for all probes of a line, it would be
+    too long a method for the JVM to compile.
+    """
+    every = [(d, i, shift) for d in range(tau + 1) for i in range(1, tau + 2) for shift in probe_shifts(i, d, tau)]
+    probe = F.explode(F.array(*(F.struct(F.lit(d).alias("d"), F.lit(i).alias("i"), F.lit(shift).alias("shift")) for d, i, shift in every)))
+    rows = lines_of(source, least, "line", "len").withColumn("p", probe)
+    at, size = segment("p.i", tau, "(len - p.d)")
+    key = f"xxhash64(p.i, len - p.d, substring(line, int({at} + p.shift + 1), int({size})))"
+    return rows.select(F.expr(key).alias("key"), F.expr("if(p.d = 0 AND p.shift = 0, 1, 0)").alias("own"), "h1", "h2")
 
 
 #: Bits of the filter of shared keys, words of 64 bits in a row of it, and so its fixed size: 2 MB.
@@ -136,8 +134,7 @@ def _near_repeats(source: DataFrame, first: DataFrame, tau: int, least: int) ->
 
     ``first``: h1, h2 and ``at``, the place of the first row of each line.
     """
-    keyed = lines_of(source, least, F.posexplode(F.expr(segment_keys(tau=tau))).alias("place", "key"))
-    keyed = keyed.select("key", (F.col("place") <= tau).cast("int").alias("own"), "h1", "h2")
+    keyed = keyed_lines(source, tau, least)
     shared = keyed.groupBy("key").agg(F.min("h1").alias("low"), F.max("h1").alias("high"), F.max("own").alias("own")).where("low <> high AND own = 1").select("key")
     shared = materialize(shared, "line-keys")
     # few keys are shared: a bitmap of fixed size drops most other rows before any shuffle, the join drops the rest
