@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from memloom.sources.scratch import materialize
 
-#: Edits within which a line repeats another; shortest line that takes part (code points).
+#: Edits within which a line repeats another; shortest line that the edit probes take (code points).
 TAU, MIN_CHARS = 2, 24
 #: Lines of a block.
 BLOCK = 128
@@ -118,14 +118,15 @@ def within_edits(a: str, b: str, tau: int = TAU) -> str:
         u.x = '' OR u.y = '' OR {band})))) END"""
 
 
-def lines_of(docs: DataFrame, least: int, *more: str) -> DataFrame:
-    """``id, rid, no, h1, h2, len`` and ``line`` of every line of at least ``least`` code points.
+def lines_of(docs: DataFrame, least: int, *more: str, short: bool = False) -> DataFrame:
+    """``id, rid, no, h1, h2`` and ``more`` of every line of at least ``least`` code points, and with ``short`` of shorter ones that are not blank.
 
     rid is a hash of id and text, so that rows that repeat an id are told apart; (h1, h2) stands
     for the line.
     """
     exploded = docs.select("id", F.xxhash64("id", "text").alias("rid"), F.posexplode(F.split("text", "\n")).alias("no", "line"))
-    exploded = exploded.withColumn("len", F.char_length("line")).where(F.col("len") >= least)
+    taken = (F.col("len") >= least) | F.col("line").rlike(r"\S") if short else F.col("len") >= least
+    exploded = exploded.withColumn("len", F.char_length("line")).where(taken)
     return exploded.select("id", "rid", "no", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), *more)
 
 
@@ -168,13 +169,13 @@ def dedup_lines(docs: DataFrame, tau: int = TAU, least: int = MIN_CHARS, id_colu
 
     Lines are what stands between line feeds. Lines are in order of the id (null first), then of their place;
     of equal lines all but the first go, and a line goes if a different line within ``tau`` edits
-    first stands before its own first place. Lines shorter than ``least`` code points stay. Lines are taken as
-    equal when two 64-bit hashes are. Null texts stay null, and a text may become empty. Rows equal in id
+    first stands before its own first place. Lines shorter than ``least`` code points go only as equal lines,
+    and stay if they are blank. Lines are taken as equal when two 64-bit hashes are. Null texts stay null, and a text may become empty. Rows equal in id
     and text are treated alike. An empty table gives no rows. Further columns pass through;
     those named as the added one are replaced.
     """
     source = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).where("text IS NOT NULL")
-    places = lines_of(source, least)
+    places = lines_of(source, least, short=True)
     # a struct of place is no plain number: sorted, not hashed, but these rows are slim
     first = materialize(places.groupBy("h1", "h2").agg(F.min(F.struct("id", "rid", "no")).alias("at"), F.count(F.lit(1)).alias("n")), "line-first")
     near = materialize(_near_repeats(source, first, tau, least), "line-near").withColumn("near", F.lit(True))

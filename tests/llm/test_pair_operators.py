@@ -106,6 +106,11 @@ class TestLineDedup:
         assert texts == Counter({(1, None, "a", 0): 1, (2, "", "b", 0): 1, (3, "", "c", 1): 2, (None, "same line of text, long enough\nshort", "d", 0): 1, (4, long, "e", 0): 1, (5, "", "f", 1): 1})
         assert line_dedup.dedup_lines(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
+    def test_short_lines_go_as_exact_repeats_only(self, spark):
+        docs = [(1, "By To.\nBy To.\n\n \nBy To!"), (2, "\n \t\nBy To.\nBy Ti."), (3, "é"), (4, "é\n\nz")]
+        got = {r.doc_id: (r.text, r.n_dropped_lines) for r in line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+        assert got == {1: ("By To.\n\n \nBy To!", 1), 2: ("\n \t\nBy Ti.", 1), 3: ("é", 0), 4: ("\nz", 1)}
+
     def test_given_documents_and_no_python(self, spark):
         docs = sorted((r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect())
         out = q.op9_segment_line_dedup(spark, SF)
