@@ -10,7 +10,7 @@ from memloom.operators import certify
 from memloom.operators import domain as d
 from memloom.sources.tables import table
 
-SHORTLIST, LIMIT, BUDGETS = 3, 600, (128, 256, 512)
+SHORTLIST, LIMIT, BUDGETS = 8, 600, (128, 256, 512)
 
 
 def _sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,8 +30,9 @@ def _costs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _domain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bases = d.bases(_units(spark, sf_dir))
-    sets = d.candidates(bases, d.context(bases, _sources(spark, sf_dir)), SHORTLIST)
+    units = _units(spark, sf_dir)
+    bases = d.bases(units)
+    sets = d.candidates(bases, d.context(bases, _sources(spark, sf_dir)), SHORTLIST, units)
     return d.with_cost(sets, _costs(spark, sf_dir)).where(F.col("cost") <= LIMIT)
 
 

@@ -40,10 +40,11 @@ def context(base_sets: DataFrame, sources: DataFrame) -> DataFrame:
     return ranked.select("unit", "n", "base", "id", F.row_number().over(order).cast("long").alias("place"))
 
 
-def candidates(base_sets: DataFrame, ordered: DataFrame, shortlist: int) -> DataFrame:
-    """``unit, n, mask, kind, base``: the full set, each base with any subset of its first extras, and with one further extra.
+def candidates(base_sets: DataFrame, ordered: DataFrame, shortlist: int, units: DataFrame) -> DataFrame:
+    """``unit, n, mask, kind, base``: the full set, each base with any subset of its first extras, and with all sources in no package.
 
-    A set that several ways make keeps the first: full, then shortlist, then outside; bases by their ids.
+    ``units``: unit, n, ``requirements``, as the bases were made from.
+    A set that several ways make keeps the first: full, then bases by their ids, for each shortlist before outside.
     """
     full = base_sets.select("unit", "n").distinct().select("unit", "n", F.expr("shiftleft(1L, int(n)) - 1").alias("mask"), F.lit(1).alias("priority"), F.expr("shiftleft(1L, int(n)) - 1").alias("base"))
     bit = F.expr("shiftleft(1L, int(id - 1))")
@@ -52,9 +53,11 @@ def candidates(base_sets: DataFrame, ordered: DataFrame, shortlist: int) -> Data
     subs = F.explode(F.expr("sequence(0L, shiftleft(1L, size(bits)) - 1)")).alias("pick")
     picked = "aggregate(sequence(0, greatest(size(bits) - 1, 0)), base, (m, i) -> m | if((shiftright(pick, i) & 1) = 1, coalesce(get(bits, i), 0L), 0L))"
     short = short.select("unit", "n", "base", "bits", subs).select("unit", "n", F.expr(picked).alias("mask"), F.lit(2).alias("priority"), "base")
-    outside = ordered.where(F.col("place") > shortlist).select("unit", "n", (F.col("base").bitwiseOR(bit)).alias("mask"), F.lit(3).alias("priority"), "base")
+    support = units.select("unit", F.expr("aggregate(flatten(requirements), 0L, (s, m) -> s | m)").alias("support"))
+    rest = F.expr("base | ((shiftleft(1L, int(n)) - 1) & ~support)")
+    outside = base_sets.join(support, "unit").select("unit", "n", rest.alias("mask"), F.lit(3).alias("priority"), "base")
     made = full.unionByName(short).unionByName(outside).withColumn("base_ids", ids_of("base"))
-    best = made.groupBy("unit", "n", "mask").agg(F.min(F.struct("priority", "base_ids", "base")).alias("w"))
+    best = made.groupBy("unit", "n", "mask").agg(F.min(F.struct((F.col("priority") > 1).alias("partial"), "base_ids", "priority", "base")).alias("w"))
     return best.select("unit", "n", "mask", F.element_at(F.array(F.lit("full"), F.lit("shortlist"), F.lit("outside")), F.col("w.priority")).alias("kind"), F.col("w.base").alias("base"))
 
 

@@ -94,3 +94,22 @@ def test_journal_and_upsert(spark):
     assert got == {"a": 2, "b": 5}
     got = {r.k: (r.place, r.ok, r.version) for r in state.upsert(rows, "k", "at", "ok").collect()}
     assert got == {"a": (1, 0, 3), "b": (4, 0, 2)}
+
+
+@pytest.mark.parametrize("shortlist", [0, 2, 8])
+def test_candidates_are_those_of_the_reference(spark, shortlist):
+    n, requirements, scores = 7, [[0b1, 0b10], [0b110, 0b1000]], [3, 1, 4, 1, 5, 9, 2]
+    units = spark.createDataFrame([(1, n, requirements)], "unit long, n long, requirements array<array<long>>")
+    sources = spark.createDataFrame([(1, i + 1, None, i, x) for i, x in enumerate(scores)], "unit long, id long, session long, position long, score long")
+    bases = domain.bases(units)
+    got = {r.mask: (r.kind, r.base) for r in domain.candidates(bases, domain.context(bases, sources), shortlist, units).collect()}
+    full, outside = 0b1111111, 0b1110000
+    expected = {full: ("full", full)}
+    ids = lambda mask: [i + 1 for i in range(n) if mask >> i & 1]
+    made = sorted({a | b for a in requirements[0] for b in requirements[1]}, key=ids)
+    extras = {b: sorted((i for i in range(n) if not b >> i & 1), key=lambda i: (-scores[i], i))[:shortlist] for b in made}
+    for b in made:
+        for pick in range(1 << len(extras[b])):
+            expected.setdefault(b | sum(1 << i for k, i in enumerate(extras[b]) if pick >> k & 1), ("shortlist", b))
+        expected.setdefault(b | outside, ("outside", b))
+    assert got == expected
