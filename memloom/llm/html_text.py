@@ -34,6 +34,11 @@ CONTAINERS = frozenset("article aside blockquote body center dd details dialog d
 NO_TEXT = frozenset(
     "ad ads adbox adsense advert adverts advertisement advertising alert banner breadcrumb breadcrumbs comment comments commentlist complementary consent contentinfo cookie cookies disclaimer disqus footer gdpr hidden login masthead menu modal nav navbar navigation newsletter notice notices notification pager pagination popup promo promoted promotion recommended related replies respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar widget widgets".split()
 )
+#: Words behind which, and before which, such a word describes the layout.
+NEGATORS = frozenset("has no not non with without overflow".split())
+MODIFIERS = frozenset("active allowed closed disabled enabled free inactive loaded off on open opened ready visible".split())
+#: Readers' text: as long as it may be, in an article it isn't the main text.
+READERS = frozenset("comment comments commentlist disqus replies respond".split())
 HEADERS = frozenset({"header", "masthead", "banner"})
 SCOPES = frozenset({"article", "main"})
 NEVER_BY_NAME = frozenset({"html", "body", "article", "main"})
@@ -47,30 +52,47 @@ _WORD = re.compile(r"[A-Z]?[a-z0-9]+|[A-Z0-9]+")
 WINDOW, SURGE = 3, 60
 
 
-def _names_no_text(name: str, attributes: str, in_article: bool) -> bool:
-    """Whether an element's class, id, role or style says that it holds no main text."""
+def _evidence(attributes: str, in_article: bool) -> tuple[bool, set[str]]:
+    """Whether an element is hidden, and the words in its class, id and role that name no main text.
+
+    A word tells nothing behind one of ``NEGATORS`` or before one of ``MODIFIERS`` in the same name.
+    """
+    named: set[str] = set()
     for key, a, b, c, hidden in _NAMED.findall(attributes):
         value = a or b or c
         if hidden or (key.lower() == "aria-hidden" and value.lower() == "true"):
-            return True
+            return True, named
         if key.lower() == "style":
             if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.IGNORECASE):
-                return True
-        else:
-            words = {w.lower() for w in _WORD.findall(value)}
-            if words & NO_TEXT or (not in_article and "header" in words):
-                return True
-    return False
+                return True, named
+            continue
+        for part in value.split():
+            words = [w.lower() for w in _WORD.findall(part)]
+            for i, word in enumerate(words):
+                if word in NEGATORS:
+                    break
+                if (word in NO_TEXT or (not in_article and word == "header")) and not MODIFIERS.intersection(words[i + 1 : i + 2]):
+                    named.add(word)
+    return False, named
 
 
 def lines_of(page: str) -> list[tuple[str, bool, int]]:
     """The lines of a page: text with single spaces, whether it lies in an article, characters of it in links.
 
-    Dropped elements leave ``WINDOW`` empty lines.
+    Dropped elements leave ``WINDOW`` empty lines. An element that only its names speak against stays if it holds
+    ``main``, the only articles, or most of the text.
     """
+    lines, spared = _parse(page, frozenset())
+    return _parse(page, spared)[0] if spared else lines
+
+
+def _parse(page: str, spared: frozenset[int]) -> tuple[list[tuple[str, bool, int]], frozenset[int]]:
+    """The lines of a page, with elements that start at ``spared`` kept whatever their names, and starts of those to spare."""
     out: list[tuple[str, bool, int]] = []
-    stack: list[tuple[str, bool]] = []  # name, and whether its text is dropped
+    stack: list[tuple[str, bool, bool, tuple | None]] = []  # name, whether its text is dropped, for sure, and what was seen before an element under suspicion
+    suspects: list[tuple[int, bool, int, int, int]] = []  # start, whether readers' text in an article, and mains, articles and text inside
     text: list[str] = []
+    sure = under = mains = articles = plain = size = 0
     dropped = scopes = links = linked = 0
     gap = ("", False, 0)
 
@@ -83,9 +105,13 @@ def lines_of(page: str) -> list[tuple[str, bool, int]]:
         linked = 0
 
     def pop(depth: int) -> None:
-        nonlocal dropped, scopes, links
+        nonlocal dropped, scopes, links, sure, under
         while len(stack) > depth:
-            name, off = stack.pop()
+            name, off, certain, before = stack.pop()
+            sure -= certain
+            if before:
+                under -= 1
+                suspects.append((before[0], before[1], mains - before[2], articles - before[3], size - before[4]))
             if name in BLOCKS:
                 flush()
             dropped -= off
@@ -104,7 +130,9 @@ def lines_of(page: str) -> list[tuple[str, bool, int]]:
         return -1
 
     def add(piece: str) -> None:
-        nonlocal linked
+        nonlocal linked, size
+        if piece and not sure:
+            size += len(piece.strip())
         if piece and not dropped:
             piece = entities.unescape(piece)
             text.append(piece)
@@ -147,16 +175,31 @@ def lines_of(page: str) -> list[tuple[str, bool, int]]:
             continue
         if name in ("td", "th"):
             add(" ")
-        off = name in DROPPED or (name == "header" and not scopes) or (name not in NEVER_BY_NAME and _names_no_text(name, attributes, scopes > 0))
-        if name == "article" and scopes and _names_no_text(name, attributes, True):
-            off = True  # a reader comment marked up as an article in the article
-        stack.append((name, off))
+        hidden, named = _evidence(attributes, scopes > 0) if attributes else (False, set())
+        by_name = name not in NEVER_BY_NAME
+        # a reader comment marked up as an article in the article goes for sure
+        certain = name in DROPPED or (name == "header" and not scopes) or (by_name and hidden) or (name == "article" and scopes > 0 and (hidden or bool(named)))
+        before = None
+        if by_name and named and not certain and not sure:
+            before = (at, scopes > 0 and bool(named & READERS), mains, articles if not scopes else float("inf"), size)
+            under += 1
+        off = certain or (before is not None and at not in spared)
+        if name in SCOPES and not certain and not sure:
+            mains += name == "main"
+            articles += name == "article"
+            plain += name == "article" and not under
+        stack.append((name, off, certain, before))
+        sure += certain
         dropped += off
         scopes += name in SCOPES
         links += name == "a"
     add(page[at:])
     flush()
-    return out
+    for *_, before in stack:
+        if before:
+            suspects.append((before[0], before[1], mains - before[2], articles - before[3], size - before[4]))
+    spare = frozenset(at for at, readers, main, article, held in suspects if main > 0 or (article > 0 and not plain) or (2 * held > size and not readers))
+    return out, spare
 
 
 def between_surge_and_dive(lengths: list[int], surge: int, window: int = WINDOW) -> list[tuple[int, int]]:

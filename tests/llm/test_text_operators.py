@@ -138,6 +138,15 @@ class TestMainText:
         assert html_text.main_text(page).startswith("Title\n\nword") and "end of it" not in html_text.main_text(page)
         assert html_text.main_text("just a line") == "just a line"
 
+    @pytest.mark.parametrize("names", ['class="wrapper has-sidebar"', 'class="post share-enabled"', 'id="content" class="no-comments"', 'class="hasSidebar"', 'class="sidebar-wrapper"', 'class="widget"'])
+    @pytest.mark.parametrize("kind", ["article", "main", "div"])
+    def test_names_of_wrappers_are_evidence_only(self, names, kind):
+        story = f"<{kind}><h1>Title of it</h1><p>{'word ' * 40}</p></{kind}>"
+        page = f'<body><div class="menu">Home</div><div {names}>{story}<div class="ad">Buy</div></div><div class="comments"><p>nice text!</p></div></body>'
+        assert html_text.main_text(page) == "Title of it\n\n" + ("word " * 40).strip()
+        page = f'<body><article><p>Story.</p><div class="comments"><article>{"reader " * 40}</article><p>{"reader " * 40}</p></div></article></body>'
+        assert html_text.main_text(page) == "Story."
+
     def test_odd_pages(self, spark):
         rows = [(1, None, None), (2, "u", ""), (2, "u", "<"), (3, "u", "<p"), (4, "u", "<!-- open"), (5, "u", "<script>x"), (6, "u", "<div " + "a='" * 2000), (7, "u", "<p>&#x41;&bogus;" * 30_000)]
         got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
