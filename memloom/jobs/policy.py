@@ -48,7 +48,7 @@ def sequence_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
 def beam_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The set that a beam of 4 ends with."""
     sets = policy.prefixes(_units(spark, sf_dir), BUDGET)
-    return policy.beam(_actions(sets), sets, width=4, depth=8).select("unit", "mask", F.round("score", 8).alias("score"))
+    return policy.beam(_actions(sets), sets, width=4).select("unit", "mask", F.round("score", 8).alias("score"))
 
 
 def exact_decode(spark: SparkSession, sf_dir: str) -> DataFrame:

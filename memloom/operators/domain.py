@@ -1,6 +1,6 @@
 """Candidate sets of sources as bit masks: products of support packages, context, reachability, bounds.
 
-A unit has at most 62 sources, id i being bit i - 1. Masks are never compared as numbers. Units hold a
+A unit has at most 64 sources, id i being bit i - 1; a larger one raises an error. Masks are never compared as numbers. Units hold a
 bounded number of masks, and only masks go through shuffles.
 """
 
@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 #: SQL of the sorted ids in a mask of a unit of n sources.
 IDS = "filter(sequence(1, int(n)), i -> (shiftright({mask}, i - 1) & 1) = 1)"
 
+#: SQL of the mask of all sources of a unit of n sources, and of n sources at most.
+FULL = "if(n = 64, -1L, ~shiftleft(-1L, int(n)))"
+CHECKED = "if(n > 64, raise_error(concat('a unit has at most 64 sources, unit ', unit, ' has ', n)), {value})"
+
 
 def ids_of(mask: str) -> Column:
     """The sorted ids in a mask; the frame has ``n``."""
@@ -23,7 +27,7 @@ def bases(units: DataFrame) -> DataFrame:
 
     ``units``: unit, n, ``requirements`` (array of arrays of package masks).
     """
-    fold = "aggregate(requirements, array(0L), (acc, packages) -> array_distinct(flatten(transform(acc, a -> transform(packages, m -> a | m)))))"
+    fold = f"aggregate({CHECKED.format(value='requirements')}, array(0L), (acc, packages) -> array_distinct(flatten(transform(acc, a -> transform(packages, m -> a | m)))))"
     return units.select("unit", "n", F.explode(F.expr(fold)).alias("base"))
 
 
@@ -46,7 +50,7 @@ def candidates(base_sets: DataFrame, ordered: DataFrame, shortlist: int, units:
     ``units``: unit, n, ``requirements``, as the bases were made from.
     A set that several ways make keeps the first: full, then bases by their ids, for each shortlist before outside.
     """
-    full = base_sets.select("unit", "n").distinct().select("unit", "n", F.expr("shiftleft(1L, int(n)) - 1").alias("mask"), F.lit(1).alias("priority"), F.expr("shiftleft(1L, int(n)) - 1").alias("base"))
+    full = base_sets.select("unit", "n").distinct().select("unit", "n", F.expr(FULL).alias("mask"), F.lit(1).alias("priority"), F.expr(FULL).alias("base"))
     bit = F.expr("shiftleft(1L, int(id - 1))")
     first = ordered.where(F.col("place") <= shortlist).groupBy("unit", "base").agg(F.array_sort(F.collect_list(bit)).alias("bits"))
     short = base_sets.join(first, ["unit", "base"], "left").withColumn("bits", F.coalesce("bits", F.expr("cast(array() AS array<bigint>)")))
@@ -54,7 +58,7 @@ def candidates(base_sets: DataFrame, ordered: DataFrame, shortlist: int, units:
     picked = "aggregate(sequence(0, greatest(size(bits) - 1, 0)), base, (m, i) -> m | if((shiftright(pick, i) & 1) = 1, coalesce(get(bits, i), 0L), 0L))"
     short = short.select("unit", "n", "base", "bits", subs).select("unit", "n", F.expr(picked).alias("mask"), F.lit(2).alias("priority"), "base")
     support = units.select("unit", F.expr("aggregate(flatten(requirements), 0L, (s, m) -> s | m)").alias("support"))
-    rest = F.expr("base | ((shiftleft(1L, int(n)) - 1) & ~support)")
+    rest = F.expr(f"base | ({FULL} & ~support)")
     outside = base_sets.join(support, "unit").select("unit", "n", rest.alias("mask"), F.lit(3).alias("priority"), "base")
     made = full.unionByName(short).unionByName(outside).withColumn("base_ids", ids_of("base"))
     best = made.groupBy("unit", "n", "mask").agg(F.min(F.struct((F.col("priority") > 1).alias("partial"), "base_ids", "priority", "base")).alias("w"))

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from memloom.operators.domain import CHECKED
+from memloom.sources.scratch import materialize
 
 def logsumexp(column: str, *keys: str) -> Column:
     """Stable log of the sum of exponentials over the rows of ``keys``."""
@@ -20,12 +22,12 @@ def logsumexp(column: str, *keys: str) -> Column:
 def prefixes(units: DataFrame, budget: int) -> DataFrame:
     """``unit, n, mask, last, size``: every set whose sorted prefixes all cost at most the budget.
 
-    ``units``: unit, n, ``costs`` (array by id), n at most 16. A cost grows with the set here, so a
-    set is reachable if its own cost is within the budget.
+    ``units``: unit, n, ``costs`` (array by id), n at most 64 (more raise an error). A cost grows with the set here,
+    so sets grow id by id from those within the budget.
     """
-    total = "aggregate(sequence(1, int(n)), 0L, (s, i) -> s + if((shiftright(mask, i - 1) & 1) = 1, get(costs, i - 1), 0L))"
-    sets = units.select("unit", "n", "costs", F.explode(F.expr("sequence(0L, shiftleft(1L, int(n)) - 1)")).alias("mask"))
-    sets = sets.withColumn("cost", F.expr(total)).where(F.col("cost") <= budget)
+    grow = f"transform(acc, s -> named_struct('mask', s.mask | shiftleft(1L, i - 1), 'cost', s.cost + get(costs, i - 1)))"
+    every = f"aggregate({CHECKED.format(value='sequence(1, int(n))')}, array(named_struct('mask', 0L, 'cost', 0L)), (acc, i) -> concat(acc, filter({grow}, s -> s.cost <= {budget})))"
+    sets = units.select("unit", "n", F.explode(F.expr(every)).alias("s")).where(F.col("s.cost") <= budget).select("unit", "n", "s.mask", "s.cost")
     last = F.expr("aggregate(sequence(1, int(n)), 0, (s, i) -> if((shiftright(mask, i - 1) & 1) = 1, i, s))")
     return sets.select("unit", "n", "mask", "cost", last.alias("last"), F.bit_count("mask").alias("size"))
 
@@ -46,7 +48,7 @@ def sequence_logps(sets: DataFrame, actions: DataFrame) -> DataFrame:
     """``unit, mask, cost, logp``: the log-probability of ending with each set, along its sorted ids."""
     ids = F.expr("filter(sequence(0, int(n)), k -> k = 0 OR (shiftright(mask, k - 1) & 1) = 1)")
     steps = sets.select("unit", "mask", "cost", F.explode(ids).alias("k"), "last")
-    before = F.expr("if(k = 0, mask, mask & (shiftleft(1L, greatest(k - 1, 0)) - 1))")
+    before = F.expr("if(k = 0, mask, mask & ~shiftleft(-1L, greatest(k - 1, 0)))")
     steps = steps.select("unit", F.col("mask").alias("terminal"), "cost", before.alias("mask"), F.col("k").alias("id"))
     return steps.join(actions, ["unit", "mask", "id"]).groupBy("unit", F.col("terminal").alias("mask"), "cost").agg(F.sum("logp").alias("logp"))
 
@@ -59,17 +61,21 @@ def risk(logps: DataFrame, success: Column) -> DataFrame:
     return out.select("unit", (-F.log("m")).alias("nll"), (F.col("x") / F.col("m")).alias("excess"))
 
 
-def beam(actions: DataFrame, sets: DataFrame, width: int, depth: int) -> DataFrame:
-    """The best terminal set of each unit that a beam of ``width`` prefixes meets within ``depth`` steps.
+def beam(actions: DataFrame, sets: DataFrame, width: int, depth: int | None = None) -> DataFrame:
+    """The best terminal set of each unit that a beam of ``width`` prefixes meets within ``depth`` steps, or until no prefix is left.
 
     One level is one join and one ranking window; ties prefer the smaller mask.
     """
     order = Window.partitionBy("unit").orderBy(F.round("score", 9).desc(), "mask")
     state = sets.where("mask = 0").select("unit", "mask", F.lit(0.0).alias("score"))
     ended = None
+    if depth is None:  # no prefix is longer than the largest set
+        depth = sets.agg(F.max("size")).first()[0] or 0
     for _ in range(depth + 1):
         moved = state.join(actions, ["unit", "mask"]).select("unit", F.col("next").alias("mask"), (F.col("score") + F.col("logp")).alias("score"), "id")
         done = moved.where("id = 0").drop("id")
         ended = done if ended is None else ended.unionByName(done)
         state = moved.where("id <> 0").drop("id").withColumn("r", F.row_number().over(order)).where(F.col("r") <= width).drop("r")
+        if depth > 8:  # the plan of a long beam would hold every level many times
+            state = materialize(state, "beam")
     return ended.withColumn("r", F.row_number().over(order)).where("r = 1").drop("r")

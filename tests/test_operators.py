@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from memloom.functions import text as t
-from memloom.operators import blocks, certify, domain, packing, retrieval, state, structure
+from memloom.operators import blocks, certify, domain, packing, policy, retrieval, state, structure
 
 
 def one(spark, column):
@@ -113,3 +113,28 @@ def test_candidates_are_those_of_the_reference(spark, shortlist):
             expected.setdefault(b | sum(1 << i for k, i in enumerate(extras[b]) if pick >> k & 1), ("shortlist", b))
         expected.setdefault(b | outside, ("outside", b))
     assert got == expected
+
+
+def test_units_of_63_and_64_sources_and_an_error_above(spark):
+    schema = "unit long, n long, requirements array<array<long>>"
+    units = spark.createDataFrame([(1, 63, [[1]]), (2, 64, [[1], [-(1 << 63)]])], schema)
+    sources = spark.createDataFrame([(u, i, None, i, 0) for u, n in ((1, 63), (2, 64)) for i in range(1, n + 1)], "unit long, id long, session long, position long, score long")
+    bases = domain.bases(units)
+    rows = domain.candidates(bases, domain.context(bases, sources), 1, units).withColumn("ids", domain.ids_of("mask")).collect()
+    assert {(r.unit, r.kind, tuple(r.ids)) for r in rows if r.kind == "full"} == {(1, "full", tuple(range(1, 64))), (2, "full", tuple(range(1, 65)))}
+    assert {(r.unit, tuple(r.ids)) for r in rows if r.kind == "shortlist"} == {(1, (1,)), (1, (1, 2)), (2, (1, 64)), (2, (1, 2, 64))}
+    with pytest.raises(Exception, match="at most 64"):
+        domain.bases(spark.createDataFrame([(1, 65, [[1]])], schema)).collect()
+    with pytest.raises(Exception, match="at most 64"):
+        policy.prefixes(spark.createDataFrame([(1, 65, [9] * 65)], "unit long, n long, costs array<long>"), 10).collect()
+
+
+def test_prefixes_of_64_sources_grow_under_the_budget_and_the_beam_goes_to_the_end(spark):
+    schema = "unit long, n long, costs array<long>"
+    sets = policy.prefixes(spark.createDataFrame([(1, 64, [10] * 64)], schema), 20)
+    assert sets.count() == sets.select("mask").distinct().count() == 1 + 64 + 64 * 63 // 2
+    actions = policy.action_logps(sets, F.lit(0.0), F.lit(0.0))
+    assert policy.sequence_logps(sets, actions).agg(F.sum(F.exp("logp")).alias("x")).first().x == pytest.approx(1)
+    sets = policy.prefixes(spark.createDataFrame([(1, 10, [1] * 10)], schema), 10).persist()
+    actions = policy.action_logps(sets, F.expr("-10D * id"), F.lit(-200.0)).persist()
+    assert policy.beam(actions, sets, width=1).first().mask == 1023
