@@ -4,12 +4,28 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
+#: Folders of the tables that are read by frames of :func:`materialize`.
+_folders: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
+def _hadoop(spark: SparkSession, path: str):
+    """The file system and the path that Spark takes a folder for."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` with its scheme: one without is of the default file system."""
+    system, at = _hadoop(spark, path)
+    return system.makeQualified(at).toString()
+
 
 def shared_root(spark: SparkSession) -> str:
     """The shared folder: ``spark.checkpoint.dir`` of the session.
@@ -19,7 +35,7 @@ def shared_root(spark: SparkSession) -> str:
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if root:
-        return root.rstrip("/")
+        return qualified(spark, root.rstrip("/"))
     if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     root = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
@@ -29,7 +45,7 @@ def shared_root(spark: SparkSession) -> str:
 
 def new_path(spark: SparkSession, name: str) -> str:
     """A path below the shared folder that nothing else uses."""
-    return f"{shared_root(spark)}/memloom/{name}-{uuid.uuid4().hex}"
+    return f"{shared_root(spark)}/memloom/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
 @contextmanager
@@ -52,4 +68,21 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = new_path(spark, name)
     with _freeing_shuffles(spark):
         df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    _folders[made] = path
+    return made
+
+
+def drop(*made: DataFrame) -> None:
+    """Delete the tables behind frames of :func:`materialize`. Nothing may read them, or what is derived from them, any more."""
+    for df in made:
+        if path := _folders.pop(df, None):
+            system, at = _hadoop(df.sparkSession, path)
+            system.delete(at, True)
+
+
+def forget(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this application that are still there: at its end, when no result is to be read any more."""
+    system, at = _hadoop(spark, f"{shared_root(spark)}/memloom/{spark.sparkContext.applicationId}")
+    system.delete(at, True)
+    _folders.clear()
