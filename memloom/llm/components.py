@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memloom.sources.scratch import materialize
+from memloom.sources.scratch import drop, materialize
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -15,7 +15,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     hooks every node to the smallest id around it: first its larger neighbours (large star), then
     its smaller ones (small star). Rounds end when the edges are stars around the smallest ids;
     their number grows with the logarithm of the longest path. Each round is written as a table
-    in the shared folder, so a lost executor costs a round at most. A node with very many edges is
+    in the shared folder, so a lost executor costs a round at most; the table of the round before is deleted then. A node with very many edges is
     only ever aggregated in parts and joined, never gathered.
     """
     stars = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col("u") != F.col("v")))
@@ -30,8 +30,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = materialize(large.distinct(), "large-star")
+        drop(stars)
         joined = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u")
         small = joined.select("u", F.col("m").alias("v")).unionByName(joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")))
         stars = materialize(small.distinct(), "small-star")
+        drop(large)
     roots = stars.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
     return stars.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots)

@@ -1,14 +1,16 @@
 """Near-duplicate documents by the Jaccard similarity of their word n-grams.
 
-1. Texts with equal words are one class; only a representative of each class goes on.
-2. MinHash bands propose candidates: representatives that share a band are joined to the smallest
-   id of that band, and the components of those edges are the candidate groups.
-3. In each group, MinHash values are compared 32 at a time. A pair is dropped when the posterior
-   probability that its similarity reaches the threshold (uniform prior, m of n values equal) falls
-   below ``TOLERANCE``; the pairs that are left are verified exactly on their n-gram sets.
-4. Links give each document its number of links and its component.
-
-A pair at the very threshold shares no band with probability 3e-6, a more similar one with less.
+1. Texts with equal words are one class; only a representative text of each class goes on.
+2. MinHash bands propose candidates: only classes that share a band are compared, in the bucket of
+   that band, which is cut into blocks. Signatures alone are shipped for that.
+3. MinHash values are compared 32 at a time. A pair is dropped when the posterior probability that
+   its similarity reaches the threshold (uniform prior, m of n values equal) falls below
+   ``TOLERANCE``. Only classes with a pair that is left go on, and only with the buckets of such pairs.
+4. Their n-gram sets are fetched, and the pairs that are left are verified exactly on them.
+5. Links give each document its number of links and its component.
+
+A pair that shares several bands is taken in the first of them. A pair at the very threshold shares
+no band with probability 3e-6, a more similar one with less.
 """
 
 from __future__ import annotations
@@ -22,21 +24,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from memloom.llm.arrow_text import WordValues, keyed_groups, ragged_take, row_blocks, text_bytes, tidy
-from memloom.llm.blocks import UNIT, block_pairs, group_blocks
+from memloom.llm.arrow_text import WordValues, ragged_take, row_blocks, text_bytes, tidy
+from memloom.llm.blocks import MEMBER_ROWS, UNIT, block_pairs, bucket_blocks, dealt, member_rows, pairs_of_units, whole_units
+from memloom.llm.columns import set_aside
 from memloom.llm.components import components
-from memloom.sources.scratch import materialize
+from memloom.sources.scratch import drop, materialize
 
 N, THRESHOLD, TOLERANCE = 5, 0.8, 1e-6
 BANDS, ROWS, STEP = 32, 5, 32
-#: n-grams in a block of a group (a member counts as 1024 at least).
-BLOCK_GRAMS, LEAST_GRAMS = 1 << 20, 1024
+#: Members of a block of a bucket.
+BLOCK = 1024
+#: Rows of a text: its id, and two hashes of it.
+ROW_KEY = ["id", "h1", "h2"]
 
 _RANDOM = np.random.default_rng(20240229)
 _SEEDS = _RANDOM.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)[:, None]
 _FACTORS = (_RANDOM.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32) | np.uint32(1))[:, None]
-_BAND_FACTORS = _RANDOM.integers(0, 1 << 63, (BANDS, ROWS), dtype=np.uint64) | np.uint64(1)
-_BAND_SEEDS = _RANDOM.integers(0, 1 << 63, BANDS, dtype=np.uint64)
 
 _WORDS = WordValues(xxhash.xxh3_64_intdigest)
 
@@ -60,18 +63,12 @@ def grams_of(values: np.ndarray, n: int = N) -> np.ndarray:
 
 
 def signature(grams: np.ndarray) -> np.ndarray:
-    """MinHash values (uint32) of a set of grams that is not empty."""
+    """MinHash values of a set of grams that is not empty: the low 16 bits of the least hashes."""
     short = (grams >> np.uint64(32)).astype(np.uint32)[None, :]
     best = np.full(BANDS * ROWS, 0xFFFFFFFF, np.uint32)
     for at in range(0, short.shape[1], 1024):
         best = np.minimum(best, ((short[:, at : at + 1024] ^ _SEEDS) * _FACTORS).min(axis=1))
-    return best
-
-
-def bands_of(signatures: np.ndarray) -> np.ndarray:
-    """A 64-bit key for each band of each signature."""
-    rows = signatures.reshape(len(signatures), BANDS, ROWS).astype(np.uint64) + np.uint64(1)
-    return _mix((rows * _BAND_FACTORS).sum(axis=2, dtype=np.uint64) + _BAND_SEEDS).view(np.int64)
+    return best.astype(np.uint16)
 
 
 def least_matches(threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> dict[int, int]:
@@ -100,134 +97,149 @@ def _texts(column: pa.Array):
 
 
 def sketch(docs: DataFrame) -> DataFrame:
-    """``id, text`` -> ``id, class`` (128-bit hash of the words; null without words), ``n_grams``, ``bands``."""
+    """``id, h1, h2, text`` -> ``id, h1, h2, class`` (128-bit hash of the words; null without words), ``mark`` (the signature)."""
 
     def run(batches):
         for batch in batches:
-            for row, end, texts in _texts(batch.column(1)):
-                classes, sizes, signatures = [], [], []
-                for values in texts:
-                    grams = grams_of(values)
-                    classes.append(xxhash.xxh3_128_digest(values.tobytes()) if len(values) else None)
-                    sizes.append(len(grams))
-                    if len(grams):
-                        signatures.append(signature(grams))
-                has = np.array(sizes) > 0
-                keys = bands_of(np.array(signatures)) if signatures else np.zeros((0, BANDS), np.int64)
-                offsets = np.concatenate([[0], np.cumsum(has * BANDS)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(row, end - row), pa.array(classes, pa.binary()), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.reshape(-1)))],
-                    names=["id", "class", "n_grams", "bands"],
-                )
-
-    return docs.select("id", "text").mapInArrow(tidy(run), T.StructType([docs.schema["id"], *T._parse_datatype_string("class binary, n_grams long, bands array<long>").fields]))
-
-
-def _with_sets(placed: DataFrame) -> DataFrame:
-    """Replace ``text`` by the sorted n-gram set and the signature, both binary."""
-    names = ["id", "copies", "group", "block", "n_blocks"]
+            for row, end, texts in _texts(batch.column(3)):
+                classes = [xxhash.xxh3_128_digest(x.tobytes()) if len(x) else None for x in texts]
+                marks = [signature(grams_of(x)).tobytes() if len(x) else None for x in texts]
+                yield pa.RecordBatch.from_arrays([*(c.slice(row, end - row) for c in batch.columns[:3]), pa.array(classes, pa.binary()), pa.array(marks, pa.binary())], names=[*ROW_KEY, "class", "mark"])
+
+    return docs.select(*ROW_KEY, "text").mapInArrow(tidy(run), "id long, h1 long, h2 long, class binary, mark binary")
+
+
+def _with_sets(texts: DataFrame) -> DataFrame:
+    """``id, copies, text`` -> ``id, copies, grams`` (the sorted n-gram set), ``mark``, both binary."""
 
     def run(batches):
         for batch in batches:
-            for row, end, texts in _texts(batch.column(len(names))):
-                sets = [grams_of(x) for x in texts]
+            for row, end, values in _texts(batch.column(2)):
+                sets = [grams_of(x) for x in values]
                 marks = [signature(x).tobytes() if len(x) else b"" for x in sets]
-                yield pa.RecordBatch.from_arrays([*(c.slice(row, end - row) for c in batch.columns[: len(names)]), pa.array([x.tobytes() for x in sets], pa.binary()), pa.array(marks, pa.binary())], names=[*names, "grams", "mark"])
-
-    fields = [placed.schema[x] for x in names]
-    return placed.select(*names, "text").mapInArrow(tidy(run), T.StructType([*fields, T.StructField("grams", T.BinaryType()), T.StructField("mark", T.BinaryType())]))
-
-
-def similar_pairs(sets: list[np.ndarray], marks: np.ndarray, left: np.ndarray, right: np.ndarray, threshold: float, least: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
-    """Indexes (i, j) of the pairs in left x right whose sets reach the threshold; i < j if both sides are the same rows."""
-    same = left is right
-    found_i, found_j = [], []
-    for at in range(0, len(left), 256):
-        rows = left[at : at + 256]
-        equal = np.zeros((len(rows), len(right)), np.uint8)
-        for h in range(STEP):
-            equal += marks[rows, h][:, None] == marks[right, h][None, :]
-        i, j = np.nonzero(equal >= least[STEP])
-        matches, i, j = equal[i, j].astype(np.int32), rows[i], right[j]
-        if same:
-            use = i < j
-            matches, i, j = matches[use], i[use], j[use]
-        for n in range(STEP, BANDS * ROWS, STEP):
-            matches = matches + (marks[i, n : n + STEP] == marks[j, n : n + STEP]).sum(axis=1)
-            use = matches >= least[n + STEP]
-            matches, i, j = matches[use], i[use], j[use]
-        found_i.append(i)
-        found_j.append(j)
-    i, j = np.concatenate(found_i), np.concatenate(found_j)
+                yield pa.RecordBatch.from_arrays([*(c.slice(row, end - row) for c in batch.columns[:2]), pa.array([x.tobytes() for x in sets], pa.binary()), pa.array(marks, pa.binary())], names=["id", "copies", "grams", "mark"])
+
+    return texts.select("id", "copies", "text").mapInArrow(tidy(run), "id long, copies long, grams binary, mark binary")
+
+
+def likely_pairs(marks: np.ndarray, band: np.ndarray, i: np.ndarray, j: np.ndarray, least: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs that ``band`` is the first shared band of and that may still reach the threshold, comparing STEP values at a time."""
+    matches = np.zeros(len(i), np.int32)
+    for n in range(0, BANDS * ROWS, STEP):
+        matches = matches + (marks[i, n : n + STEP] == marks[j, n : n + STEP]).sum(axis=1)
+        use = matches >= least[n + STEP]
+        matches, i, j = matches[use], i[use], j[use]
+    shared = (marks[i].reshape(-1, BANDS, ROWS) == marks[j].reshape(-1, BANDS, ROWS)).all(axis=2)
+    use = shared.any(axis=1) & (shared.argmax(axis=1) == band[i]) & (band[i] == band[j])
+    return i[use], j[use]
+
+
+def exact_pairs(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs whose sets reach the threshold."""
     if not len(i):
         return i, j
-    # exact: numbers instead of hashes, then one look-up table for each i
+    # numbers instead of hashes, then one look-up table for each i
+    used, back = np.unique(np.concatenate([i, j]), return_inverse=True)
+    sets, own, other = [sets[x] for x in used], back[: len(i)], back[len(i) :]
     sizes = np.array([len(x) for x in sets], np.int64)
     names, numbers = np.unique(np.concatenate(sets), return_inverse=True)
     starts = np.cumsum(sizes) - sizes
-    order = np.argsort(i, kind="stable")
-    i, j = i[order], j[order]
-    mark, good = np.zeros(len(names), bool), np.zeros(len(i), bool)
-    cuts = np.concatenate([[0], np.flatnonzero(np.diff(i)) + 1, [len(i)]])
+    order = np.argsort(own, kind="stable")
+    own, other = own[order], other[order]
+    mark, good = np.zeros(len(names), bool), np.zeros(len(own), bool)
+    cuts = np.concatenate([[0], np.flatnonzero(np.diff(own)) + 1, [len(own)]])
     for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-        own = numbers[starts[i[a]] : starts[i[a]] + sizes[i[a]]]
-        mark[own] = True
-        partners = j[a:b]
+        mine = numbers[starts[own[a]] : starts[own[a]] + sizes[own[a]]]
+        mark[mine] = True
+        partners = other[a:b]
         hits = mark[ragged_take(numbers, starts[partners], sizes[partners])]
         shared = np.add.reduceat(hits.astype(np.int64), np.cumsum(sizes[partners]) - sizes[partners])
-        good[a:b] = shared >= threshold * (sizes[i[a]] + sizes[partners] - shared) - 1e-9
-        mark[own] = False
-    return i[good], j[good]
+        good[a:b] = shared >= threshold * (sizes[own[a]] + sizes[partners] - shared) - 1e-9
+        mark[mine] = False
+    return i[order[good]], j[order[good]]
 
 
-def smallest_linked(n: int, i: np.ndarray, j: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """For each of n members, the smallest id that the links i - j reach."""
-    best = ids.copy()
-    while True:
-        low = np.minimum(best[i], best[j])
-        new = best.copy()
-        np.minimum.at(new, i, low)
-        np.minimum.at(new, j, low)
-        if (new == best).all():
-            return best
-        best = new
+def _marks(units: pa.Table) -> np.ndarray:
+    return np.frombuffer(b"".join(units["mark"].to_pylist()), np.uint16).reshape(-1, BANDS * ROWS)
 
 
-def member_rows(ids: np.ndarray, copies: np.ndarray, i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
-    """A row for each linked member: id, links (copies of its partners), smallest id it reaches here."""
-    links = np.bincount(i, copies[j], minlength=len(ids)) + np.bincount(j, copies[i], minlength=len(ids))
-    at = np.flatnonzero(links)
-    roots = smallest_linked(len(ids), i, j, ids)
-    return pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(links[at].astype(np.int64)), pa.array(roots[at])], names=["id", "links", "root"])
+def _meetings(least: dict[int, int]):
+    """The members of each unit that are in a likely pair of it."""
 
+    def run(batches):
+        for units in whole_units(batches):
+            marks, band, hit = _marks(units), units["band"].to_numpy(), np.zeros(units.num_rows, bool)
+            for i, j in pairs_of_units(units):
+                i, j = likely_pairs(marks, band, i, j, least)
+                hit[i] = hit[j] = True
+            yield from units.select([*UNIT, "block", "band", "id"]).filter(pa.array(hit)).to_batches()
 
-def _compare(threshold: float, tolerance: float):
-    least = least_matches(threshold, tolerance)
+    return run
 
+
+def _verified(least: dict[int, int], threshold: float):
     def run(batches):
-        for (_, a, b), unit in keyed_groups(batches, UNIT):
-            ids, copies, block = (unit[x].to_numpy() for x in ("id", "copies", "block"))
-            grams = [np.frombuffer(x.as_buffer(), np.uint64) for x in unit["grams"]]
-            marks = np.array([np.frombuffer(x.as_buffer(), np.uint32) for x in unit["mark"]])
-            left = np.flatnonzero(block == a)
-            right = left if a == b else np.flatnonzero(block == b)
-            if len(left) and len(right):
-                yield member_rows(ids, copies, *similar_pairs(grams, marks, left, right, threshold, least))
+        for units in whole_units(batches):
+            sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in units["grams"]]
+            marks, band = _marks(units), units["band"].to_numpy()
+            for_each = [exact_pairs(sets, *likely_pairs(marks, band, i, j, least), threshold) for i, j in pairs_of_units(units)]
+            i, j = (np.concatenate([x[k] for x in for_each]) if for_each else np.zeros(0, int) for k in (0, 1))
+            yield member_rows(units["id"].to_numpy(), units["copies"].to_numpy(), i, j)
 
     return run
 
 
-def labelled(rows: DataFrame, compared: DataFrame) -> DataFrame:
-    """Put together what block comparisons found.
+def linked(compared: DataFrame, classes: DataFrame) -> DataFrame:
+    """What the comparisons found about each class: ``node, links, component`` (of nodes), ``component_id`` (smallest ``rep`` in it).
 
-    ``rows``: id, rep (of its class, null if it links with nothing), copies (rows of the class).
-    ``compared``: id (a rep), links, root. Returns id, n_links, component.
+    ``compared``: id (a node), links, root. ``classes``: node, rep.
     """
     links = compared.groupBy("id").agg(F.sum("links").alias("links"))
     found = components(compared.select(F.col("id").alias("a"), F.col("root").alias("b")))
-    nodes = links.join(found, "id").select(F.col("id").alias("rep"), "links", "component")
-    out = rows.join(nodes, "rep", "left")
-    return out.select("id", F.coalesce(F.coalesce("links", F.lit(0)) + F.col("copies") - 1, F.lit(0)).alias("n_links"), F.coalesce("component", "rep", "id").alias("component"), F.coalesce("rep", "id").alias("rep"))
+    nodes = links.join(found, "id").withColumnRenamed("id", "node")
+    smallest = nodes.join(classes.select("node", "rep"), "node").groupBy("component").agg(F.min("rep").alias("component_id"))
+    return nodes.join(smallest, "component")
+
+
+def _linked_rows(source: DataFrame, threshold: float, tolerance: float) -> DataFrame:
+    """``id, h1, h2, rep, n_links, component, component_id`` of every row of ``source`` (ROW_KEY, text).
+
+    component is a number of the group of linked classes, null for a row without words or id.
+    """
+    least = least_matches(threshold, tolerance)
+    sketches = materialize(sketch(source), "sketches")
+    worded = sketches.where("id IS NOT NULL AND class IS NOT NULL")
+    classes = worded.groupBy("class").agg(F.min(F.struct(*ROW_KEY)).alias("first"), F.count(F.lit(1)).alias("copies"), F.any_value("mark").alias("mark"))
+    # a number of its own for each class: ids may repeat
+    classes = materialize(classes.select(F.monotonically_increasing_id().alias("node"), "class", "first", F.col("first.id").alias("rep"), "copies", "mark"), "classes")
+
+    band = lambda k: F.struct(F.lit(k).alias("band"), F.xxhash64(F.lit(k), F.expr(f"substring(mark, {2 * ROWS * k + 1}, {2 * ROWS})")).alias("group"))
+    buckets = classes.select(F.col("node").alias("id"), F.explode(F.array(*map(band, range(BANDS)))).alias("at")).select("id", "at.*")
+    placed = bucket_blocks(buckets, BLOCK).join(classes.select(F.col("node").alias("id"), "mark"), "id")
+    kind = "group long, block_a int, block_b int, block int, band int, id long"
+    met = materialize(dealt(block_pairs(placed)).select(*UNIT, "block", "band", "id", "mark").mapInArrow(tidy(_meetings(least)), kind), "met")
+
+    wanted = classes.join(met.select(F.col("id").alias("node")).distinct(), "node").select(F.col("node"), "copies", "first.*")
+    # rows that repeat id and text: one of them will do
+    texts = source.join(wanted.hint("shuffle_hash"), ROW_KEY).groupBy(*ROW_KEY, "node", "copies").agg(F.any_value("text").alias("text"))
+    sets = _with_sets(texts.select(F.col("node").alias("id"), "copies", "text"))
+    units = dealt(met.join(sets, "id")).select(*UNIT, "block", "band", "id", "copies", "grams", "mark")
+    compared = materialize(units.mapInArrow(tidy(_verified(least, threshold)), MEMBER_ROWS), "compared")
+    drop(met)
+
+    found = classes.select("class", "node", "rep", "copies").join(linked(compared, classes).select("node", "links", "component", F.col("component_id").alias("smallest")), "node", "left")
+    rows = sketches.select(*ROW_KEY, F.when(F.col("id").isNotNull(), F.col("class")).alias("class")).join(found, "class", "left")
+    return rows.select(
+        *ROW_KEY,
+        F.coalesce("rep", "id").alias("rep"),
+        F.coalesce(F.coalesce("links", F.lit(0)) + F.col("copies") - 1, F.lit(0)).alias("n_links"),
+        F.coalesce("component", "node").alias("component"),
+        F.coalesce("smallest", "rep", "id").alias("component_id"),
+    )
+
+
+def _text_hashes(text: str) -> dict:
+    return {"h1": F.xxhash64(text), "h2": F.xxhash64(F.lit(1), text)}
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -235,28 +247,32 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, tolerance: fl
 
     Returns one row per row of ``docs``: the id column, ``class_id`` (smallest id among texts with equal
     words), ``n_links`` (other rows linked directly, copies included), ``component_id`` (smallest id
-    reachable by links, itself included) and ``kept`` (it is that smallest one). Words are what
+    reachable by links, itself included) and ``kept`` (its id is that smallest one). Words are what
     stands between ASCII white space, as written. A text of fewer than five words has one gram:
     all its words. Texts without words and rows with a null id link with nothing and are kept.
-    Rows that repeat an id are taken as further texts of that document. An empty table gives no rows.
+    Rows that repeat an id, with the same text or another, are rows of their own: an id links nothing. An empty table gives no rows.
     """
-    source = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text"))
-    sketches = materialize(sketch(source), "sketches")
-    classes = sketches.where("id IS NOT NULL AND class IS NOT NULL").groupBy("class").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.any_value("n_grams").alias("n_grams"), F.any_value("bands").alias("bands"))
-    classes = materialize(classes, "classes")
-
-    bands = classes.select("rep", F.explode("bands").alias("band"))
-    shared = bands.groupBy("band").agg(F.min("rep").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "first")
-    proposed = components(bands.join(shared, "band").where("rep <> first").select(F.col("rep").alias("a"), F.col("first").alias("b")))
-
-    slim = classes.select(F.col("rep").alias("id"), "copies", F.greatest("n_grams", F.lit(LEAST_GRAMS)).alias("weight"))
-    members = slim.join(proposed.withColumnRenamed("component", "group"), "id")
-    placed = group_blocks(members, BLOCK_GRAMS).drop("weight")
-    placed = materialize(placed, "placed")
-    texts = source.join(placed.hint("shuffle_hash"), "id")
-    compared = materialize(block_pairs(_with_sets(texts)).mapInArrow(tidy(_compare(threshold, tolerance)), "id long, links long, root long"), "compared")
-
-    rows = sketches.select("id", "class").join(classes.select("class", "rep", "copies"), ["class"], "left")
-    rows = rows.select("id", *(F.when(F.col("id").isNotNull(), F.col(x)).alias(x) for x in ("rep", "copies")))
-    out = labelled(rows, compared)
-    return out.select(F.col("id").alias(id_column), F.col("rep").alias("class_id"), "n_links", F.col("component").alias("component_id"), F.coalesce(F.col("id") == F.col("component"), F.lit(True)).alias("kept"))
+    source = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text")).withColumns(_text_hashes("text"))
+    out = _linked_rows(source, threshold, tolerance)
+    return out.select(F.col("id").alias(id_column), F.col("rep").alias("class_id"), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
+def one_of_each_group(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """``docs`` with one row of each group of rows that links reach: the one with the smallest id.
+
+    Of rows with that id, which may repeat, the one whose text has the smallest hash stays, once. All columns pass
+    through, whatever their names. Rows without words or id stay.
+    """
+    clear, back = set_aside(docs, [*ROW_KEY], keep=())
+    key, text = (clear.columns[docs.columns.index(x)] for x in (id_column, text_column))
+    keyed = clear.withColumns({"id": F.col(key).cast("long"), **_text_hashes(F.col(text).cast("string"))})
+    source = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text")).withColumns(_text_hashes("text"))
+    grouped = _linked_rows(source, threshold, tolerance).where("n_links > 0").groupBy("component", *ROW_KEY).agg(F.count(F.lit(1)).alias("n"))
+    grouped = materialize(grouped, "grouped")
+    stays = grouped.groupBy("component").agg(F.min(F.struct(*ROW_KEY)).alias("stays"))
+    placed = grouped.join(stays, "component").withColumn("first", F.struct(*ROW_KEY) == F.col("stays"))
+    decided = materialize(placed.where("NOT first OR n > 1").select(*ROW_KEY, "first"), "decided")
+    alone = keyed.join(decided, ROW_KEY, "left_anti")
+    repeated = keyed.join(decided.where("first").select(*ROW_KEY), ROW_KEY, "left_semi").dropDuplicates(ROW_KEY)
+    drop(grouped)
+    return back(alone.unionByName(repeated))

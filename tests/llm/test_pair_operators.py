@@ -132,7 +132,8 @@ class TestLineDedup:
         for doc, text in docs:
             for no, x in enumerate(text.split("\n")):
                 first.setdefault(x, (doc, no))
-        return {doc: "\n".join(x for no, x in enumerate(t.split("\n")) if len(x) < line_dedup.MIN_CHARS or (first[x] == (doc, no) and not any(first[y] < first[x] for y in close[x]))) for doc, t in docs}
+        # of equal lines of any length, blank ones excepted, the first stays
+        return {doc: "\n".join(x for no, x in enumerate(t.split("\n")) if not x.strip() or (first[x] == (doc, no) and not any(first[y] < first[x] for y in close[x]))) for doc, t in docs}
 
 
 def shingles(text):
@@ -165,7 +166,7 @@ class TestNgramJoin:
 
     def test_a_hot_group_of_near_copies(self, spark, monkeypatch):
         random.seed(2)
-        monkeypatch.setattr(ngram_jaccard, "BLOCK_GRAMS", 1 << 14)  # several blocks
+        monkeypatch.setattr(ngram_jaccard, "BLOCK", 40)  # several blocks
         base = [f"w{random.randint(0, 999)}" for _ in range(120)]
         docs = []
         for i in range(300):
@@ -187,6 +188,40 @@ class TestNgramJoin:
         assert lost.n_links == 0 and lost.kept
         assert ngram_jaccard.near_duplicates(frame.where("doc_id > 99")).count() == 0
 
+    def test_repeated_ids_and_rows(self, spark):
+        random.seed(11)
+        words = lambda seed, n=80: " ".join(f"{seed}{random.randint(0, 9999)}" for _ in range(n))
+        t, u, v = words("t"), words("u"), words("v")
+        rows = [(3, t), (5, t + " end"), (5, u), (7, "x " + u), (7, "x " + u), (9, v), (9, v), (9, v + " "), (9, v + " z"), (11, words("w")), (11, words("w")), (12, words("q"))]
+        rows += [(random.randint(20, 26), f"{random.choice((t, u, v))} {random.choice('abc')}") for _ in range(40)]
+        frame = spark.createDataFrame([(i, x, k, "h") for k, (i, x) in enumerate(rows)], "doc_id long, text string, row int, h1 string").repartition(3)
+        sets = [shingles(x) for _, x in rows]
+        pairs = [(a, b) for b in range(len(rows)) for a in range(b) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+        links = Counter(x for p in pairs for x in p)
+        root = union_find(range(len(rows)), pairs)
+        least = {r: min(rows[k][0] for k in root if root[k] == r) for r in set(root.values())}
+        expected = Counter((rows[k][0], links[k], least[root[k]], rows[k][0] == least[root[k]]) for k in range(len(rows)))
+        got = ngram_jaccard.near_duplicates(frame).collect()
+        assert Counter((r.doc_id, r.n_links, r.component_id, r.kept) for r in got) == expected
+        left = ngram_jaccard.one_of_each_group(frame)
+        assert left.columns == frame.columns
+        left = left.collect()
+        assert sorted(root[r.row] for r in left) == sorted(set(root.values()))  # one row of each group
+        assert all(r.doc_id == least[root[r.row]] and r.text == rows[r.row][1] and r.h1 == "h" for r in left)
+
+    def test_texts_that_share_boilerplate_only_are_not_grouped(self, spark):
+        random.seed(4)
+        common = " ".join(f"c{i}" for i in range(100))
+        docs = [(i, common + " " + " ".join(f"w{i}_{k}" for k in range(100))) for i in range(600)]
+        rng = ngram_jaccard.least_matches()
+        marks = np.array([ngram_jaccard.signature(ngram_jaccard.grams_of(np.array([hash(w) & (1 << 63) - 1 for w in t.split()], np.uint64))) for _, t in docs])
+        i, j = np.triu_indices(600, 1)
+        shared = (marks[i].reshape(-1, 32, 5) == marks[j].reshape(-1, 32, 5)).all(axis=2)
+        assert shared.any(axis=1).mean() > 0.05  # they do meet in buckets
+        assert not len(ngram_jaccard.likely_pairs(marks, np.zeros(600, int), i, j, rng)[0])  # and none goes on from there
+        got = ngram_jaccard.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+        assert all(r.n_links == 0 and r.kept for r in got)
+
     def test_pruning_bounds(self):
         least = ngram_jaccard.least_matches()
         rng = np.random.default_rng(1)
@@ -203,11 +238,15 @@ class TestEmbeddings:
         return [(a[0], b[0]) for g in groups.values() for k, a in enumerate(g) for b in g[:k] if a[1] @ b[1] >= 0.98]
 
     def check(self, rows, got):
+        """Number of pairs, and recall; groups and verdicts must be those of the links if none is lost."""
         pairs = self.brute(rows)
         links = Counter(x for p in pairs for x in p)
         found = {r.vec_id: r.n_links for r in got}
         assert all(found[i] <= links[i] for i in found if i is not None)
         assert sum(found.values()) >= 0.9 * 2 * len(pairs)
+        assert all(r.kept == (r.vec_id == r.component_id) for r in got)
+        if sum(found.values()) == 2 * len(pairs):
+            assert {r.vec_id: r.component_id for r in got} == union_find(found, pairs)
         return len(pairs), sum(found.values()) / max(1, 2 * len(pairs))
 
     def test_clusters_and_odd_vectors(self, spark, monkeypatch):
@@ -229,6 +268,38 @@ class TestEmbeddings:
         assert set(alone.values()) == {(0, True)}
         assert {r.vec_id: r.component_id for r in got}[2008] == 2007
 
+    def test_isolated_pairs_just_over_the_threshold(self, spark):
+        rng = np.random.default_rng(3)
+        rows = []
+        for k in range(600):
+            a, b = rng.standard_normal((2, 64))
+            a /= np.linalg.norm(a)
+            b -= (a @ b) * a
+            cos = rng.uniform(0.9801, 0.983)
+            rows += [(2 * k, [float(np.float32(x)) for x in a], 0), (2 * k + 1, [float(np.float32(x)) for x in cos * a + np.sqrt(1 - cos * cos) * b / np.linalg.norm(b)], 0)]
+        n, recall = self.check(rows, itq_neardup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(4)).collect())
+        print("recall of isolated pairs", recall)
+        assert n >= 590 and recall > 0.95
+
+    def test_loose_clusters_without_links_and_repeated_ids(self, spark):
+        rng = np.random.default_rng(5)
+        centres = rng.standard_normal((4, 64))
+        rows = [(i, (centres[i % 4] + 0.45 * rng.standard_normal(64)).tolist(), 0) for i in range(800)]
+        assert not self.brute(rows)
+        got = itq_neardup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+        assert all(r.n_links == 0 and r.kept for r in got)
+        a, b = rng.standard_normal((2, 64)).tolist()
+        rows = [(3, a, 0), (5, a, 0), (5, b, 0), (7, b, 0), (7, b, 0), (9, (-np.array(a)).tolist(), 0)]
+        got = itq_neardup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+        assert Counter((r.vec_id, r.n_links, r.component_id, r.kept) for r in got) == Counter([(3, 1, 3, True), (5, 1, 3, False), (5, 2, 5, True), (7, 2, 5, False), (7, 2, 5, False), (9, 0, 9, True)])
+
+    def test_very_large_and_small_components(self, spark):
+        rng = np.random.default_rng(6)
+        base = rng.standard_normal((5, 16))
+        rows = [(i, (base[i % 5] * (1e200, 1e-200, 1.0)[i % 3]).tolist(), 0) for i in range(30)] + [(100, [1e308, 1e308] + [0.0] * 14, 0), (101, [5e-324] * 16, 0)]
+        got = {r.vec_id: r.n_links for r in itq_neardup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+        assert all(got[i] == 5 for i in range(30)) and got[100] == got[101] == 0
+
     def test_given_vectors_and_empty_table(self, spark):
         got = q.op4_itq_near_duplicates(spark, SF).collect()
         rows = [(r.vec_id, r.embedding, r.label) for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()]
