@@ -1,11 +1,12 @@
 """Main text of raw HTML pages by line-block distribution.
 
 The markup is stripped to lines: one line for each block element's text, and empty lines where an
-element stood that cannot hold main text (scripts, menus, adverts, forms ...). Text lengths are
-summed over sliding windows of lines. Where the sums rise from nothing over the threshold the text
-surges, where they fall to nothing it dives, and the lines between a surge and its dive are kept.
-A page that marks its article up (``article``, ``main``) gives length to lines inside only, and any
-text inside surges.
+element stood that cannot hold main text (scripts, menus, adverts, forms ...), or where an article
+begins or ends. Text lengths are summed over sliding windows of lines. Text surges where the sums
+rise from nothing and come to reach a threshold, and dives where they fall to nothing again; the
+lines between a surge and its dive are kept. Article markup (``article``, ``main``) and headings make
+a line count more; text of links counts nothing outside an article. Beside an article, ranges of
+other lines stay only if they hold at least as much text as the article.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ DROPPED = frozenset("applet aside button canvas datalist dialog embed fieldset f
 RAW = frozenset("script style xmp noembed noframes".split())
 #: A start tag of the first kind ends an open element of the second kind in the same container.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+LISTS = frozenset({"ul", "ol", "dl", "table"})
 CONTAINERS = frozenset("article aside blockquote body center dd details dialog div dl dt fieldset figure footer form header html li main nav ol section table td th tr ul".split())
 
 # Words in class, id and role that name what is no main text.
@@ -48,8 +50,15 @@ _REST = re.compile(r"""(?:[^"'>]+|"[^"]*"|'[^']*')*+>""")
 _NAMED = re.compile(r"""\b(class|id|role|style|aria-hidden)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))|\s(hidden)(?=[\s/>])""", re.IGNORECASE)
 _WORD = re.compile(r"[A-Z]?[a-z0-9]+|[A-Z0-9]+")
 
-#: Lines in a window, and characters in a window from which text surges on a page without article markup.
+#: Lines in a window, and weighted characters in a window at which text surges.
 WINDOW, SURGE = 3, 60
+#: What a character counts in an article, and in a heading elsewhere.
+IN_ARTICLE, IN_HEADING = 8, 4
+HEADINGS = frozenset({"h1", "h2"})
+#: Containers of a whole page: what they hold on both sides of a dropped element isn't of one block for that.
+WHOLE = frozenset({"html", "body"})
+
+Line = tuple[str, bool, int, bool]
 
 
 def _evidence(attributes: str, in_article: bool) -> tuple[bool, set[str]]:
@@ -76,66 +85,80 @@ def _evidence(attributes: str, in_article: bool) -> tuple[bool, set[str]]:
     return False, named
 
 
-def lines_of(page: str) -> list[tuple[str, bool, int]]:
-    """The lines of a page: text with single spaces, whether it lies in an article, characters of it in links.
+def lines_of(page: str) -> list[Line]:
+    """The lines of a page: text with single spaces, whether it lies in an article, characters of it in links, whether it is a heading.
 
-    Dropped elements leave ``WINDOW`` empty lines. An element that only its names speak against stays if it holds
-    ``main``, the only articles, or most of the text.
+    A dropped element leaves ``WINDOW`` empty lines, but not in an article, nor between lines of the container that
+    it stands in; so does the border of an article, but not behind a heading. An element that only its names
+    speak against stays if it holds ``main``, the only articles, or most of the text (outside an article beside it: nearly all).
     """
     lines, spared = _parse(page, frozenset())
     return _parse(page, spared)[0] if spared else lines
 
 
-def _parse(page: str, spared: frozenset[int]) -> tuple[list[tuple[str, bool, int]], frozenset[int]]:
+def _parse(page: str, spared: frozenset[int]) -> tuple[list[Line], frozenset[int]]:
     """The lines of a page, with elements that start at ``spared`` kept whatever their names, and starts of those to spare."""
-    out: list[tuple[str, bool, int]] = []
+    out: list[Line] = []
     stack: list[tuple[str, bool, bool, tuple | None]] = []  # name, whether its text is dropped, for sure, and what was seen before an element under suspicion
+    opened: dict[str, list[int]] = {}  # depths of the open elements of a name
+    boxes: list[tuple[int, int]] = []  # depth and number of the open containers
     suspects: list[tuple[int, bool, int, int, int]] = []  # start, whether readers' text in an article, and mains, articles and text inside
     text: list[str] = []
     sure = under = mains = articles = plain = size = 0
-    dropped = scopes = links = linked = 0
-    gap = ("", False, 0)
+    dropped = scopes = links = linked = headings = n_boxes = last_box = 0
+    heading = False
+    gaps: list[int] = []  # containers of the dropped elements since the last line; 0 for a gap in any case
+    gap = ("", False, 0, False)
 
     def flush() -> None:
-        nonlocal linked
+        nonlocal linked, last_box, heading
         if text:
             if line := " ".join("".join(text).split()):
-                out.append((line, scopes > 0, linked))
+                box = boxes[-1][1] if boxes else 0
+                if any(x == 0 or x != last_box or x != box for x in gaps):
+                    out.extend([gap] * WINDOW)
+                gaps.clear()
+                last_box = box
+                out.append((line, scopes > 0, linked, heading))
             text.clear()
-        linked = 0
+        linked, heading = 0, False
 
     def pop(depth: int) -> None:
-        nonlocal dropped, scopes, links, sure, under
+        nonlocal dropped, scopes, links, sure, under, headings
         while len(stack) > depth:
-            name, off, certain, before = stack.pop()
+            name, off, certain, before = stack[-1]
+            if name in BLOCKS:
+                flush()
+            stack.pop()
+            opened[name].pop()
+            if boxes and boxes[-1][0] == len(stack):
+                boxes.pop()
             sure -= certain
             if before:
                 under -= 1
                 suspects.append((before[0], before[1], mains - before[2], articles - before[3], size - before[4]))
-            if name in BLOCKS:
-                flush()
             dropped -= off
             scopes -= name in SCOPES
             links -= name == "a"
-            if off and not dropped:
-                out.extend([gap] * WINDOW)
+            headings -= name in HEADINGS
+            if off and not dropped and not scopes:
+                gaps.append(boxes[-1][1] if boxes and stack[boxes[-1][0]][0] not in WHOLE else 0)
+            elif name in SCOPES and not scopes and not dropped:
+                gaps.append(0)
 
     def find(names: set[str] | frozenset[str], through: bool) -> int:
         """Depth of the innermost open element of these names; not through containers unless told."""
-        for depth in range(len(stack) - 1, -1, -1):
-            if stack[depth][0] in names:
-                return depth
-            if not through and stack[depth][0] in CONTAINERS:
-                return -1
-        return -1
+        depth = max((opened[x][-1] for x in names if opened.get(x)), default=-1)
+        return depth if through or not boxes or boxes[-1][0] <= depth else -1
 
     def add(piece: str) -> None:
-        nonlocal linked, size
+        nonlocal linked, size, heading
         if piece and not sure:
             size += len(piece.strip())
         if piece and not dropped:
             piece = entities.unescape(piece)
             text.append(piece)
+            heading = heading or headings > 0
             if links:
                 linked += len(piece)
 
@@ -167,7 +190,7 @@ def _parse(page: str, spared: frozenset[int]) -> tuple[list[tuple[str, bool, int
             if (depth := find({"p"}, False)) >= 0:
                 pop(depth)
             flush()
-        if name in ENDS and (depth := next((d for d in range(len(stack) - 1, -1, -1) if stack[d][0] in ENDS[name] or stack[d][0] in ("ul", "ol", "dl", "table")), -1)) >= 0 and stack[depth][0] in ENDS[name]:
+        if name in ENDS and (depth := find(ENDS[name] | LISTS, True)) >= 0 and stack[depth][0] in ENDS[name]:
             pop(depth)
         if name in VOID or attributes.endswith("/>") and name in ("svg", "path"):
             if name == "br" or name == "hr":
@@ -188,7 +211,14 @@ def _parse(page: str, spared: frozenset[int]) -> tuple[list[tuple[str, bool, int
             mains += name == "main"
             articles += name == "article"
             plain += name == "article" and not under
+        if name in SCOPES and not scopes and not dropped and not off and not (out and out[-1][3] and not gaps):
+            gaps.append(0)
+        opened.setdefault(name, []).append(len(stack))
+        if name in CONTAINERS:
+            n_boxes += 1
+            boxes.append((len(stack), n_boxes))
         stack.append((name, off, certain, before))
+        headings += name in HEADINGS
         sure += certain
         dropped += off
         scopes += name in SCOPES
@@ -198,43 +228,49 @@ def _parse(page: str, spared: frozenset[int]) -> tuple[list[tuple[str, bool, int
     for *_, before in stack:
         if before:
             suspects.append((before[0], before[1], mains - before[2], articles - before[3], size - before[4]))
-    spare = frozenset(at for at, readers, main, article, held in suspects if main > 0 or (article > 0 and not plain) or (2 * held > size and not readers))
+    # beside an article that nothing speaks against, an element outside it needs more text than the article's markup outweighs
+    much = lambda held, inside: 2 * held > size if inside or not plain else held > IN_ARTICLE * (size - held)
+    spare = frozenset(at for at, readers, main, article, held in suspects if main > 0 or (article > 0 and not plain) or (much(held, article < 0) and not readers))
     return out, spare
 
 
 def between_surge_and_dive(lengths: list[int], surge: int, window: int = WINDOW) -> list[tuple[int, int]]:
     """Ranges of lines from a surge to its dive.
 
-    The sum of a window starts at each line. A range starts at a line with text whose window
-    reaches ``surge``, and ends before a window that sums to nothing, or at the end.
+    The sum of a window starts at each line. Where sums rise from nothing a range starts, at its first
+    line with text, if they reach ``surge`` before they fall to nothing again, which ends it, or the page ends.
     """
     sums = [0] * len(lengths)
     running = 0
     for i in range(len(lengths) - 1, -1, -1):
         running += lengths[i] - (lengths[i + window] if i + window < len(lengths) else 0)
         sums[i] = running
-    ranges, start = [], -1
-    for i, total in enumerate(sums):
-        if start < 0 and lengths[i] and total >= surge:
-            start = i
-        elif start >= 0 and not total:
-            ranges.append((start, i))
-            start = -1
-    return ranges + [(start, len(lengths))] * (start >= 0)
+    ranges, start, most = [], -1, 0
+    for i, total in enumerate([*sums, 0]):
+        if start < 0 and i < len(lengths) and lengths[i]:
+            start, most = i, 0
+        if start >= 0:
+            most = max(most, total)
+            if not total:
+                if most >= surge:
+                    ranges.append((start, i))
+                start = -1
+    return ranges
 
 
 def main_text(page: str | None) -> str:
-    """The main text of a page: its blocks in order, white space single, joined by empty lines. Empty if none."""
+    """The main text of a page: its blocks in order, white space single, joined by empty lines. Empty if none.
+
+    A page whose windows nowhere reach ``SURGE`` gives all of its text.
+    """
     lines = lines_of(page or "")
-    marked = any(inside for _, inside, _ in lines)
-    if marked:
-        lengths = [len(text) if inside else 0 for text, inside, _ in lines]
-    else:
-        lengths = [max(0, len(text) - linked) if linked * 2 > len(text) else len(text) for text, _, linked in lines]
-    ranges = between_surge_and_dive(lengths, 1 if marked else SURGE)
-    if not ranges and any(lengths):  # a page of a few words: all of its text
-        ranges = between_surge_and_dive(lengths, 1)
-    return "\n\n".join(lines[i][0] for start, end in ranges for i in range(start, end) if lengths[i])
+    lengths = [len(text) * IN_ARTICLE if inside else max(0, len(text) - linked) * (IN_HEADING if heading else 1) for text, inside, linked, heading in lines]
+    ranges = between_surge_and_dive(lengths, SURGE) or between_surge_and_dive([len(x[0]) for x in lines], 1)
+    marked = [any(lines[i][1] for i in range(*x)) for x in ranges]
+    held = [sum(len(lines[i][0]) for i in range(*x)) for x in ranges]
+    article = sum(n for n, inside in zip(held, marked, strict=True) if inside)
+    kept = [x for x, n, inside in zip(ranges, held, marked, strict=True) if inside or n >= article]
+    return "\n\n".join(lines[i][0] for x in kept for i in range(*x) if lines[i][0])
 
 
 def extract(pages: DataFrame, html_column: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:

@@ -4,6 +4,7 @@ import gzip
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -147,6 +148,31 @@ class TestMainText:
         page = f'<body><article><p>Story.</p><div class="comments"><article>{"reader " * 40}</article><p>{"reader " * 40}</p></div></article></body>'
         assert html_text.main_text(page) == "Story."
 
+    @pytest.mark.parametrize("folder", ["sf0.01", "sf0.1"])
+    def test_given_articles_through_the_windows(self, folder):
+        import pyarrow.parquet as pq
+
+        for page in pq.read_table(f"/root/testdata/{folder}/pages.parquet")["html"].to_pylist():
+            blocks = [" ".join(html_text.entities.unescape(re.sub(r"<[^>]*>", "", x)).split()) for x in re.split(r"</?(?:p|h1)[^>]*>", re.search(r"<article>(.*?)</article>", page, re.S)[1])]
+            assert html_text.main_text(page) == "\n\n".join(x for x in blocks if x)
+
+    def test_windows_decide_on_marked_pages_too(self):
+        story = "story word " * 40
+        page = f'<body><article><p>Short teaser of it.</p></article><div id="x"><p>{story}</p><p>End.</p></div></body>'
+        assert html_text.main_text(page) == f"Short teaser of it.\n\n{story.strip()}\n\nEnd."
+        page = f'<body><h1>The title</h1><article><p>{story}</p><div class="ad">Buy</div><p><a href="x">all link</a></p></article><div class="zz">A short notice without a name, of over sixty characters in all.</div></body>'
+        assert html_text.main_text(page) == f"The title\n\n{story.strip()}\n\nall link"
+        page = f'<body><div id="c"><h1>T</h1><div class="ad">Buy</div><p>{story}</p><div class="share">s</div><p>Fin.</p></div><div class="ad">x</div><div>Imprint</div></body>'
+        assert html_text.main_text(page) == f"T\n\n{story.strip()}\n\nFin."
+        for wrapper in ('<article><div class="entry-content has-comments">', '<div id="content" class="with-sidebar">', '<div class="layout share-enabled">'):
+            assert html_text.main_text(f"<body>{wrapper}<p>{story}</p></div></article></body>") == story.strip()
+
+    @pytest.mark.parametrize("page", ["<b>" * 100_000 + "</i>" * 10, "<b>" * 50_000 + "</i>" * 50_000, "<p>x<b>" * 30_000, "<div><p>" * 30_000 + "<h1>" * 30_000, "<li><b>" * 40_000])
+    def test_unclosed_tags_take_linear_time(self, page):
+        began = time.time()
+        html_text.main_text(page)
+        assert time.time() - began < 5  # some 0.2 s; quadratic work takes minutes
+
     def test_odd_pages(self, spark):
         rows = [(1, None, None), (2, "u", ""), (2, "u", "<"), (3, "u", "<p"), (4, "u", "<!-- open"), (5, "u", "<script>x"), (6, "u", "<div " + "a='" * 2000), (7, "u", "<p>&#x41;&bogus;" * 30_000)]
         got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
