@@ -10,37 +10,38 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from memloom.llm import line_dedup, ngram_jaccard, ordinal_quality, packing, quality_rules
+from memloom.llm.columns import set_aside
 from memloom.llm.queries import byte_bpe
 from memloom.sources.scratch import materialize
-from memloom.sources.tables import table
+from memloom.sources.tables import spread, table
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose probability of the highest grade is high enough."""
-    scored = ordinal_quality.classify(docs, table(spark, sf_dir, "labels"), carry=tuple(docs.columns))
-    return scored.where("kept").select(*docs.columns)
+    return ordinal_quality.kept_documents(spread(docs), table(spark, sf_dir, "labels"))
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that neither the base rule nor a rule of the table rejects."""
-    return quality_rules.apply_rules(docs).where("kept").select(*docs.columns)
+    return quality_rules.kept_documents(spread(docs))
 
 
 def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without repeated lines; those that nothing but repeated lines made up go."""
-    out = line_dedup.dedup_lines(docs)
+    clear, back = set_aside(spread(docs), ["n_dropped_lines"])
+    out = line_dedup.dedup_lines(clear)
     out = out.where("n_dropped_lines = 0 OR text RLIKE '[^ \\\\t\\\\n\\\\x0B\\\\f\\\\r]'")
-    return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    return back(out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)))
 
 
 def near_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: the one with the smallest id."""
-    return ngram_jaccard.one_of_each_group(docs)
+    return ngram_jaccard.one_of_each_group(spread(docs))
 
 
 def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents in training sequences of 1024 tokens."""
-    return packing.pack(docs, byte_bpe(), end_id=0, capacity=1024)
+    return packing.pack(spread(docs), byte_bpe(), end_id=0, capacity=1024)
 
 
 STAGES = [

@@ -9,7 +9,7 @@ common ends are cut off.
 
 Everything is a DataFrame or SQL expression; no Python runs on executors. Keys are 64-bit hashes;
 only keys that two different lines share keep their rows, and only their lines' texts are
-fetched; a bitmap of fixed size, which is broadcast, sorts out most others without a shuffle. Lines under a key are dealt into blocks of bounded size and compared block by block inside
+fetched; a bitmap of them, sized by their number and broadcast if that is within a bound, sorts out most others without a shuffle. Lines under a key are dealt into blocks of bounded size and compared block by block inside
 an expression, so no row is made for a pair.
 """
 
@@ -18,6 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from memloom.llm.columns import set_aside
 from memloom.sources.scratch import materialize
 
 #: Edits within which a line repeats another; shortest line that the edit probes take (code points).
@@ -58,19 +59,25 @@ def keyed_lines(source: DataFrame, tau: int, least: int) -> DataFrame:
     return rows.select(F.expr(key).alias("key"), F.expr("if(p.d = 0 AND p.shift = 0, 1, 0)").alias("own"), "h1", "h2")
 
 
-#: Bits of the filter of shared keys, words of 64 bits in a row of it, and so its fixed size: 2 MB.
-FILTER_BITS, ROW_WORDS = 1 << 24, 512
+#: Words of 64 bits in a row of the filter of shared keys, bits for a key, and bits at most (32 MB); a filter that would be larger isn't made.
+ROW_WORDS, KEY_BITS, MOST_FILTER_BITS = 512, 16, 1 << 28
 
 
-def _slot(key: str = "key") -> dict[str, str]:
-    """SQL of the row, word and bit of a key in the filter."""
-    slot = f"pmod({key}, {FILTER_BITS}L)"
+def filter_bits(keys: int) -> int | None:
+    """Bits of a filter of so many keys, a power of two; None if it were too large to broadcast."""
+    bits = 1 << max(20, (KEY_BITS * keys - 1).bit_length())
+    return bits if bits <= MOST_FILTER_BITS else None
+
+
+def _slot(bits: int, key: str = "key") -> dict[str, str]:
+    """SQL of the row, word and bit of a key in a filter of so many bits."""
+    slot = f"pmod({key}, {bits}L)"
     return {"row": f"int({slot} div {64 * ROW_WORDS})", "word": f"int({slot} % {64 * ROW_WORDS} div 64)", "bit": f"int({slot} % 64)"}
 
 
-def key_filter(keys: DataFrame) -> DataFrame:
-    """A bitmap of ``keys`` (column ``key``): ``row`` and ``words``, at most FILTER_BITS / (64 ROW_WORDS) rows whatever the number of keys."""
-    at = _slot()
+def key_filter(keys: DataFrame, bits: int) -> DataFrame:
+    """A bitmap of ``keys`` (column ``key``): ``row`` and ``words``, at most bits / (64 ROW_WORDS) rows."""
+    at = _slot(bits)
     words = keys.groupBy(F.expr(at["row"]).alias("row"), F.expr(at["word"]).alias("word")).agg(F.expr(f"bit_or(shiftleft(1L, {at['bit']}))").alias("bits"))
     rows = words.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("m"))
     return rows.select("row", F.expr(f"transform(sequence(0, {ROW_WORDS - 1}), w -> coalesce(try_element_at(m, w), 0L))").alias("words"))
@@ -138,10 +145,12 @@ def _near_repeats(source: DataFrame, first: DataFrame, tau: int, least: int) ->
     keyed = keyed_lines(source, tau, least)
     shared = keyed.groupBy("key").agg(F.min("h1").alias("low"), F.max("h1").alias("high"), F.max("own").alias("own")).where("low <> high AND own = 1").select("key")
     shared = materialize(shared, "line-keys")
-    # few keys are shared: a bitmap of fixed size drops most other rows before any shuffle, the join drops the rest
-    at, bitmap = _slot(), F.broadcast(materialize(key_filter(shared), "line-filter"))
-    set_there = F.expr(f"(shiftright(get(words, {at['word']}), {at['bit']}) & 1) = 1")
-    likely = keyed.join(bitmap, (F.expr(at["row"]) == F.col("row")) & set_there).select("key", "own", "h1", "h2")
+    # few keys are shared: a bitmap of them drops most other rows before any shuffle, the join drops the rest
+    likely, bits = keyed, filter_bits(shared.count())
+    if bits:
+        at, bitmap = _slot(bits), F.broadcast(materialize(key_filter(shared, bits), "line-filter"))
+        set_there = F.expr(f"(shiftright(get(words, {at['word']}), {at['bit']}) & 1) = 1")
+        likely = keyed.join(bitmap, (F.expr(at["row"]) == F.col("row")) & set_there).select("key", "own", "h1", "h2")
     hits = likely.groupBy("key", "h1", "h2").agg(F.max("own").alias("own")).join(shared, "key")
     hits = materialize(hits, "line-hits")
 
@@ -171,9 +180,12 @@ def dedup_lines(docs: DataFrame, tau: int = TAU, least: int = MIN_CHARS, id_colu
     of equal lines all but the first go, and a line goes if a different line within ``tau`` edits
     first stands before its own first place. Lines shorter than ``least`` code points go only as equal lines,
     and stay if they are blank. Lines are taken as equal when two 64-bit hashes are. Null texts stay null, and a text may become empty. Rows equal in id
-    and text are treated alike. An empty table gives no rows. Further columns pass through;
-    those named as the added one are replaced.
+    and text are treated alike. An empty table gives no rows. Further columns pass through, whatever their names;
+    one named as the added one is replaced.
     """
+    given, names = docs, ["n_dropped_lines", "_own", "_id", "_rid", "_gone", "_lines"]
+    docs, _ = set_aside(given, names)
+    id_column, text_column = (docs.columns[given.columns.index(x)] for x in (id_column, text_column))
     source = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).where("text IS NOT NULL")
     places = lines_of(source, least, short=True)
     # a struct of place is no plain number: sorted, not hashed, but these rows are slim
@@ -190,4 +202,5 @@ def dedup_lines(docs: DataFrame, tau: int = TAU, least: int = MIN_CHARS, id_colu
     kept = "array_join(transform(array_except(sequence(0, size(_lines) - 1), _gone), i -> get(_lines, i)), '\n')"
     out = out.withColumn("_lines", F.split(text_column, "\n"))
     out = out.withColumns({text_column: F.when(F.col("_gone").isNull(), F.col(text_column)).otherwise(F.expr(kept)), "n_dropped_lines": F.coalesce(F.size("_gone"), F.lit(0)).cast("long")})
-    return out.drop("_own", "_id", "_rid", "_gone", "_lines")
+    kept_columns = [F.col(f"`{x}`").alias(y) for x, y in zip(docs.columns, given.columns, strict=True) if y.lower() != "n_dropped_lines"]
+    return out.select(*kept_columns, "n_dropped_lines")

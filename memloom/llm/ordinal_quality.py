@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from memloom.llm.arrow_text import WordValues, row_blocks, text_bytes, tidy
+from memloom.llm.columns import set_aside
+from memloom.sources.scratch import drop, materialize
 
 #: Size of the hashed space.
 BITS = 18
@@ -114,6 +116,14 @@ class OrdinalModel:
         return 1 / (1 + np.exp(np.clip(self.thresholds[None, :] - score[:, None], -60, 60)))
 
 
+def telling(found: np.ndarray, texts: np.ndarray) -> np.ndarray:
+    """Which features get a weight, from the texts of each grade that hold each (grades x features) and the texts of each grade."""
+    held, shares = found.sum(axis=0), (texts / max(1, texts.sum()))[:, None]
+    lift = (found / np.maximum(held * shares, 1e-9)).max(axis=0)
+    off = (np.abs(found - held * shares) / np.sqrt(np.maximum(held * shares * (1 - shares), 1e-9))).max(axis=0)
+    return (held >= MIN_TEXTS) & (off >= LEAST_Z) & (lift >= LEAST_LIFT)
+
+
 def fit_ordinal(rows: np.ndarray, features: np.ndarray, values: np.ndarray, grades: np.ndarray, n_grades: int, size: int, l2: float = 1e-4, steps: int = 300, rate: float = 0.1) -> OrdinalModel:
     """Full-batch Adam on the mean negative log likelihood of the grades.
 
@@ -121,15 +131,8 @@ def fit_ordinal(rows: np.ndarray, features: np.ndarray, values: np.ndarray, grad
     whatever their number of rows.
     """
     n = len(grades)
-    held = np.bincount(features, minlength=size)
-    off, lift = np.zeros(size), np.zeros(size)
-    for k in range(n_grades):
-        share = (grades == k).mean()
-        found = np.bincount(features[(grades == k)[rows]], minlength=size)
-        lift = np.maximum(lift, found / np.maximum(held * share, 1e-9))
-        off = np.maximum(off, np.abs(found - held * share) / np.sqrt(np.maximum(held * share * (1 - share), 1e-9)))
-    seen = (held >= MIN_TEXTS) & (off >= LEAST_Z) & (lift >= LEAST_LIFT)
-    use = seen[features]
+    found = np.array([np.bincount(features[(grades == k)[rows]], minlength=size) for k in range(n_grades)])
+    use = telling(found, np.bincount(grades, minlength=n_grades))[features]
     rows, features, values = rows[use], features[use], values[use].astype(np.float64)
     names, column = np.unique(features, return_inverse=True)
     weight = n / np.maximum(1, np.bincount(grades, minlength=n_grades))[grades]
@@ -160,24 +163,51 @@ def fit_ordinal(rows: np.ndarray, features: np.ndarray, values: np.ndarray, grad
     return OrdinalModel(weights, np.cumsum(np.concatenate([theta[len(names) : len(names) + 1], np.exp(theta[len(names) + 1 :])])))
 
 
-def train(rated: DataFrame, n_grades: int, text_column: str = "text", grade_column: str = "grade") -> OrdinalModel:
-    """Fit on the rows of ``rated``, a bounded sample (see :func:`sample_of_ratings`).
-
-    Without any rated row the model has zero weights and grades alike. Only hashed features of the
-    sample come to the driver, never texts.
-    """
-    size = 1 << BITS
+def rated_features(rated: DataFrame, text_column: str = "text", grade_column: str = "grade") -> DataFrame:
+    """``grade, features, weights`` (arrays) of each row."""
 
     def run(batches):
         for batch in batches:
             for row, end, owner, feature, value in batch_features(batch.column(1)):
-                n, at = end - row, np.searchsorted(owner, np.arange(end - row + 1))
-                cut = lambda x, kind: pa.array([x[at[i] : at[i + 1]].astype(kind).tobytes() for i in range(n)], pa.binary())  # noqa: B023, E731
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, n), cut(feature, "<u4"), cut(value, "<f4")], names=["grade", "features", "weights"])
+                at = pa.array(np.searchsorted(owner, np.arange(end - row + 1)).astype(np.int32))
+                columns = pa.ListArray.from_arrays(at, pa.array(feature.astype(np.int32))), pa.ListArray.from_arrays(at, pa.array(value))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, end - row), *columns], names=["grade", "features", "weights"])
+
+    return rated.select(F.col(grade_column).cast("int").alias("grade"), text_column).mapInArrow(tidy(run), "grade int, features array<int>, weights array<float>")
+
+
+def train(rated: DataFrame, n_grades: int, text_column: str = "text", grade_column: str = "grade") -> OrdinalModel:
+    """Fit on the rows of ``rated``, a bounded number of them (see :func:`classify`).
 
-    got = rated.select(F.col(grade_column).cast("int"), text_column).mapInArrow(tidy(run), "grade int, features binary, weights binary").collect()
-    if not got:
+    Without any rated row the model has zero weights and grades alike. Spark counts in how many texts of each
+    grade a feature stands; only features that tell grades apart come to the driver: a number for each
+    place of the hashed space at most, for each row those that it holds. Texts never do.
+    """
+    size = 1 << BITS
+    sets = materialize(rated_features(rated, text_column, grade_column), "rated-features")
+    texts = np.zeros(n_grades, np.int64)
+    for r in sets.groupBy("grade").agg(F.count(F.lit(1)).alias("n")).collect():
+        texts[r.grade] = r.n
+    if not texts.sum():
         return OrdinalModel(np.zeros(size, np.float32), np.arange(n_grades - 1, dtype=float) - (n_grades - 2) / 2)
+    counts = sets.select("grade", F.explode("features").alias("feature")).groupBy("feature").agg(*(F.count_if(F.col("grade") == k).alias(f"n{k}") for k in range(n_grades)))
+    counts = counts.where(" + ".join(f"n{k}" for k in range(n_grades)) + f" >= {MIN_TEXTS}").toArrow()
+    found = np.zeros((n_grades, size), np.int64)
+    for k in range(n_grades):
+        found[k, counts["feature"].to_numpy()] = counts[f"n{k}"].to_numpy()
+    use = sets.sparkSession.sparkContext.broadcast(telling(found, texts))
+
+    def chosen(batches):
+        for batch in batches:
+            rows = []
+            for grade, features, weights in zip(*batch.columns, strict=True):
+                x, w = features.values.to_numpy(), weights.values.to_numpy()
+                keep = use.value[x]
+                rows.append((grade.as_py(), x[keep].astype("<u4").tobytes(), w[keep].astype("<f4").tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], kind) for i, kind in enumerate((pa.int32(), pa.binary(), pa.binary()))], names=["grade", "features", "weights"])
+
+    got = sets.mapInArrow(tidy(chosen), "grade int, features binary, weights binary").collect()
+    drop(sets)
     got.sort(key=lambda x: (x.grade, x.features, x.weights))  # whatever order tasks end in
     sizes, grades = [len(x.features) // 4 for x in got], np.array([x.grade for x in got])
     features = np.frombuffer(b"".join(x.features for x in got), "<u4").astype(np.int32)
@@ -186,14 +216,21 @@ def train(rated: DataFrame, n_grades: int, text_column: str = "text", grade_colu
     return fit_ordinal(np.repeat(np.arange(len(sizes), dtype=np.int32), sizes), features, values, grades, n_grades, size)
 
 
+def added_columns(k: int) -> list[str]:
+    """Names of the columns that :func:`score` adds for thresholds 1 .. k."""
+    return ["expected_grade", *(f"tail_{i}" for i in range(1, k + 1)), "kept", "_text"]
+
+
 def score(docs: DataFrame, model: OrdinalModel, keep_at: int, least: float = LEAST_GOOD, text_column: str = "text", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Expected grade and tail probabilities of every whole text.
 
     Returns the ``carry`` columns, ``expected_grade``, ``tail_1`` .. ``tail_K`` (double) and ``kept``: whether
-    P(grade >= keep_at) is at least ``least``. A null or empty text has no features and gets the
-    probabilities of the thresholds alone. The model (a vector of 2^18 floats) is broadcast.
+    P(grade >= keep_at) is at least ``least``. A carried column named as an added one is left out. A null or empty text
+    has no features and gets the probabilities of the thresholds alone. Repeated rows are all returned, an empty table
+    gives no rows. The model (a vector of 2^18 floats) is broadcast.
     """
     k = len(model.thresholds)
+    carry = tuple(x for x in carry if x.lower() not in added_columns(k))
     schema = T.StructType([*(docs.schema[x] for x in carry), T.StructField("expected_grade", T.DoubleType()), *(T.StructField(f"tail_{i}", T.DoubleType()) for i in range(1, k + 1))])
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -222,8 +259,15 @@ def classify(docs: DataFrame, labels: DataFrame, least: float = LEAST_GOOD, most
     """Train on the rated documents among ``docs`` and score all of them: see :func:`score`, with 3 grades.
 
     Kept are documents whose probability of the highest grade is at least ``least``. The sample of
-    ratings is broadcast: it has ``most`` rows at most.
+    ratings has ``most`` rows at most and is broadcast; of rows that repeat a rated id one trains, that
+    with the smallest text.
     """
     sample = F.broadcast(sample_of_ratings(labels, most))
-    model = train(docs.select("doc_id", "text").join(sample, "doc_id"), n_grades=3)
-    return score(docs, model, keep_at=2, least=least, carry=carry)
+    rated = docs.select("doc_id", "text").join(sample, "doc_id").groupBy("doc_id", "grade").agg(F.min("text").alias("text"))
+    return score(docs, train(rated, n_grades=3), keep_at=2, least=least, carry=carry)
+
+
+def kept_documents(docs: DataFrame, labels: DataFrame, least: float = LEAST_GOOD, most: int = MAX_TRAINING_ROWS) -> DataFrame:
+    """The rows of ``docs`` that :func:`classify` keeps, with all their columns, whatever the names."""
+    clear, back = set_aside(docs, added_columns(2))
+    return back(classify(clear, labels, least, most, carry=tuple(clear.columns)).where("kept"))

@@ -10,6 +10,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from memloom.llm.columns import set_aside
+
 # Frequent function words.
 STOP_WORDS = {
     "en": "a an and are as at be by for from has have in is it not of on or that the this to was we with you",
@@ -130,6 +132,16 @@ def apply_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_column: s
     return out.withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0) & (F.col("_fence") >= 0)).drop("_fence")
 
 
+#: Names that :func:`apply_rules` uses for itself.
+ADDED = "n_words word_chars n_symbols n_exclamations n_stop_words n_lines n_dup_lines n_bullet_lines n_ellipsis_lines n_repeat_words base_failed failed_rules kept _fence _text _words _lines _windows _place _found".split()
+
+
+def kept_documents(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The rows of ``docs`` that :func:`apply_rules` keeps, with all their columns, whatever the names."""
+    clear, back = set_aside(docs, ADDED)
+    return back(apply_rules(clear, rules).where("kept"))
+
+
 def duckdb_sql(rules: tuple[Rule, ...] = RULES) -> str:
     """The same statistics and verdict over ``documents`` in DuckDB SQL."""
     stop = ", ".join(f"'{w}'" for w in sorted({w for words in STOP_WORDS.values() for w in words.split()}))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from memloom.llm import bpe, chat_collapse, html_text, itq_neardup, line_dedup, ngram_jaccard, ordinal_quality, packing, quality_rules, warc
-from memloom.sources.tables import table
+from memloom.sources.tables import spread, table
 
 
 def byte_bpe() -> str:
@@ -19,7 +19,7 @@ def byte_bpe() -> str:
 
 def op1_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Expected grade, tail probabilities and verdict of every document."""
-    return ordinal_quality.classify(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels"))
+    return ordinal_quality.classify(spread(table(spark, sf_dir, "documents", "doc_id", "text")), table(spark, sf_dir, "labels"))
 
 
 def op4_itq_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,12 +29,12 @@ def op4_itq_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_line_block_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
-    return html_text.extract(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+    return html_text.extract(spread(table(spark, sf_dir, "pages", "page_id", "url", "html")))
 
 
 def op6_bayesian_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate links of every document."""
-    return ngram_jaccard.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return ngram_jaccard.near_duplicates(spread(table(spark, sf_dir, "documents", "doc_id", "text")))
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,23 +50,23 @@ def op2_snapshot_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of 1024 tokens."""
-    return packing.pack(table(spark, sf_dir, "documents", "doc_id", "text"), byte_bpe(), end_id=0, capacity=1024)
+    return packing.pack(spread(table(spark, sf_dir, "documents", "doc_id", "text")), byte_bpe(), end_id=0, capacity=1024)
 
 
 def op8_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page, written to archives, normalised and read back."""
-    records = warc.archive_and_read(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+    records = warc.archive_and_read(spread(table(spark, sf_dir, "pages", "page_id", "url", "html")))
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op9_segment_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the lines that repeat earlier ones."""
-    return line_dedup.dedup_lines(table(spark, sf_dir, "documents", "doc_id", "text")).select("doc_id", "n_dropped_lines", "text")
+    return line_dedup.dedup_lines(spread(table(spark, sf_dir, "documents", "doc_id", "text"))).select("doc_id", "n_dropped_lines", "text")
 
 
 def op10_forced_boundary_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of the ids of all documents and of the texts decoded from them."""
-    ids = bpe.encode(table(spark, sf_dir, "documents", "doc_id", "text"), byte_bpe())
+    ids = bpe.encode(spread(table(spark, sf_dir, "documents", "doc_id", "text")), byte_bpe())
     return bpe.decode(ids, byte_bpe()).select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from memloom.llm.arrow_text import tidy
-from memloom.sources.scratch import materialize, new_path
+from memloom.sources.scratch import drop, materialize, new_path, qualified
 
 #: A raw archive is closed at this many payload bytes or records.
 ARCHIVE_BYTES, ARCHIVE_RECORDS = 16 << 20, 5_000
@@ -43,8 +43,10 @@ _INDEX_COLUMNS = ("offset", "length", "record_type", "page_id")
 
 
 def _store(uri: str) -> tuple[pafs.FileSystem, str]:
-    """The file system of a URI and the path in it."""
-    return pafs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (pafs.LocalFileSystem(), uri)
+    """The file system of a URI (with a scheme: see ``qualified``) and the path in it."""
+    if uri.startswith("file:"):
+        return pafs.LocalFileSystem(), "/" + uri.removeprefix("file:").lstrip("/")
+    return pafs.FileSystem.from_uri(uri)
 
 
 def _publish(store: pafs.FileSystem, made: str, path: str) -> None:
@@ -248,12 +250,22 @@ def archive_and_read(pages: DataFrame, folder: str | None = None, html_column: s
     :func:`read_back`. Repeated rows each get a record; an empty table gives no archive.
     """
     spark = pages.sparkSession
-    folder = folder or new_path(spark, "warc")
+    folder = qualified(spark, folder or new_path(spark, "warc"))
     raw, done = f"{folder}/raw", f"{folder}/warc"
     written = materialize(write_monolithic(pages, raw, html_column), "warc-written")
-    archives = materialize(normalise(revisit_plan(written), raw, done), "warc-archives")
+    plan = materialize(revisit_plan(written), "warc-plan")
+    deal = tasks_of(plan.count())
+    archives = materialize(normalise(plan.repartition(deal), raw, done), "warc-archives")
+    drop(written, plan)
     store, path = _store(raw)
     if store.get_file_info(path).type != pafs.FileType.NotFound:
         store.delete_dir(path)
-    # a task for a few archives each: they hold a bounded number of bytes
-    return read_back(archives.repartition("archive"), done)
+    return read_back(archives.select("archive").repartition(deal), done)
+
+
+def tasks_of(archives: int) -> int:
+    """Tasks to deal archives over: one each up to 2000, beyond that 16 archives to a task.
+
+    Rows of archives are tiny, so Spark by itself would gather them all in one task; each stands for ``ARCHIVE_BYTES`` of work.
+    """
+    return max(1, min(archives, 2000), archives // 16)

@@ -106,6 +106,21 @@ class TestLineDedup:
         assert texts == Counter({(1, None, "a", 0): 1, (2, "", "b", 0): 1, (3, "", "c", 1): 2, (None, "same line of text, long enough\nshort", "d", 0): 1, (4, long, "e", 0): 1, (5, "", "f", 1): 1})
         assert line_dedup.dedup_lines(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
+    def test_helper_columns_of_a_caller_and_the_size_of_the_filter(self, spark, monkeypatch):
+        line = "a line of text that is long enough"
+        rows = [(1, line, 5, "i", "g"), (2, line + "\nb", 6, "i", "g")]
+        docs = spark.createDataFrame(rows, "doc_id long, text string, n_dropped_lines int, _id string, _gone string")
+        got = line_dedup.dedup_lines(docs)
+        assert got.columns == ["doc_id", "text", "_id", "_gone", "n_dropped_lines"]
+        assert sorted(map(tuple, got.collect())) == [(1, line, "i", "g", 0), (2, "b", "i", "g", 1)]
+        assert line_dedup.filter_bits(0) == line_dedup.filter_bits(1 << 16) == 1 << 20 and line_dedup.filter_bits(1 << 24) == 1 << 28 and line_dedup.filter_bits((1 << 24) + 1) is None
+        random.seed(1)
+        base = ["".join(random.choice("ab é") for _ in range(n)) for n in (12, 15, 22, 30)]
+        docs = [(i, "\n".join(edited(random.choice(base), random.randint(0, 3)) for _ in range(4))) for i in range(40)]
+        monkeypatch.setattr(line_dedup, "MOST_FILTER_BITS", 0)  # no filter at all
+        got = line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string"), least=6)
+        assert {r.doc_id: r.text for r in got.collect()} == self.expected(docs, 2, 6)
+
     def test_short_lines_go_as_exact_repeats_only(self, spark):
         docs = [(1, "By To.\nBy To.\n\n \nBy To!"), (2, "\n \t\nBy To.\nBy Ti."), (3, "é"), (4, "é\n\nz")]
         got = {r.doc_id: (r.text, r.n_dropped_lines) for r in line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}

@@ -223,6 +223,17 @@ class TestWarc:
         assert warc.archive_and_read(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+    def test_archives_are_dealt_over_tasks(self, spark, monkeypatch):
+        monkeypatch.setattr(warc, "ARCHIVE_RECORDS", 3)
+        tasks = []
+        normalise, read_back = warc.normalise, warc.read_back
+        monkeypatch.setattr(warc, "normalise", lambda plan, *at: tasks.append(plan.rdd.getNumPartitions()) or normalise(plan, *at))
+        monkeypatch.setattr(warc, "read_back", lambda archives, at: tasks.append([len(x) for x in archives.rdd.glom().collect()]) or read_back(archives, at))
+        pages = spark.createDataFrame([(i, "u", f"page {i % 50} " * 20) for i in range(300)], "page_id long, url string, html string").repartition(4)
+        assert warc.archive_and_read(pages).count() == 300
+        assert tasks[0] >= 100 and len(tasks[1]) >= 100 and max(tasks[1]) <= 4
+        assert warc.tasks_of(0) == 1 and warc.tasks_of(6_000_000) == 375_000
+
 class TestQualityRules:
     def test_same_as_sql(self, spark):
         assert compare(spark, q.op7_quality_rules, q.oracle_sql()["op7_quality_rules"], SF) > 0
@@ -247,6 +258,12 @@ class TestQualityRules:
             assert r.base_failed == (r.n_words < 10 or 100 * r.n_repeat_words > 20 * r.n_words)
             assert r.kept in (True, False) and not (r.kept and r.base_failed)
 
+    def test_stage_keeps_clashing_columns(self, spark):
+        text = " ".join(f"the cat {i} sat" for i in range(10))
+        docs = spark.createDataFrame([(1, text, 7, "k", [1]), (2, "bad", 8, "k", [2])], "doc_id long, text string, N_words int, kept string, _lines array<int>")
+        left = quality_rules.kept_documents(docs)
+        assert left.columns == docs.columns and [tuple(r) for r in left.collect()] == [(1, text, 7, "k", [1])]
+
     def test_filters_on_the_verdict_stay_cheap(self, spark):
         docs = spark.createDataFrame([(1, "the cat " * 20)], "doc_id long, text string")
         plan = quality_rules.apply_rules(docs).where("kept").select("doc_id")._jdf.queryExecution().optimizedPlan().toString()
@@ -285,6 +302,47 @@ class TestClassifier:
         assert {r.doc_id: r.grade for r in ordinal_quality.sample_of_ratings(labels).collect()} == {1: 1, 2: 0, 3: 2}
         assert ordinal_quality.sample_of_ratings(labels, 2).count() == 2
 
+    def test_clashing_columns_and_repeated_rated_ids(self, spark):
+        rows = [(1, "the good text", 5.0, "x", "y"), (2, "bad !!! text", 6.0, "x", "y")] + [(3, f"text {i}", 7.0, "x", "y") for i in range(200)]
+        docs = spark.createDataFrame(rows, "doc_id long, text string, tail_2 double, kept string, Expected_Grade string")
+        labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0), (3, 1, 0)], "doc_id long, quality int, toxic int")
+        got = ordinal_quality.classify(docs, labels, carry=tuple(docs.columns))
+        assert got.columns == ["doc_id", "text", "expected_grade", "tail_1", "tail_2", "kept"] and got.count() == len(rows)
+        left = ordinal_quality.kept_documents(docs, labels, least=0.0)
+        assert left.columns == docs.columns and sorted(map(tuple, left.collect())) == sorted(rows)
+        trained = []
+        train, ordinal_quality.train = ordinal_quality.train, lambda rated, **kw: trained.extend(rated.collect()) or train(rated, **kw)
+        try:
+            ordinal_quality.classify(docs, labels).count()
+        finally:
+            ordinal_quality.train = train
+        assert sorted((r.doc_id, r.text) for r in trained) == [(1, "the good text"), (2, "bad !!! text"), (3, "text 0")]
+
+    def test_the_fit_is_a_minimum_of_the_loss(self):
+        rng = np.random.default_rng(7)
+        grades = np.repeat([0, 1, 2], [60, 90, 120])
+        rows = np.repeat(np.arange(270), 2)
+        features = np.concatenate([[g * 2 + rng.integers(0, 2), rng.integers(0, 6)] for g in grades])
+        values = rng.uniform(0.5, 1.5, len(rows))
+        use = np.isin(features, np.flatnonzero(ordinal_quality.telling(np.array([np.bincount(features[grades[rows] == k], minlength=8) for k in range(3)]), np.bincount(grades))))
+        assert use.any()
+        model = ordinal_quality.fit_ordinal(rows, features, values, grades, 3, 8, l2=0.01, steps=3000, rate=0.02)
+
+        def loss(weights, thresholds):
+            total = 0.005 * (weights**2).sum()
+            for i, g in enumerate(grades):
+                s = sum(v * weights[f] for f, v, u in zip(features[rows == i], values[rows == i], use[rows == i], strict=True) if u)
+                above = [1.0, *(1 / (1 + np.exp(t - s)) for t in thresholds), 0.0]
+                total -= np.log(above[g] - above[g + 1]) / (3 * (grades == g).sum())
+            return total
+
+        w, t = model.weights.astype(float), model.thresholds
+        best = loss(w, t)
+        assert best < loss(0 * w, np.array([-0.7, 0.7])) - 0.1
+        for _ in range(25):
+            for size in (1e-3, 1e-2, 0.1):
+                assert loss(w + size * rng.standard_normal(8) * (w != 0), t + size * rng.standard_normal(2)) > best - 1e-6
+
     def test_thresholds_rise(self):
         random_ = np.random.default_rng(3)
         grades = random_.integers(0, 4, 400)
