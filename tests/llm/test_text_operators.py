@@ -320,28 +320,28 @@ class TestClassifier:
 
     def test_the_fit_is_a_minimum_of_the_loss(self):
         rng = np.random.default_rng(7)
-        grades = np.repeat([0, 1, 2], [60, 90, 120])
-        rows = np.repeat(np.arange(270), 2)
-        features = np.concatenate([[g * 2 + rng.integers(0, 2), rng.integers(0, 6)] for g in grades])
+        grades = np.repeat([0, 1, 2, 3], [90, 100, 110, 100])
+        rows = np.repeat(np.arange(400), 2)
+        features = np.concatenate([[g * 2 + rng.integers(0, 2) if rng.random() < 0.9 else rng.integers(0, 8), 8 + rng.integers(0, 4)] for g in grades])
         values = rng.uniform(0.5, 1.5, len(rows))
-        use = np.isin(features, np.flatnonzero(ordinal_quality.telling(np.array([np.bincount(features[grades[rows] == k], minlength=8) for k in range(3)]), np.bincount(grades))))
-        assert use.any()
-        model = ordinal_quality.fit_ordinal(rows, features, values, grades, 3, 8, l2=0.01, steps=3000, rate=0.02)
+        use = np.isin(features, np.flatnonzero(ordinal_quality.telling(np.array([np.bincount(features[grades[rows] == k], minlength=16) for k in range(4)]), np.bincount(grades))))
+        assert 100 < use.sum() <= 400  # features of all grades alike have no weight
+        model = ordinal_quality.fit_ordinal(rows, features, values, grades, 4, 16, l2=0.01, steps=3000, rate=0.02)
 
         def loss(weights, thresholds):
             total = 0.005 * (weights**2).sum()
             for i, g in enumerate(grades):
-                s = sum(v * weights[f] for f, v, u in zip(features[rows == i], values[rows == i], use[rows == i], strict=True) if u)
+                s = sum(v * weights[f] for f, v, u in zip(features[2 * i : 2 * i + 2], values[2 * i : 2 * i + 2], use[2 * i : 2 * i + 2], strict=True) if u)
                 above = [1.0, *(1 / (1 + np.exp(t - s)) for t in thresholds), 0.0]
-                total -= np.log(above[g] - above[g + 1]) / (3 * (grades == g).sum())
+                total -= np.log(above[g] - above[g + 1]) / (4 * (grades == g).sum())
             return total
 
         w, t = model.weights.astype(float), model.thresholds
         best = loss(w, t)
-        assert best < loss(0 * w, np.array([-0.7, 0.7])) - 0.1
-        for _ in range(25):
+        assert best < loss(0 * w, np.array([-1.1, 0, 1.1])) - 0.1
+        for _ in range(20):
             for size in (1e-3, 1e-2, 0.1):
-                assert loss(w + size * rng.standard_normal(8) * (w != 0), t + size * rng.standard_normal(2)) > best - 1e-6
+                assert loss(w + size * rng.standard_normal(16) * (w != 0), t + size * rng.standard_normal(3)) > best - 1e-6
 
     def test_thresholds_rise(self):
         random_ = np.random.default_rng(3)
