@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from memloom.functions.text import lexical_score
 from memloom.operators import retrieval as r
-from memloom.sources.tables import table
+from memloom.sources.tables import spread, table
 
 
 def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,7 +15,7 @@ def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("source_id"), "text")
+    return spread(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("source_id"), "text"))
 
 
 def bm25_doc_freq(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,15 +25,15 @@ def bm25_doc_freq(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 5 best documents for each benchmark item."""
-    return r.top_k(r.bm25(_items(spark, sf_dir), _docs(spark, sf_dir)), 5, "question_id")
+    return r.bm25_top_k(_items(spark, sf_dir), _docs(spark, sf_dir), 5)
 
 
 def _dense(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cosine of every vector whose id is divisible by 20 with the others of its label."""
-    vectors = table(spark, sf_dir, "embeddings").where("label IS NOT NULL")
-    asked = vectors.where("vec_id % 20 = 0").select("label", F.col("vec_id").alias("question_id"), F.col("embedding").alias("q"))
-    pairs = asked.join(vectors.withColumnRenamed("vec_id", "source_id"), "label").where("question_id <> source_id")
-    return pairs.select("question_id", "source_id", r.cosine(F.col("q"), F.col("embedding")).alias("score"))
+    vectors = table(spark, sf_dir, "embeddings").where("label IS NOT NULL").select("label", "vec_id", r.unit(F.col("embedding")).alias("unit"))
+    asked = vectors.where("vec_id % 20 = 0").select("label", F.col("vec_id").alias("question_id"), F.col("unit").alias("q"))
+    pairs = spread(vectors).withColumnRenamed("vec_id", "source_id").join(asked, "label").where("question_id <> source_id")
+    return pairs.select("question_id", "source_id", r.dot(F.col("q"), F.col("unit")).alias("score"))
 
 
 def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,18 +46,34 @@ def rrf_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").where("label IS NOT NULL").select(F.col("vec_id").alias("source_id"), "label")
     docs = _docs(spark, sf_dir).join(vectors, "source_id")
     asked = docs.where("source_id % 20 = 0").select("label", F.col("source_id").alias("question_id"), "text")
-    lexical = r.bm25(asked, docs, "label").where("question_id <> source_id")
+    lexical = r.bm25_top_k(asked, docs, 20, "label", itself=False).select("question_id", "source_id", "rank")
     dense = _dense(spark, sf_dir).join(docs.select("source_id"), "source_id", "left_semi").join(asked.select("question_id"), "question_id", "left_semi")
-    return r.fuse(r.top_k(lexical, 20, "question_id"), r.top_k(dense, 20, "question_id"), 10, "question_id")
+    return r.fuse(lexical, r.top_k(dense, 20, "question_id"), 10, "question_id")
+
+
+#: Words of a run that an item is looked up by, at most.
+RUN = 4
 
 
 def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item's text, found by the item's first words and verified on the text."""
-    items = _items(spark, sf_dir).select("question_id", F.col("text").alias("item"), F.expr("array_join(slice(split(text, ' '), 3, 4), ' ')").alias("key"))
-    docs = _docs(spark, sf_dir).withColumn("words", F.split("text", " "))
-    shingles = docs.select("source_id", F.explode(F.expr("array_distinct(transform(sequence(1, greatest(1, size(words) - 3)), i -> array_join(slice(words, i, 4), ' ')))")).alias("key"))
-    found = shingles.join(items, "key").join(docs.select("source_id", "text"), "source_id")
-    return found.where(F.col("text").contains(F.col("item"))).select("question_id", "source_id").distinct()
+    """Documents that hold a benchmark item's text.
+
+    Between two spaces an item's words stand in the document as they are, so a run of its inner words
+    (up to RUN from its second word) finds the documents, and the text verifies them. Items of one or two words have no
+    inner word: they, as a rule few, are looked for in every document.
+    """
+    items = _items(spark, sf_dir).select("question_id", F.col("text").alias("item"), F.split("text", " ").alias("words"))
+    items = items.where("item <> ''").withColumn("run", F.least(F.lit(RUN), F.size("words") - 2))
+    keyed = items.where("run > 0").select("question_id", "item", F.expr("xxhash64(run, array_join(slice(words, 2, run), ' '))").alias("key"))
+    docs = _docs(spark, sf_dir)
+    lengths = [x.run for x in items.where("run > 0").select("run").distinct().collect()]  # RUN numbers at most
+    runs = [f"transform(sequence(1, size(words) - {n - 1}), i -> xxhash64({n}, array_join(slice(words, i, {n}), ' ')))" for n in lengths]
+    runs = [f"if(size(words) >= {n}, {x}, cast(array() AS array<bigint>))" for n, x in zip(lengths, runs, strict=True)]
+    hashes = docs.withColumn("words", F.split("text", " ")).select("source_id", F.explode(F.expr(f"array_distinct(concat({', '.join(runs or ['cast(array() AS array<bigint>)'])}))")).alias("key"))
+    likely = hashes.join(keyed, "key").select("question_id", "item", "source_id").distinct()
+    found = likely.join(docs, "source_id").where(F.col("text").contains(F.col("item")))
+    short = docs.join(items.where("run <= 0"), F.col("text").contains(F.col("item")))
+    return found.select("question_id", "source_id").unionByName(short.select("question_id", "source_id")).distinct()
 
 
 def evidence_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,9 +102,10 @@ def _bm25_sql(items: str, docs: str, sample: str = "0") -> str:
   tf AS (SELECT s, source_id, len, token, count(*) AS f FROM (SELECT s, source_id, len(tokens) AS len, unnest(tokens) AS token FROM d) GROUP BY ALL),
   dfs AS (SELECT s, token, count(*) AS df FROM tf GROUP BY ALL),
   q AS (SELECT s, question_id, token, count(*) AS r FROM (SELECT {sample} AS s, question_id, unnest({_TOKENS}) AS token FROM ({items})) GROUP BY ALL),
-  scored AS (
+  hit AS (
     SELECT question_id, source_id, round(sum(r * ln(1e0 + (n - df + 5e-1) / (df + 5e-1)) * f * 2.5e0 / (f + 1.5e0 * (2.5e-1 + 7.5e-1 * len / greatest(al, 1e-9)))), 9) AS score
-    FROM q JOIN dfs USING (s, token) JOIN st USING (s) JOIN tf USING (s, token) GROUP BY ALL)"""
+    FROM q JOIN dfs USING (s, token) JOIN st USING (s) JOIN tf USING (s, token) GROUP BY ALL),
+  scored AS (SELECT a.question_id, d.source_id, coalesce(score, 0e0) AS score FROM (SELECT {sample} AS s, question_id FROM ({items})) a JOIN d USING (s) LEFT JOIN hit ON hit.question_id = a.question_id AND hit.source_id = d.source_id)"""
 
 
 _ITEMS, _DOCS = "SELECT item_id AS question_id, text FROM benchmark", "SELECT doc_id AS source_id, text FROM documents"

@@ -1,8 +1,9 @@
 """Ranking: BM25, dense cosine, reciprocal-rank fusion and recall.
 
-Ranks break ties by the source id as a string. All of it is joins and aggregates: a question meets
-only documents that share a token with it, and top k per question is a ranking window that Spark
-cuts inside each task before the shuffle.
+Ranks break ties by the source id as a string. All of it is joins and aggregates: texts are tokenised
+once, tokens that no question asks for go before any shuffle, a question is scored against the
+documents that share a token with it only, and top k per question is a ranking window that Spark cuts
+inside each task before the shuffle. Where fewer than k documents share a token, others follow with score 0.
 """
 
 from __future__ import annotations
@@ -11,8 +12,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from memloom.functions.text import lexical_tokens
+from memloom.sources.scratch import materialize
 
-#: Okapi parameters, and the fusion constant.
+# Okapi parameters, and the fusion constant.
 K1, B, RRF_K = 1.5, 0.75, 60
 
 
@@ -36,18 +38,50 @@ def bm25(questions: DataFrame, docs: DataFrame, *sample: str, question_id: str =
     if not sample:  # the whole corpus is one sample
         one = lambda frame: frame.withColumn("_sample", F.lit(0))
         return bm25(one(questions), one(docs), "_sample", question_id=question_id, source_id=source_id).drop("_sample")
-    found = postings(docs, *sample, source_id)
-    stats = docs.select(*sample, F.size(lexical_tokens(F.col("text"))).alias("length")).groupBy(*sample).agg(F.count(F.lit(1)).alias("n_docs"), F.avg("length").alias("avg_length"))
-    asked = postings(questions, *sample, question_id).select(*sample, question_id, "token", F.col("frequency").alias("repeats"))
-    rare = document_frequency(found.join(asked.select(*sample, "token").distinct(), [*sample, "token"], "left_semi"), *sample)
-    weighed = asked.join(rare, [*sample, "token"]).join(stats, list(sample))
+    asked = materialize(postings(questions, *sample, question_id).select(*sample, question_id, "token", F.col("frequency").alias("repeats")), "asked")
+    counts = materialize(asked_postings(docs, asked.select(*sample, "token").distinct(), *sample, source_id=source_id), "postings")
+    lengths = counts.groupBy(*sample, source_id).agg(F.max("length").alias("length"))
+    stats = lengths.groupBy(*sample).agg(F.count(F.lit(1)).alias("n_docs"), F.avg("length").alias("avg_length"))
+    found = counts.where("token IS NOT NULL")
+    # questions are few beside documents: where they are small Spark broadcasts them, and no token is a shuffle key
+    weighed = materialize(asked.join(document_frequency(found, *sample), [*sample, "token"]).join(stats, list(sample)), "weighed")
     n, df = F.col("n_docs"), F.col("df")
     idf = F.log(F.lit(1.0) + (n - df + F.lit(0.5)) / (df + F.lit(0.5)))
-    pairs = weighed.withColumn("idf", idf).join(found, [*sample, "token"])
+    pairs = found.join(weighed.withColumn("idf", idf), [*sample, "token"])
     f, scale = F.col("frequency"), F.lit(K1) * (F.lit(1.0 - B) + F.lit(B) * F.col("length") / F.greatest("avg_length", F.lit(1e-9)))
     return pairs.groupBy(*sample, question_id, source_id).agg(F.sum(F.col("repeats") * F.col("idf") * f * F.lit(K1 + 1) / (f + scale)).alias("score"))
 
 
+def asked_postings(docs: DataFrame, vocabulary: DataFrame, *sample: str, source_id: str = "source_id") -> DataFrame:
+    """``sample, source_id, length, token, frequency`` of the tokens of ``vocabulary`` (sample, token) in each document.
+
+    Every document has a row: its other tokens are counted together under a null token. That happens inside the
+    task that reads the document when the vocabulary is small enough for Spark to broadcast.
+    """
+    tokens = docs.select(*sample, source_id, lexical_tokens(F.coalesce("text", F.lit(""))).alias("tokens"))
+    rows = tokens.select(*sample, source_id, F.size("tokens").alias("length"), F.explode_outer("tokens").alias("_token"))
+    known = vocabulary.withColumnRenamed("token", "_token").withColumn("_asked", F.lit(True))
+    rows = rows.join(known, [*sample, "_token"], "left").withColumn("token", F.when(F.col("_asked"), F.col("_token")))
+    return rows.groupBy(*sample, source_id, "length", "token").agg(F.count(F.lit(1)).alias("frequency"))
+
+
+def bm25_top_k(questions: DataFrame, docs: DataFrame, k: int, *sample: str, itself: bool = True, question_id: str = "question_id", source_id: str = "source_id") -> DataFrame:
+    """The k best documents of each question of its sample, those with score 0 included. ``itself``: a document may answer its own question.
+
+    The first k + 1 unscored documents are among the first 2 k + 1 of the sample in order of the id as a string.
+    """
+    if not sample:
+        one = lambda frame: frame.withColumn("_sample", F.lit(0))
+        return bm25_top_k(one(questions), one(docs), k, "_sample", itself=itself, question_id=question_id, source_id=source_id).drop("_sample")
+    other = F.lit(True) if itself else F.col(question_id) != F.col(source_id)
+    top = materialize(top_k(bm25(questions, docs, *sample, question_id=question_id, source_id=source_id).where(other), k, *sample, question_id, source_id=source_id), "bm25")
+    order = Window.partitionBy(*sample).orderBy(F.col(source_id).cast("string"))
+    first = docs.select(*sample, source_id).withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= 2 * k + 1).drop("_r")
+    few = questions.select(*sample, question_id).join(top.groupBy(*sample, question_id).agg(F.count(F.lit(1)).alias("_n")), [*sample, question_id], "left").where(F.coalesce("_n", F.lit(0)) < k)
+    more = few.drop("_n").join(first, list(sample)).where(other).join(top, [*sample, question_id, source_id], "left_anti").withColumn("score", F.lit(0.0))
+    return top_k(top.drop("rank").unionByName(more), k, *sample, question_id, source_id=source_id)
+
+
 def top_k(scored: DataFrame, k: int, *question: str, source_id: str = "source_id", score: str = "score") -> DataFrame:
     """The k best sources of each question with their ``rank`` (long, from 1); scores are rounded to 9 places first."""
     scored = scored.withColumn(score, F.round(score, 9))
@@ -55,10 +89,16 @@ def top_k(scored: DataFrame, k: int, *question: str, source_id: str = "source_id
     return scored.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
 
 
-def cosine(a: Column, b: Column) -> Column:
-    """Cosine of two float arrays in double precision."""
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda n, v: n + v)
-    return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+def dot(a: Column, b: Column) -> Column:
+    """Dot product of two double arrays."""
+    return F.aggregate(F.zip_with(a, b, lambda p, q: p * q), F.lit(0.0), lambda n, v: n + v)
+
+
+def unit(a: Column) -> Column:
+    """A float array in double precision, divided by its length."""
+    double = F.transform(a, lambda x: x.cast("double"))
+    norm = F.sqrt(dot(double, double))
+    return F.transform(double, lambda x: x / norm)
 
 
 def fuse(first: DataFrame, second: DataFrame, k: int, *question: str, source_id: str = "source_id", rrf_k: int = RRF_K) -> DataFrame:
