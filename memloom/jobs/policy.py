@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from memloom.functions.text import approx_tokens, token_set
+from memloom.functions.text import approx_tokens
 from memloom.jobs import domain, retrieval
-from memloom.operators import policy
+from memloom.operators import policy, state
 from memloom.sources.tables import table
 
 BUDGET = 400
@@ -52,26 +52,19 @@ def beam_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def exact_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The most probable set of each unit, ties by the smaller mask."""
+    """The most probable set of each unit, ties by smaller ids."""
     sets = policy.prefixes(_units(spark, sf_dir), BUDGET)
     scored = policy.sequence_logps(sets, _actions(sets)).withColumn("logp", F.round("logp", 8))
-    best = Window.partitionBy("unit").orderBy(F.col("logp").desc(), "mask")
-    return scored.withColumn("r", F.row_number().over(best)).where("r = 1").select("unit", "mask", "logp")
+    return policy.best_set(scored, "logp").select("unit", "mask", "logp")
 
 
 def candidate_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For the last two turns of each conversation as fresh sources: those, then up to 3 earlier ones by overlap and recency."""
-    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", token_set(F.col("text")).alias("tokens"))
-    last = turns.groupBy("conv_id").agg(F.max("turn").alias("last"))
-    rows = turns.join(last, "conv_id")
-    fresh = rows.where("turn > last - 2")
-    asked = fresh.groupBy("conv_id").agg(F.array_distinct(F.flatten(F.collect_list("tokens"))).alias("asked"))
-    old = rows.where("turn <= last - 2").join(asked, "conv_id").withColumn("overlap", F.size(F.array_intersect("tokens", "asked")).cast("long"))
-    order = Window.partitionBy("conv_id").orderBy(F.col("overlap").desc(), F.col("turn").desc())
-    old = old.withColumn("r", F.row_number().over(order)).where("r <= 3")
-    both = fresh.select("conv_id", "turn", F.lit(0).alias("part"), F.col("turn").alias("at"), F.lit(None).cast("long").alias("overlap")).unionByName(old.select("conv_id", "turn", F.lit(1).alias("part"), F.col("r").cast("long").alias("at"), "overlap"))
-    number = F.row_number().over(Window.partitionBy("conv_id").orderBy("part", "at")).cast("long")
-    return both.select("conv_id", "turn", "overlap", number.alias("id"))
+    """For the last two turns of each conversation as fresh sources: those, then earlier ones by lexical score and recency."""
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("unit"), F.col("turn").alias("place"), F.col("turn").cast("string").alias("source_id"), "text")
+    last = turns.groupBy("unit").agg(F.max("place").alias("last"))
+    rows = turns.join(last, "unit").withColumn("fresh", F.expr("place > last - 2")).drop("last")
+    out = state.candidate_sources(rows)
+    return out.select(F.col("unit").alias("conv_id"), F.col("place").alias("turn"), F.round("overlap", 9).alias("overlap"), "id")
 
 
 def evidence_overlap_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,6 +112,8 @@ _LOGPS = f"""
   lp AS (SELECT unit, mask, id, logit - ln(sum(exp(logit)) OVER (PARTITION BY unit, mask)) AS logp FROM act),
   steps AS (SELECT unit, mask AS terminal, cost, 0 AS id, mask AS mask FROM ok UNION ALL SELECT unit, mask, cost, k, mask & ((1::BIGINT << (k - 1)) - 1) FROM (SELECT *, unnest(ids) AS k FROM ok)),
   seq AS (SELECT steps.unit, terminal AS mask, any_value(cost) AS cost, sum(logp) AS logp FROM steps JOIN lp ON lp.unit = steps.unit AND lp.mask = steps.mask AND lp.id = steps.id GROUP BY ALL)"""
+#: Ids in a mask, in an expression of each.
+_IDS = "list_transform(list_filter(range(1, 65), lambda k: ({m} >> (k - 1)) & 1 = 1), lambda k: {x})"
 _EVIDENCE = "ev AS (SELECT item_id AS question_id, doc_id AS source_id FROM benchmark b JOIN documents d ON contains(d.text, b.text))"
 
 QUERIES = {
@@ -129,15 +124,27 @@ QUERIES = {
         f"""WITH {_LOGPS}, g AS (SELECT unit, cost, exp(logp) AS m, min(cost) OVER (PARTITION BY unit) AS best FROM seq WHERE (mask & 2) = 2)
 SELECT unit, round(-ln(sum(m)), 8) AS nll, round(sum(m * (cost - best) / greatest(best, 1)) / sum(m), 8) AS excess FROM g GROUP BY 1""",
     ),
-    "beam_decode": (beam_decode, None),
-    "exact_decode": (exact_decode, f"WITH {_LOGPS} SELECT unit, mask, logp FROM (SELECT unit, mask, round(logp, 8) AS logp, row_number() OVER (PARTITION BY unit ORDER BY round(logp, 8) DESC, mask) AS r FROM seq) WHERE r = 1"),
+    "beam_decode": (
+        beam_decode,
+        f"""WITH RECURSIVE {_LOGPS},
+  grow AS (SELECT unit, mask, mask | (1::BIGINT << (id - 1)) AS next, logp FROM lp WHERE id > 0),
+  beam AS (
+    SELECT unit, 0::BIGINT AS mask, 0e0 AS score FROM u
+    UNION ALL
+    SELECT unit, mask, score FROM (
+      SELECT beam.unit, next AS mask, score + logp AS score, row_number() OVER (PARTITION BY beam.unit ORDER BY round(score + logp, 9) DESC, {_IDS.format(m='next', x='k')}) AS r
+      FROM beam JOIN grow ON grow.unit = beam.unit AND grow.mask = beam.mask) WHERE r <= 4),
+  ended AS (SELECT beam.unit, beam.mask, score + logp AS score FROM beam JOIN lp ON lp.unit = beam.unit AND lp.mask = beam.mask AND id = 0)
+SELECT unit, mask, round(score, 8) AS score FROM (SELECT *, row_number() OVER (PARTITION BY unit ORDER BY round(score, 9) DESC, {_IDS.format(m='mask', x='-k')} DESC) AS r FROM ended) WHERE r = 1""",
+    ),
+    "exact_decode": (exact_decode, f"WITH {_LOGPS} SELECT unit, mask, logp FROM (SELECT unit, mask, round(logp, 8) AS logp, row_number() OVER (PARTITION BY unit ORDER BY round(logp, 8) DESC, {_IDS.format(m='mask', x='-k')} DESC) AS r FROM seq) WHERE r = 1"),
     "candidate_sources": (
         candidate_sources,
-        """WITH t AS (SELECT conv_id, turn, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS tokens, max(turn) OVER (PARTITION BY conv_id) AS last FROM conversations),
-  a AS (SELECT conv_id, list_distinct(flatten(list(tokens))) AS asked FROM t WHERE turn > last - 2 GROUP BY 1),
-  o AS (SELECT conv_id, turn, overlap, row_number() OVER (PARTITION BY conv_id ORDER BY overlap DESC, turn DESC) AS r FROM (SELECT t.conv_id, turn, len(list_intersect(tokens, asked)) AS overlap FROM t JOIN a ON a.conv_id = t.conv_id WHERE turn <= last - 2)),
-  b AS (SELECT conv_id, turn, 0 AS part, turn AS pos, NULL::BIGINT AS overlap FROM t WHERE turn > last - 2 UNION ALL SELECT conv_id, turn, 1, r, overlap FROM o WHERE r <= 3)
-SELECT conv_id, turn, overlap, row_number() OVER (PARTITION BY conv_id ORDER BY part, pos) AS id FROM b""",
+        """WITH t AS (SELECT conv_id, turn, text, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS tokens, max(turn) OVER (PARTITION BY conv_id) AS last FROM conversations),
+  a AS (SELECT conv_id, list_distinct(regexp_extract_all(lower(string_agg(text, ' ' ORDER BY turn)), '[a-z0-9]+')) AS asked FROM t WHERE turn > last - 2 GROUP BY 1),
+  o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY overlap DESC, turn DESC) AS r FROM (SELECT t.conv_id, turn, len(list_intersect(tokens, asked)) / sqrt((greatest(1, len(asked)) * greatest(1, len(tokens)))::DOUBLE) AS overlap FROM t JOIN a ON a.conv_id = t.conv_id WHERE turn <= last - 2)),
+  b AS (SELECT conv_id, turn, 0 AS part, turn AS pos, NULL::DOUBLE AS overlap FROM t WHERE turn > last - 2 UNION ALL SELECT conv_id, turn, 1, r, overlap FROM o WHERE r <= 16)
+SELECT conv_id, turn, round(overlap, 9) AS overlap, id FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY part, pos) AS id FROM b) WHERE id <= 64""",
     ),
     "evidence_pairs": (evidence_pairs_found, f"WITH {_EVIDENCE} SELECT * FROM ev"),
     "evidence_overlap_jaccard": (

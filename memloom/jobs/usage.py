@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memloom.operators import state
+from memloom.operators import bootstrap, state
 from memloom.operators.certify import guarded_sum
 from memloom.sources.tables import table
 from memloom.streaming import state as streaming
@@ -100,25 +100,25 @@ def session_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return written.select("event_id", seconds.alias("seconds"), F.round((F.lit(1706745600) - seconds) / F.lit(86400.0), 6).alias("age_days"))
 
 
-def bootstrap_ci(spark: SparkSession, sf_dir: str, draws: int = 200, seed: int = 7) -> DataFrame:
-    """95 % interval of the mean score gap to 'view' by a Poisson bootstrap over samples.
-
-    Each sample's weight in a draw comes from a hash of seed, draw and sample, so draws need no
-    gathered sample: every draw is a weighted aggregate.
-    """
+def bootstrap_ci(spark: SparkSession, sf_dir: str, draws: int = 2000, seed: int = 7) -> DataFrame:
+    """95 % interval of the mean score gap to 'view' over samples, by resampling them with replacement."""
     means = _arm_means(spark, sf_dir)
     base = means.where("arm = 'view'").select("sample_id", F.col("score").alias("base"))
-    gaps = means.where("arm <> 'view'").join(base, "sample_id").select("arm", "sample_id", (F.col("base") - F.col("score")).alias("gap"))
-    drawn = gaps.select("*", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw"))
-    chance = F.pmod(F.xxhash64(F.lit(seed), "draw", "sample_id"), F.lit(1 << 24)) / float(1 << 24)
-    limits, p, total = [], 0.36787944117144233, 0.0
-    for k in range(1, 8):  # the distribution of a Poisson variable of mean 1
-        total += p
-        limits.append(total)
-        p /= k
-    weight = sum(((chance >= x).cast("int") for x in limits[1:]), (chance >= limits[0]).cast("int"))
-    per_draw = drawn.withColumn("w", weight).groupBy("arm", "draw").agg((F.sum(F.col("w") * F.col("gap")) / F.nullif(F.sum("w"), F.lit(0))).alias("m"))
-    return per_draw.groupBy("arm").agg(F.round(F.percentile("m", F.lit(0.025)), 9).alias("low"), F.round(F.percentile("m", F.lit(0.975)), 9).alias("high"))
+    gaps = means.where("arm <> 'view'").join(base, "sample_id").select("arm", F.col("sample_id").alias("id"), F.round(F.col("base") - F.col("score"), 12).alias("gap"))
+    sorted_means = F.array_sort(F.collect_list("mean"))
+    at = lambda share: F.round(F.element_at("means", int(share * (draws - 1)) + 1), 9)
+    return bootstrap.resampled_means(gaps, "arm", draws, seed).groupBy("arm").agg(sorted_means.alias("means")).select("arm", at(0.025).alias("low"), at(0.975).alias("high"))
+
+
+def paired_bound(spark: SparkSession, sf_dir: str, draws: int = 500, seed: int = 7) -> DataFrame:
+    """Over the questions (sample, category) of both arms, categories 1 to 4: loss against 'view', its one-sided 95 % upper bound, and tokens saved."""
+    rows = _scores(spark, sf_dir).where("category <= 4").groupBy("arm", "sample_id", "category").agg(F.avg("score").alias("score"), F.sum("tokens").alias("tokens"))
+    base = rows.where("arm = 'view'").select("sample_id", "category", F.col("score").alias("base_score"), F.col("tokens").alias("base_tokens"))
+    both = rows.where("arm <> 'view'").join(base, ["sample_id", "category"])
+    gaps = both.select("arm", (F.col("sample_id") * 10 + F.col("category")).alias("id"), F.round(F.col("base_score") - F.col("score"), 12).alias("gap"))
+    upper = bootstrap.resampled_means(gaps, "arm", draws, seed).groupBy("arm").agg(F.round(F.percentile("mean", F.lit(0.95)), 9).alias("one_sided_95_upper"))
+    flat = both.groupBy("arm").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.col("base_score") - F.col("score")), 9).alias("quality_loss"), F.round(1.0 - F.sum("tokens") / F.sum("base_tokens"), 9).alias("saving_build"))
+    return flat.join(upper, "arm")
 
 
 def journal_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -175,6 +175,15 @@ def break_even(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SCORES = """s AS (SELECT event_type AS arm, user_id AS sample_id, event_id, event_id % 5 + 1 AS category, least(1e0, value / 1e2) AS score, (value > 50)::DOUBLE AS exact_match, value > 5 AS ok,
   CASE WHEN event_id % 997 = 3 THEN NULL ELSE floor(value)::BIGINT END AS tokens FROM events)"""
 _MEANS = f"{_SCORES}, m AS (SELECT arm, sample_id, avg(score) AS score, sum(tokens)::BIGINT AS tokens FROM s GROUP BY ALL)"
+
+
+def _resampled(draws: int, seed: int) -> str:
+    """CTEs from ``g`` (arm, id, gap) to ``resampled`` (arm, draw, mean)."""
+    return f"""numbered AS (SELECT arm, gap, row_number() OVER (PARTITION BY arm ORDER BY id) AS k, count(*) OVER (PARTITION BY arm) AS n FROM g),
+  drawn AS (SELECT arm, n, draw, {bootstrap.pick_sql('k', 'draw', seed)} % n + 1 AS k FROM (SELECT *, unnest(range(1, {draws + 1})) AS draw FROM numbered)),
+  resampled AS (SELECT d.arm, draw, sum(gap) / any_value(d.n) AS mean FROM drawn d JOIN numbered x ON x.arm = d.arm AND x.k = d.k GROUP BY d.arm, draw)"""
+
+
 _STATE = "SELECT user_id, min(event_id) AS place, max_by(value, event_id) AS value, count(*) AS version FROM events GROUP BY 1"
 
 QUERIES = {
@@ -208,7 +217,18 @@ SELECT model, min(budget) FILTER (WHERE passed) AS budget FROM p GROUP BY 1""",
         session_dates,
         "WITH p AS (SELECT event_id, CASE WHEN event_id % 4 < 3 THEN epoch(date_trunc('minute', ts))::BIGINT END AS seconds FROM events) SELECT event_id, seconds, round((1706745600 - seconds) / 864e2, 6) AS age_days FROM p",
     ),
-    "bootstrap_ci": (bootstrap_ci, None),
+    "bootstrap_ci": (
+        bootstrap_ci,
+        f"""WITH {_MEANS}, g AS (SELECT a.arm, a.sample_id AS id, round(b.score - a.score, 12) AS gap FROM m a JOIN m b ON a.sample_id = b.sample_id AND b.arm = 'view' WHERE a.arm <> 'view'), {_resampled(2000, 7)}
+SELECT arm, round(list_sort(list(mean))[50], 9) AS low, round(list_sort(list(mean))[1950], 9) AS high FROM resampled GROUP BY 1""",
+    ),
+    "paired_bound": (
+        paired_bound,
+        f"""WITH {_SCORES}, m AS (SELECT arm, sample_id, category, avg(score) AS score, sum(tokens)::BIGINT AS tokens FROM s WHERE category <= 4 GROUP BY ALL),
+  p AS (SELECT a.arm, a.sample_id * 10 + a.category AS id, b.score - a.score AS raw, a.tokens, b.tokens AS base_tokens FROM m a JOIN m b ON a.sample_id = b.sample_id AND a.category = b.category AND b.arm = 'view' WHERE a.arm <> 'view'),
+  g AS (SELECT arm, id, round(raw, 12) AS gap FROM p), {_resampled(500, 7)}, up AS (SELECT arm, round(quantile_cont(mean, 0.95), 9) AS one_sided_95_upper FROM resampled GROUP BY 1)
+SELECT p.arm, count(*) AS n, round(avg(raw), 9) AS quality_loss, round(1e0 - sum(tokens)::DOUBLE / sum(base_tokens), 9) AS saving_build, any_value(one_sided_95_upper) AS one_sided_95_upper FROM p JOIN up ON up.arm = p.arm GROUP BY 1""",
+    ),
     "journal_merge": (
         journal_merge,
         """WITH g AS (SELECT user_id, event_type, coalesce(min(event_id) FILTER (WHERE value > 30), max(event_id)) AS event_id, count(*) FILTER (WHERE value > 30) > 0 AS done FROM events GROUP BY ALL)

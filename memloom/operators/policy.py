@@ -44,6 +44,17 @@ def action_logps(sets: DataFrame, logit: Column, stop_logit: Column) -> DataFram
     return every.withColumn("logp", F.col("logit") - logsumexp("logit", "unit", "mask")).drop("logit")
 
 
+def ids_key(mask: str = "mask", sign: int = 1) -> Column:
+    """The sorted ids in a mask as an array to order by; with sign -1 negated, so that smaller ids and then longer sets come last."""
+    return F.expr(f"transform(filter(sequence(1, 64), i -> (shiftright({mask}, i - 1) & 1) = 1), i -> {sign} * i)")
+
+
+def best_set(scored: DataFrame, score: str) -> DataFrame:
+    """The row of each unit with the best score; among equals the one with smaller ids, an extension before its own prefix."""
+    order = Window.partitionBy("unit").orderBy(F.col(score).desc(), ids_key(sign=-1).desc())
+    return scored.withColumn("_r", F.row_number().over(order)).where("_r = 1").drop("_r")
+
+
 def sequence_logps(sets: DataFrame, actions: DataFrame) -> DataFrame:
     """``unit, mask, cost, logp``: the log-probability of ending with each set, along its sorted ids."""
     ids = F.expr("filter(sequence(0, int(n)), k -> k = 0 OR (shiftright(mask, k - 1) & 1) = 1)")
@@ -64,11 +75,12 @@ def risk(logps: DataFrame, success: Column) -> DataFrame:
 def beam(actions: DataFrame, sets: DataFrame, width: int, depth: int | None = None) -> DataFrame:
     """The best terminal set of each unit that a beam of ``width`` prefixes meets within ``depth`` steps, or until no prefix is left.
 
-    One level is one join and one ranking window; ties prefer the smaller mask.
+    One level is one join and one ranking window. Among prefixes of equal scores smaller ids stay; for the end see :func:`best_set`.
     """
-    order = Window.partitionBy("unit").orderBy(F.round("score", 9).desc(), "mask")
+    order = Window.partitionBy("unit").orderBy(F.round("score", 9).desc(), ids_key())
     state = sets.where("mask = 0").select("unit", "mask", F.lit(0.0).alias("score"))
     ended = None
+    actions = materialize(actions, "actions")
     if depth is None:  # no prefix is longer than the largest set
         depth = sets.agg(F.max("size")).first()[0] or 0
     for _ in range(depth + 1):
@@ -78,4 +90,4 @@ def beam(actions: DataFrame, sets: DataFrame, width: int, depth: int | None = No
         state = moved.where("id <> 0").drop("id").withColumn("r", F.row_number().over(order)).where(F.col("r") <= width).drop("r")
         if depth > 8:  # the plan of a long beam would hold every level many times
             state = materialize(state, "beam")
-    return ended.withColumn("r", F.row_number().over(order)).where("r = 1").drop("r")
+    return best_set(ended.withColumn("_score", F.round("score", 9)), "_score").drop("_score")
