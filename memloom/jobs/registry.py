@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from memloom.jobs import domain, memory, policy, retrieval, text, usage
+from memloom.jobs import checks, domain, memory, persistent, policy, report, retrieval, text, usage
 
 #: Modules of memloom.jobs with QUERIES: name -> (function, SQL or None).
-MODULES = [retrieval, text, memory, domain, usage, policy]
+MODULES = [retrieval, text, memory, domain, usage, policy, persistent, report, checks]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -33,7 +33,7 @@ def upsert(writes: DataFrame, key: str, order: str, value: str) -> DataFrame:
 
 def entry_key(text: Column, src: Column) -> Column:
     """What tells entries apart: their sorted sources; for an entry without sources its text in lower case with single spaces."""
-    plain = F.trim(F.regexp_replace(F.lower(F.trim(text)), "\\s+", " "))
+    plain = F.regexp_replace(F.lower(F.regexp_replace(text, "^\\s+|\\s+$", "")), "\\s+", " ")
     return F.when(F.size(src) > 0, F.concat(F.lit("provenance:"), F.to_json(F.array_sort(src)))).otherwise(F.concat(F.lit("text:"), plain))
 
 
@@ -44,7 +44,7 @@ def entries_after(writes: DataFrame) -> DataFrame:
     of source ids as strings, may be null). An entry of the same sources replaces the one before it where that stands, others are appended;
     entry numbers them from 0. Empty statements are no entries. One aggregate per memory and key.
     """
-    rows = writes.select("memory", "version", "place", F.trim("m").alias("m"), F.array_sort(F.coalesce("src", F.array().cast("array<string>"))).alias("src")).where("m <> ''")
+    rows = writes.select("memory", "version", "place", F.regexp_replace("m", "^\\s+|\\s+$", "").alias("m"), F.array_sort(F.coalesce("src", F.array().cast("array<string>"))).alias("src")).where("m <> ''")
     keyed = rows.groupBy("memory", entry_key(F.col("m"), F.col("src")).alias("key")).agg(F.min("place").alias("first"), F.max_by(F.struct("m", "src", "version"), "place").alias("row"))
     place = F.row_number().over(Window.partitionBy("memory").orderBy("first")) - 1
     return keyed.select("memory", place.cast("long").alias("entry"), "row.*")
