@@ -100,9 +100,25 @@ def multi_answer_f1(prediction: Column, gold: Column) -> Column:
     return F.coalesce(F.aggregate(best, F.lit(0.0), lambda n, x: n + x) / F.nullif(F.size(g), F.lit(0)), F.lit(0.0))
 
 
+# Phrases of a refusal.
+REFUSALS = ("no information available", "not mentioned")
+
+
+def refuses(prediction: Column) -> Column:
+    """Whether an answer says that the memory doesn't tell."""
+    lower = F.lower(prediction)
+    return lower.contains(REFUSALS[0]) | lower.contains(REFUSALS[1])
+
+
+def category_exact_match(category: Column, prediction: Column, gold: Column) -> Column:
+    """Exact match by category: of category 3 the first part of the gold answer counts, of category 5 a refusal."""
+    first = F.when(category == 3, F.trim(F.element_at(F.split(gold, ";"), 1))).otherwise(gold)
+    return F.when(category == 5, refuses(prediction).cast("double")).otherwise(exact_match(prediction, first))
+
+
 def category_score(category: Column, prediction: Column, gold: Column) -> Column:
     """The score of an answer by its question's category (1 to 5); any other category raises."""
-    refusal = F.lower(prediction).contains("no information available") | F.lower(prediction).contains("not mentioned")
+    refusal = refuses(prediction)
     return (
         F.when(category == 1, multi_answer_f1(prediction, gold))
         .when(category.isin(2, 4), token_f1(prediction, gold))

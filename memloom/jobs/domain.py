@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from memloom.functions.text import approx_tokens
 from memloom.operators import certify
 from memloom.operators import domain as d
+from memloom.operators.structure import ARCHITECTURES
 from memloom.sources.tables import table
 
 SHORTLIST, LIMIT, BUDGETS = 8, 600, (128, 256, 512)
@@ -81,6 +82,44 @@ def form_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _domain(spark, sf_dir).join(_units(spark, sf_dir).drop("n"), "unit").select("unit", "mask", d.covers().alias("covers"))
 
 
+def evaluation_order(spark: SparkSession, sf_dir: str, most: int = 16) -> DataFrame:
+    """The first sets of each unit in the order of their evaluation: the full set, then by cost and ids."""
+    return d.evaluation_order(_domain(spark, sf_dir), most).select("unit", "mask", "place")
+
+
+def _solutions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evaluated sets under each architecture, whose structure costs ``index * size`` more, with a stand-in audit."""
+    rows = _domain(spark, sf_dir).withColumn("size", F.bit_count("mask"))
+    index = F.explode(F.array(*(F.lit(i) for i in range(len(ARCHITECTURES))))).alias("g")
+    rows = rows.select("unit", "mask", "cost", "size", index).withColumn("architecture", F.element_at(F.array(*map(F.lit, ARCHITECTURES)), F.col("g") + 1))
+    status = F.expr("CASE pmod(mask % 5 * 7 + unit + g * 3, 4) WHEN 0 THEN 'PASS' WHEN 1 THEN 'FAIL' WHEN 2 THEN 'UNKNOWN' ELSE 'PASS' END")
+    return rows.select("unit", "mask", "architecture", F.expr("cost + g * size * 9").alias("cost"), status.alias("status"))
+
+
+def conservative_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cost of each set under its dearest architecture, and the architectures that a budget of 256 leaves it."""
+    return d.architecture_choice(_solutions(spark, sf_dir), 256).withColumn("feasible", F.array_join("feasible", ","))
+
+
+def architecture_gain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per unit: sets for which some architecture is better than Flat, the mean gain in utility, and the best gain."""
+    gains = d.architecture_gain(_solutions(spark, sf_dir))
+    return gains.groupBy("unit").agg(F.count_if(F.col("gain") > 0).alias("better"), F.round(F.avg("gain"), 9).alias("mean_gain"), F.max("gain").alias("best_gain"))
+
+
+def solution_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Joint positive labels of each unit: the passing solutions of two archives, each once, the first archive's before the other's."""
+    old = _solutions(spark, sf_dir).where("status = 'PASS' AND cost <= 256").withColumn("archive", F.lit(1))
+    new = _solutions(spark, sf_dir).where("status = 'PASS' AND cost > 128").withColumn("archive", F.lit(2))
+    return d.first_of_archives(old.unionByName(new)).select("unit", "architecture", "mask", "cost", F.col("archive").cast("long").alias("archive"))
+
+
+def train_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per unit and budget: labels (cheap sets with a stand-in mark), those among them that never passed, and whether the row can train."""
+    rows = _evaluated(spark, sf_dir).withColumn("label", F.expr("pmod(mask + unit, 3) = 0 AND status IN ('PASS', 'UNKNOWN') AND (status = 'PASS' OR unit % 4 = 0)"))
+    return d.label_check(rows, "unit", "budget")
+
+
 def archive_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Similarity of what neighbouring budgets let pass."""
     passing = _evaluated(spark, sf_dir).where("status = 'PASS'").select("unit", "mask", "budget")
@@ -120,14 +159,17 @@ _DOMAIN = f"""
   made AS (
     SELECT DISTINCT unit, n, (1::BIGINT << n) - 1 AS mask, 1 AS priority, (1::BIGINT << n) - 1 AS base FROM bases
     UNION ALL SELECT unit, n, base | coalesce(list_sum(list_transform(range(1, len(bits) + 1), lambda k: CASE WHEN (pick >> (k - 1)) & 1 = 1 THEN bits[k] ELSE 0 END)), 0)::BIGINT, 2, base FROM (SELECT *, unnest(range(0, 1::BIGINT << len(bits))) AS pick FROM sl)
-    UNION ALL SELECT unit, n, base | (1::BIGINT << (id - 1)), 3, base FROM o WHERE place > {SHORTLIST}),
-  best AS (SELECT unit, n, mask, min(row(priority, list_filter(range(1, n + 1), lambda k: (base >> (k - 1)) & 1 = 1), base)) AS w FROM made GROUP BY ALL),
-  priced AS (SELECT best.unit, best.n, mask, w[1] AS priority, w[3] AS base, list_filter(range(1, best.n + 1), lambda k: (mask >> (k - 1)) & 1 = 1) AS ids, costs FROM best JOIN u USING (unit)),
+    UNION ALL SELECT b.unit, n, base | (((1::BIGINT << n) - 1) & ~support), 3, base FROM bases b JOIN (SELECT unit, bit_or(m) AS support FROM (SELECT unit, p1 AS m FROM p UNION ALL SELECT unit, p2 FROM q) GROUP BY 1) x ON x.unit = b.unit),
+  best AS (SELECT unit, n, mask, min(row(priority > 1, list_filter(range(1, n + 1), lambda k: (base >> (k - 1)) & 1 = 1), priority, base)) AS w FROM made GROUP BY ALL),
+  priced AS (SELECT best.unit, best.n, mask, w[3] AS priority, w[4] AS base, list_filter(range(1, best.n + 1), lambda k: (mask >> (k - 1)) & 1 = 1) AS ids, costs FROM best JOIN u USING (unit)),
   pc AS (SELECT *, list_transform(range(1, len(ids) + 1), lambda k: list_sum(list_transform(ids[1:k], lambda j: costs[j])) + CASE WHEN k = 1 THEN {d.SINGLE} ELSE 0 END) AS prefix FROM priced),
   dom AS (SELECT *, coalesce(prefix[len(prefix)], 0)::BIGINT AS cost FROM pc WHERE coalesce(prefix[len(prefix)], 0) <= {LIMIT}),
   ev AS (SELECT *, CASE (mask * 7 + unit) % 5 WHEN 0 THEN 'PASS' WHEN 1 THEN 'PASS' WHEN 2 THEN 'UNKNOWN' WHEN 3 THEN 'FAIL' END AS status
     FROM (SELECT *, unnest({list(BUDGETS)})::BIGINT AS budget FROM dom) WHERE len(list_filter(prefix, lambda c: c > budget)) = 0)"""
 
+_SOLUTIONS = f"""sol AS (SELECT unit, mask, {list(ARCHITECTURES)}[g + 1] AS architecture, cost + g * len(ids) * 9 AS cost, CASE (mask % 5 * 7 + unit + g * 3) % 4 WHEN 0 THEN 'PASS' WHEN 1 THEN 'FAIL' WHEN 2 THEN 'UNKNOWN' ELSE 'PASS' END AS status
+  FROM (SELECT *, unnest(range(0, {len(ARCHITECTURES)})) AS g FROM dom))"""
+
 QUERIES = {
     "package_product": (package_product, f"WITH {_DOMAIN} SELECT unit, base FROM bases"),
     "context_order": (context_order, f"WITH {_DOMAIN} SELECT unit, base, id, place FROM o"),
@@ -147,6 +189,23 @@ SELECT *, upper - lower AS gap, coalesce(upper = lower, false) AS closed FROM b"
         archive_jaccard,
         f"""WITH {_DOMAIN}, f AS (SELECT unit, mask, max((budget = 128)::INT) AS a, max((budget = 256)::INT) AS b, max((budget = 512)::INT) AS c FROM ev WHERE status = 'PASS' GROUP BY ALL)
 SELECT unit, round(sum(a * b)::DOUBLE / nullif(sum(greatest(a, b)), 0), 9) AS j_128_256, round(sum(b * c)::DOUBLE / nullif(sum(greatest(b, c)), 0), 9) AS j_256_512 FROM f GROUP BY 1""",
+    ),
+    "evaluation_order": (evaluation_order, f"WITH {_DOMAIN} SELECT unit, mask, place FROM (SELECT unit, mask, row_number() OVER (PARTITION BY unit ORDER BY mask <> (1::BIGINT << n) - 1, cost, ids) AS place FROM dom) WHERE place <= 16"),
+    "conservative_cost": (conservative_cost, f"WITH {_DOMAIN}, {_SOLUTIONS} SELECT unit, mask, max(cost) AS conservative_cost, string_agg(architecture, ',' ORDER BY architecture) FILTER (WHERE cost <= 256) AS feasible FROM sol GROUP BY ALL".replace("string_agg(", "coalesce(string_agg(").replace("WHERE cost <= 256) AS", "WHERE cost <= 256), '') AS")),
+    "architecture_gain": (
+        architecture_gain,
+        f"""WITH {_DOMAIN}, {_SOLUTIONS}, v AS (SELECT *, CASE status WHEN 'PASS' THEN 1e0 WHEN 'FAIL' THEN -1e0 ELSE 0e0 END AS utility FROM sol),
+  x AS (SELECT unit, mask, max(utility) - max(utility) FILTER (WHERE architecture = 'Flat') AS gain FROM v GROUP BY ALL)
+SELECT unit, count(*) FILTER (WHERE gain > 0) AS better, round(avg(gain), 9) AS mean_gain, max(gain) AS best_gain FROM x GROUP BY 1""",
+    ),
+    "solution_labels": (
+        solution_labels,
+        f"WITH {_DOMAIN}, {_SOLUTIONS} SELECT unit, architecture, mask, cost, CASE WHEN cost <= 256 THEN 1 ELSE 2 END::BIGINT AS archive FROM sol WHERE status = 'PASS'",
+    ),
+    "train_rows": (
+        train_rows,
+        f"""WITH {_DOMAIN}, l AS (SELECT *, (mask + unit) % 3 = 0 AND (status = 'PASS' OR (status = 'UNKNOWN' AND unit % 4 = 0)) AS label FROM ev)
+SELECT unit, budget, count(*) FILTER (WHERE label) AS labels, count(*) FILTER (WHERE label AND status <> 'PASS') AS unverified, count(*) FILTER (WHERE label) > 0 AND count(*) FILTER (WHERE label AND status <> 'PASS') = 0 AS usable FROM l GROUP BY ALL""",
     ),
     "tri_state_audit": (
         tri_state_audit,

@@ -107,6 +107,39 @@ def history_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.admit(items, "sample_id", ["session_index", "turn_index", "chunk_index", "source_id"], {"blocks": 6, "token_count": 300})
 
 
+def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as raw nested records of sessions of three turns, with an alias, dates that some lack, and keys that are no sessions."""
+    turns = _conversations(spark, sf_dir).withColumn("s", F.expr("turn div 3 * 5 + 1"))
+    turn = F.struct(F.expr("if(turn % 4 = 3, NULL, concat('T', turn div 2))").alias("dia_id"), F.expr("CASE role WHEN 'user' THEN 'speaker_a' ELSE role END").alias("speaker"), F.expr("if(turn % 11 = 7, ' ', text)").alias("text"))
+    sessions = turns.groupBy("conv_id", "s").agg(F.array_sort(F.collect_list(F.struct("turn", turn.alias("t")))).alias("ts")).select("conv_id", "s", F.to_json("ts.t").alias("turns"))
+    parts = F.concat(F.lit('"session_'), "s", F.lit('":'), "turns", F.expr("if(s % 2 = 1 AND conv_id % 3 = 0, '', concat(',\"session_', s, '_date_time\":\"day ', s, '\"'))"))
+    whole = sessions.groupBy("conv_id").agg(F.sort_array(F.collect_list(parts)).alias("parts"))
+    return whole.select(F.col("conv_id").cast("string").alias("sample_id"), F.concat(F.lit('{"speaker_a":"Ann","session_9":"none","sessions":[1],'), F.array_join("parts", ","), F.lit("}")).alias("conversation"))
+
+
+def record_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of raw nested records."""
+    return b.sessions_of(_records(spark, sf_dir))
+
+
+def record_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the raw records lack or repeat."""
+    return b.record_audit(b.sessions_of(_records(spark, sf_dir)))
+
+
+def fallback_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks of the labelled turns (their own and the one before the last) of every question."""
+    turns = _conversations(spark, sf_dir)
+    questions = b.questions_of(turns).withColumn("turn", F.expr("cast(split(qa_id, ':q')[1] AS bigint)")).withColumn("evidence", F.expr("array(concat('D', turn div 4 + 1, ':', turn % 4 + 1), concat('D', (turn - 1) div 4 + 1, ':', (turn - 1) % 4 + 1), 'D99:9')"))
+    return b.fallback_evidence(questions, b.blocks_of(turns, 64), 3).select("qa_id", "source_id", "place")
+
+
+def write_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks of each conversation that a write takes in order of turn and chunk, under caps on count, tokens and full input."""
+    items = b.blocks_of(_conversations(spark, sf_dir), 64).select("sample_id", "turn_index", "chunk_index", "source_id", F.lit(1).alias("blocks"), "token_count", (F.col("token_count") + 12).alias("input"))
+    return packing.admit(items, "sample_id", ["turn_index", "chunk_index", "source_id"], {"blocks": 5, "token_count": 250, "input": 270})
+
+
 def annotation_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reasons why made-up annotations of the conversations are not valid."""
     units = _conversations(spark, sf_dir).groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"))
@@ -141,6 +174,11 @@ _QUESTIONS = """q AS (SELECT conv_id::VARCHAR AS sample_id, conv_id || ':q' || t
 _NODES = "n AS (SELECT conv_id AS unit, turn + 1 AS id, CASE WHEN turn % 5 <> 4 THEN turn // 3 END AS session FROM conversations)"
 
 
+_RECORD_TURNS = r"""rt AS (SELECT conv_id::VARCHAR AS sample_id, 'session_' || s AS session_id, s AS session_index, CASE WHEN s % 2 = 1 AND conv_id % 3 = 0 THEN '' ELSE 'day ' || s END AS session_datetime, turn % 3 AS position_in_session,
+  CASE WHEN turn % 4 = 3 THEN 'D' || s || ':' || (turn % 3 + 1) ELSE 'T' || (turn // 2) END AS dia_id, CASE role WHEN 'user' THEN 'Ann' ELSE role END AS speaker, CASE WHEN turn % 11 = 7 THEN '' ELSE regexp_replace(text, '^\s+|\s+$', '', 'g') END AS text, turn AS turn_index
+  FROM (SELECT *, turn // 3 * 5 + 1 AS s FROM conversations))"""
+
+
 def _fold(items: str, unit: str, order: list[str], costs: dict[str, int]) -> str:
     """The fold as a recursive CTE over numbered items."""
     by, cols = ", ".join(order), ", ".join([*order, *costs])
@@ -173,6 +211,21 @@ SELECT conv_id, sum(n)::BIGINT AS turns, sum(empty)::BIGINT AS empty_texts, coun
   x AS (SELECT conv_id, turn_index, i - 1 AS place, ids[i] AS dia_id FROM (SELECT *, unnest(range(1, 3)) AS i FROM e))
 SELECT conv_id::VARCHAR AS sample_id, turn_index, place, dia_id, EXISTS (SELECT 1 FROM t WHERE t.conv_id = x.conv_id AND t.dia_id = x.dia_id) AS known FROM x""",
     ),
+    "record_turns": (record_turns, f"WITH {_RECORD_TURNS} SELECT sample_id, session_id, session_index, session_datetime, position_in_session, dia_id, speaker, text, turn_index FROM rt"),
+    "record_audit": (
+        record_audit,
+        f"""WITH {_RECORD_TURNS} SELECT sample_id, 'missing_session_date' AS problem, session_id AS name FROM rt WHERE session_datetime = '' AND position_in_session = 0 UNION ALL SELECT sample_id, 'empty_turn', dia_id FROM rt WHERE text = ''
+UNION ALL SELECT sample_id, 'duplicate_dia_id', dia_id FROM rt GROUP BY ALL HAVING count(*) > 1""",
+    ),
+    "fallback_evidence": (
+        fallback_evidence,
+        f"""WITH {_blocks(49)}, {_QUESTIONS}, w AS (SELECT sample_id, qa_id, unnest([n, n - 1]) AS turn_index FROM (SELECT *, split_part(qa_id, ':q', 2)::BIGINT AS n FROM q))
+SELECT qa_id, source_id, place FROM (SELECT qa_id, source_id, row_number() OVER (PARTITION BY qa_id ORDER BY b.turn_index, chunk_index, source_id) AS place FROM w JOIN blocks b ON b.sample_id = w.sample_id AND b.turn_index = w.turn_index) WHERE place <= 3""".replace("w AS (SELECT sample_id", "wt AS (SELECT sample_id").replace("FROM w JOIN", "FROM wt w JOIN"),
+    ),
+    "write_candidates": (
+        write_candidates,
+        _fold(f'{_blocks(49)}, items AS (SELECT sample_id, turn_index, chunk_index, source_id, 1::BIGINT AS blocks, token_count, token_count + 12 AS "input" FROM blocks)', "sample_id", ["turn_index", "chunk_index", "source_id"], {"blocks": 5, "token_count": 250, "input": 270}),
+    ),
     "annotation_check": (
         annotation_check,
         """SELECT conv_id, CASE conv_id % 6 WHEN 0 THEN CASE WHEN n < 2 THEN 'unknown source' END WHEN 1 THEN 'repeated requirement' WHEN 2 THEN 'unknown source' WHEN 3 THEN 'empty or repeated sources' WHEN 4 THEN 'too many requirements' ELSE 'no requirements' END AS reason

@@ -64,6 +64,13 @@ def category_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("conv_id", "turn", "category", F.round(t.category_score(F.col("category"), F.col("text"), F.col("answer")), 9).alias("score"))
 
 
+def category_exact_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact match of every turn with itself behind an article (or, for category 3, with a first part), by category."""
+    category = (F.pmod(F.col("conv_id") + F.col("turn"), F.lit(5)) + 1).cast("long")
+    scored = _answered(spark, sf_dir).withColumn("category", category).withColumn("gold", F.expr("if(turn % 2 = 0, concat('The ', text, if(category = 3, ' ; because', '')), answer)"))
+    return scored.select("conv_id", "turn", "category", t.category_exact_match(F.col("category"), F.col("text"), F.col("gold")).alias("exact_match"))
+
+
 _PAIRS = "pairs AS (SELECT * FROM (SELECT conv_id, turn, text, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS answer FROM conversations) WHERE answer IS NOT NULL)"
 _WORDS = "list_filter(string_split_regex(text, '[ \\t\\n\\r]+'), lambda w: w <> '')"
 
@@ -111,4 +118,10 @@ SELECT conv_id, turn, (p = g)::DOUBLE AS next_match, (p = u)::DOUBLE AS own_matc
   SELECT conv_id, turn, (conv_id + turn) % 5 + 1 AS category, lower(text) AS low, {_normal("text")} AS p, {_normal("answer")} AS g, {_normal("trim(split_part(answer, ';', 1))")} AS g3, {_parts("text")} AS pp, {_parts("answer")} AS gp FROM pairs)
 SELECT conv_id, turn, category, round(CASE category WHEN 1 THEN {_MULTI} WHEN 3 THEN {_f1("p", "g3")} WHEN 5 THEN (contains(low, 'no information available') OR contains(low, 'not mentioned'))::DOUBLE ELSE {_f1("p", "g")} END, 9) AS score FROM parts""",
     ),
+    "category_exact_match": (
+        category_exact_match,
+        f"""WITH {_PAIRS}, c AS (SELECT *, (conv_id + turn) % 5 + 1 AS category FROM pairs), g AS (SELECT *, CASE WHEN turn % 2 = 0 THEN 'The ' || text ELSE answer END AS gold FROM c),
+  n AS (SELECT conv_id, turn, category, lower(text) AS low, list_sort(list_distinct({_normal("text")})) AS p, list_sort(list_distinct(CASE WHEN category = 3 THEN {_normal("trim(split_part(gold, ';', 1))")} ELSE {_normal("gold")} END)) AS q FROM g)
+SELECT conv_id, turn, category, (CASE WHEN category = 5 THEN contains(low, 'no information available') OR contains(low, 'not mentioned') ELSE p = q END)::INT::DOUBLE AS exact_match FROM n""",
+    ),
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from memloom.operators import bootstrap, state
@@ -163,6 +163,39 @@ def events_watermark_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streaming.usage_windows(spark, sf_dir)
 
 
+def label_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entropy of the categories of each arm."""
+    counts = _scores(spark, sf_dir).groupBy("arm", "category").agg(F.count(F.lit(1)).alias("n"))
+    share = counts.withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy("arm")))
+    return share.groupBy("arm").agg(F.round(-F.sum(F.col("p") * F.log(F.greatest("p", F.lit(1e-12)))), 9).alias("entropy"))
+
+
+def group_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers that more than one of the splits train, dev and final claims: none may."""
+    claims = table(spark, sf_dir, "orders").select("o_custkey", F.expr("CASE WHEN o_orderkey % 50 = 7 THEN 'final' WHEN o_custkey % 10 < 7 THEN 'train' ELSE 'dev' END").alias("split"))
+    return state.claimed_twice(claims, "o_custkey", "split").withColumn("groups", F.array_join("groups", ","))
+
+
+def latest_quota_block(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the failed calls of each user with a reset still to come, the one that began last."""
+    calls = table(spark, sf_dir, "events").select("user_id", "event_id", F.unix_timestamp("ts").alias("started"), F.expr("if(event_id % 19 = 4, 402, 200)").alias("http_status"), F.expr("unix_timestamp(ts) + event_id % 7 * 86400").alias("reset"))
+    return state.latest_block(calls, ["user_id"], F.lit(1706000000))
+
+
+def calls_to_make(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests by the digest of what they ask: those replayed from a finished call, to be made, or blocked by one whose end is unknown."""
+    asked = table(spark, sf_dir, "events").select("event_id", F.struct("event_type", F.floor(F.col("value") / 4).alias("prompt")).alias("request"))
+    keyed = asked.select("event_id", state.digest("request").alias("identity"))
+    saved = table(spark, sf_dir, "events").where("event_id % 3 = 0").select(state.digest(F.struct("event_type", F.floor(F.col("value") / 4).alias("prompt"))).alias("identity"), "event_id", F.expr("CASE event_id % 5 WHEN 0 THEN 'in_flight' WHEN 1 THEN 'failed' ELSE 'success' END").alias("status"))
+    return state.replay(keyed, saved, "event_id").groupBy("action").agg(F.count(F.lit(1)).alias("requests"), F.count_distinct("identity").alias("identities"))
+
+
+def redacted_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON of events with secrets masked, and its digest."""
+    rows = table(spark, sf_dir, "events").select("event_id", F.concat(F.lit('{"api_key": "sk-'), "event_id", F.lit('", "Authorization": "Bearer '), "user_id", F.lit('", "user": '), "user_id", F.lit("}")).alias("text"))
+    return rows.select("event_id", state.redacted(F.col("text")).alias("text")).withColumn("sha256", F.sha2("text", 256))
+
+
 def break_even(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reads after which each arm's build cost against 'view' is won back; null if reads save nothing."""
     costs = _scores(spark, sf_dir).groupBy("arm", F.lit("view").alias("against")).agg(F.sum(F.when(F.col("category") == 1, F.col("tokens"))).alias("build"), F.avg(F.when(F.col("category") > 1, F.col("tokens"))).alias("read"))
@@ -248,6 +281,25 @@ UNION ALL SELECT 'orphans', count(*) FROM lineitem WHERE l_orderkey NOT IN (SELE
         """SELECT epoch(date_trunc('day', ts))::BIGINT AS window_start, event_type, count(*) AS events, round(sum(value), 4) AS total FROM events
 GROUP BY ALL HAVING max(date_trunc('day', ts)) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)""",
     ),
+    "label_entropy": (label_entropy, f"WITH {_SCORES}, c AS (SELECT arm, category, count(*) AS n FROM s GROUP BY ALL), p AS (SELECT arm, n / sum(n) OVER (PARTITION BY arm)::DOUBLE AS p FROM c) SELECT arm, round(-sum(p * ln(greatest(p, 1e-12))), 9) AS entropy FROM p GROUP BY 1"),
+    "group_overlap": (
+        group_overlap,
+        "SELECT o_custkey, string_agg(DISTINCT split, ',' ORDER BY split) AS groups FROM (SELECT o_custkey, CASE WHEN o_orderkey % 50 = 7 THEN 'final' WHEN o_custkey % 10 < 7 THEN 'train' ELSE 'dev' END AS split FROM orders) GROUP BY 1 HAVING count(DISTINCT split) > 1",
+    ),
+    "latest_quota_block": (
+        latest_quota_block,
+        "SELECT user_id, event_id, started, reset FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY started DESC, event_id DESC) AS r FROM (SELECT user_id, event_id, epoch(date_trunc('second', ts))::BIGINT AS started, epoch(date_trunc('second', ts))::BIGINT + event_id % 7 * 86400 AS reset FROM events WHERE event_id % 19 = 4) WHERE reset > 1706000000) WHERE r = 1",
+    ),
+    "calls_to_make": (
+        calls_to_make,
+        """WITH k AS (SELECT event_id, event_type || '/' || floor(value / 4)::BIGINT AS identity FROM events),
+  s AS (SELECT identity, bool_or(event_id % 5 > 1) AS done, bool_or(event_id % 5 = 0) AS flight FROM k WHERE event_id % 3 = 0 GROUP BY 1)
+SELECT CASE WHEN done THEN 'replay' WHEN flight THEN 'blocked' ELSE 'call' END AS action, count(*) AS requests, count(DISTINCT k.identity) AS identities FROM k LEFT JOIN s ON s.identity = k.identity GROUP BY 1""",
+    ),
+    "redacted_rows": (
+        redacted_rows,
+        """WITH t AS (SELECT event_id, '{"api_key": "***", "Authorization": "***", "user": ' || user_id || '}' AS text FROM events) SELECT *, sha256(text) AS sha256 FROM t""",
+    ),
     "break_even": (
         break_even,
         f"""WITH {_SCORES}, c AS (SELECT arm, sum(tokens) FILTER (WHERE category = 1) AS build, avg(tokens) FILTER (WHERE category > 1) AS read FROM s GROUP BY 1),

@@ -55,3 +55,40 @@ def canonical_evidence(text: Column) -> Column:
     found = F.regexp_extract_all(text, F.lit("D:?\\d+:\\d+"), 0)
     plain = F.transform(found, lambda x: F.regexp_replace(F.regexp_replace(x, "^D:?0*(\\d)", "D$1"), ":0*(\\d)", ":$1"))
     return F.array_distinct(plain)
+
+
+def sessions_of(records: DataFrame) -> DataFrame:
+    """Turns of raw records: ``sample_id, session_id, session_index, session_datetime, position_in_session, dia_id, speaker, text, turn_index``.
+
+    ``records``: sample_id, conversation (JSON: ``session_N`` a list of turns, ``session_N_date_time``, names of ``speaker_a`` and
+    ``speaker_b``). Sessions are in order of their number; other keys and keys whose value is no list are left out. A turn
+    without a dialogue id gets D<session>:<place>. turn_index counts the turns of a sample from 0.
+    """
+    parsed = records.select("sample_id", F.from_json("conversation", "map<string,variant>").alias("_c"))
+    entries = parsed.select("sample_id", "_c", F.explode(F.map_entries("_c")).alias("_e")).where(F.expr("_e.key RLIKE '^session_[0-9]+$' AND schema_of_variant(_e.value) LIKE 'ARRAY<%'"))
+    named = lambda key: F.expr(f"try_variant_get(element_at(_c, {key}), '$', 'string')")
+    sessions = entries.select(
+        "sample_id", F.col("_e.key").alias("session_id"), F.expr("cast(substring(_e.key, 9) AS bigint)").alias("session_index"), F.coalesce(named("concat(_e.key, '_date_time')"), F.lit("")).alias("session_datetime"),
+        named("'speaker_a'").alias("_a"), named("'speaker_b'").alias("_b"), F.posexplode(F.expr("try_variant_get(_e.value, '$', 'array<variant>')")).alias("position_in_session", "_t"),
+    )
+    part = lambda name: F.expr(f"try_variant_get(_t, '$.{name}', 'string')")
+    speaker = F.when(part("speaker") == "speaker_a", F.coalesce("_a", part("speaker"))).when(part("speaker") == "speaker_b", F.coalesce("_b", part("speaker"))).otherwise(F.coalesce(part("speaker"), F.lit("")))
+    dia = F.coalesce(F.nullif(part("dia_id"), F.lit("")), F.concat(F.lit("D"), "session_index", F.lit(":"), F.col("position_in_session") + 1))
+    order = Window.partitionBy("sample_id").orderBy("session_index", "position_in_session")
+    rows = sessions.select("sample_id", "session_id", "session_index", "session_datetime", F.col("position_in_session").cast("long").alias("position_in_session"), dia.alias("dia_id"), speaker.alias("speaker"), F.regexp_replace(F.coalesce(part("text"), F.lit("")), "^\\s+|\\s+$", "").alias("text"))
+    return rows.withColumn("turn_index", (F.row_number().over(order) - 1).cast("long"))
+
+
+def record_audit(turns: DataFrame) -> DataFrame:
+    """``sample_id, problem, name``: sessions without a date, dialogue ids that repeat, turns without text."""
+    found = F.array_compact(F.array(F.when((F.col("session_datetime") == "") & (F.col("position_in_session") == 0), F.struct(F.lit("missing_session_date").alias("problem"), F.col("session_id").alias("name"))), F.when(F.col("text") == "", F.struct(F.lit("empty_turn").alias("problem"), F.col("dia_id").alias("name")))))
+    repeated = turns.groupBy("sample_id", "dia_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("sample_id", F.lit("duplicate_dia_id").alias("problem"), F.col("dia_id").alias("name"))
+    return turns.select("sample_id", F.explode(found).alias("x")).select("sample_id", "x.*").unionByName(repeated)
+
+
+def fallback_evidence(questions: DataFrame, blocks: DataFrame, most: int = 16) -> DataFrame:
+    """The first blocks of each question's own labelled turns, for questions that retrieval found nothing for. ``questions``: sample_id, qa_id, evidence."""
+    wanted = questions.select("sample_id", "qa_id", F.explode(F.array_distinct("evidence")).alias("dia_id"))
+    order = Window.partitionBy("qa_id").orderBy("turn_index", "chunk_index", "source_id")
+    rows = wanted.join(blocks, ["sample_id", "dia_id"]).withColumn("place", F.row_number().over(order).cast("long"))
+    return rows.where(F.col("place") <= most)

@@ -101,3 +101,41 @@ def bounds(evaluated: DataFrame, *keys: str) -> DataFrame:
         F.count_if(F.col("status") == "UNKNOWN").alias("unknown"),
     )
     return out.withColumns({"gap": F.col("upper") - F.col("lower"), "closed": F.coalesce(F.col("upper") == F.col("lower"), F.lit(False))})
+
+
+def evaluation_order(sets: DataFrame, most: int) -> DataFrame:
+    """The first ``most`` sets of each unit with their ``place`` (from 1): the full set, then by cost, then by ids."""
+    order = Window.partitionBy("unit").orderBy(F.expr(f"mask <> {FULL}"), "cost", "_ids")
+    placed = sets.withColumn("_ids", ids_of("mask")).withColumn("place", F.row_number().over(order).cast("long"))
+    return placed.where(F.col("place") <= most).drop("_ids")
+
+
+def architecture_choice(solutions: DataFrame, budget: int) -> DataFrame:
+    """``unit, mask, conservative_cost`` (the dearest architecture's) and ``feasible``, the architectures within the budget in order; the empty set is Flat only."""
+    allowed = (F.col("cost") <= budget) & ((F.col("mask") != 0) | (F.col("architecture") == "Flat"))
+    return solutions.groupBy("unit", "mask").agg(F.max("cost").alias("conservative_cost"), F.array_sort(F.collect_set(F.when(allowed, F.col("architecture")))).alias("feasible"))
+
+
+def utility_of(status: Column) -> Column:
+    """1 for PASS, 0 for UNKNOWN, -1 for FAIL; any other status raises."""
+    return F.when(status == "PASS", 1.0).when(status == "UNKNOWN", 0.0).when(status == "FAIL", -1.0).otherwise(F.raise_error(F.lit("unknown status")).cast("double"))
+
+
+def architecture_gain(solutions: DataFrame) -> DataFrame:
+    """``unit, mask, gain``: utility of a set's best architecture over that of Flat."""
+    rows = solutions.withColumn("_u", utility_of(F.col("status")))
+    return rows.groupBy("unit", "mask").agg((F.max("_u") - F.max(F.when(F.col("architecture") == "Flat", F.col("_u")))).alias("gain"))
+
+
+def first_of_archives(solutions: DataFrame) -> DataFrame:
+    """One row for each (unit, architecture, mask): of the first ``archive`` that holds it."""
+    others = [c for c in solutions.columns if c not in ("unit", "architecture", "mask")]
+    best = solutions.groupBy("unit", "architecture", "mask").agg(F.min_by(F.struct(*others), "archive").alias("row"))
+    return best.select("unit", "architecture", "mask", "row.*")
+
+
+def label_check(rows: DataFrame, *keys: str) -> DataFrame:
+    """Per training row: its labels, those that are no verified PASS, and whether it is usable: some labels, all verified. ``rows``: keys, status, label (boolean)."""
+    bad = F.col("label") & F.coalesce(F.col("status") != "PASS", F.lit(True))
+    out = rows.groupBy(*keys).agg(F.count_if("label").alias("labels"), F.count_if(bad).alias("unverified"))
+    return out.withColumn("usable", (F.col("labels") > 0) & (F.col("unverified") == 0))

@@ -93,3 +93,40 @@ def candidate_sources(sources: DataFrame, neighbourhood: int = NEIGHBOURHOOD, mo
     number = F.row_number().over(Window.partitionBy("unit").orderBy("_part", "_at", "source_id")).cast("long")
     kept = both.withColumn("_n", F.row_number().over(first)).where("_n = 1").withColumn("id", number).where(F.col("id") <= most)
     return kept.drop("_n", "_at", "_part")
+
+
+def digest(row: Column | str) -> Column:
+    """SHA-256 of a struct as JSON, null fields kept: the identity of a row or request."""
+    return F.sha2(F.to_json(row, {"ignoreNullFields": "false"}), 256)
+
+
+def replay(requests: DataFrame, saved: DataFrame, order: str) -> DataFrame:
+    """Adds ``action`` to requests (identity): ``replay`` of a saved success, ``blocked`` where only a call whose end is unknown is saved, else ``call``.
+
+    ``saved``: identity, status (success, failed, in_flight, outcome_unknown), order. One aggregate of the saved calls, one join.
+    """
+    known = saved.groupBy("identity").agg(F.min_by("status", F.when(F.col("status") == "success", F.col(order))).alias("done"), F.max(F.col("status").isin("in_flight", "outcome_unknown")).alias("open"))
+    action = F.when(F.col("done").isNotNull(), "replay").when(F.col("open"), "blocked").otherwise("call")
+    return requests.join(known, "identity", "left").withColumn("action", action).drop("done", "open")
+
+
+def latest_block(calls: DataFrame, keys: list[str], now: Column) -> DataFrame:
+    """Of the calls refused for quota (status 402) whose reset is after ``now``, the one of each key that began last."""
+    open_ = calls.where((F.col("http_status") == 402) & (F.col("reset") > now)).drop("http_status")
+    others = [c for c in open_.columns if c not in keys]
+    return open_.groupBy(*keys).agg(F.max_by(F.struct(*others), F.struct("started", "event_id")).alias("row")).select(*keys, "row.*")
+
+
+def claimed_twice(claims: DataFrame, member: str, group: str) -> DataFrame:
+    """Members that several groups claim, with the sorted names of the groups."""
+    once = claims.select(member, group).distinct()
+    return once.groupBy(member).agg(F.array_sort(F.collect_list(group)).alias("groups")).where(F.size("groups") > 1)
+
+
+# Names of fields that hold secrets.
+SECRETS = "api_key|apikey|token|secret|password|authorization"
+
+
+def redacted(text: Column) -> Column:
+    """JSON text with the string values of secret fields masked, whatever the case of their names."""
+    return F.regexp_replace(text, f'(?i)("(?:{SECRETS})"\\s*:\\s*)"(?:[^"\\\\]|\\\\.)*"', '$1"***"')
