@@ -14,7 +14,10 @@ TOKENS_PER_WORD = 1.3
 # The patterns that tokens follow.
 LEXICAL = "[\\x{4e00}-\\x{9fff}]|[a-z0-9]+(?:[-_.][a-z0-9]+)*"
 WORD = "[A-Za-z0-9]+"
-SPACE = "[ \\t\\n\\r]+"
+#: Every character that counts as white space when a text is split into words.
+SPACE = "[\\s\\x{1c}-\\x{1f}\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+"
+#: The same class for the DuckDB twins.
+SPACE_SQL = SPACE.replace("\\s", "\\s\\x{b}")
 
 
 def lexical_tokens(text: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memloom.functions.text import approx_tokens
+from memloom.functions.text import SPACE_SQL, approx_tokens
 from memloom.operators import certify
 from memloom.operators import domain as d
 from memloom.operators.structure import ARCHITECTURES
@@ -144,7 +144,7 @@ def utility_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("status", F.when((F.col("utility") >= 0.4) & (F.col("coverage") >= 0.5), "PASS").otherwise("FAIL"))
 
 
-_WORDS = "list_filter(string_split_regex(text, '[ \\t\\n\\r]+'), lambda w: w <> '')"
+_WORDS = f"list_filter(string_split_regex(text, '{SPACE_SQL}'), lambda w: w <> '')"
 _DOMAIN = f"""
   s AS (SELECT conv_id AS unit, turn + 1 AS id, CASE WHEN turn % 5 <> 4 THEN turn // 3 END AS session, turn AS position, turn * 7 % 5 AS score, greatest(1, ceil(len({_WORDS}) * 1.3e0))::BIGINT AS cost FROM conversations),
   u AS (SELECT unit, count(*) AS n, list(cost ORDER BY id) AS costs FROM s GROUP BY 1),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memloom.functions.text import approx_tokens
+from memloom.functions.text import SPACE_SQL, approx_tokens
 from memloom.operators import annotation, packing, structure
 from memloom.operators import blocks as b
 from memloom.sources.tables import table
@@ -157,7 +157,7 @@ def normalized_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return annotation.normalize_sources(rows, "conv_id", ["turn"], "given").select("conv_id", "turn", "id")
 
 
-_WORDS = "list_filter(string_split_regex({x}, '[ \\t\\n\\r]+'), lambda w: w <> '')"
+_WORDS = "list_filter(string_split_regex({x}, '" + SPACE_SQL.replace("{", "{{").replace("}", "}}") + "'), lambda w: w <> '')"
 _TOKENS = "greatest(1, ceil(len(" + _WORDS + ") * 1.3e0))::BIGINT"
 _TURNS = """t AS (SELECT *, turn_index // 4 + 1 AS session_index, turn_index % 4 AS position_in_session, 'D' || (turn_index // 4 + 1) || ':' || (turn_index % 4 + 1) AS dia_id
   FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS turn_index FROM conversations))"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from memloom.functions.text import approx_tokens
+from memloom.functions.text import SPACE_SQL, approx_tokens
 from memloom.jobs import domain, retrieval
 from memloom.operators import policy, state
 from memloom.sources.tables import table
@@ -101,7 +101,7 @@ def beneficial_switch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return moved.where("had IS NOT NULL").select("unit", "budget", kind.alias("switch"))
 
 
-_WORDS = "list_filter(string_split_regex(text, '[ \\t\\n\\r]+'), lambda w: w <> '')"
+_WORDS = f"list_filter(string_split_regex(text, '{SPACE_SQL}'), lambda w: w <> '')"
 _LOGPS = f"""
   u AS (SELECT conv_id AS unit, count(*) AS n, list(greatest(1, ceil(len({_WORDS}) * 1.3e0))::BIGINT ORDER BY turn) AS costs FROM conversations GROUP BY 1),
   sets AS (SELECT *, list_filter(range(1, n + 1), lambda k: (mask >> (k - 1)) & 1 = 1) AS ids FROM (SELECT *, unnest(range(0, 1::BIGINT << n)) AS mask FROM u)),

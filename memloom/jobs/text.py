@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from memloom.functions import text as t
+from memloom.functions.text import SPACE_SQL
 from memloom.sources.tables import table
 
 
@@ -72,7 +73,7 @@ def category_exact_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _PAIRS = "pairs AS (SELECT * FROM (SELECT conv_id, turn, text, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS answer FROM conversations) WHERE answer IS NOT NULL)"
-_WORDS = "list_filter(string_split_regex(text, '[ \\t\\n\\r]+'), lambda w: w <> '')"
+_WORDS = f"list_filter(string_split_regex(text, '{SPACE_SQL}'), lambda w: w <> '')"
 
 
 def _normal(x: str) -> str:

@@ -1,9 +1,9 @@
-"""JSON lines: strict reading, journals with a quarantine, and writing."""
+"""JSON lines: strict reading, journals with a quarantine of torn appends, digests, and writing."""
 
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,12 +20,44 @@ def read_jsonl(spark: SparkSession, path: str, schema: T.StructType) -> DataFram
         return spark.createDataFrame([], schema)
 
 
+def _journal_lines(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """Lines that are not blank with ``row``, whether ``torn``, ``file`` and ``at``, their place in it."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line")).alias("at"))
+    parsed = lines.where(F.trim("value") != "").withColumn("row", F.from_json("value", T.StructType([*schema.fields, T.StructField(_CORRUPT, T.StringType())]), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT}))
+    return parsed.withColumn("torn", F.col(f"row.{_CORRUPT}").isNotNull())
+
+
 def read_journal(spark: SparkSession, path: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
-    """Good rows, and broken lines (``line``) for quarantine: a torn append costs its own line only."""
-    lines = spark.read.text(path).where(F.trim("value") != "")
-    parsed = lines.select("value", F.from_json("value", T.StructType([*schema.fields, T.StructField(_CORRUPT, T.StringType())]), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT}).alias("row"))
-    good = parsed.where(F.col(f"row.{_CORRUPT}").isNull()).select("row.*").drop(_CORRUPT)
-    return good, parsed.where(F.col(f"row.{_CORRUPT}").isNotNull()).select(F.col("value").alias("line"))
+    """Good rows, and torn last lines (``line``, ``file``) for quarantine: an append that was cut short costs its own line only.
+
+    A broken line with others behind it in its file is no torn append, and raises ValueError. A missing path has no rows.
+    """
+    try:
+        parsed = _journal_lines(spark, path, schema)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema), spark.createDataFrame([], "line string, file string")
+    last = parsed.groupBy("file").agg(F.max("at").alias("last"))
+    middle = parsed.where("torn").join(last, "file").where("at < last").select("file", "value").head(1)
+    if middle:
+        raise ValueError(f"corrupt record within {middle[0].file}: {middle[0].value[:80]}")
+    return parsed.where("NOT torn").select("row.*").drop(_CORRUPT), parsed.where("torn").select(F.col("value").alias("line"), "file")
+
+
+def index_journal(spark: SparkSession, path: str, schema: T.StructType, key: str) -> DataFrame:
+    """Good rows of a journal with ``file`` and ``sha256`` of their line, failing when read if a key repeats."""
+    read_journal(spark, path, schema)  # raises where a line in the middle is broken
+    good = _journal_lines(spark, path, schema).where("NOT torn")
+    return require_unique(good.select("row.*", "file", F.sha2("value", 256).alias("sha256")).drop(_CORRUPT), key)
+
+
+def verified(rows: DataFrame, index: DataFrame, key: str) -> DataFrame:
+    """Rows of an index (:func:`index_journal`) with the digest that an earlier ``index`` (key, sha256) says; another one, or a lost row, fails when read."""
+    then = index.select(key, F.col("sha256").alias("_then"))
+    both = then.join(rows, key, "left")
+    same = F.when(F.coalesce(F.col("sha256") == F.col("_then"), F.lit(False)), F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("changed or lost record: "), F.col(key).cast("string"))))
+    return both.where(same).drop("_then")
 
 
 def require_unique(rows: DataFrame, *keys: str) -> DataFrame:
@@ -35,6 +67,27 @@ def require_unique(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.join(checked.select(*keys, "_once"), list(keys)).where("_once").drop("_once")
 
 
-def write_jsonl(rows: DataFrame, path: str) -> None:
-    """Write rows as JSON lines, null fields kept, with Spark's commit of whole jobs."""
-    rows.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+def _written(rows: DataFrame, path: str, mode: str) -> int:
+    seen = Observation()
+    rows.observe(seen, F.count(F.lit(1)).alias("n")).write.mode(mode).option("ignoreNullFields", "false").json(path)
+    return seen.get["n"]
+
+
+def write_jsonl(rows: DataFrame, path: str) -> int:
+    """Write rows as JSON lines, null fields kept, with Spark's commit of whole jobs. Returns their number."""
+    return _written(rows, path, "overwrite")
+
+
+def append_jsonl(rows: DataFrame, path: str) -> int:
+    """Add rows to a folder of JSON lines. Returns their number."""
+    return _written(rows, path, "append")
+
+
+def read_document(spark: SparkSession, path: str) -> DataFrame:
+    """One row per file of whole JSON documents: ``file``, ``document`` (variant); a file that is no JSON fails when it is read."""
+    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.parse_json("value").alias("document"))
+
+
+def file_digests(spark: SparkSession, path: str) -> DataFrame:
+    """``file, length, sha256`` of every file below a folder: the inputs of a run for its manifest."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(F.col("path").alias("file"), "length", F.sha2("content", 256).alias("sha256"))

@@ -22,13 +22,19 @@ def _upsert(key: tuple, batches, state: GroupState):
     """Fold the writes of one key into (first place, last place, last value, number of writes)."""
     place, last, value, version = state.get if state.exists else (None, None, None, 0)
     for rows in batches:
+        rows = rows[rows["event_id"].notna()]  # a write without a place has no order
+        if not len(rows):
+            continue
         low, high = rows["event_id"].idxmin(), rows["event_id"].idxmax()
         place = int(rows["event_id"][low]) if place is None else min(place, int(rows["event_id"][low]))
         if last is None or rows["event_id"][high] > last:
-            last, value = int(rows["event_id"][high]), float(rows["value"][high])
+            written = rows["value"][high]
+            last, value = int(rows["event_id"][high]), None if pd.isna(written) else float(written)
         version += len(rows)
+    if place is None:
+        return
     state.update((place, last, value, version))
-    yield pd.DataFrame({"user_id": [key[0]], "place": [place], "value": [value], "version": [version]})
+    yield pd.DataFrame({"user_id": [key[0]], "place": [place], "value": pd.Series([value], dtype="object"), "version": [version]})
 
 
 def upsert_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
