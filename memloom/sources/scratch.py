@@ -24,7 +24,8 @@ def _hadoop(spark: SparkSession, path: str):
 def qualified(spark: SparkSession, path: str) -> str:
     """``path`` with its scheme: one without is of the default file system."""
     system, at = _hadoop(spark, path)
-    return system.makeQualified(at).toString()
+    whole = system.makeQualified(at).toString()
+    return f"file://{whole.removeprefix('file:')}" if whole.startswith("file:/") and not whole.startswith("file://") else whole
 
 
 def shared_root(spark: SparkSession) -> str:
