@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are worked on at once; bounds the memory of a task, whatever the length of a text.
-BLOCK = 2 << 20
+BLOCK = 1 << 20
 
 
 def tidy(run):
@@ -90,6 +90,17 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return at, np.searchsorted(offsets, at, side="right") - 1, first
 
 
+_in_use: list = []
+
+
+def hold_alone(cache) -> None:
+    """Let ``cache`` be the only one that this worker holds: workers live on from stage to stage, and so would the caches of all."""
+    if not _in_use or _in_use[0] is not cache:
+        for other in _in_use:
+            other.forget()
+        _in_use[:] = [cache]
+
+
 class WordValues:
     """Per-word values that are computed once for each distinct word and kept for the next batches.
 
@@ -99,6 +110,9 @@ class WordValues:
     def __init__(self, compute, most: int = 100_000):
         self.compute, self.most, self.known = compute, most, {}
 
+    def forget(self) -> None:
+        self.known.clear()
+
     def of(self, data: np.ndarray, offsets: np.ndarray, dtype) -> tuple[np.ndarray, np.ndarray]:
         """The value of each word in order, and the row of each."""
         at, rows, _ = words(data, offsets)
@@ -106,8 +120,9 @@ class WordValues:
             return np.zeros(0, dtype), rows
         begin = np.concatenate([[0], at]) if at[0] else at  # a fragment is a word and the white space behind it
         codes, distinct = distinct_fragments(data, begin)
+        hold_alone(self)
         if len(self.known) > self.most:
-            self.known.clear()
+            self.forget()
         known, compute = self.known, self.compute
         values = []
         for fragment in distinct:

@@ -22,7 +22,7 @@ UNIT = ["group", "block_a", "block_b"]
 #: Members up to which a unit is compared together with others.
 SMALL = 64
 #: Pairs that are compared at once.
-PAIRS = 1 << 17
+PAIRS = 1 << 15
 
 
 def bucket_blocks(members: DataFrame, most: int) -> DataFrame:
@@ -54,7 +54,7 @@ def _last_start(batch: pa.RecordBatch) -> int:
     return at
 
 
-def whole_units(batches: Iterable[pa.RecordBatch], least_rows: int = 20_000, least_bytes: int = 8 << 20) -> Iterator[pa.Table]:
+def whole_units(batches: Iterable[pa.RecordBatch], least_rows: int = 20_000, least_bytes: int = 4 << 20) -> Iterator[pa.Table]:
     """Tables of complete units, many small ones together; batches are sorted by UNIT."""
     held: list[pa.RecordBatch] = []
     key = lambda batch, i: tuple(batch.column(x)[i].as_py() for x in UNIT)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from memloom.llm.arrow_text import BLOCK, distinct_fragments, ragged_take, row_blocks, text_bytes, tidy
+from memloom.llm.arrow_text import BLOCK, distinct_fragments, hold_alone, ragged_take, row_blocks, text_bytes, tidy
 
 #: Distinct fragments whose ids a worker keeps between batches.
 KEPT_FRAGMENTS = 150_000
@@ -75,9 +75,9 @@ class ForcedBoundaryBpe:
         self.certain = self.certain.reshape(-1)
 
         self.kept, self.known = kept, {}
-        self._forget()
+        self.forget()
 
-    def _forget(self) -> None:
+    def forget(self) -> None:
         self.known.clear()
         self.flat, self.used = np.zeros(1 << 20, np.uint32), 0
         self.start, self.length = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
@@ -120,8 +120,9 @@ class ForcedBoundaryBpe:
         cut[0] = True
         starts = np.flatnonzero(cut)
         codes, fragments = distinct_fragments(data, starts)
+        hold_alone(self)
         if len(self.known) > self.kept:
-            self._forget()
+            self.forget()
         known = self.known
         new = [x for x in fragments if x not in known]
         for i in range(0, len(new), 20_000):

@@ -59,14 +59,14 @@ def keyed_lines(source: DataFrame, tau: int, least: int) -> DataFrame:
     return rows.select(F.expr(key).alias("key"), F.expr("if(p.d = 0 AND p.shift = 0, 1, 0)").alias("own"), "h1", "h2")
 
 
-#: Words of 64 bits in a row of the filter of shared keys, bits for a key, and bits at most (32 MB); a filter that would be larger isn't made.
-ROW_WORDS, KEY_BITS, MOST_FILTER_BITS = 512, 16, 1 << 28
+#: Words of 64 bits in a row of the filter of shared keys; its bits at least (2 MB) and at most (32 MB).
+ROW_WORDS, LEAST_FILTER_BITS, MOST_FILTER_BITS = 512, 1 << 24, 1 << 28
 
 
 def filter_bits(keys: int) -> int | None:
-    """Bits of a filter of so many keys, a power of two; None if it were too large to broadcast."""
-    bits = 1 << max(20, (KEY_BITS * keys - 1).bit_length())
-    return bits if bits <= MOST_FILTER_BITS else None
+    """Bits of a filter of so many keys, a power of two: 64 a key where the bounds allow; None if they leave less than 8, which would sort out too little."""
+    bits = min(MOST_FILTER_BITS, max(LEAST_FILTER_BITS, 1 << (64 * keys - 1).bit_length())) if keys else LEAST_FILTER_BITS
+    return bits if bits >= 8 * keys else None
 
 
 def _slot(bits: int, key: str = "key") -> dict[str, str]:

@@ -34,6 +34,8 @@ N, THRESHOLD, TOLERANCE = 5, 0.8, 1e-6
 BANDS, ROWS, STEP = 32, 5, 32
 #: Members of a block of a bucket.
 BLOCK = 1024
+#: Grams of sets that are compared exactly at once.
+GRAMS = 1 << 19
 #: Rows of a text: its id, and two hashes of it.
 ROW_KEY = ["id", "h1", "h2"]
 
@@ -135,11 +137,15 @@ def likely_pairs(marks: np.ndarray, band: np.ndarray, i: np.ndarray, j: np.ndarr
 
 
 def exact_pairs(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """The pairs whose sets reach the threshold."""
+    """The pairs whose sets reach the threshold; the sets that are worked on at once hold ``GRAMS`` grams, or are those of one pair."""
     if not len(i):
         return i, j
-    # numbers instead of hashes, then one look-up table for each i
     used, back = np.unique(np.concatenate([i, j]), return_inverse=True)
+    if len(i) > 1 and sum(len(sets[x]) for x in used) > GRAMS:
+        order = np.lexsort((j, i))
+        halves = [exact_pairs(sets, i[x], j[x], threshold) for x in np.array_split(order, 2)]
+        return np.concatenate([x[0] for x in halves]), np.concatenate([x[1] for x in halves])
+    # numbers instead of hashes, then one look-up table for each i
     sets, own, other = [sets[x] for x in used], back[: len(i)], back[len(i) :]
     sizes = np.array([len(x) for x in sets], np.int64)
     names, numbers = np.unique(np.concatenate(sets), return_inverse=True)

@@ -113,11 +113,11 @@ class TestLineDedup:
         got = line_dedup.dedup_lines(docs)
         assert got.columns == ["doc_id", "text", "_id", "_gone", "n_dropped_lines"]
         assert sorted(map(tuple, got.collect())) == [(1, line, "i", "g", 0), (2, "b", "i", "g", 1)]
-        assert line_dedup.filter_bits(0) == line_dedup.filter_bits(1 << 16) == 1 << 20 and line_dedup.filter_bits(1 << 24) == 1 << 28 and line_dedup.filter_bits((1 << 24) + 1) is None
+        assert line_dedup.filter_bits(0) == line_dedup.filter_bits(1 << 18) == 1 << 24 and line_dedup.filter_bits(1 << 25) == 1 << 28 and line_dedup.filter_bits((1 << 25) + 1) is None
         random.seed(1)
         base = ["".join(random.choice("ab é") for _ in range(n)) for n in (12, 15, 22, 30)]
         docs = [(i, "\n".join(edited(random.choice(base), random.randint(0, 3)) for _ in range(4))) for i in range(40)]
-        monkeypatch.setattr(line_dedup, "MOST_FILTER_BITS", 0)  # no filter at all
+        monkeypatch.setattr(line_dedup, "filter_bits", lambda keys: None)  # no filter at all
         got = line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string"), least=6)
         assert {r.doc_id: r.text for r in got.collect()} == self.expected(docs, 2, 6)
 
