@@ -27,8 +27,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from memloom.llm.arrow_text import BLOCK, distinct_fragments, hold_alone, ragged_take, row_blocks, text_bytes, tidy
+from memloom.llm.arrow_text import distinct_fragments, hold_alone, ragged_take, row_blocks, text_bytes, tidy
 
+#: Bytes of text that are encoded at once: the more, the more fragments in it are equal.
+BLOCK = 2 << 20
 #: Distinct fragments whose ids a worker keeps between batches.
 KEPT_FRAGMENTS = 150_000
 
@@ -154,7 +156,7 @@ class ForcedBoundaryBpe:
     def encode(self, column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """For ranges of rows in turn: first row, row behind the last, their ids (uint32) and id offsets."""
         data, offsets = text_bytes(column)
-        for row, end in row_blocks(offsets):
+        for row, end in row_blocks(offsets, BLOCK):
             block, at = data[offsets[row] : offsets[end]], offsets[row : end + 1] - offsets[row]
             if end == row + 1 and len(block) > BLOCK:
                 ids = self._encode_long(block)
