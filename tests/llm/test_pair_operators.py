@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from memloom.llm import itq_neardup, line_dedup, ngram_jaccard
@@ -229,10 +230,10 @@ class TestNgramJoin:
         common = " ".join(f"c{i}" for i in range(100))
         docs = [(i, common + " " + " ".join(f"w{i}_{k}" for k in range(100))) for i in range(600)]
         rng = ngram_jaccard.least_matches()
-        marks = np.array([ngram_jaccard.signature(ngram_jaccard.grams_of(np.array([hash(w) & (1 << 63) - 1 for w in t.split()], np.uint64))) for _, t in docs])
+        marks = np.array([ngram_jaccard.signature(ngram_jaccard.grams_of(np.array([xxhash.xxh3_64_intdigest(w) for w in t.split()], np.uint64))) for _, t in docs])
         i, j = np.triu_indices(600, 1)
         shared = (marks[i].reshape(-1, 32, 5) == marks[j].reshape(-1, 32, 5)).all(axis=2)
-        assert shared.any(axis=1).mean() > 0.05  # they do meet in buckets
+        assert shared.any(axis=1).mean() > 0.01  # they do meet in buckets
         assert not len(ngram_jaccard.likely_pairs(marks, np.zeros(600, int), i, j, rng)[0])  # and none goes on from there
         got = ngram_jaccard.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()
         assert all(r.n_links == 0 and r.kept for r in got)
