@@ -87,13 +87,13 @@ def evaluation_order(spark: SparkSession, sf_dir: str, most: int = 16) -> DataFr
     return d.evaluation_order(_domain(spark, sf_dir), most).select("unit", "mask", "place")
 
 
-def _solutions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Evaluated sets under each architecture, whose structure costs ``index * size`` more, with a stand-in audit."""
+def _solutions(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+    """Evaluated sets under each architecture, whose structure costs ``index * size`` more, with a stand-in audit and columns of the domain."""
     rows = _domain(spark, sf_dir).withColumn("size", F.bit_count("mask"))
     index = F.explode(F.array(*(F.lit(i) for i in range(len(ARCHITECTURES))))).alias("g")
-    rows = rows.select("unit", "mask", "cost", "size", index).withColumn("architecture", F.element_at(F.array(*map(F.lit, ARCHITECTURES)), F.col("g") + 1))
+    rows = rows.select("unit", "mask", "cost", "size", *more, index).withColumn("architecture", F.element_at(F.array(*map(F.lit, ARCHITECTURES)), F.col("g") + 1))
     status = F.expr("CASE pmod(mask % 5 * 7 + unit + g * 3, 4) WHEN 0 THEN 'PASS' WHEN 1 THEN 'FAIL' WHEN 2 THEN 'UNKNOWN' ELSE 'PASS' END")
-    return rows.select("unit", "mask", "architecture", F.expr("cost + g * size * 9").alias("cost"), status.alias("status"))
+    return rows.select("unit", "mask", "architecture", F.expr("cost + g * size * 9").alias("cost"), status.alias("status"), *more)
 
 
 def conservative_cost(spark: SparkSession, sf_dir: str) -> DataFrame:

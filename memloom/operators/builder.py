@@ -58,3 +58,45 @@ def checked_items(outputs: DataFrame, allowed: str = "allowed") -> DataFrame:
       WHEN size(array_distinct({ids})) < size({ids}) OR size(array_except({ids}, {allowed})) > 0 THEN 'src_out_of_input' END"""
     items = f"transform(try_variant_get(value, '$', 'array<variant>'), (x, i) -> named_struct('place', i, 'm', {message}, 'src', {ids}, 'reason', {reason}))"
     return outputs.withColumn("error", error).withColumn("items", F.expr(f"CASE WHEN error IS NULL THEN {items} END"))
+
+
+# What a builder is told, and the shape of its output.
+SYSTEM = (
+    "Extract only source-supported task memory. Preserve dates, negation and exceptions. "
+    "Return only a valid JSON array, with no explanation or markdown. Each item must be "
+    "an object with exactly the keys m (string) and src (integer array)."
+)
+#: Control characters that Spark escapes with capital letters.
+_CAPITALS = [f"{i:04X}" for i in (*range(0x0B, 0x10), *range(0x1A, 0x20)) if i not in (0x0C, 0x0D)]
+
+
+def input_json(sources: str, structure: str, architecture: Column, contract: Column, schema: str) -> Column:
+    """The builder's input as canonical JSON: keys sorted, no spaces, nulls kept, no question.
+
+    ``sources``: array of structs (id, source_id, session, speaker, time, position, source_offset, text), written in the order of
+    their ids; ``structure``: a struct with sorted fields. Equal inputs give equal text, whose SHA-256 names them.
+    """
+    fields = ["id", "position", "session", "source_id", "source_offset", "speaker", "text", "time"]
+    value = {"text": lambda s: F.coalesce(s["text"], F.lit("")), "source_id": lambda s: F.coalesce(s["source_id"].cast("string"), s["id"].cast("string"))}
+    row = lambda s: F.struct(*(value.get(x, lambda s, x=x: s[x])(s).alias(x) for x in fields))
+    output = F.struct(F.struct(F.lit("string").alias("m"), F.lit("integer[]").alias("src")).alias("item"), F.lit(MAX_ITEMS).alias("max_items"), F.lit("array").alias("type"))
+    envelope = F.struct(
+        architecture.alias("architecture"), contract.alias("architecture_contract"), output.alias("output"), F.lit(schema).alias("schema"),
+        F.transform(F.array_sort(sources, lambda a, b: F.sign(a["id"] - b["id"]).cast("int")), row).alias("sources"), F.col(structure).alias("structure"),
+        F.lit(SYSTEM).alias("system"), F.lit(True).alias("write_stage"),
+    )
+    text = F.to_json(envelope, {"ignoreNullFields": "false"})
+    for code in _CAPITALS:  # behind an even number of backslashes only: a backslash of the text itself is doubled
+        text = F.regexp_replace(text, rf"(?<!\\)((?:\\\\)*)\\u{code}", rf"$1\\u{code.lower()}")
+    return text
+
+
+def future_queries(rows: DataFrame) -> Column:
+    """The queries that a row is judged by: ``future_queries``, else ``queries``, else the one of a row with an answer; those without a question are left out.
+
+    Both lists are arrays of structs (question, answer, category).
+    """
+    own = F.array(F.struct(F.coalesce("question", F.lit("")).alias("question"), F.col("answer").alias("answer"), F.coalesce("category", F.lit(1)).alias("category")))
+    kind = rows.schema["future_queries"].dataType
+    found = F.coalesce("future_queries", "queries", F.when(F.col("answer").isNotNull(), own.cast(kind)), F.array().cast(kind))
+    return F.filter(found, lambda q: q["question"].isNotNull())

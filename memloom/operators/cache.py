@@ -35,3 +35,11 @@ def problems(rows: DataFrame, questions: DataFrame, *keys: str) -> DataFrame:
     both = counts.join(questions.select(*keys).distinct().withColumn("_q", F.lit(True)), list(keys), "full_outer")
     found = F.array_compact(F.array(F.when(F.col("n") > 1, "repeated"), F.when(F.col("_q").isNull(), "unknown"), F.when(F.col("n").isNull(), "missing"), F.when(F.col("bad"), "scores")))
     return both.select(*keys, F.explode(found).alias("problem"))
+
+
+def refreshed(rows: DataFrame, evidence: DataFrame, *keys: str) -> DataFrame:
+    """``rows`` with ``evidence_recall`` computed anew from ``evidence`` (keys, ``wanted``: array); rankings stay as they are.
+
+    Check :func:`problems` first: rows of unknown questions would count as questions without evidence.
+    """
+    return rows.drop("evidence_recall").join(evidence, list(keys), "left").withColumn("evidence_recall", recall("wanted", "source_ids")).drop("wanted")
