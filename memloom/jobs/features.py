@@ -63,10 +63,10 @@ def attached_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def builder_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The plain builder's input of each conversation of at most 64 turns: its length and SHA-256."""
+    """The plain builder's input of each conversation: its length and SHA-256."""
     source = F.struct((F.col("turn") + 1).alias("id"), F.col("turn").alias("position"), F.expr("if(turn % 5 = 4, NULL, concat('s', turn div 3))").alias("session"), F.concat_ws(":", "conv_id", "turn").alias("source_id"),
                       F.lit(None).cast("long").alias("source_offset"), F.col("role").alias("speaker"), "text", F.lit(None).cast("string").alias("time"))
-    units = table(spark, sf_dir, "conversations").where("turn < 64").groupBy("conv_id").agg(F.collect_list(source).alias("sources"))
+    units = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.collect_list(source).alias("sources"))
     empty = F.array().cast("array<int>")
     units = units.withColumn("structure", F.struct(F.lit("Flat").alias("architecture"), empty.alias("edges"), empty.alias("groups"), F.array_sort("sources.id").alias("nodes")))
     text = builder.input_json("sources", "structure", F.lit("Flat"), F.lit("no order"), "memory-1")
@@ -122,7 +122,7 @@ FROM documents LEFT JOIN embeddings ON doc_id = vec_id""",
     "builder_inputs": (
         builder_inputs,
         f"""WITH s AS (SELECT conv_id, string_agg(format('{{{{"id":{{}},"position":{{}},"session":{{}},"source_id":"{{}}:{{}}","source_offset":null,"speaker":{{}},"text":{{}},"time":null}}}}', turn + 1, turn,
-    CASE WHEN turn % 5 = 4 THEN 'null' ELSE '"s' || turn // 3 || '"' END, conv_id, turn, coalesce(to_json(role)::VARCHAR, 'null'), to_json(coalesce(text, ''))::VARCHAR), ',' ORDER BY turn) AS sources, string_agg((turn + 1)::VARCHAR, ',' ORDER BY turn) AS nodes FROM conversations WHERE turn < 64 GROUP BY 1),
+    CASE WHEN turn % 5 = 4 THEN 'null' ELSE '"s' || turn // 3 || '"' END, conv_id, turn, coalesce(to_json(role)::VARCHAR, 'null'), to_json(coalesce(text, ''))::VARCHAR), ',' ORDER BY turn) AS sources, string_agg((turn + 1)::VARCHAR, ',' ORDER BY turn) AS nodes FROM conversations GROUP BY 1),
   t AS (SELECT conv_id, '{{"architecture":"Flat","architecture_contract":"no order","output":{{"item":{{"m":"string","src":"integer[]"}},"max_items":{builder.MAX_ITEMS},"type":"array"}},"schema":"memory-1","sources":[' || sources || '],"structure":{{"architecture":"Flat","edges":[],"groups":[],"nodes":[' || nodes || ']}},"system":"{_JSON_SYSTEM}","write_stage":true}}' AS text FROM s)
 SELECT conv_id, length(text) AS n_chars, sha256(text) AS sha256 FROM t""",
     ),

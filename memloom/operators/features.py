@@ -83,11 +83,12 @@ def transform(rows: DataFrame, fitted: DataFrame, dimension: int, budget: float
     v = rows.withColumn("v", _usable("embedding", dimension, "source vector"))
     placed = v.join(centroids(v, dimension), "unit")
     context = F.when(F.col("query_vector").isNull(), F.col("centroid")).otherwise(_usable("query_vector", dimension, "query vector"))
-    placed = placed.withColumn("c", context).withColumn("_one", F.lit(1)).join(F.broadcast(fitted.withColumn("_one", F.lit(1))), "_one")
-    standard = F.transform("numbers", lambda x, i: F.coalesce((x - F.get("means", i)) / F.get("scales", i), F.lit(0.0)))
+    # one row of known size: a scalar subquery, no join
+    placed = placed.withColumn("c", context).withColumn("_fit", fitted.select(F.struct("means", "scales", "speakers")).scalar())
+    standard = F.transform("numbers", lambda x, i: F.coalesce((x - F.get("_fit.means", i)) / F.get("_fit.scales", i), F.lit(0.0)))
     missing = F.transform("numbers", lambda x: F.when(x.isNull(), 1.0).otherwise(0.0))
-    place = F.coalesce(F.array_position("speakers", F.col("speaker")), F.lit(0))
-    one_hot = F.transform(F.sequence(F.lit(0), F.size("speakers")), lambda i: F.when(i == place, 1.0).otherwise(0.0))
+    place = F.coalesce(F.array_position("_fit.speakers", F.col("speaker")), F.lit(0))
+    one_hot = F.transform(F.sequence(F.lit(0), F.size("_fit.speakers")), lambda i: F.when(i == place, 1.0).otherwise(0.0))
     product, difference = F.zip_with("v", "c", lambda a, b: a * b), F.zip_with("v", "c", lambda a, b: F.abs(a - b))
     features = F.concat("v", "c", product, difference, standard, missing, one_hot, F.array(F.lit(budget / max(budget_scale, 1.0))))
-    return placed.withColumn("features", features).drop("v", "c", "centroid", "_one", *fitted.columns)
+    return placed.withColumn("features", features).drop("v", "c", "centroid", "_fit")
