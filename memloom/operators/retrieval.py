@@ -97,8 +97,9 @@ def dot(a: Column, b: Column) -> Column:
 def unit(a: Column) -> Column:
     """A float array in double precision, divided by its length."""
     double = F.transform(a, lambda x: x.cast("double"))
-    norm = F.sqrt(dot(double, double))
-    return F.transform(double, lambda x: x / norm)
+    # the length is bound to a variable: written inside the division it would be worked out for every component
+    lengths = F.array(F.sqrt(dot(double, double)))
+    return F.get(F.transform(lengths, lambda n: F.transform(double, lambda x: x / n)), F.lit(0))
 
 
 def fuse(first: DataFrame, second: DataFrame, k: int, *question: str, source_id: str = "source_id", rrf_k: int = RRF_K) -> DataFrame:
