@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memloom.llm import bpe, chat_collapse, html_text, itq_neardup, line_dedup, ngram_jaccard, ordinal_quality, packing, quality_rules, warc
+from memloom.llm import bpe, chat_collapse, html_text, itq_neardup, line_dedup, ngram_jaccard, ordinal_quality, packing, prefix_trie, quality_rules, warc
 from memloom.sources.tables import spread, table
 
 
@@ -70,6 +70,11 @@ def op10_forced_boundary_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.decode(ids, byte_bpe()).select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prefix trie of all rebuilt conversations."""
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ordinal_quality": op1_ordinal_quality,
@@ -82,11 +87,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_harmonic_packing": op3_harmonic_packing,
         "op9_segment_line_dedup": op9_segment_line_dedup,
         "op10_forced_boundary_bpe": op10_forced_boundary_bpe,
+        "op11_prefix_trie": op11_prefix_trie,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_snapshot_collapse": chat_collapse.DUCKDB_SQL, "op7_quality_rules": quality_rules.duckdb_sql(), "op8_warc_normaliser": WARC_SQL}
+    return {"op2_snapshot_collapse": chat_collapse.DUCKDB_SQL, "op7_quality_rules": quality_rules.duckdb_sql(), "op8_warc_normaliser": WARC_SQL, "op11_prefix_trie": prefix_trie.DUCKDB_SQL}
 
 
 #: What comes back of the archives.
