@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memloom.llm import bpe, chat_collapse, html_text, itq_neardup, line_dedup, ngram_jaccard, ordinal_quality, packing, prefix_trie, quality_rules, warc
+from memloom.llm import bpe, chat_collapse, html_text, itq_neardup, line_dedup, merkle, ngram_jaccard, ordinal_quality, packing, prefix_trie, quality_rules, warc
 from memloom.sources.tables import spread, table
 
 
@@ -75,6 +75,11 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))
 
 
+def op12_octopus_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, roots, proof and check of every document."""
+    return merkle.verified_manifest(spread(table(spark, sf_dir, "documents", *merkle.COVERED)))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ordinal_quality": op1_ordinal_quality,
@@ -88,11 +93,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_segment_line_dedup": op9_segment_line_dedup,
         "op10_forced_boundary_bpe": op10_forced_boundary_bpe,
         "op11_prefix_trie": op11_prefix_trie,
+        "op12_octopus_manifest": op12_octopus_manifest,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_snapshot_collapse": chat_collapse.DUCKDB_SQL, "op7_quality_rules": quality_rules.duckdb_sql(), "op8_warc_normaliser": WARC_SQL, "op11_prefix_trie": prefix_trie.DUCKDB_SQL}
+    return {"op2_snapshot_collapse": chat_collapse.DUCKDB_SQL, "op7_quality_rules": quality_rules.duckdb_sql(), "op8_warc_normaliser": WARC_SQL, "op11_prefix_trie": prefix_trie.DUCKDB_SQL, "op12_octopus_manifest": merkle.DUCKDB_SQL}
 
 
 #: What comes back of the archives.
