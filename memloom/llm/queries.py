@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memloom.llm import bpe, chat_collapse, html_text, itq_neardup, line_dedup, merkle, ngram_jaccard, ordinal_quality, packing, prefix_trie, quality_rules, warc
+from memloom.llm import bpe, chat_collapse, html_text, itq_neardup, line_dedup, merkle, ngram_jaccard, ordinal_quality, packing, prefix_trie, quality_rules, secret_scan, warc
 from memloom.sources.tables import spread, table
 
 
@@ -80,6 +80,11 @@ def op12_octopus_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verified_manifest(spread(table(spark, sf_dir, "documents", *merkle.COVERED)))
 
 
+def op13_trigram_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document."""
+    return secret_scan.secrets(spread(table(spark, sf_dir, "documents", "doc_id", "text")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ordinal_quality": op1_ordinal_quality,
@@ -94,11 +99,19 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_forced_boundary_bpe": op10_forced_boundary_bpe,
         "op11_prefix_trie": op11_prefix_trie,
         "op12_octopus_manifest": op12_octopus_manifest,
+        "op13_trigram_secrets": op13_trigram_secrets,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_snapshot_collapse": chat_collapse.DUCKDB_SQL, "op7_quality_rules": quality_rules.duckdb_sql(), "op8_warc_normaliser": WARC_SQL, "op11_prefix_trie": prefix_trie.DUCKDB_SQL, "op12_octopus_manifest": merkle.DUCKDB_SQL}
+    return {
+        "op2_snapshot_collapse": chat_collapse.DUCKDB_SQL,
+        "op7_quality_rules": quality_rules.duckdb_sql(),
+        "op8_warc_normaliser": WARC_SQL,
+        "op11_prefix_trie": prefix_trie.DUCKDB_SQL,
+        "op12_octopus_manifest": merkle.DUCKDB_SQL,
+        "op13_trigram_secrets": secret_scan.duckdb_sql(),
+    }
 
 
 #: What comes back of the archives.
