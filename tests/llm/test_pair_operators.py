@@ -297,6 +297,21 @@ class TestEmbeddings:
         print("recall of isolated pairs", recall)
         assert n >= 590 and recall > 0.95
 
+    @pytest.mark.parametrize("width, mean_cosine, wide_from", [(64, 0.982, 1 << 26), (64, 0.8, 1), (64, 0.9, 1 << 26), (64, 0.95, 1 << 26), (64, 0.95, 1), (384, 0.9, 1 << 26), (384, 0.95, 1 << 26)])
+    def test_vectors_that_share_a_direction(self, spark, width, mean_cosine, wide_from):
+        rng = np.random.default_rng(12)
+        unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+        base = unit(rng.standard_normal((500, width - 1)))
+        base = np.concatenate([np.full((500, 1), np.sqrt(mean_cosine)), np.sqrt(1 - mean_cosine) * base], axis=1) @ np.linalg.qr(rng.standard_normal((width, width)))[0]
+        aside = rng.standard_normal((200, width))
+        aside = unit(aside - np.einsum("ij,ij->i", aside, base[:200])[:, None] * base[:200])
+        cosine = rng.uniform(0.9801, 0.99, (200, 1))
+        both = np.concatenate([base, cosine * base[:200] + np.sqrt(1 - cosine**2) * aside])
+        rows = [(i, [float(x) for x in v], 1) for i, v in enumerate(both)]
+        got = itq_neardup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(4), wide_from=wide_from).collect()
+        n, recall = self.check(rows, got)
+        assert n >= 200 and recall >= 0.95
+
     def test_loose_clusters_without_links_and_repeated_ids(self, spark):
         rng = np.random.default_rng(5)
         centres = rng.standard_normal((4, 64))
