@@ -9,6 +9,13 @@ from memloom.operators import state
 from memloom.sources.tables import table
 
 
+def write_columns(turns: DataFrame) -> DataFrame:
+    """Turns as writes of statements and sources, as below; works on a table and on a stream."""
+    src = "if(turn % 5 = 4, NULL, array_distinct(array(string(turn * 2 % 3), string(turn % 3))))"
+    m = "if(turn % 9 = 8, ' ', text)"
+    return turns.selectExpr("conv_id AS memory", "turn div 2 + 1 AS version", "turn AS place", f"{m} AS m", f"{src} AS src", "string(turn % 3) AS source_id", "text")
+
+
 def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("memory"), F.col("turn").alias("place"), "text")
 

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from memloom.jobs import checks, domain, features, memory, persistent, policy, report, retrieval, screening, text, usage
+from memloom.jobs import checks, domain, features, memory, persistent, policy, report, retrieval, screening, text, updates, usage
 
 #: Modules of memloom.jobs with QUERIES: name -> (function, SQL or None).
-MODULES = [retrieval, text, memory, domain, usage, policy, persistent, report, checks, features, screening]
+MODULES = [retrieval, text, memory, domain, usage, policy, persistent, report, checks, features, screening, updates]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -37,15 +37,15 @@ def entry_key(text: Column, src: Column) -> Column:
     return F.when(F.size(src) > 0, F.concat(F.lit("provenance:"), F.to_json(F.array_sort(src)))).otherwise(F.concat(F.lit("text:"), plain))
 
 
-def entries_after(writes: DataFrame) -> DataFrame:
-    """The entries of each memory after all writes: ``memory, entry, m, src, version``.
+def entries_after(writes: DataFrame, *more: str) -> DataFrame:
+    """The entries of each memory after all writes: ``memory, entry, m, src, version``, and the columns ``more`` of the last write.
 
     ``writes``: memory, version (number of the batch), place (order of all writes), m (statement), src (array
     of source ids as strings, may be null). An entry of the same sources replaces the one before it where that stands, others are appended;
     entry numbers them from 0. Empty statements are no entries. One aggregate per memory and key.
     """
-    rows = writes.select("memory", "version", "place", F.regexp_replace("m", "^\\s+|\\s+$", "").alias("m"), F.array_sort(F.coalesce("src", F.array().cast("array<string>"))).alias("src")).where("m <> ''")
-    keyed = rows.groupBy("memory", entry_key(F.col("m"), F.col("src")).alias("key")).agg(F.min("place").alias("first"), F.max_by(F.struct("m", "src", "version"), "place").alias("row"))
+    rows = writes.select("memory", "version", "place", *more, F.regexp_replace("m", "^\\s+|\\s+$", "").alias("m"), F.array_sort(F.coalesce("src", F.array().cast("array<string>"))).alias("src")).where("m <> ''")
+    keyed = rows.groupBy("memory", entry_key(F.col("m"), F.col("src")).alias("key")).agg(F.min("place").alias("first"), F.max_by(F.struct("m", "src", "version", *more), "place").alias("row"))
     place = F.row_number().over(Window.partitionBy("memory").orderBy("first")) - 1
     return keyed.select("memory", place.cast("long").alias("entry"), "row.*")
 
