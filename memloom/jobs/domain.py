@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from memloom.functions.text import SPACE_SQL, approx_tokens
-from memloom.operators import certify
+from memloom.operators import certify, pricing
 from memloom.operators import domain as d
 from memloom.operators.structure import ARCHITECTURES
 from memloom.sources.tables import table
 
-SHORTLIST, LIMIT, BUDGETS = 8, 600, (128, 256, 512)
+SHORTLIST, LIMIT, BUDGETS = 8, 1200, (128, 256, 512)
 
 
 def _sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,9 +19,14 @@ def _sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations", "conv_id", "turn", "text").select(F.col("conv_id").alias("unit"), (F.col("turn") + 1).alias("id"), session.alias("session"), F.col("turn").alias("position"), (F.col("turn") * 7 % 5).alias("score"), approx_tokens(F.col("text")).alias("cost"))
 
 
+def _sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number of sources of every unit, of any size."""
+    return _sources(spark, sf_dir).groupBy("unit").agg(F.count(F.lit(1)).alias("n"))
+
+
 def _units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Units with two requirements of two packages each."""
-    n = _sources(spark, sf_dir).groupBy("unit").agg(F.count(F.lit(1)).alias("n"))
+    """Units of at most 64 sources with two requirements of two packages each; for the others see ``unit_status``."""
+    n = _sizes(spark, sf_dir).where(F.col("n") <= d.MOST)
     return n.withColumn("requirements", F.expr("array(array(1L, if(n > 1, 2L, 1L)), array(if(n > 1, 2L, 1L) | shiftleft(1L, int(n - 1)), 1L | if(n > 2, 4L, 1L)))"))
 
 
@@ -34,7 +39,13 @@ def _domain(spark: SparkSession, sf_dir: str) -> DataFrame:
     units = _units(spark, sf_dir)
     bases = d.bases(units)
     sets = d.candidates(bases, d.context(bases, _sources(spark, sf_dir)), SHORTLIST, units)
-    return d.with_cost(sets, _costs(spark, sf_dir)).where(F.col("cost") <= LIMIT)
+    return pricing.capped(d.with_cost(sets, _costs(spark, sf_dir)), LIMIT, "unit")
+
+
+def unit_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which units have a domain, and why others have none."""
+    full = _sources(spark, sf_dir).groupBy("unit").agg((F.sum("cost") + F.when(F.count(F.lit(1)) == 1, d.SINGLE).otherwise(0)).alias("full_cost"))
+    return d.unit_status(_sizes(spark, sf_dir), full, LIMIT)
 
 
 def _evaluated(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -147,7 +158,7 @@ def utility_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 _WORDS = f"list_filter(string_split_regex(text, '{SPACE_SQL}'), lambda w: w <> '')"
 _DOMAIN = f"""
   s AS (SELECT conv_id AS unit, turn + 1 AS id, CASE WHEN turn % 5 <> 4 THEN turn // 3 END AS session, turn AS position, turn * 7 % 5 AS score, greatest(1, ceil(len({_WORDS}) * 1.3e0))::BIGINT AS cost FROM conversations),
-  u AS (SELECT unit, count(*) AS n, list(cost ORDER BY id) AS costs FROM s GROUP BY 1),
+  u AS (SELECT unit, count(*) AS n, list(cost ORDER BY id) AS costs FROM s GROUP BY 1 HAVING count(*) <= {d.MOST}),
   p AS (SELECT unit, n, unnest([1, CASE WHEN n > 1 THEN 2 ELSE 1 END])::BIGINT AS p1 FROM u),
   q AS (SELECT unit, unnest([(CASE WHEN n > 1 THEN 2 ELSE 1 END) | (1::BIGINT << (n - 1)), 1 | (CASE WHEN n > 2 THEN 4 ELSE 1 END)])::BIGINT AS p2 FROM u),
   bases AS (SELECT DISTINCT unit, n, p1 | p2 AS base FROM p JOIN q USING (unit)),
@@ -163,7 +174,8 @@ _DOMAIN = f"""
   best AS (SELECT unit, n, mask, min(row(priority > 1, list_filter(range(1, n + 1), lambda k: (base >> (k - 1)) & 1 = 1), priority, base)) AS w FROM made GROUP BY ALL),
   priced AS (SELECT best.unit, best.n, mask, w[3] AS priority, w[4] AS base, list_filter(range(1, best.n + 1), lambda k: (mask >> (k - 1)) & 1 = 1) AS ids, costs FROM best JOIN u USING (unit)),
   pc AS (SELECT *, list_transform(range(1, len(ids) + 1), lambda k: list_sum(list_transform(ids[1:k], lambda j: costs[j])) + CASE WHEN k = 1 THEN {d.SINGLE} ELSE 0 END) AS prefix FROM priced),
-  dom AS (SELECT *, coalesce(prefix[len(prefix)], 0)::BIGINT AS cost FROM pc WHERE coalesce(prefix[len(prefix)], 0) <= {LIMIT}),
+  fc AS (SELECT unit, (list_sum(costs) + CASE WHEN n = 1 THEN {d.SINGLE} ELSE 0 END)::BIGINT AS full_cost FROM u),
+  dom AS (SELECT pc.*, coalesce(prefix[len(prefix)], 0)::BIGINT AS cost FROM pc JOIN fc ON fc.unit = pc.unit WHERE full_cost <= {LIMIT} AND coalesce(prefix[len(prefix)], 0) <= full_cost),
   ev AS (SELECT *, CASE (mask * 7 + unit) % 5 WHEN 0 THEN 'PASS' WHEN 1 THEN 'PASS' WHEN 2 THEN 'UNKNOWN' WHEN 3 THEN 'FAIL' END AS status
     FROM (SELECT *, unnest({list(BUDGETS)})::BIGINT AS budget FROM dom) WHERE len(list_filter(prefix, lambda c: c > budget)) = 0)"""
 
@@ -174,6 +186,11 @@ QUERIES = {
     "package_product": (package_product, f"WITH {_DOMAIN} SELECT unit, base FROM bases"),
     "context_order": (context_order, f"WITH {_DOMAIN} SELECT unit, base, id, place FROM o"),
     "candidate_domain": (candidate_domain, f"WITH {_DOMAIN} SELECT unit, mask, ['full', 'shortlist', 'outside'][priority] AS kind, base, cost FROM dom"),
+    "unit_status": (
+        unit_status,
+        f"""WITH {_DOMAIN} SELECT unit, count(*) AS n, (sum(cost) + CASE WHEN count(*) = 1 THEN {d.SINGLE} ELSE 0 END)::BIGINT AS full_cost,
+  CASE WHEN count(*) > {d.MOST} THEN 'too_many_sources' WHEN sum(cost) + CASE WHEN count(*) = 1 THEN {d.SINGLE} ELSE 0 END > {LIMIT} THEN 'over_input_limit' ELSE 'ok' END AS status FROM s GROUP BY unit""",
+    ),
     "prefix_reachable": (prefix_reachable, f"WITH {_DOMAIN} SELECT unit, mask, budget FROM ev"),
     "cost_bounds": (
         cost_bounds,

@@ -17,6 +17,19 @@ FULL = "if(n = 64, -1L, ~shiftleft(-1L, int(n)))"
 CHECKED = "if(n > 64, raise_error(concat('a unit has at most 64 sources, unit ', unit, ' has ', n)), {value})"
 
 
+#: Sources of a unit at most.
+MOST = 64
+
+
+def unit_status(units: DataFrame, full_costs: DataFrame, limit: int) -> DataFrame:
+    """``unit, n, full_cost, status``: ``ok``, ``too_many_sources`` or ``over_input_limit``. Only units that are ok have a domain.
+
+    ``full_costs``: unit, full_cost (of all sources together).
+    """
+    status = F.when(F.col("n") > MOST, "too_many_sources").when(F.col("full_cost") > limit, "over_input_limit").otherwise("ok")
+    return units.select("unit", "n").join(full_costs, "unit").select("unit", "n", "full_cost", status.alias("status"))
+
+
 def ids_of(mask: str) -> Column:
     """The sorted ids in a mask; the frame has ``n``."""
     return F.expr(IDS.format(mask=mask))

@@ -6,12 +6,15 @@ its reachable sets, a bounded number.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from memloom.operators.domain import CHECKED
 from memloom.sources.scratch import materialize
 
+
 def logsumexp(column: str, *keys: str) -> Column:
     """Stable log of the sum of exponentials over the rows of ``keys``."""
     over = Window.partitionBy(*keys)
@@ -19,17 +22,28 @@ def logsumexp(column: str, *keys: str) -> Column:
     return top + F.log(F.sum(F.exp(F.col(column) - top)).over(over))
 
 
-def prefixes(units: DataFrame, budget: int) -> DataFrame:
-    """``unit, n, mask, last, size``: every set whose sorted prefixes all cost at most the budget.
+def additive(grown: DataFrame) -> DataFrame:
+    """Sets cost what their sources cost together; ``grown`` has the cost of the set before, and ``costs``."""
+    return grown.withColumn("cost", F.col("cost") + F.expr("get(costs, last - 1)"))
+
+
+def prefixes(units: DataFrame, budget: int, price: Callable[[DataFrame], DataFrame] = additive) -> DataFrame:
+    """``unit, n, mask, cost, last, size``: every set whose sorted prefixes all cost at most the budget.
 
-    ``units``: unit, n, ``costs`` (array by id), n at most 64 (more raise an error). A cost grows with the set here,
-    so sets grow id by id from those within the budget.
+    ``units``: unit, n at most 64 (more raise an error), and what ``price`` needs: it gives grown sets (unit, n, mask, last, size, cost of the set they
+    grew from) their own cost, by any rule. Sets grow as rows, a source a level, and a level is a stored table: a unit with very many of them spreads over tasks.
+    The empty set costs 0.
     """
-    grow = f"transform(acc, s -> named_struct('mask', s.mask | shiftleft(1L, i - 1), 'cost', s.cost + get(costs, i - 1)))"
-    every = f"aggregate({CHECKED.format(value='sequence(1, int(n))')}, array(named_struct('mask', 0L, 'cost', 0L)), (acc, i) -> concat(acc, filter({grow}, s -> s.cost <= {budget})))"
-    sets = units.select("unit", "n", F.explode(F.expr(every)).alias("s")).where(F.col("s.cost") <= budget).select("unit", "n", "s.mask", "s.cost")
-    last = F.expr("aggregate(sequence(1, int(n)), 0, (s, i) -> if((shiftright(mask, i - 1) & 1) = 1, i, s))")
-    return sets.select("unit", "n", "mask", "cost", last.alias("last"), F.bit_count("mask").alias("size"))
+    checked = F.expr(CHECKED.format(value="n"))
+    level = materialize(units.withColumn("n", checked).withColumns({"mask": F.lit(0).cast("long"), "cost": F.lit(0).cast("long"), "last": F.lit(0), "size": F.lit(0)}).where(F.lit(budget) >= 0), "sets")
+    kept, columns = level, ["unit", "n", "mask", "cost", "last", "size"]
+    while not level.isEmpty():
+        # a set spreads over tasks by itself: its unit may hold most of them
+        grown = level.where("last < n").repartition("unit", "mask").withColumn("_id", F.explode(F.expr("sequence(last + 1, int(n))")))
+        grown = grown.withColumns({"mask": F.expr("mask | shiftleft(1L, _id - 1)"), "last": F.col("_id"), "size": F.col("size") + 1}).drop("_id")
+        level = materialize(price(grown).where(F.col("cost") <= budget), "sets")
+        kept = kept.select(*columns).unionByName(level.select(*columns))
+    return kept.select(*columns)
 
 
 def action_logps(sets: DataFrame, logit: Column, stop_logit: Column) -> DataFrame:
