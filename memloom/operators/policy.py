@@ -86,10 +86,10 @@ def risk(logps: DataFrame, success: Column) -> DataFrame:
     return out.select("unit", (-F.log("m")).alias("nll"), (F.col("x") / F.col("m")).alias("excess"))
 
 
-def beam(actions: DataFrame, sets: DataFrame, width: int, depth: int | None = None) -> DataFrame:
-    """The best terminal set of each unit that a beam of ``width`` prefixes meets within ``depth`` steps, or until no prefix is left.
+def completions(actions: DataFrame, sets: DataFrame, width: int, depth: int | None = None) -> DataFrame:
+    """``unit, mask, score``: the terminal sets that a beam of ``width`` prefixes meets within ``depth`` steps, or until no prefix is left.
 
-    One level is one join and one ranking window. Among prefixes of equal scores smaller ids stay; for the end see :func:`best_set`.
+    One level is one join and one ranking window. Among prefixes of equal scores smaller ids stay.
     """
     order = Window.partitionBy("unit").orderBy(F.round("score", 9).desc(), ids_key())
     state = sets.where("mask = 0").select("unit", "mask", F.lit(0.0).alias("score"))
@@ -104,4 +104,16 @@ def beam(actions: DataFrame, sets: DataFrame, width: int, depth: int | None = No
         state = moved.where("id <> 0").drop("id").withColumn("r", F.row_number().over(order)).where(F.col("r") <= width).drop("r")
         if depth > 8:  # the plan of a long beam would hold every level many times
             state = materialize(state, "beam")
+    return ended
+
+
+def beam(actions: DataFrame, sets: DataFrame, width: int, depth: int | None = None) -> DataFrame:
+    """The best of a beam's :func:`completions`; for ties see :func:`best_set`."""
+    ended = completions(actions, sets, width, depth)
     return best_set(ended.withColumn("_score", F.round("score", 9)), "_score").drop("_score")
+
+
+def best_sets(ended: DataFrame, top: int) -> DataFrame:
+    """The ``top`` completions of each unit by score, among equals those with smaller ids."""
+    order = Window.partitionBy("unit").orderBy(F.round("score", 9).desc(), ids_key())
+    return ended.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= top).drop("_r")
