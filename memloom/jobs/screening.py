@@ -23,6 +23,14 @@ def salient_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.salient(units, MOST).select("batch", "id", "strength")
 
 
+def salient_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of one source and a third of the ids as a batch, each hundred of ids a session, without those 0.9 like an earlier one."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "source", "text").where("text IS NOT NULL")
+    words = F.filter(F.split(F.lower("text"), "[^a-z0-9]+"), lambda w: w != "")
+    units = docs.select(F.concat_ws(":", "source", F.expr("doc_id % 3")).alias("batch"), F.expr("doc_id div 100").alias("session"), F.col("doc_id").alias("id"), (F.col("doc_id") % 7).alias("time"), F.filter(words, lambda w: F.char_length(w) >= 9).alias("terms"), words.alias("words"), "text")
+    return s.salient(units, MOST, 0.9).select("batch", "id", "strength")
+
+
 def _gated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates with their gate; the probe's answers are stand-ins."""
     sets = j._solutions(spark, sf_dir, "prefix_costs").join(j._units(spark, sf_dir).select("unit", "requirements"), "unit")
@@ -68,6 +76,18 @@ QUERIES = {
   t AS (SELECT DISTINCT batch, session, id, unnest(terms) AS term FROM u), st AS (SELECT a.batch, a.id, count(DISTINCT b.session) AS strength FROM t a JOIN t b ON a.batch = b.batch AND a.term = b.term AND a.session <> b.session GROUP BY ALL),
   w AS (SELECT u.batch, session, u.id, time, coalesce(strength, 0) AS strength FROM u LEFT JOIN st ON st.batch = u.batch AND st.id = u.id),
   r AS (SELECT *, row_number() OVER (PARTITION BY batch, session ORDER BY strength DESC, time, id) > 1 AS later FROM w)
+SELECT batch, id, strength FROM r QUALIFY row_number() OVER (PARTITION BY batch ORDER BY later, strength DESC, time, id) <= {MOST}""",
+    ),
+    "salient_merged": (
+        salient_merged,
+        f"""WITH v AS (SELECT concat_ws(':', source, doc_id % 3) AS batch, doc_id // 100 AS session, doc_id AS id, doc_id % 7 AS time, list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda w: w <> '') AS words FROM documents
+    WHERE text IS NOT NULL QUALIFY row_number() OVER (PARTITION BY concat_ws(':', source, doc_id % 3), text ORDER BY doc_id % 7, doc_id) = 1),
+  k AS (SELECT *, list_sort(list_distinct(words)) AS w FROM v), e AS (SELECT batch, id, time, len(w) AS n, unnest(CASE WHEN len(w) = 0 THEN [''] ELSE w END) AS word FROM k),
+  near AS (SELECT DISTINCT batch, id FROM (SELECT b.batch, b.id FROM e a JOIN e b ON a.batch = b.batch AND a.word = b.word AND row(a.time, a.id) < row(b.time, b.id) GROUP BY b.batch, b.id, a.id, a.n, b.n HAVING count(*) >= 0.9 * (greatest(a.n, 1) + greatest(b.n, 1) - count(*)) - 1e-9)),
+  u AS (SELECT batch, session, id, time, list_filter(words, lambda w: length(w) >= 9) AS terms FROM v WHERE NOT EXISTS (SELECT 1 FROM near WHERE near.batch = v.batch AND near.id = v.id)),
+  t AS (SELECT DISTINCT batch, session, id, unnest(terms) AS term FROM u), st AS (SELECT a.batch, a.id, count(DISTINCT b.session) AS strength FROM t a JOIN t b ON a.batch = b.batch AND a.term = b.term AND a.session <> b.session GROUP BY ALL),
+  w AS (SELECT u.batch, session, u.id, time, coalesce(strength, 0) AS strength FROM u LEFT JOIN st ON st.batch = u.batch AND st.id = u.id),
+  r AS (SELECT *, row_number() OVER (PARTITION BY batch, session ORDER BY strength DESC, time, id) > 1 AS later FROM w)
 SELECT batch, id, strength FROM r QUALIFY row_number() OVER (PARTITION BY batch ORDER BY later, strength DESC, time, id) <= {MOST}""",
     ),
     "screening_gates": (screening_gates, f"WITH {_GATED} SELECT unit, mask, architecture, gate FROM gated"),

@@ -110,7 +110,7 @@ def bootstrap_ci(spark: SparkSession, sf_dir: str, draws: int = 2000, seed: int
     return bootstrap.resampled_means(gaps, "arm", draws, seed).groupBy("arm").agg(sorted_means.alias("means")).select("arm", at(0.025).alias("low"), at(0.975).alias("high"))
 
 
-def paired_bound(spark: SparkSession, sf_dir: str, draws: int = 500, seed: int = 7) -> DataFrame:
+def paired_bound(spark: SparkSession, sf_dir: str, draws: int = 10_000, seed: int = 7) -> DataFrame:
     """Over the questions (sample, category) of both arms, categories 1 to 4: loss against 'view', its one-sided 95 % upper bound, and tokens saved."""
     rows = _scores(spark, sf_dir).where("category <= 4").groupBy("arm", "sample_id", "category").agg(F.avg("score").alias("score"), F.sum("tokens").alias("tokens"))
     base = rows.where("arm = 'view'").select("sample_id", "category", F.col("score").alias("base_score"), F.col("tokens").alias("base_tokens"))
@@ -212,9 +212,9 @@ _MEANS = f"{_SCORES}, m AS (SELECT arm, sample_id, avg(score) AS score, sum(toke
 
 def _resampled(draws: int, seed: int) -> str:
     """CTEs from ``g`` (arm, id, gap) to ``resampled`` (arm, draw, mean)."""
-    return f"""numbered AS (SELECT arm, gap, row_number() OVER (PARTITION BY arm ORDER BY id) AS k, count(*) OVER (PARTITION BY arm) AS n FROM g),
-  drawn AS (SELECT arm, n, draw, {bootstrap.pick_sql('k', 'draw', seed)} % n + 1 AS k FROM (SELECT *, unnest(range(1, {draws + 1})) AS draw FROM numbered)),
-  resampled AS (SELECT d.arm, draw, sum(gap) / any_value(d.n) AS mean FROM drawn d JOIN numbered x ON x.arm = d.arm AND x.k = d.k GROUP BY d.arm, draw)"""
+    often = bootstrap.counts_sql("x")
+    return f"""picked AS (SELECT arm, gap, draw, {bootstrap.pick_sql('id', 'draw', seed)} AS x FROM (SELECT *, unnest(range(1, {draws + 1})) AS draw FROM g)),
+  resampled AS (SELECT arm, draw, sum(gap * {often}) / nullif(sum({often}), 0) AS mean FROM picked GROUP BY arm, draw)"""
 
 
 _STATE = "SELECT user_id, min(event_id) AS place, max_by(value, event_id) AS value, count(*) AS version FROM events GROUP BY 1"
@@ -259,7 +259,7 @@ SELECT arm, round(list_sort(list(mean))[50], 9) AS low, round(list_sort(list(mea
         paired_bound,
         f"""WITH {_SCORES}, m AS (SELECT arm, sample_id, category, avg(score) AS score, sum(tokens)::BIGINT AS tokens FROM s WHERE category <= 4 GROUP BY ALL),
   p AS (SELECT a.arm, a.sample_id * 10 + a.category AS id, b.score - a.score AS raw, a.tokens, b.tokens AS base_tokens FROM m a JOIN m b ON a.sample_id = b.sample_id AND a.category = b.category AND b.arm = 'view' WHERE a.arm <> 'view'),
-  g AS (SELECT arm, id, round(raw, 12) AS gap FROM p), {_resampled(500, 7)}, up AS (SELECT arm, round(quantile_cont(mean, 0.95), 9) AS one_sided_95_upper FROM resampled GROUP BY 1)
+  g AS (SELECT arm, id, round(raw, 12) AS gap FROM p), {_resampled(10_000, 7)}, up AS (SELECT arm, round(quantile_cont(mean, 0.95), 9) AS one_sided_95_upper FROM resampled GROUP BY 1)
 SELECT p.arm, count(*) AS n, round(avg(raw), 9) AS quality_loss, round(1e0 - sum(tokens)::DOUBLE / sum(base_tokens), 9) AS saving_build, any_value(one_sided_95_upper) AS one_sided_95_upper FROM p JOIN up ON up.arm = p.arm GROUP BY 1""",
     ),
     "journal_merge": (

@@ -1,30 +1,76 @@
-"""Resampling with replacement as joins and aggregates: no sample is gathered in one place."""
+"""Resampling with replacement where the rows are: each row draws how often it counts, and only sums leave a task.
+
+The number of times that a row is picked is a Poisson count of mean 1, from a portable generator by the row's id and the draw. So no row is copied
+or moved, groups are of any size, and the same draws can be made in any engine with 64-bit integers. A draw's sample size varies about that of the group;
+the mean is over what was picked.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from math import exp, factorial
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: A prime modulus and multipliers of the generator that picks rows; all products stay below 2^63.
+#: A prime modulus and multipliers of the generator; all products stay below 2^63.
 PRIME, STEPS = 2_147_483_647, (48_271, 69_621, 16_807)
+#: Numbers from which on a row is picked once, twice, and so on: shares of a Poisson distribution of mean 1.
+LIMITS = [int(PRIME * sum(exp(-1) / factorial(i) for i in range(k + 1))) for k in range(12)]
+#: Rows that are worked on at once, and groups whose sums a task holds.
+ROWS, GROUPS = 256, 64
 
 
 def pick_sql(k: str, draw: str, seed: int) -> str:
-    """SQL of a number from 0 that stands for the k-th pick of a draw; the same in every engine with 64-bit integers."""
-    x = f"(({k} * {STEPS[0]} + {draw} * {STEPS[1]} + {seed} * 7919) % {PRIME})"
+    """SQL of a number from 0 to PRIME that stands for a row (id ``k``) in a draw; the same in every engine with 64-bit integers."""
+    x = f"((({k}) % {PRIME} * {STEPS[0]} + {draw} * {STEPS[1]} + {seed} * 7919) % {PRIME})"
     for step in STEPS:
         x = f"(({x} % 46337 * ({x} % 46327) + {x} % 104729 * {step}) % {PRIME})" if step == STEPS[1] else f"({x} * {step} % {PRIME})"
     return x
 
 
+def counts_sql(pick: str) -> str:
+    """SQL of how often a row is picked, by its number."""
+    return "CASE " + " ".join(f"WHEN {pick} < {limit} THEN {k}" for k, limit in enumerate(LIMITS)) + f" ELSE {len(LIMITS)} END"
+
+
+def counts(ids: np.ndarray, draws: int, seed: int) -> np.ndarray:
+    """How often each row (ids) is picked in each draw (from 1): rows x draws."""
+    x = ((ids % PRIME)[:, None] * STEPS[0] + np.arange(1, draws + 1, dtype=np.int64)[None, :] * STEPS[1] + seed * 7919) % PRIME
+    for step in STEPS:
+        x = (x % 46337 * (x % 46327) + x % 104729 * step) % PRIME if step == STEPS[1] else x * step % PRIME
+    return np.searchsorted(LIMITS, x, side="right")
+
+
 def resampled_means(values: DataFrame, group: str, draws: int, seed: int) -> DataFrame:
-    """``group, draw, mean``: the mean of as many rows as the group has, picked with replacement, for each of ``draws`` draws.
+    """``group, draw, mean``: the mean gap of each of ``draws`` resamples of each group; null where a draw picks nothing.
 
-    ``values``: group, id (order of the rows), gap. A pick is a number of a row, so a draw is a join and an aggregate; groups
-    are those of paired units (histories or questions), far fewer than raw rows.
+    ``values``: group (text), id (0 or more, different in a group), gap. A task sends a row per group and draw, whatever its number of rows.
     """
-    numbered = values.select(group, "gap", F.row_number().over(Window.partitionBy(group).orderBy("id")).cast("long").alias("k"))
-    sizes = values.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
-    picks = numbered.select(group, "k").join(sizes, group).withColumn("draw", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(draws).cast("long"))))
-    picks = picks.select(group, "n", "draw", F.expr(f"{pick_sql('k', 'draw', seed)} % n + 1").alias("k"))
-    return picks.join(numbered, [group, "k"]).groupBy(group, "draw").agg((F.sum("gap") / F.any_value("n")).alias("mean"))
+
+    def run(batches):
+        held: dict = {}
+
+        def sums():
+            for name, (picked, total) in held.items():
+                yield pa.RecordBatch.from_arrays([pa.array([name] * draws, pa.string()), pa.array(np.arange(1, draws + 1)), pa.array(picked), pa.array(total)], names=["g", "draw", "picked", "total"])
+            held.clear()
+
+        for batch in batches:
+            names = np.array(batch.column(0).to_pylist(), object)
+            ids, gaps = batch.column(1).to_numpy(), batch.column(2).to_numpy()
+            for name in dict.fromkeys(names):
+                if len(held) >= GROUPS and name not in held:
+                    yield from sums()
+                picked, total = held.setdefault(name, (np.zeros(draws, np.int64), np.zeros(draws)))
+                at = np.flatnonzero(names == name)
+                for k in range(0, len(at), ROWS):
+                    often = counts(ids[at[k : k + ROWS]], draws, seed)
+                    picked += often.sum(axis=0)
+                    total += gaps[at[k : k + ROWS]] @ often
+        yield from sums()
+
+    rows = values.select(F.col(group).cast("string"), F.col("id").cast("long"), F.col("gap").cast("double")).where("gap IS NOT NULL")
+    parts = rows.mapInArrow(run, "g string, draw long, picked long, total double")
+    return parts.groupBy(F.col("g").alias(group), "draw").agg((F.sum("total") / F.nullif(F.sum("picked"), F.lit(0))).alias("mean"))

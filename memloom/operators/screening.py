@@ -23,14 +23,44 @@ def strengths(units: DataFrame) -> DataFrame:
     return units.join(found, ["batch", "id"], "left").withColumn("strength", F.coalesce("strength", F.lit(0)).cast("long"))
 
 
-def salient(units: DataFrame, most: int) -> DataFrame:
+def near_copies(units: DataFrame, similarity: float) -> DataFrame:
+    """``batch, id`` of units that are near copies of an earlier one (by ``time``, then id) of their batch: the Jaccard similarity of their ``words`` is at least ``similarity``.
+
+    ``units``: batch, id, time, words (array of strings). Two units without words are copies. Only word hashes move: units of equal word sets are one class; of two classes as
+    similar as that the rarer words that come first in each must share one (prefix filter), and the smaller has at least that share of the larger's words (length filter).
+    Rows grow with the classes that share a rare word, not with all pairs of a batch.
+    """
+    sets = units.select("batch", "time", "id", F.array_sort(F.array_distinct(F.transform(F.coalesce("words", F.array().cast("array<string>")), lambda w: F.xxhash64(w)))).alias("set"))
+    sets = sets.withColumn("class", F.xxhash64("set"))
+    first = sets.groupBy("batch", "class").agg(F.min(F.struct("time", "id")).alias("first"), F.any_value("set").alias("set"))
+    words = first.select("batch", "class", F.explode("set").alias("word"))
+    common = words.groupBy("batch", "word").agg(F.count(F.lit(1)).alias("held"))
+    ranked = words.join(common, ["batch", "word"]).groupBy("batch", "class").agg(F.array_sort(F.collect_list(F.struct("held", "word"))).alias("ranked"))
+    size = F.size("ranked")
+    # so many words of a set may be missing in the other one, and one more is surely shared
+    prefix = F.slice("ranked", 1, (size - F.ceil(size * F.lit(similarity) - F.lit(1e-9)) + 1).cast("int"))
+    keyed = ranked.select("batch", "class", size.alias("n"), F.explode(prefix).alias("x")).select("batch", "class", "n", F.col("x.word").alias("word"))
+    a, b = keyed.alias("a"), keyed.alias("b")
+    meet = a.join(b, (F.col("a.batch") == F.col("b.batch")) & (F.col("a.word") == F.col("b.word")) & (F.col("a.class") < F.col("b.class")) & (F.least("a.n", "b.n") >= F.greatest("a.n", "b.n") * similarity - 1e-9))
+    pairs = meet.select(F.col("a.batch").alias("batch"), F.col("a.class").alias("x"), F.col("b.class").alias("y")).distinct()
+    side = lambda x: first.select("batch", F.col("class").alias(x), F.col("set").alias(f"{x}_set"), F.col("first").alias(f"{x}_first"))
+    whole = pairs.join(side("x"), ["batch", "x"]).join(side("y"), ["batch", "y"])
+    shared = F.size(F.array_intersect("x_set", "y_set"))
+    close = whole.where(shared >= similarity * (F.size("x_set") + F.size("y_set") - shared) - 1e-9)
+    both = close.select("batch", F.col("x").alias("class"), F.col("y_first").alias("other")).unionByName(close.select("batch", F.col("y").alias("class"), F.col("x_first").alias("other")))
+    earliest = both.unionByName(first.select("batch", "class", F.col("first").alias("other"))).groupBy("batch", "class").agg(F.min("other").alias("other"))
+    return sets.join(earliest, ["batch", "class"]).where(F.col("other") < F.struct("time", "id")).select("batch", "id")
+
+
+def salient(units: DataFrame, most: int, similarity: float | None = None) -> DataFrame:
     """The ``most`` units of each batch that go on, with ``strength``, chosen without a query.
 
-    Of units of equal ``text`` in a batch the earliest stays. Each session's strongest unit comes first, then the others by
+    Of units of equal ``text`` in a batch the earliest stays; with ``similarity`` near copies of an earlier unit go, too (``units`` then has ``words``). Each session's strongest unit comes first, then the others by
     strength, then by ``time`` and id. A smaller batch goes on whole.
     """
     earliest = Window.partitionBy("batch", F.xxhash64("text"), "text").orderBy("time", "id")
-    once = strengths(units.withColumn("_n", F.row_number().over(earliest)).where("_n = 1").drop("_n"))
+    left = units.withColumn("_n", F.row_number().over(earliest)).where("_n = 1").drop("_n")
+    once = strengths(left if similarity is None else left.join(near_copies(left, similarity), ["batch", "id"], "left_anti"))
     order = [F.col("strength").desc(), F.col("time"), F.col("id")]
     best = once.withColumn("_s", F.row_number().over(Window.partitionBy("batch", "session").orderBy(*order)) > 1)
     return best.withColumn("_n", F.row_number().over(Window.partitionBy("batch").orderBy("_s", *order))).where(F.col("_n") <= most).drop("_n", "_s")

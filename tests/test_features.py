@@ -97,3 +97,28 @@ def test_salient_units_keep_each_session(spark):
     got = {(r.batch, r.id): r.strength for r in screening.salient(df, 3).collect()}
     assert got == {(1, 1): 1, (1, 3): 1, (1, 5): 0, (2, 6): 0}
     assert len(screening.salient(df, 9).collect()) == 5
+
+
+def test_near_copies_are_those_of_all_pairs(spark):
+    import random
+
+    random.seed(11)
+    rows = []
+    for batch in range(3):
+        seeds = [[f"w{random.randint(0, 60)}" for _ in range(random.randint(1, 25))] for _ in range(12)] + [[], []]
+        for i in range(90):
+            words = list(random.choice(seeds))
+            for _ in range(random.randint(0, 2)):
+                if words and random.random() < 0.7:
+                    words[random.randrange(len(words))] = f"w{random.randint(0, 60)}"
+            rows.append((batch, i, random.randint(0, 9), words if i else None))
+    df = spark.createDataFrame(rows, "batch long, id long, time long, words array<string>").repartition(3)
+    for least in (0.5, 0.8, 0.9, 1.0):
+        got = {(r.batch, r.id) for r in screening.near_copies(df, least).collect()}
+        want = set()
+        for b, i, t, w in rows:
+            for b2, i2, t2, w2 in rows:
+                x, y = set(w or []), set(w2 or [])
+                if b == b2 and (t2, i2) < (t, i) and (x == y or len(x & y) >= least * len(x | y)):
+                    want.add((b, i))
+        assert got == want and want
