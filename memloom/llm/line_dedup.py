@@ -53,9 +53,12 @@ def keyed_lines(source: DataFrame, tau: int, least: int) -> DataFrame:
     """
     every = [(d, i, shift) for d in range(tau + 1) for i in range(1, tau + 2) for shift in probe_shifts(i, d, tau)]
     probe = F.explode(F.array(*(F.struct(F.lit(d).alias("d"), F.lit(i).alias("i"), F.lit(shift).alias("shift")) for d, i, shift in every)))
-    rows = lines_of(source, least, "line", "len").withColumn("p", probe)
+    # in ASCII a place is a byte: no need to walk along the line from its start for every probe
+    plain = F.expr("CASE WHEN octet_length(line) = len THEN cast(line AS binary) END")
+    rows = lines_of(source, least, "line", "len").withColumn("plain", plain).withColumn("p", probe)
     at, size = segment("p.i", tau, "(len - p.d)")
-    key = f"xxhash64(p.i, len - p.d, substring(line, int({at} + p.shift + 1), int({size})))"
+    part = f"int({at} + p.shift + 1), int({size})"
+    key = f"xxhash64(p.i, len - p.d, coalesce(substring(plain, {part}), cast(substring(line, {part}) AS binary)))"
     return rows.select(F.expr(key).alias("key"), F.expr("if(p.d = 0 AND p.shift = 0, 1, 0)").alias("own"), "h1", "h2")
 
 
