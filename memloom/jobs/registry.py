@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from memloom.jobs import checks, compilation, domain, features, memory, persistent, policy, report, retrieval, screening, selection, text, updates, usage
+from memloom.jobs import checks, compilation, domain, evaluation, features, memory, persistent, policy, report, retrieval, screening, selection, text, updates, usage
 
 #: Modules of memloom.jobs with QUERIES: name -> (function, SQL or None).
-MODULES = [retrieval, text, memory, domain, compilation, usage, policy, persistent, report, checks, features, screening, updates, selection]
+MODULES = [retrieval, text, memory, domain, compilation, usage, policy, persistent, report, checks, features, screening, updates, selection, evaluation]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -29,16 +29,47 @@ def balanced(text: str, opener: str, closer: str) -> str:
     return f"CASE WHEN locate('{opener}', {text}) > 0 AND {stop} > 0 THEN substring({rest}, 1, {stop}) END"
 
 
+def whole_json(text: Column) -> Column:
+    """The JSON value (variant) that a text is; null if it is none, or has more behind one: the parser itself stops after the first value."""
+    inside = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    alone = F.size(F.try_variant_get(inside, "$", "array<variant>")) == 1
+    member = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
+    return F.when(alone & member.isNotNull(), F.try_parse_json(F.nullif(text, F.lit(""))))
+
+
 def parse(outputs: DataFrame, raw: str = "raw") -> DataFrame:
     """Adds ``value`` (variant): the JSON of an output, of its whole text or else of its first balanced object, then array; null if none is valid."""
     plain = outputs.withColumn("_text", fenced(F.coalesce(raw, F.lit(""))))
-    plain = plain.withColumn("value", F.try_parse_json(F.nullif("_text", F.lit(""))))
+    plain = plain.withColumn("value", whole_json(F.col("_text")))
     for opener, closer in (("{", "}"), ("[", "]")):
         found = F.try_parse_json(F.when(F.col("value").isNull(), F.expr(balanced("_text", opener, closer))))
         plain = plain.withColumn("value", F.coalesce("value", found))
     return plain.drop("_text")
 
 
+# The only member of a teacher's reply, how a reply begins whose last brace alone is missing, and the note of its repair.
+ROOT, BEGIN, REPAIRED = "requirements", '{"requirements":', "appended_missing_root_object_closer"
+
+
+def teacher_reply(outputs: DataFrame, raw: str = "raw") -> DataFrame:
+    """Adds ``reply`` (variant, an object), ``repair`` and ``error`` to a teacher's outputs.
+
+    A complete list of requirements that lacks the closing brace of the root object, and nothing else, gets it; any other broken text is ``parse_error``, and
+    JSON that is no object ``root_not_object``. Nothing inside a reply is ever added or changed.
+    """
+    rows = outputs.withColumn("_text", fenced(F.coalesce(raw, F.lit(""))))
+    rows = rows.withColumn("_whole", whole_json(F.col("_text")))
+    may = F.col("_whole").isNull() & F.startswith("_text", F.lit(BEGIN)) & F.endswith("_text", F.lit("]"))
+    closed = F.when(may, whole_json(F.concat("_text", F.lit("}"))))
+    rows = rows.withColumn("_closed", closed)
+    alone = F.expr(f"map_keys(try_variant_get(_closed, '$', 'map<string,variant>')) = array('{ROOT}')")
+    rows = rows.withColumn("_closed", F.when(alone, F.col("_closed")))
+    found = F.coalesce("_whole", "_closed")
+    kind = F.schema_of_variant(found)
+    error = F.when(found.isNull(), "parse_error").when(~F.startswith(kind, F.lit("OBJECT<")), "root_not_object")
+    return rows.withColumns({"reply": F.when(error.isNull(), found), "repair": F.when(F.col("_closed").isNotNull(), F.lit(REPAIRED)), "error": error}).drop("_text", "_whole", "_closed")
+
+
 def checked_items(outputs: DataFrame, allowed: str = "allowed") -> DataFrame:
     """Adds ``items`` (array of place, m, src, reason) and ``error`` (of the whole output) to outputs with ``value``.
 
