@@ -164,15 +164,16 @@ def _near_repeats(source: DataFrame, first: DataFrame, tau: int, least: int) ->
 
     sizes = hits.groupBy("key").agg(F.ceil(F.sum("own") / BLOCK).cast("int").alias("n_own"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("n_all"))
     members = hits.join(texts, ["h1", "h2"]).join(sizes, "key")
-    members = materialize(members.withColumn("member", F.struct("at", "h1", "h2", "line")), "line-members")
+    members = materialize(members.withColumn("member", F.struct("at", "h1", "h2", "line", "own")), "line-members")
     block = lambda n: F.pmod("h1", F.col(n)).cast("int")
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     own = members.where("own = 1").select("key", block("n_own").alias("x"), spread("n_all").alias("y"), "member").groupBy("key", "x", "y").agg(F.sort_array(F.collect_list("member")).alias("own"))
     every = members.select("key", block("n_all").alias("y"), spread("n_own").alias("x"), "member").groupBy("key", "x", "y").agg(F.sort_array(F.collect_list("member")).alias("every"))
     close = within_edits("r.line", "v.line", tau)
+    # two lines that are both indexed under the key are compared by the first part already
     later = f"""concat(
       filter(every, v -> exists(own, r -> r.at < v.at AND {close})),
-      filter(own, v -> exists(every, r -> r.at < v.at AND {close})))"""
+      filter(own, v -> exists(every, r -> r.own = 0 AND r.at < v.at AND {close})))"""
     return own.join(every, ["key", "x", "y"]).select(F.explode(F.expr(later)).alias("v")).select("v.h1", "v.h2").distinct()
 
 
