@@ -6,7 +6,7 @@ begins or ends. Text lengths are summed over sliding windows of lines. Text surg
 rise from nothing and come to reach a threshold, and dives where they fall to nothing again; the
 lines between a surge and its dive are kept. Article markup (``article``, ``main``) and headings make
 a line count more; text of links counts nothing outside an article. Beside an article, ranges of
-other lines stay only if they hold at least as much text as the article.
+other lines stay if they hold at least a third as much text as the article: second parts do, notices without a name don't.
 """
 
 from __future__ import annotations
@@ -25,7 +25,11 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre search section summary table tbody tfoot thead title tr ul".split()
 )
-DROPPED = frozenset("applet aside button canvas datalist dialog embed fieldset footer form frameset head iframe label map menu nav noscript object optgroup option select svg template textarea title audio video search".split())
+DROPPED = frozenset("applet aside button canvas datalist dialog embed footer frameset head iframe label map menu nav noscript object optgroup option select svg template textarea title audio video".split())
+#: Elements that hold controls, but often the whole page, too: evidence, as names are.
+WRAPPERS = frozenset("form fieldset search".split())
+#: Controls that are words of a sentence where one has begun.
+INLINE = frozenset("button label".split())
 RAW = frozenset("script style xmp noembed noframes".split())
 #: A start tag of the first kind ends an open element of the second kind in the same container.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -54,6 +58,8 @@ _WORD = re.compile(r"[A-Z]?[a-z0-9]+|[A-Z0-9]+")
 WINDOW, SURGE = 3, 60
 #: What a character counts in an article, and in a heading elsewhere.
 IN_ARTICLE, IN_HEADING = 8, 4
+#: A range beside an article stays if so many times its text is that of the article at least.
+BESIDE = 3
 HEADINGS = frozenset({"h1", "h2"})
 #: Containers of a whole page: what they hold on both sides of a dropped element isn't of one block for that.
 WHOLE = frozenset({"html", "body"})
@@ -90,7 +96,7 @@ def lines_of(page: str) -> list[Line]:
 
     A dropped element leaves ``WINDOW`` empty lines, but not in an article, nor between lines of the container that
     it stands in; so does the border of an article, but not behind a heading. An element that only its names
-    speak against stays if it holds ``main``, the only articles, or most of the text (outside an article beside it: nearly all).
+    speak against, and a form or the like, stays if it holds ``main``, the only articles, or most of the text (outside an article beside it: nearly all).
     """
     lines, spared = _parse(page, frozenset())
     return _parse(page, spared)[0] if spared else lines
@@ -201,9 +207,10 @@ def _parse(page: str, spared: frozenset[int]) -> tuple[list[Line], frozenset[int
         hidden, named = _evidence(attributes, scopes > 0) if attributes else (False, set())
         by_name = name not in NEVER_BY_NAME
         # a reader comment marked up as an article in the article goes for sure
-        certain = name in DROPPED or (name == "header" and not scopes) or (by_name and hidden) or (name == "article" and scopes > 0 and (hidden or bool(named)))
+        word = name in INLINE and find({"p"}, False) >= 0 and not any(opened.get(x) for x in WRAPPERS) and any(not x.isspace() for x in text)
+        certain = (name in DROPPED and not word) or (name == "header" and not scopes) or (by_name and hidden) or (name == "article" and scopes > 0 and (hidden or bool(named)))
         before = None
-        if by_name and named and not certain and not sure:
+        if by_name and (named or name in WRAPPERS) and not certain and not sure:
             before = (at, scopes > 0 and bool(named & READERS), mains, articles if not scopes else float("inf"), size)
             under += 1
         off = certain or (before is not None and at not in spared)
@@ -269,7 +276,7 @@ def main_text(page: str | None) -> str:
     marked = [any(lines[i][1] for i in range(*x)) for x in ranges]
     held = [sum(len(lines[i][0]) for i in range(*x)) for x in ranges]
     article = sum(n for n, inside in zip(held, marked, strict=True) if inside)
-    kept = [x for x, n, inside in zip(ranges, held, marked, strict=True) if inside or n >= article]
+    kept = [x for x, n, inside in zip(ranges, held, marked, strict=True) if inside or n * BESIDE >= article]
     return "\n\n".join(lines[i][0] for x in kept for i in range(*x) if lines[i][0])
 
 

@@ -188,6 +188,19 @@ class TestMainText:
     def test_surge_and_dive(self):
         assert html_text.between_surge_and_dive([0, 0, 0, 50, 40, 0, 60, 0, 0, 0, 5, 0], 60) == [(3, 7)]
 
+    def test_forms_around_the_page_and_second_parts(self):
+        story, more = "This is a sentence of the story. " * 12, "And so it goes on, elsewhere. " * 6
+        story, more = story.strip(), more.strip()
+        for wrapper in ("form", "fieldset", "search"):
+            assert html_text.main_text(f"<body><{wrapper} id=x><div><p>{story}</p></div></{wrapper}></body>") == story
+            assert html_text.main_text(f"<body><{wrapper}><article><p>{story}</p></article></{wrapper}></body>") == story
+        form = "<form><p>Write to us</p><label>Mail</label><input><button>Send</button></form>"
+        assert html_text.main_text(f"<body><div><p>{story}</p></div>{form}</body>") == story
+        assert html_text.main_text(f"<body><article><p>{story}</p>{form}<p>After.</p></article></body>") == f"{story}\n\nAfter."
+        assert html_text.main_text(f'<body><article><p>{story}</p></article>{form}<div class="story"><p>{more}</p></div></body>') == f"{story}\n\n{more}"
+        assert html_text.main_text(f"<body><article><p>{story}</p></article>{form}<div><p>{more[:90]}</p></div></body>") == story
+        assert html_text.main_text(f"<p>Press the <button>Save</button> key. {story}</p><p><button>Share</button></p>") == f"Press the Save key. {story}"
+
 
 class TestWarc:
     def test_same_as_sql(self, spark):
