@@ -25,10 +25,14 @@ SMALL = 64
 PAIRS = 1 << 15
 
 
-def bucket_blocks(members: DataFrame, most: int) -> DataFrame:
-    """``members`` (group, id and others) with ``block`` and ``n_blocks``. Buckets of one member are left out."""
-    sizes = members.groupBy("group").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    sizes = sizes.select("group", F.ceil(F.col("n") / F.lit(most)).cast("int").alias("n_blocks"))
+def bucket_blocks(members: DataFrame, most: int, weight: str | None = None, heaviest: int = 1) -> DataFrame:
+    """``members`` (group, id and others) with ``block`` and ``n_blocks``. Buckets of one member are left out.
+
+    A block has about ``most`` members at most and, where ``weight`` names a column, about ``heaviest`` weight, or is a single heavier member.
+    """
+    heavy = F.sum(weight) / F.lit(heaviest) if weight else F.lit(0)
+    sizes = members.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.ceil(heavy).alias("_w")).where("n > 1")
+    sizes = sizes.select("group", F.least(F.col("n"), F.greatest(F.ceil(F.col("n") / F.lit(most)), F.col("_w"))).cast("int").alias("n_blocks"))
     return members.join(sizes, "group").withColumn("block", F.pmod(F.xxhash64("id"), F.col("n_blocks")).cast("int"))
 
 

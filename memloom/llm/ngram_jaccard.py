@@ -34,6 +34,8 @@ N, THRESHOLD, TOLERANCE = 5, 0.8, 1e-6
 BANDS, ROWS, STEP = 32, 5, 32
 #: Members of a block of a bucket.
 BLOCK = 1024
+#: N-grams of a block's members together (16 MB): long texts make smaller blocks, so that a unit of two blocks fits in any task.
+HEAVIEST = 1 << 21
 #: Grams of sets that are compared exactly at once.
 GRAMS = 1 << 19
 #: Rows of a text: its id, and two hashes of it.
@@ -105,10 +107,11 @@ def sketch(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for row, end, texts in _texts(batch.column(3)):
                 classes = [xxhash.xxh3_128_digest(x.tobytes()) if len(x) else None for x in texts]
-                marks = [signature(grams_of(x)).tobytes() if len(x) else None for x in texts]
-                yield pa.RecordBatch.from_arrays([*(c.slice(row, end - row) for c in batch.columns[:3]), pa.array(classes, pa.binary()), pa.array(marks, pa.binary())], names=[*ROW_KEY, "class", "mark"])
+                grams = [grams_of(x) if len(x) else x for x in texts]
+                marks, sizes = [signature(x).tobytes() if len(x) else None for x in grams], [len(x) for x in grams]
+                yield pa.RecordBatch.from_arrays([*(c.slice(row, end - row) for c in batch.columns[:3]), pa.array(classes, pa.binary()), pa.array(marks, pa.binary()), pa.array(sizes, pa.int64())], names=[*ROW_KEY, "class", "mark", "size"])
 
-    return docs.select(*ROW_KEY, "text").mapInArrow(tidy(run), "id long, h1 long, h2 long, class binary, mark binary")
+    return docs.select(*ROW_KEY, "text").mapInArrow(tidy(run), "id long, h1 long, h2 long, class binary, mark binary, size long")
 
 
 def _with_sets(texts: DataFrame) -> DataFrame:
@@ -215,13 +218,13 @@ def _linked_rows(source: DataFrame, threshold: float, tolerance: float) -> DataF
     least = least_matches(threshold, tolerance)
     sketches = materialize(sketch(source), "sketches")
     worded = sketches.where("id IS NOT NULL AND class IS NOT NULL")
-    classes = worded.groupBy("class").agg(F.min(F.struct(*ROW_KEY)).alias("first"), F.count(F.lit(1)).alias("copies"), F.any_value("mark").alias("mark"))
+    classes = worded.groupBy("class").agg(F.min(F.struct(*ROW_KEY)).alias("first"), F.count(F.lit(1)).alias("copies"), F.any_value("mark").alias("mark"), F.any_value("size").alias("size"))
     # a number of its own for each class: ids may repeat
-    classes = materialize(classes.select(F.monotonically_increasing_id().alias("node"), "class", "first", F.col("first.id").alias("rep"), "copies", "mark"), "classes")
+    classes = materialize(classes.select(F.monotonically_increasing_id().alias("node"), "class", "first", F.col("first.id").alias("rep"), "copies", "mark", "size"), "classes")
 
     band = lambda k: F.struct(F.lit(k).alias("band"), F.xxhash64(F.lit(k), F.expr(f"substring(mark, {2 * ROWS * k + 1}, {2 * ROWS})")).alias("group"))
-    buckets = classes.select(F.col("node").alias("id"), F.explode(F.array(*map(band, range(BANDS)))).alias("at")).select("id", "at.*")
-    placed = bucket_blocks(buckets, BLOCK).join(classes.select(F.col("node").alias("id"), "mark"), "id")
+    buckets = classes.select(F.col("node").alias("id"), "size", F.explode(F.array(*map(band, range(BANDS)))).alias("at")).select("id", "size", "at.*")
+    placed = bucket_blocks(buckets, BLOCK, "size", HEAVIEST).drop("size").join(classes.select(F.col("node").alias("id"), "mark"), "id")
     kind = "group long, block_a int, block_b int, block int, band int, id long"
     met = materialize(dealt(block_pairs(placed)).select(*UNIT, "block", "band", "id", "mark").mapInArrow(tidy(_meetings(least)), kind), "met")
 

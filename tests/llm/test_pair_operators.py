@@ -238,6 +238,29 @@ class TestNgramJoin:
         got = ngram_jaccard.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()
         assert all(r.n_links == 0 and r.kept for r in got)
 
+    def test_long_near_copies_in_blocks_bounded_by_grams(self, spark, monkeypatch):
+        from memloom.llm.blocks import bucket_blocks
+
+        monkeypatch.setattr(ngram_jaccard, "HEAVIEST", 20_000)
+        random.seed(3)
+        base = [f"w{random.randint(0, 10**6)}" for _ in range(4000)]
+        docs = []
+        for i in range(80):
+            words = list(base)
+            for _ in range(random.choice([1, 5, 30])):
+                words[random.randrange(len(words))] = f"x{random.randint(0, 10**6)}"
+            docs.append((i, " ".join(words)))
+        docs += [(100 + i, " ".join(f"y{i}_{k}" for k in range(3000))) for i in range(5)]
+        sets = {i: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t in docs}
+        pairs = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+        links = Counter(x for p in pairs for x in p)
+        got = ngram_jaccard.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string").repartition(4)).collect()
+        assert {r.doc_id: r.n_links for r in got} == {i: links[i] for i in sets} and len(pairs) > 1000
+        assert {r.doc_id: r.component_id for r in got} == union_find(sets, pairs)
+        members = spark.createDataFrame([(1, i, 4000) for i in range(80)] + [(2, 500, 90_000), (2, 501, 10)], "group long, id long, size long")
+        blocks = bucket_blocks(members, 1024, "size", 20_000).groupBy("group", "block").agg(F.sum("size").alias("s"), F.count("id").alias("n")).collect()
+        assert max(r.s for r in blocks if r.group == 1) <= 3 * 20_000 and sum(r.n for r in blocks) == 82
+
     def test_pruning_bounds(self):
         least = ngram_jaccard.least_matches()
         rng = np.random.default_rng(1)
