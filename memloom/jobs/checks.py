@@ -55,8 +55,7 @@ def _cache(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     docs = retrieval._docs(spark, sf_dir).join(vectors, "source_id")
     asked = docs.where("source_id % 20 = 0").select("label", F.col("source_id").alias("question_id"), "text")
     lexical = r.bm25_top_k(asked, docs, 10, "label", itself=False).select("question_id", "source_id", "rank")
-    dense = retrieval._dense(spark, sf_dir).join(docs.select("source_id"), "source_id", "left_semi").join(asked.select("question_id"), "question_id", "left_semi")
-    dense = r.top_k(dense, 10, "question_id").select("question_id", "source_id", "rank")
+    dense = r.top_k(retrieval._dense(spark, sf_dir, 10, docs.select("source_id").distinct()), 10, "question_id").select("question_id", "source_id", "rank")
     evidence = asked.where("question_id % 60 <> 0").select("question_id", F.explode(F.expr("array(question_id + 1, question_id + 5, question_id + 10)")).alias("source_id"))
     return cache.rows_of(r.fuse(lexical, dense, 10, "question_id"), lexical, dense, evidence, asked, "question_id"), asked
 

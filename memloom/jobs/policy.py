@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from memloom.functions.text import SPACE_SQL, approx_tokens
 from memloom.jobs import domain, retrieval
 from memloom.operators import policy, state
+from memloom.operators.retrieval import mean_overlap
 from memloom.sources.tables import table
 
 BUDGET = 400
@@ -77,6 +78,12 @@ def evidence_overlap_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared.select("question_id", "other_id", F.round(F.col("k") / (F.col("n") + F.col("m") - F.col("k")), 9).alias("jaccard"))
 
 
+def evidence_overlap_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean overlap of what the questions of a history retrieve; every eighth item is of one history."""
+    rows = retrieval.bm25_topk(spark, sf_dir).select(F.expr("question_id % 8").alias("history"), "question_id", "source_id")
+    return mean_overlap(rows, "history").withColumn("mean_jaccard", F.round("mean_jaccard", 9))
+
+
 def covcore(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per benchmark item with evidence: whether all of it was retrieved, and how much."""
     evidence = retrieval.evidence(spark, sf_dir)
@@ -152,6 +159,13 @@ SELECT conv_id, turn, round(overlap, 9) AS overlap, id FROM (SELECT *, row_numbe
         f"""WITH {retrieval.TOP5_SQL}, n AS (SELECT question_id, count(*) AS n FROM top GROUP BY 1),
   k AS (SELECT a.question_id, b.question_id AS other_id, count(*) AS k FROM top a JOIN top b ON a.source_id = b.source_id AND a.question_id < b.question_id GROUP BY ALL)
 SELECT k.question_id, other_id, round(k::DOUBLE / (x.n + y.n - k), 9) AS jaccard FROM k JOIN n x ON x.question_id = k.question_id JOIN n y ON y.question_id = other_id""",
+    ),
+    "evidence_overlap_mean": (
+        evidence_overlap_mean,
+        f"""WITH {retrieval.TOP5_SQL}, n AS (SELECT question_id % 8 AS history, question_id, count(*) AS n FROM top GROUP BY ALL), c AS (SELECT history, count(*) AS questions FROM n GROUP BY 1),
+  k AS (SELECT a.question_id % 8 AS history, a.question_id AS x, b.question_id AS y, count(*) AS k FROM top a JOIN top b ON a.source_id = b.source_id AND a.question_id % 8 = b.question_id % 8 AND a.question_id < b.question_id GROUP BY ALL),
+  j AS (SELECT k.history, sum(k::DOUBLE / (p.n + q.n - k)) AS total FROM k JOIN n p ON p.question_id = x JOIN n q ON q.question_id = y GROUP BY 1)
+SELECT c.history, questions, questions * (questions - 1) // 2 AS pairs, CASE WHEN questions > 1 THEN round(coalesce(total, 0) / (questions * (questions - 1) // 2), 9) END AS mean_jaccard FROM c LEFT JOIN j ON j.history = c.history""",
     ),
     "covcore": (
         covcore,

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from memloom.functions.text import lexical_score
+from memloom.operators import dense
 from memloom.operators import retrieval as r
 from memloom.sources.tables import spread, table
 
@@ -28,17 +29,19 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.bm25_top_k(_items(spark, sf_dir), _docs(spark, sf_dir), 5)
 
 
-def _dense(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cosine of every vector whose id is divisible by 20 with the others of its label."""
-    vectors = table(spark, sf_dir, "embeddings").where("label IS NOT NULL").select("label", "vec_id", r.unit(F.col("embedding")).alias("unit"))
-    asked = vectors.where("vec_id % 20 = 0").select("label", F.col("vec_id").alias("question_id"), F.col("unit").alias("q"))
-    pairs = spread(vectors).withColumnRenamed("vec_id", "source_id").join(asked, "label").where("question_id <> source_id")
-    return pairs.select("question_id", "source_id", r.dot(F.col("q"), F.col("unit")).alias("score"))
+def _dense(spark: SparkSession, sf_dir: str, k: int, only: DataFrame | None = None) -> DataFrame:
+    """For every vector whose id is divisible by 20 at least the k nearest others of its label; of the ids in ``only`` (source_id), if given."""
+    vectors = table(spark, sf_dir, "embeddings").where("label IS NOT NULL")
+    if only is not None:
+        vectors = vectors.join(only.select(F.col("source_id").alias("vec_id")), "vec_id", "left_semi")
+    units = spread(vectors).select("label", F.col("vec_id").alias("source_id"), r.unit(F.col("embedding")).alias("unit"))
+    asked = units.where("source_id % 20 = 0").withColumnRenamed("source_id", "question_id")
+    return dense.block_top_k(asked, units, "label", k)
 
 
 def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 5 nearest vectors of the label for each asking vector."""
-    return r.top_k(_dense(spark, sf_dir), 5, "question_id")
+    return r.top_k(_dense(spark, sf_dir, 5), 5, "question_id")
 
 
 def rrf_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,8 +50,7 @@ def rrf_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _docs(spark, sf_dir).join(vectors, "source_id")
     asked = docs.where("source_id % 20 = 0").select("label", F.col("source_id").alias("question_id"), "text")
     lexical = r.bm25_top_k(asked, docs, 20, "label", itself=False).select("question_id", "source_id", "rank")
-    dense = _dense(spark, sf_dir).join(docs.select("source_id"), "source_id", "left_semi").join(asked.select("question_id"), "question_id", "left_semi")
-    return r.fuse(lexical, r.top_k(dense, 20, "question_id"), 10, "question_id")
+    return r.fuse(lexical, r.top_k(_dense(spark, sf_dir, 20, docs.select("source_id").distinct()), 20, "question_id"), 10, "question_id")
 
 
 #: Words of a run that an item is looked up by, at most.

@@ -114,3 +114,18 @@ def recall(evidence: DataFrame, found: DataFrame, questions: DataFrame, question
     hits = evidence.join(found.select(question_id, source_id).distinct().withColumn("hit", F.lit(1)), [question_id, source_id], "left")
     shares = hits.groupBy(question_id).agg((F.count("hit") / F.count(F.lit(1))).alias("share"))
     return questions.select(question_id).join(shares, question_id, "left").select(question_id, F.coalesce("share", F.lit(1.0)).alias("recall"))
+
+
+def mean_overlap(retrieved: DataFrame, history: str, question: str = "question_id", source: str = "source_id") -> DataFrame:
+    """``history, questions, pairs, mean_jaccard``: mean Jaccard similarity of what two questions of a history retrieve, over all its pairs.
+
+    Pairs without a shared source count as 0 and are never made; only pairs that share one are, by source within the history. Null for a single question.
+    """
+    rows = retrieved.select(history, question, source).distinct()
+    sizes = rows.groupBy(history, question).agg(F.count(F.lit(1)).alias("n"))
+    a = rows.join(sizes, [history, question]).withColumnsRenamed({question: "_a", "n": "_na"})
+    b = rows.join(sizes, [history, question]).withColumnsRenamed({question: "_b", "n": "_nb"})
+    shared = a.join(b, [history, source]).where("_a < _b").groupBy(history, "_a", "_b", "_na", "_nb").agg(F.count(F.lit(1)).alias("_k"))
+    sums = shared.groupBy(history).agg(F.sum(F.col("_k") / (F.col("_na") + F.col("_nb") - F.col("_k"))).alias("_sum"))
+    counts = sizes.groupBy(history).agg(F.count(F.lit(1)).alias("questions")).withColumn("pairs", (F.col("questions") * (F.col("questions") - 1) / 2).cast("long"))
+    return counts.join(sums, history, "left").withColumn("mean_jaccard", F.when(F.col("pairs") > 0, F.coalesce("_sum", F.lit(0.0)) / F.col("pairs"))).drop("_sum")
