@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from memloom.functions.text import SPACE_SQL, approx_tokens
-from memloom.operators import builder, evaluation, integrity
+from memloom.jobs import retrieval
+from memloom.operators import builder, evaluation, integrity, packing
+from memloom.operators.retrieval import unit
 from memloom.sources import jsonl, lookup
 from memloom.sources.scratch import new_path
 from memloom.sources.tables import table
@@ -33,6 +35,16 @@ def arm_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("sources", F.array_join(F.transform("sources", lambda x: x.cast("string")), ","))
 
 
+def selected_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources of each asking vector in order of their ranks, selected and dropped; sources without a document have no block."""
+    usable = table(spark, sf_dir, "embeddings").where("label IS NOT NULL").select("vec_id", unit(F.col("embedding")).alias("u"))
+    ranked = retrieval.dense_topk(spark, sf_dir).select(F.col("question_id").alias("question"), F.col("source_id").alias("source"), "rank")
+    docs = table(spark, sf_dir, "documents", "doc_id", "text").select(F.col("doc_id").alias("source"), approx_tokens(F.col("text")).alias("tokens")).where("source % 7 <> 3")
+    rows = ranked.join(docs, "source", "left").withColumns({"known": F.col("tokens").isNotNull(), "cost": F.col("tokens") + 25})
+    rows = rows.join(usable.withColumnsRenamed({"vec_id": "question", "u": "q"}), "question").join(usable.withColumnsRenamed({"vec_id": "source", "u": "v"}), "source")
+    return packing.select_sources(rows, MOST, 900, 950).withColumn("cosine", F.round("cosine", 9))
+
+
 def _answer(tries: int):
     kind = F.expr("pmod(conv_id + length(arm), 5)")
 
@@ -131,6 +143,16 @@ QUERIES = {
   r AS (SELECT c.*, unnest({list(evaluation.ARMS)}) AS arm, coalesce(packed, false) AS packed FROM c LEFT JOIN f ON f.q = c.q AND f.s = c.s),
   x AS (SELECT *, CASE arm WHEN 'no_memory' THEN false WHEN 'full_memory' THEN rank IS NOT NULL WHEN 'naive_rag' THEN coalesce(rank <= {MOST}, false) WHEN 'rank_pack' THEN packed ELSE chosen END AS reads FROM r)
 SELECT q AS question, arm, coalesce(string_agg(s::VARCHAR, ',' ORDER BY rank NULLS LAST, s) FILTER (reads), '') AS sources, coalesce(sum(cost) FILTER (reads), 0)::BIGINT AS cost FROM x GROUP BY ALL""",
+    ),
+    "selected_sources": (
+        selected_sources,
+        f"""WITH RECURSIVE {retrieval._DENSE}, top AS ({retrieval._TOP5.format(x='dense', k=5)}),
+  t AS (SELECT question_id AS question, source_id AS source, rank, score, {_COST} AS tokens FROM top LEFT JOIN documents ON doc_id = source_id AND doc_id % 7 <> 3 WHERE text IS NOT NULL UNION ALL SELECT question_id, source_id, rank, score, NULL FROM top WHERE NOT EXISTS (SELECT 1 FROM documents WHERE doc_id = source_id AND doc_id % 7 <> 3 AND text IS NOT NULL)),
+  o AS (SELECT *, row_number() OVER (PARTITION BY question ORDER BY rank, source) AS k FROM t WHERE tokens IS NOT NULL),
+  f AS (SELECT question, 0::BIGINT AS k, 0::BIGINT AS n, 0::BIGINT AS used, 0::BIGINT AS whole, NULL::BIGINT AS source, false AS fits FROM (SELECT DISTINCT question FROM o)
+    UNION ALL SELECT o.question, o.k, f.n + ok::INT, f.used + CASE WHEN ok THEN o.tokens ELSE 0 END, f.whole + CASE WHEN ok THEN o.tokens + 25 ELSE 0 END, o.source, ok
+    FROM (SELECT f.*, o.k AS k2, f.n < {MOST} AND f.used + o.tokens <= 900 AND f.whole + o.tokens + 25 <= 950 AS ok FROM f JOIN o ON o.question = f.question AND o.k = f.k + 1) f JOIN o ON o.question = f.question AND o.k = f.k2)
+SELECT t.question, t.source, t.rank, coalesce(fits, false) AS selected, CASE WHEN fits THEN f.n END AS place, CASE WHEN tokens IS NOT NULL THEN score END AS cosine FROM t LEFT JOIN f ON f.question = t.question AND f.source = t.source""",
     ),
     "arm_journal": (
         arm_journal,

@@ -182,3 +182,29 @@ class TestLookup:
         with pytest.raises(Exception, match="no key in|duplicate key"):
             lookup.build_index(spark, str(tmp_path / "in"), self.SCHEMA, str(tmp_path / "index"))
         assert not os.path.exists(f"{tmp_path}/index/files")
+
+
+def test_sources_are_selected_and_dropped_as_a_loop_does(spark):
+    from memloom.operators import packing
+
+    random.seed(12)
+    rows = []
+    for q in range(40):
+        for rank, s in enumerate(random.sample(range(100), random.randint(0, 9)), 1):
+            known = random.random() < 0.8
+            v = [random.random(), random.random()]
+            rows.append((q, s, rank, known, random.randint(1, 9) if known else None, random.randint(1, 12) if known else None, [0.6, 0.8], v))
+    want = {}
+    for q in range(40):
+        n = body = whole = 0
+        for _, s, rank, known, tokens, cost, a, v in sorted((r for r in rows if r[0] == q), key=lambda r: r[2]):
+            fits = known and n < 4 and body + tokens <= 15 and whole + cost <= 20
+            if fits:
+                n, body, whole = n + 1, body + tokens, whole + cost
+            want[q, s] = (rank, fits, n if fits else None, pytest.approx(a[0] * v[0] + a[1] * v[1]) if known else None)
+    schema = "question long, source long, rank long, known boolean, tokens long, cost long, q array<double>, v array<double>"
+    got = packing.select_sources(spark.createDataFrame(rows, schema), 4, 15, 20)
+    assert {(r.question, r.source): (r["rank"], r.selected, r.place, r.cosine) for r in got.collect()} == want
+    for bad in ((1, 1, 1, True, None, 1, [1.0], [1.0]), (1, 1, 1, True, 1, 1, [1.0], None)):
+        with pytest.raises(Exception, match="missing frozen"):
+            packing.select_sources(spark.createDataFrame([bad], schema), 4, 15, 20).collect()
