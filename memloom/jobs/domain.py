@@ -131,6 +131,12 @@ def train_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.label_check(rows, "unit", "budget")
 
 
+def train_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first forty usable training rows by budget and unit; their labels are sets that passed."""
+    rows = _evaluated(spark, sf_dir).withColumn("label", F.expr("pmod(mask + unit, 3) = 0 AND coalesce(status, '') = 'PASS'"))
+    return d.train_selection(d.label_check(rows, "unit", "budget"), ["budget", "unit"], 40).select("unit", "budget", "labels")
+
+
 def archive_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Similarity of what neighbouring budgets let pass."""
     passing = _evaluated(spark, sf_dir).where("status = 'PASS'").select("unit", "mask", "budget")
@@ -224,6 +230,10 @@ SELECT unit, count(*) FILTER (WHERE gain > 0) AS better, round(avg(gain), 9) AS
         f"""WITH {_DOMAIN}, l AS (SELECT *, (mask + unit) % 3 = 0 AND (status = 'PASS' OR (status = 'UNKNOWN' AND unit % 4 = 0)) AS label FROM ev)
 SELECT unit, budget, count(*) FILTER (WHERE label) AS labels, count(*) FILTER (WHERE label AND status <> 'PASS') AS unverified, count(*) FILTER (WHERE label) > 0 AND count(*) FILTER (WHERE label AND status <> 'PASS') = 0 AS usable FROM l GROUP BY ALL""",
     ),
+    "train_selection": (
+        train_selection,
+        f"WITH {_DOMAIN}, l AS (SELECT unit, budget, count(*) FILTER (WHERE (mask + unit) % 3 = 0 AND status = 'PASS') AS labels FROM ev GROUP BY ALL) SELECT * FROM l WHERE labels > 0 ORDER BY budget, unit LIMIT 40",
+    ),
     "tri_state_audit": (
         tri_state_audit,
         """WITH a AS (SELECT d.doc_id, CASE quality WHEN 0 THEN 'FAIL' WHEN 1 THEN 'PASS' ELSE 'UNKNOWN' END AS source_audit, CASE toxic WHEN 1 THEN 'FAIL' WHEN 0 THEN 'PASS' ELSE 'UNKNOWN' END AS requirement_audit,

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from memloom.functions.text import SPACE_SQL, approx_tokens
 from memloom.jobs import retrieval
-from memloom.operators import builder, evaluation, integrity, packing
+from memloom.operators import builder, evaluation, integrity, packing, rendering
 from memloom.operators.retrieval import unit
 from memloom.sources import jsonl, lookup
 from memloom.sources.scratch import new_path
@@ -45,6 +45,26 @@ def selected_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.select_sources(rows, MOST, 900, 950).withColumn("cosine", F.round("cosine", 9))
 
 
+def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The turns of each conversation of at most 64 as blocks, some without a time; those of every tenth conversation are left out."""
+    block = F.struct("turn", F.concat_ws(":", "conv_id", "turn").alias("source_id"), F.expr("if(turn % 3 = 1, NULL, concat('D', turn))").alias("dia_id"), F.expr("if(turn % 4 = 3, NULL, concat('day ', turn))").alias("time"), F.col("role").alias("speaker"), "text")
+    turns = table(spark, sf_dir, "conversations")
+    return turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.when(F.col("conv_id") % 10 != 7, block))).alias("blocks"), F.count(F.lit(1)).alias("n")).where("n <= 64")
+
+
+def rendered_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation as a memory packet."""
+    text = rendering.packet_text(F.col("blocks"), F.expr("if(conv_id % 2 = 0, concat('first: ', conv_id), '')"), F.expr("if(conv_id % 3 = 0, concat(' about ', conv_id, ' '), NULL)"))
+    return _blocks(spark, sf_dir).select("conv_id", text.alias("text"))
+
+
+def rendered_builds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation as a built memory, a statement of each turn."""
+    memories = F.expr("transform(blocks, b -> named_struct('m', b.text, 'src', array(b.turn + 1, b.turn + 2)))")
+    topology = F.to_json(F.struct(F.size("blocks").alias("edges"), F.transform("blocks", lambda b: b["turn"] + 1).alias("nodes")))
+    return _blocks(spark, sf_dir).select("conv_id", rendering.build_text(memories, F.lit("Chain"), topology).alias("text"))
+
+
 def _answer(tries: int):
     kind = F.expr("pmod(conv_id + length(arm), 5)")
 
@@ -153,6 +173,18 @@ SELECT q AS question, arm, coalesce(string_agg(s::VARCHAR, ',' ORDER BY rank NUL
     UNION ALL SELECT o.question, o.k, f.n + ok::INT, f.used + CASE WHEN ok THEN o.tokens ELSE 0 END, f.whole + CASE WHEN ok THEN o.tokens + 25 ELSE 0 END, o.source, ok
     FROM (SELECT f.*, o.k AS k2, f.n < {MOST} AND f.used + o.tokens <= 900 AND f.whole + o.tokens + 25 <= 950 AS ok FROM f JOIN o ON o.question = f.question AND o.k = f.k + 1) f JOIN o ON o.question = f.question AND o.k = f.k2)
 SELECT t.question, t.source, t.rank, coalesce(fits, false) AS selected, CASE WHEN fits THEN f.n END AS place, CASE WHEN tokens IS NOT NULL THEN score END AS cosine FROM t LEFT JOIN f ON f.question = t.question AND f.source = t.source""",
+    ),
+    "rendered_packets": (
+        rendered_packets,
+        """WITH b AS (SELECT conv_id, string_agg('[' || (turn + 1) || '] source_id=' || conv_id || ':' || turn || ' dia_id=' || CASE WHEN turn % 3 = 1 THEN '' ELSE 'D' || turn END || ' date=' || CASE WHEN turn % 4 = 3 THEN 'unknown time' ELSE 'day ' || turn END || ' speaker=' || coalesce(role, '') || ': ' || coalesce(text, ''), chr(10) ORDER BY turn) AS lines
+  FROM conversations GROUP BY 1 HAVING count(*) <= 64)
+SELECT conv_id, 'Task-scoped memory packet.' || chr(10) || 'Use only this packet as supplied memory for the current task.' || CASE WHEN conv_id % 3 = 0 THEN chr(10) || 'about ' || conv_id ELSE '' END || chr(10) ||
+  CASE WHEN conv_id % 10 = 7 THEN 'Original evidence: (empty)' ELSE 'Original evidence:' || chr(10) || lines END || chr(10) || CASE WHEN conv_id % 2 = 0 THEN 'Relationship hints:' || chr(10) || 'first: ' || conv_id ELSE 'Relationship hints: (none)' END AS text FROM b""",
+    ),
+    "rendered_builds": (
+        rendered_builds,
+        """SELECT conv_id, CASE WHEN conv_id % 10 = 7 THEN '' ELSE 'Architecture: Chain' || chr(10) || 'Topology: {"edges":' || count(*) || ',"nodes":[' || string_agg((turn + 1)::VARCHAR, ',' ORDER BY turn) || ']}' || chr(10) ||
+  string_agg('- ' || coalesce(text, '') || ' [src:' || (turn + 1) || ',' || (turn + 2) || ']', chr(10) ORDER BY turn) END AS text FROM conversations GROUP BY 1 HAVING count(*) <= 64""",
     ),
     "arm_journal": (
         arm_journal,

@@ -152,3 +152,19 @@ def label_check(rows: DataFrame, *keys: str) -> DataFrame:
     bad = F.col("label") & F.coalesce(F.col("status") != "PASS", F.lit(True))
     out = rows.groupBy(*keys).agg(F.count_if("label").alias("labels"), F.count_if(bad).alias("unverified"))
     return out.withColumn("usable", (F.col("labels") > 0) & (F.col("unverified") == 0))
+
+
+def train_selection(checked: DataFrame, order: list[str], limit: int | None = None) -> DataFrame:
+    """The first ``limit`` usable rows of :func:`label_check` in an order of several keys, all of them without a limit.
+
+    A row with a label that isn't verified raises where it stands before the last row that is taken; rows without labels are passed over. Keys of the order tell rows apart.
+    """
+    key = F.struct(*order)
+    taken = checked.where("usable").orderBy(*order)
+    taken = taken if limit is None else taken.limit(limit)
+    last = taken.agg(F.max(key).alias("_last"), F.count(F.lit(1)).alias("_n"))
+    bad = checked.where("unverified > 0").agg(F.min(key).alias("_bad"))
+    reached = F.col("_bad").isNotNull() & (F.lit(limit is None) | (F.col("_n") < F.lit(limit or 0)) | (F.col("_bad") < F.col("_last")))
+    wrong = F.when(reached, F.raise_error(F.concat(F.lit("training labels lack verified audits: "), F.to_json("_bad"))).cast("boolean")).otherwise(F.lit(True))
+    fine = last.join(bad).select(wrong.alias("_fine"))  # one row each
+    return taken.join(F.broadcast(fine)).where("_fine").drop("_fine")

@@ -146,3 +146,16 @@ def test_sets_grow_under_any_cost(spark):
     ok = {m for m in range(1 << n) if all(price.get(sum(1 << (i - 1) for i in ids(m)[:k]), 0) <= budget for k in range(len(ids(m)) + 1))}
     assert {r.mask: r.cost for r in got.collect()} == {m: price.get(m, 0) for m in ok}
     assert all((r["last"], r.size) == ((ids(r.mask) or [0])[-1], len(ids(r.mask))) for r in got.collect())
+
+
+def test_training_rows_up_to_a_limit_of_usable_ones(spark):
+    rows = [(1, 16, 0, 0), (2, 16, 2, 0), (3, 16, 1, 0), (4, 16, 2, 1), (1, 8, 3, 0)]
+    frame = spark.createDataFrame(rows, "unit long, budget long, labels long, unverified long").withColumn("usable", F.expr("labels > 0 AND unverified = 0"))
+    taken = lambda limit, df=frame: sorted((r.budget, r.unit) for r in domain.train_selection(df, ["budget", "unit"], limit).collect())
+    assert taken(1) == [(8, 1)] and taken(3) == [(8, 1), (16, 2), (16, 3)]
+    for limit in (4, None):  # the row without audits would have been reached
+        with pytest.raises(Exception, match="lack verified audits"):
+            taken(limit)
+    good = frame.where("unverified = 0")
+    assert taken(None, good) == taken(9, good) == [(8, 1), (16, 2), (16, 3)]
+    assert taken(2, frame.where("unit = 1 AND budget = 16")) == []

@@ -208,3 +208,16 @@ def test_sources_are_selected_and_dropped_as_a_loop_does(spark):
     for bad in ((1, 1, 1, True, None, 1, [1.0], [1.0]), (1, 1, 1, True, 1, 1, [1.0], None)):
         with pytest.raises(Exception, match="missing frozen"):
             packing.select_sources(spark.createDataFrame([bad], schema), 4, 15, 20).collect()
+
+
+def test_renderings(spark):
+    from memloom.operators import rendering
+
+    kind = "b array<struct<source_id:string,dia_id:string,time:string,speaker:string,text:string>>, m array<struct<m:string,src:array<long>>>, h string, p string"
+    rows = spark.createDataFrame([([("s1", None, "", "Ann", "hi\nyou"), ("s2", "D1", "May", None, None)], [("x", [1, 2]), (None, None)], "a-b", " p "), ([], [], None, None)], kind)
+    got = rows.select(rendering.sources_text(F.col("b")).alias("s"), rendering.packet_text(F.col("b"), F.col("h"), F.col("p")).alias("k"), rendering.packet_text(F.col("b"), F.col("h")).alias("n"), rendering.build_text(F.col("m"), F.lit("Flat"), F.lit(None)).alias("t")).collect()
+    lines = "[1] source_id=s1 dia_id= date=unknown time speaker=Ann: hi\nyou\n[2] source_id=s2 dia_id=D1 date=May speaker=: "
+    head = "Task-scoped memory packet.\nUse only this packet as supplied memory for the current task.\n"
+    assert tuple(got[0]) == (f"Evidence:\n{lines}", f"{head}p\nOriginal evidence:\n{lines}\nRelationship hints:\na-b", f"{head}Original evidence:\n{lines}\nRelationship hints:\na-b", "Architecture: Flat\nTopology: {}\n- x [src:1,2]\n-  [src:]")
+    none = f"{head}Original evidence: (empty)\nRelationship hints: (none)"
+    assert tuple(got[1]) == ("Evidence:", none, none, "")
