@@ -49,6 +49,15 @@ def struct_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return structure.reasons(made).select("unit", F.array_join("reasons", ",").alias("reasons"))
 
 
+def struct_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chains of each conversation's turns whose edges are lists, some of which are no pairs or have an end that is no number."""
+    n = table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("unit")).agg(F.count(F.lit(1)).cast("int").alias("n")).where("n <= 64")
+    pairs = "transform(sequence(1, greatest(n - 1, 1)), i -> array(i, i + 1))"
+    edges = F.expr(f"concat(if(n > 1, {pairs}, cast(array() AS array<array<int>>)), CASE unit % 4 WHEN 1 THEN array(array(1)) WHEN 2 THEN array(array(1, 2, 3)) WHEN 3 THEN array(array(1, int(NULL))) ELSE cast(array() AS array<array<int>>) END)")
+    made = n.select("unit", "n", F.lit("Chain").alias("architecture"), F.expr("sequence(1, n)").alias("sources"), F.expr("sequence(1, n)").alias("nodes"), edges.alias("edges"), F.expr("cast(array() AS array<array<int>>)").alias("groups"), F.lit(None).cast("string").alias("declared"))
+    return structure.reasons(made).select("unit", F.array_join("reasons", ",").alias("reasons"))
+
+
 def _cache(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Cache rows of labelled documents that ask by text and by vector, and the questions; evidence are two neighbours by id."""
     vectors = table(spark, sf_dir, "embeddings").where("label IS NOT NULL").select(F.col("vec_id").alias("source_id"), "label")
@@ -83,6 +92,7 @@ _HYBRID = f"""{_bm25_sql("SELECT label, source_id AS question_id, text FROM (" +
   f AS ({_TOP5.format(x="fused", k=10)})"""
 
 QUERIES = {
+    "struct_edges": (struct_edges, "SELECT conv_id AS unit, CASE WHEN conv_id % 4 IN (1, 2) THEN 'edge_invalid' WHEN conv_id % 4 = 3 THEN 'edge_not_integer' ELSE '' END AS reasons FROM conversations GROUP BY 1 HAVING count(*) <= 64"),
     "builder_items": (
         builder_items,
         rf"""SELECT conv_id, turn AS place, CASE WHEN reason IS NULL THEN m END AS m, CASE WHEN reason IS NULL THEN turn::VARCHAR END AS src, reason

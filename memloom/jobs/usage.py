@@ -121,6 +121,17 @@ def paired_bound(spark: SparkSession, sf_dir: str, draws: int = 10_000, seed: in
     return flat.join(upper, "arm")
 
 
+def paired_summary(spark: SparkSession, sf_dir: str, draws: int = 2000, seed: int = 7) -> DataFrame:
+    """Each arm against 'view' over the samples of both, categories 1 to 4: mean gap with its 95 % interval, samples worse, and tokens saved."""
+    means = _scores(spark, sf_dir).where("category <= 4").groupBy("arm", "sample_id").agg(F.avg("score").alias("score"), F.sum("tokens").alias("tokens"))
+    base = means.where("arm = 'view'").select("sample_id", F.col("score").alias("base_score"), F.col("tokens").alias("base_tokens"))
+    both = means.where("arm <> 'view'").join(base, "sample_id").withColumn("gap", F.round(F.col("base_score") - F.col("score"), 12))
+    ranked = bootstrap.resampled_means(both.select("arm", F.col("sample_id").alias("id"), "gap"), "arm", draws, seed).groupBy("arm").agg(F.array_sort(F.collect_list("mean")).alias("means"))
+    at = lambda share: F.round(F.element_at("means", int(share * (draws - 1)) + 1), 9)
+    flat = both.groupBy("arm").agg(F.count(F.lit(1)).alias("samples"), F.round(F.avg("gap"), 9).alias("gap"), F.count_if(F.col("gap") > 0).alias("worse"), F.round(1.0 - F.sum("tokens") / F.sum("base_tokens"), 9).alias("saving"))
+    return flat.join(ranked.select("arm", at(0.025).alias("low"), at(0.975).alias("high")), "arm")
+
+
 def journal_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per user and type the first event over 30, else the last one."""
     rows = table(spark, sf_dir, "events").select("user_id", "event_type", "event_id", "value")
@@ -254,6 +265,13 @@ SELECT model, min(budget) FILTER (WHERE passed) AS budget FROM p GROUP BY 1""",
         bootstrap_ci,
         f"""WITH {_MEANS}, g AS (SELECT a.arm, a.sample_id AS id, round(b.score - a.score, 12) AS gap FROM m a JOIN m b ON a.sample_id = b.sample_id AND b.arm = 'view' WHERE a.arm <> 'view'), {_resampled(2000, 7)}
 SELECT arm, round(list_sort(list(mean))[50], 9) AS low, round(list_sort(list(mean))[1950], 9) AS high FROM resampled GROUP BY 1""",
+    ),
+    "paired_summary": (
+        paired_summary,
+        f"""WITH {_SCORES}, m AS (SELECT arm, sample_id, avg(score) AS score, sum(tokens)::BIGINT AS tokens FROM s WHERE category <= 4 GROUP BY ALL),
+  p AS (SELECT a.arm, a.sample_id AS id, round(b.score - a.score, 12) AS gap, a.tokens, b.tokens AS base_tokens FROM m a JOIN m b ON a.sample_id = b.sample_id AND b.arm = 'view' WHERE a.arm <> 'view'),
+  g AS (SELECT arm, id, gap FROM p), {_resampled(2000, 7)}, i AS (SELECT arm, round(list_sort(list(mean))[50], 9) AS low, round(list_sort(list(mean))[1950], 9) AS high FROM resampled GROUP BY 1)
+SELECT p.arm, count(*) AS samples, round(avg(gap), 9) AS gap, count(*) FILTER (gap > 0) AS worse, round(1e0 - sum(tokens)::DOUBLE / sum(base_tokens), 9) AS saving, any_value(low) AS low, any_value(high) AS high FROM p JOIN i ON i.arm = p.arm GROUP BY 1""",
     ),
     "paired_bound": (
         paired_bound,

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _following(column: str):
@@ -63,8 +64,15 @@ def reasons(structures: DataFrame) -> DataFrame:
 
     ``structures``: architecture, sources (array of ids, at most 64), nodes, edges (array of parent and child; a null end is no
     number), groups (array of arrays), declared (the architecture that the structure itself names, null for the same). Nodes
-    and edges may be anything; a walk along parents takes as many steps as there are sources at most.
+    and edges may be anything; a walk along parents takes as many steps as there are sources at most. Edges may also be arrays of numbers: those that
+    aren't pairs are invalid.
     """
+    given = structures.schema["edges"].dataType
+    lists = isinstance(given, T.ArrayType) and isinstance(given.elementType, T.ArrayType)
+    pairs = "transform(filter(edges, e -> coalesce(size(e), 0) = 2), e -> named_struct('parent', e[0], 'child', e[1]))"
+    structures = structures.withColumns({"_all": F.coalesce(F.size("edges"), F.lit(0)), "_given": F.col("edges")})
+    if lists:
+        structures = structures.withColumn("edges", F.expr(pairs))
     out = structures.withColumns({
         "_s": F.array_sort(F.array_distinct("sources")), "_n": F.expr("coalesce(nodes, cast(array() AS array<int>))"), "_g": F.expr("coalesce(groups, cast(array() AS array<array<int>>))"),
         "_e": F.expr("filter(coalesce(edges, cast(array() AS array<struct<parent: int, child: int>>)), e -> e.parent IS NOT NULL AND e.child IS NOT NULL)"),
@@ -81,11 +89,12 @@ def reasons(structures: DataFrame) -> DataFrame:
         ("structure_nodes_do_not_match_sources", "array_sort(array_distinct(filter(_n, x -> x IS NOT NULL))) <> _s"),
         ("structure_nodes_duplicate", "size(array_distinct(_n)) < size(_n)"),
         ("structure_architecture_mismatch", "coalesce(declared, architecture) <> architecture"),
+        ("edge_invalid", "coalesce(size(edges), 0) < _all"),
         ("edge_not_integer", "size(_e) < size(edges)"),
         ("edge_self_loop", "exists(_e, e -> e.parent = e.child)"),
         ("edge_out_of_sources", "exists(_e, e -> NOT array_contains(_s, e.parent) OR NOT array_contains(_s, e.child))"),
         ("duplicate_edges", "size(array_distinct(_e)) < size(_e)"),
-        ("flat_has_edges", "architecture = 'Flat' AND size(edges) > 0"),
+        ("flat_has_edges", "architecture = 'Flat' AND _all > 0"),
         ("chain_edges_not_ordered", f"architecture = 'Chain' AND _e <> if(size(_s) > 1, {chain}, cast(array() AS array<struct<parent: int, child: int>>))"),
         ("tree_multiple_parents", f"architecture = 'Tree' AND size(array_distinct({children})) < size(_e)"),
         ("tree_must_have_one_root", "architecture = 'Tree' AND size(_s) > 0 AND size(_e) <> size(_s) - 1"),
@@ -99,4 +108,4 @@ def reasons(structures: DataFrame) -> DataFrame:
     ]
     every = F.array_compact(F.array(*(F.expr(f"CASE WHEN {condition} THEN '{name}' END") for name, condition in checks)))
     known = F.when(F.col("architecture").isin(*ARCHITECTURES), every).otherwise(F.raise_error(F.lit("unknown architecture")).cast("array<string>"))
-    return out.withColumn("reasons", known).drop("_s", "_n", "_g", "_e")
+    return out.withColumns({"reasons": known, "edges": F.col("_given")}).drop("_s", "_n", "_g", "_e", "_all", "_given")
