@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from memloom.functions.text import SPACE_SQL, approx_tokens
 from memloom.jobs import retrieval
-from memloom.operators import builder, evaluation, integrity, packing, rendering
+from memloom.operators import builder, evaluation, integrity, packing, rendering, requirements
 from memloom.operators.retrieval import unit
 from memloom.sources import jsonl, lookup
 from memloom.sources.scratch import new_path
@@ -65,6 +65,23 @@ def rendered_builds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _blocks(spark, sf_dir).select("conv_id", rendering.build_text(memories, F.lit("Chain"), topology).alias("text"))
 
 
+def compiler_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Compiler inputs of the last turn of each conversation, which asks; some turns have no vector, and two cache rows speak of each."""
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("sample_id"), "turn", F.col("turn").cast("string").alias("source_id"), "role", "text")
+    blocks = turns.select("sample_id", F.col("turn").alias("turn_index"), F.lit(0).alias("chunk_index"), "source_id", "text", approx_tokens(F.col("text")).alias("token_count"), (approx_tokens(F.col("text")) + 20).alias("cost"))
+    last = turns.groupBy("sample_id").agg(F.max("turn").alias("turn"), F.max_by("text", "turn").alias("question"), F.max_by("role", "turn").alias("answer"))
+    vector = F.struct("source_id", F.array((F.col("turn") * 1.0), F.lit(1.0)).alias("v"))
+    maps = turns.groupBy("sample_id").agg(F.map_from_entries(F.collect_list(F.when(F.col("turn") % 5 != 3, vector))).alias("vectors"))
+    cache = last.join(maps, "sample_id").select("sample_id", F.concat(F.lit("q"), "turn").alias("qa_id"), "question", "vectors", F.explode(F.array(F.lit(0), F.lit(1))).alias("place"))
+    cache = cache.withColumns({"model": F.when(F.col("place") == 1, "m2").otherwise(F.when(F.col("sample_id") % 2 == 0, "m1")), "vectors": F.when(F.col("place") == 1, F.transform_values("vectors", lambda k, v: F.transform(v, lambda x: x + 1))).otherwise(F.col("vectors"))})
+    sources = requirements.history_sources(blocks, *requirements.frozen_vectors(cache), 6, 400, 460)
+    questions = last.where("sample_id % 3 > 0").select("sample_id", F.concat(F.lit("q"), "turn").alias("qa_id"), "answer", (F.col("turn") % 5 + 1).alias("category"))
+    held = sources.select("sample_id").distinct()
+    rows = requirements.compiler_rows(cache.where("place = 0").join(held, "sample_id", "left_semi"), sources, questions)
+    first = F.get("sources", 0)["vector"]
+    return rows.select("sample_id", "qa_id", F.array_join("sources.source_id", ",").alias("sources"), F.aggregate("sources.token_count", F.lit(0).cast("long"), lambda a, x: a + x).alias("tokens"), F.get(first, 0).alias("first"), F.get("future_queries", 0)["answer"].alias("answer"), F.get("future_queries", 0)["category"].alias("category"))
+
+
 def _answer(tries: int):
     kind = F.expr("pmod(conv_id + length(arm), 5)")
 
@@ -173,6 +190,16 @@ SELECT q AS question, arm, coalesce(string_agg(s::VARCHAR, ',' ORDER BY rank NUL
     UNION ALL SELECT o.question, o.k, f.n + ok::INT, f.used + CASE WHEN ok THEN o.tokens ELSE 0 END, f.whole + CASE WHEN ok THEN o.tokens + 25 ELSE 0 END, o.source, ok
     FROM (SELECT f.*, o.k AS k2, f.n < {MOST} AND f.used + o.tokens <= 900 AND f.whole + o.tokens + 25 <= 950 AS ok FROM f JOIN o ON o.question = f.question AND o.k = f.k + 1) f JOIN o ON o.question = f.question AND o.k = f.k2)
 SELECT t.question, t.source, t.rank, coalesce(fits, false) AS selected, CASE WHEN fits THEN f.n END AS place, CASE WHEN tokens IS NOT NULL THEN score END AS cosine FROM t LEFT JOIN f ON f.question = t.question AND f.source = t.source""",
+    ),
+    "compiler_rows": (
+        compiler_rows,
+        f"""WITH RECURSIVE c AS (SELECT conv_id AS q, turn, {_COST} AS cost, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations WHERE turn % 5 <> 3),
+  f AS (SELECT q, 0::BIGINT AS k, 0::BIGINT AS n, 0::BIGINT AS used, NULL::BIGINT AS turn, 0::BIGINT AS cost, false AS ok FROM (SELECT DISTINCT q FROM c)
+    UNION ALL SELECT c.q, c.k, f.n + (f.n < 6 AND f.used + c.cost <= 400 AND f.used + c.cost + 20 * (f.n + 1) <= 460)::INT, f.used + CASE WHEN f.n < 6 AND f.used + c.cost <= 400 AND f.used + c.cost + 20 * (f.n + 1) <= 460 THEN c.cost ELSE 0 END, c.turn, c.cost,
+    f.n < 6 AND f.used + c.cost <= 400 AND f.used + c.cost + 20 * (f.n + 1) <= 460 FROM f JOIN c ON c.q = f.q AND c.k = f.k + 1),
+  s AS (SELECT q, string_agg(turn::VARCHAR, ',' ORDER BY turn) AS sources, sum(cost)::BIGINT AS tokens, min(turn) + 1e0 AS first FROM f WHERE ok GROUP BY 1),
+  l AS (SELECT conv_id AS q, max(turn) AS turn, max_by(role, turn) AS answer FROM conversations GROUP BY 1)
+SELECT s.q AS sample_id, 'q' || turn AS qa_id, sources, tokens, first, CASE WHEN s.q % 3 > 0 THEN answer END AS answer, CASE WHEN s.q % 3 > 0 THEN turn % 5 + 1 END AS category FROM s JOIN l ON l.q = s.q""",
     ),
     "rendered_packets": (
         rendered_packets,

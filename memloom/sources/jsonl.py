@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -91,3 +93,25 @@ def read_document(spark: SparkSession, path: str) -> DataFrame:
 def file_digests(spark: SparkSession, path: str) -> DataFrame:
     """``file, length, sha256`` of every file below a folder: the inputs of a run for its manifest."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(F.col("path").alias("file"), "length", F.sha2("content", 256).alias("sha256"))
+
+
+def write_document(spark: SparkSession, path: str, document: dict | list) -> None:
+    """Write one JSON document with sorted keys as the only file of a folder: there as a whole or not at all."""
+    text = json.dumps(document, ensure_ascii=False, sort_keys=True)
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def write_manifest(spark: SparkSession, path: str, inputs: dict[str, str], facts: dict) -> dict:
+    """Write what a run read, by the digest of all files of each input, and further ``facts``; returns the document.
+
+    An input's digest is that of the sorted lines ``name length sha256`` of its files, so it doesn't depend on the order in which they are listed.
+    """
+    found = {}
+    for name, at in inputs.items():
+        files = file_digests(spark, at).select(F.element_at(F.split("file", "/"), -1).alias("name"), "length", "sha256")
+        line = F.concat_ws(" ", "name", "length", "sha256")
+        row = files.agg(F.count(F.lit(1)).alias("files"), F.sum("length").alias("bytes"), F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "\n"), 256).alias("sha256")).first()
+        found[name] = {"path": at, "files": row.files, "bytes": row.bytes or 0, "sha256": row.sha256}
+    document = {"inputs": found, **facts}
+    write_document(spark, path, document)
+    return document

@@ -221,3 +221,35 @@ def test_renderings(spark):
     assert tuple(got[0]) == (f"Evidence:\n{lines}", f"{head}p\nOriginal evidence:\n{lines}\nRelationship hints:\na-b", f"{head}Original evidence:\n{lines}\nRelationship hints:\na-b", "Architecture: Flat\nTopology: {}\n- x [src:1,2]\n-  [src:]")
     none = f"{head}Original evidence: (empty)\nRelationship hints: (none)"
     assert tuple(got[1]) == ("Evidence:", none, none, "")
+
+
+def test_compiler_rows_by_hand(spark):
+    from memloom.operators import requirements
+
+    cache = spark.createDataFrame([("a", "q1", "who?", 0, None, {"1": [1.0], "2": [2.0]}), ("a", "q2", None, 1, "m", {"2": [9.0], "3": [3.0]}), ("a", "q3", "x", 2, "n", None)], "sample_id string, qa_id string, question string, place long, model string, vectors map<string,array<double>>")
+    vectors, models = requirements.frozen_vectors(cache)
+    assert {(r.sample_id, r.source_id): r.vector for r in vectors.collect()} == {("a", "1"): [1.0], ("a", "2"): [9.0], ("a", "3"): [3.0]}
+    assert [tuple(r) for r in models.collect()] == [("a", "m")]
+    blocks = spark.createDataFrame([("a", 2, 0, "3", "t3", 5, 5), ("a", 0, 0, "1", "t1", 5, 5), ("a", 1, 0, "2", "t2", 50, 5), ("a", 3, 0, "4", "no vector", 1, 1), ("b", 0, 0, "9", "no model", 1, 1)], "sample_id string, turn_index long, chunk_index long, source_id string, text string, token_count long, cost long")
+    sources = requirements.history_sources(blocks, vectors, models, 5, 20, 20)
+    questions = spark.createDataFrame([("a", "q1", "Kim", 2)], "sample_id string, qa_id string, answer string, category long")
+    got = {r.qa_id: (r.question, [(s.id, s.source_id, s.vector) for s in r.sources], tuple(r.future_queries[0])) for r in requirements.compiler_rows(cache, sources, questions).collect()}
+    picked = [(1, "1", [1.0]), (2, "3", [3.0])]
+    assert got == {"q1": ("who?", picked, ("who?", "Kim", 2)), "q2": ("", picked, ("", None, None)), "q3": ("x", picked, ("x", None, None))}
+    lone = cache.withColumn("sample_id", F.lit("b"))
+    with pytest.raises(Exception, match="no compiler sources selected for b"):
+        requirements.compiler_rows(lone, sources, questions).collect()
+
+
+def test_documents_and_manifests(spark, tmp_path):
+    from memloom.sources import jsonl
+
+    os.makedirs(tmp_path / "in")
+    for name, text in (("b.txt", "two"), ("a.txt", "é")):
+        (tmp_path / "in" / name).write_text(text)
+    document = jsonl.write_manifest(spark, str(tmp_path / "m"), {"raw": str(tmp_path / "in")}, {"items": 2})
+    read = jsonl.read_document(spark, str(tmp_path / "m")).select(F.to_json("document").alias("x")).collect()
+    assert len(read) == 1 and json.loads(read[0].x) == document
+    assert (document["items"], document["inputs"]["raw"]["files"], document["inputs"]["raw"]["bytes"]) == (2, 2, 5)
+    (tmp_path / "in" / "a.txt").write_text("e!")
+    assert jsonl.write_manifest(spark, str(tmp_path / "m"), {"raw": str(tmp_path / "in")}, {})["inputs"]["raw"]["sha256"] != document["inputs"]["raw"]["sha256"]
