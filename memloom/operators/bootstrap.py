@@ -1,7 +1,7 @@
 """Resampling with replacement where the rows are: each row draws how often it counts, and only sums leave a task.
 
-The number of times that a row is picked is a Poisson count of mean 1, from a portable generator by the row's id and the draw. So no row is copied
-or moved, groups are of any size, and the same draws can be made in any engine with 64-bit integers. A draw's sample size varies about that of the group;
+The number of times that a row is picked is a Poisson count of mean 1, from a portable generator by the row's id and the draw. So no row is copied,
+rows are dealt over all cores whatever their group, groups are of any size, and the same draws can be made in any engine with 64-bit integers. A draw's sample size varies about that of the group;
 the mean is over what was picked.
 """
 
@@ -72,5 +72,6 @@ def resampled_means(values: DataFrame, group: str, draws: int, seed: int) -> Dat
         yield from sums()
 
     rows = values.select(F.col(group).cast("string"), F.col("id").cast("long"), F.col("gap").cast("double")).where("gap IS NOT NULL")
+    rows = rows.repartition(values.sparkSession.sparkContext.defaultParallelism)  # few bytes, but thousands of draws each
     parts = rows.mapInArrow(run, "g string, draw long, picked long, total double")
     return parts.groupBy(F.col("g").alias(group), "draw").agg((F.sum("total") / F.nullif(F.sum("picked"), F.lit(0))).alias("mean"))

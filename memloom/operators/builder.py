@@ -117,9 +117,14 @@ def input_json(sources: str, structure: str, architecture: Column, contract: Col
         F.lit(SYSTEM).alias("system"), F.lit(True).alias("write_stage"),
     )
     text = F.to_json(envelope, {"ignoreNullFields": "false"})
-    for code in _CAPITALS:  # behind an even number of backslashes only: a backslash of the text itself is doubled
-        text = F.regexp_replace(text, rf"(?<!\\)((?:\\\\)*)\\u{code}", rf"$1\\u{code.lower()}")
-    return text
+
+    def lowered(text: Column) -> Column:
+        out = text
+        for code in _CAPITALS:  # behind an even number of backslashes only: a backslash of the text itself is doubled
+            out = F.regexp_replace(out, rf"(?<!\\)((?:\\\\)*)\\u{code}", rf"$1\\u{code.lower()}")
+        return F.when(F.contains(text, F.lit("\\u")), out).otherwise(text)  # most texts have no such character
+
+    return F.get(F.transform(F.array(text), lowered), 0)
 
 
 def future_queries(rows: DataFrame) -> Column:
