@@ -127,6 +127,34 @@ def _by_width(rows: list[np.ndarray]):
         yield int(width), at, unit_rows(np.array([rows[i] for i in at]))
 
 
+def sampled(classes: DataFrame, most: int) -> tuple[DataFrame, list[DataFrame]]:
+    """``embedding`` of the ``most`` rows of ``classes`` (rep, embedding) with the smallest hashes, in their order, and the stored tables that it reads.
+
+    Rows with a hash far over the share that is wanted are sorted out where they are read, so that no task sends ``most`` rows of its own.
+    """
+    stored = []
+    hashed = classes.select("rep", "embedding", F.xxhash64("rep", "embedding").alias("hash"))
+    n = classes.count()
+    if n > 2 * most:
+        few = materialize(hashed.where(F.col("hash") < F.lit(-(1 << 63) + (2 * most << 64) // n)), "sample")
+        stored.append(few)
+        hashed = few if few.count() >= most else hashed
+    return hashed.orderBy("hash", "rep").limit(most).select("embedding"), stored
+
+
+def learned(sample: DataFrame, threshold: float, chunks: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Origin and projection for each width of the vectors in ``sample``; learned in a task, only they reach the driver."""
+
+    def run(batches):
+        rows = [x for batch in batches for x in _rows(batch.column(0))]
+        for width, _, unit in _by_width(rows) if rows else ():
+            origin, projection = learn_rotation(unit, threshold, chunks)
+            yield pa.RecordBatch.from_arrays([pa.array([width], pa.int32()), pa.array([origin]), pa.array([projection.ravel()])], names=["width", "origin", "projection"])
+
+    models = sample.coalesce(1).mapInArrow(tidy(run), "width int, origin array<double>, projection array<double>")
+    return {r.width: (np.array(r.origin), np.array(r.projection).reshape(r.width, BITS)) for r in models.collect()}
+
+
 def encode(vectors: DataFrame, models: dict[int, tuple[np.ndarray, np.ndarray]]) -> DataFrame:
     """``id, label, embedding`` -> ``id, label, width, code``. Widths without a model get random directions."""
     shared = vectors.sparkSession.sparkContext.broadcast(models)
@@ -212,10 +240,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, sample: in
 
     largest = classes.groupBy("label").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
     chunks = 3 if largest and largest >= wide_from else 2
-    models = {}
-    rows = classes.orderBy(F.xxhash64("rep", "embedding"), "rep").limit(sample).select("embedding").toArrow()["embedding"].combine_chunks()
-    for width, _, unit in _by_width(_rows(rows)):
-        models[width] = learn_rotation(unit, threshold, chunks)
+    few, stored = sampled(classes, sample)
+    models = learned(few, threshold, chunks)
+    drop(*stored)
     codes = materialize(encode(classes.select(F.col("node").alias("id"), "label", "embedding"), models), "codes")
 
     shift = lambda chunk: F.expr(f"shiftrightunsigned(code, {chunk * CHUNK}) & {(1 << CHUNK) - 1}")

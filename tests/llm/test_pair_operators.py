@@ -1,5 +1,6 @@
 """Components, joins and near-duplicates against brute force, with hot groups, nulls and repeated rows."""
 
+import os
 import random
 from collections import Counter, defaultdict
 
@@ -354,6 +355,28 @@ class TestEmbeddings:
         got = {r.vec_id: r.n_links for r in itq_neardup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
         assert all(got[i] == 5 for i in range(30)) and got[100] == got[101] == 0
 
+    def test_the_sample_is_that_of_a_full_sort(self, spark):
+        rows = [(i % 700, [float(i), 1.0]) for i in range(900)]
+        classes = spark.createDataFrame(rows, "rep long, embedding array<double>").repartition(6)
+        want = [r.embedding for r in classes.orderBy(F.xxhash64("rep", "embedding"), "rep").limit(60).collect()]
+        few, stored = itq_neardup.sampled(classes, 60)
+        assert [r.embedding for r in few.collect()] == want and 60 <= stored[0].count() < 300
+        same = spark.createDataFrame([(1, [1.0]) for _ in range(500)], "rep long, embedding array<double>")
+        assert len(itq_neardup.sampled(same, 60)[0].collect()) == 60  # all hashes equal: the whole table is sorted
+
+    def test_the_driver_learns_nothing(self, spark, monkeypatch):
+        driver, learn = os.getpid(), itq_neardup.learn_rotation
+
+        def elsewhere(*args):
+            assert os.getpid() != driver
+            return learn(*args)
+
+        monkeypatch.setattr(itq_neardup, "learn_rotation", elsewhere)
+        rng = np.random.default_rng(2)
+        rows = [(i, rng.standard_normal(16 if i % 3 else 8).tolist(), 0) for i in range(90)] + [(100, [1.0] * 16, 0), (101, [1.0] * 15 + [1.01], 0)]
+        got = itq_neardup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+        assert {r.vec_id: r.component_id for r in got}[101] == 100
+
     def test_given_vectors_and_empty_table(self, spark):
         got = q.op4_itq_near_duplicates(spark, SF).collect()
         rows = [(r.vec_id, r.embedding, r.label) for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()]
