@@ -1,5 +1,6 @@
 """Components, joins and near-duplicates against brute force, with hot groups, nulls and repeated rows."""
 
+import inspect
 import os
 import random
 from collections import Counter, defaultdict
@@ -377,6 +378,10 @@ class TestEmbeddings:
         got = itq_neardup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
         assert {r.vec_id: r.component_id for r in got}[101] == 100
 
+    def test_no_number_of_vectors_changes_the_keys(self):
+        assert inspect.signature(itq_neardup.near_duplicates).parameters["wide_from"].default is None
+        assert not [x for x in vars(itq_neardup) if x.startswith("WIDE")]
+
     def test_given_vectors_and_empty_table(self, spark):
         got = q.op4_itq_near_duplicates(spark, SF).collect()
         rows = [(r.vec_id, r.embedding, r.label) for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()]
