@@ -6,12 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from memloom.functions.text import SPACE_SQL, approx_tokens
-from memloom.operators import certify, pricing
+from memloom.operators import certify, pricing, sets
 from memloom.operators import domain as d
 from memloom.operators.structure import ARCHITECTURES
 from memloom.sources.tables import table
 
 SHORTLIST, LIMIT, BUDGETS = 8, 1200, (128, 256, 512)
+#: Stand-in audit of a set.
+STATUS = "CASE pmod(mask % 5 * 7 + unit, 5) WHEN 0 THEN 'PASS' WHEN 1 THEN 'PASS' WHEN 2 THEN 'UNKNOWN' WHEN 3 THEN 'FAIL' END"
 
 
 def _sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,6 +44,25 @@ def _domain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pricing.capped(d.with_cost(sets, _costs(spark, sf_dir)), LIMIT, "unit")
 
 
+def _whole_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Units of any size with two requirements of two packages each, as ids."""
+    return _sizes(spark, sf_dir).withColumn("requirements", F.expr("array(array(array(1L), array(if(n > 1, 2L, 1L))), array(array_distinct(array(if(n > 1, 2L, 1L), n)), array_distinct(array(1L, if(n > 2, 3L, 1L)))))"))
+
+
+def _whole_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All sets of all units: of any number of sources and at any cost."""
+    units = _whole_units(spark, sf_dir)
+    bases = sets.bases(units)
+    made = sets.candidates(bases, d.context(bases, _sources(spark, sf_dir), sets.HOLDS), SHORTLIST, units)
+    return d.with_cost(made, _costs(spark, sf_dir), "ids")
+
+
+def _whole_evaluated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All sets of all units with the stand-in audit, at each budget that reaches a set."""
+    budgets = F.explode(F.array(*(F.lit(b).cast("long") for b in BUDGETS))).alias("budget")
+    return _whole_domain(spark, sf_dir).withColumn("status", F.expr(STATUS)).select("*", budgets).where(d.reachable(F.col("budget")))
+
+
 def unit_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which units have a domain, and why others have none."""
     full = _sources(spark, sf_dir).groupBy("unit").agg((F.sum("cost") + F.when(F.count(F.lit(1)) == 1, d.SINGLE).otherwise(0)).alias("full_cost"))
@@ -50,9 +71,8 @@ def unit_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _evaluated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The domain with a stand-in audit by mask, at each budget that reaches a set."""
-    status = F.expr("CASE pmod(mask % 5 * 7 + unit, 5) WHEN 0 THEN 'PASS' WHEN 1 THEN 'PASS' WHEN 2 THEN 'UNKNOWN' WHEN 3 THEN 'FAIL' END")
     budgets = F.explode(F.array(*(F.lit(b).cast("long") for b in BUDGETS))).alias("budget")
-    return _domain(spark, sf_dir).withColumn("status", status).select("*", budgets).where(d.reachable(F.col("budget")))
+    return _domain(spark, sf_dir).withColumn("status", F.expr(STATUS)).select("*", budgets).where(d.reachable(F.col("budget")))
 
 
 def package_product(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,8 +91,8 @@ def candidate_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def prefix_reachable(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which sets each budget reaches."""
-    return _evaluated(spark, sf_dir).select("unit", "mask", "budget")
+    """Which sets each budget reaches; ``more`` names ids over 64."""
+    return _whole_evaluated(spark, sf_dir).select("unit", "mask", "more", "budget")
 
 
 def cost_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -185,6 +205,28 @@ _DOMAIN = f"""
   ev AS (SELECT *, CASE (mask * 7 + unit) % 5 WHEN 0 THEN 'PASS' WHEN 1 THEN 'PASS' WHEN 2 THEN 'UNKNOWN' WHEN 3 THEN 'FAIL' END AS status
     FROM (SELECT *, unnest({list(BUDGETS)})::BIGINT AS budget FROM dom) WHERE len(list_filter(prefix, lambda c: c > budget)) = 0)"""
 
+#: All sets of all units, as lists of ids.
+_WHOLE = f"""
+  s AS (SELECT conv_id AS unit, turn + 1 AS id, CASE WHEN turn % 5 <> 4 THEN turn // 3 END AS session, turn AS position, turn * 7 % 5 AS score, greatest(1, ceil(len({_WORDS}) * 1.3e0))::BIGINT AS cost FROM conversations),
+  u AS (SELECT unit, count(*) AS n, list(cost ORDER BY id) AS costs FROM s GROUP BY 1),
+  p AS (SELECT unit, n, unnest([[1], [CASE WHEN n > 1 THEN 2 ELSE 1 END]])::BIGINT[] AS p1 FROM u),
+  q AS (SELECT unit, unnest([[CASE WHEN n > 1 THEN 2 ELSE 1 END, n], [1, CASE WHEN n > 2 THEN 3 ELSE 1 END]])::BIGINT[] AS p2 FROM u),
+  bases AS (SELECT DISTINCT unit, n, list_sort(list_distinct(p1 || p2)) AS base FROM p JOIN q USING (unit)),
+  e AS (SELECT b.unit, n, base, s.id, s.session, s.position, s.score FROM bases b JOIN s USING (unit) WHERE NOT list_contains(base, s.id)),
+  i AS (SELECT b.unit, base, s.session, s.position FROM bases b JOIN s USING (unit) WHERE list_contains(base, s.id)),
+  o AS (SELECT unit, n, base, id, row_number() OVER (PARTITION BY unit, base ORDER BY dist IS NULL, dist, score DESC, id) AS place
+    FROM (SELECT e.unit, e.n, e.base, e.id, e.score, min(abs(e.position - i.position)) AS dist FROM e LEFT JOIN i ON i.unit = e.unit AND i.base = e.base AND i.session = e.session GROUP BY ALL)),
+  sl AS (SELECT b.unit, b.n, b.base, coalesce(list(id ORDER BY id) FILTER (WHERE place <= {SHORTLIST}), []) AS extras FROM bases b LEFT JOIN o USING (unit, base) GROUP BY ALL),
+  made AS (
+    SELECT unit, n, range(1, n + 1) AS ids FROM u
+    UNION SELECT unit, n, list_sort(base || list_transform(list_filter(range(1, len(extras) + 1), lambda k: (pick >> (k - 1)) & 1 = 1), lambda k: extras[k])) FROM (SELECT *, unnest(range(0, 1::BIGINT << len(extras))) AS pick FROM sl)
+    UNION SELECT b.unit, n, list_sort(list_distinct(base || list_filter(range(1, n + 1), lambda k: NOT list_contains(support, k)))) FROM bases b JOIN (SELECT unit, list(DISTINCT x) AS support FROM (SELECT unit, unnest(p1) AS x FROM p UNION ALL SELECT unit, unnest(p2) FROM q) GROUP BY 1) x ON x.unit = b.unit),
+  pc AS (SELECT made.*, list_sum(list_transform(list_filter(ids, lambda k: k <= 64), lambda k: CASE WHEN k = 64 THEN -9223372036854775808 ELSE 1::BIGINT << (k - 1) END))::BIGINT AS mask, array_to_string(list_filter(ids, lambda k: k > 64), ',') AS more,
+    list_transform(range(1, len(ids) + 1), lambda k: list_sum(list_transform(ids[1:k], lambda j: costs[j])) + CASE WHEN k = 1 THEN {d.SINGLE} ELSE 0 END) AS prefix FROM made JOIN u ON u.unit = made.unit),
+  dom AS (SELECT *, coalesce(prefix[len(prefix)], 0)::BIGINT AS cost FROM pc),
+  ev AS (SELECT *, CASE ((mask % 5 * 7 + unit) % 5 + 5) % 5 WHEN 0 THEN 'PASS' WHEN 1 THEN 'PASS' WHEN 2 THEN 'UNKNOWN' WHEN 3 THEN 'FAIL' END AS status
+    FROM (SELECT *, unnest({list(BUDGETS)})::BIGINT AS budget FROM dom) WHERE len(list_filter(prefix, lambda c: c > budget)) = 0)"""
+
 _SOLUTIONS = f"""sol AS (SELECT unit, mask, {list(ARCHITECTURES)}[g + 1] AS architecture, cost + g * len(ids) * 9 AS cost, CASE (mask % 5 * 7 + unit + g * 3) % 4 WHEN 0 THEN 'PASS' WHEN 1 THEN 'FAIL' WHEN 2 THEN 'UNKNOWN' ELSE 'PASS' END AS status
   FROM (SELECT *, unnest(range(0, {len(ARCHITECTURES)})) AS g FROM dom))"""
 
@@ -197,7 +239,7 @@ QUERIES = {
         f"""WITH {_DOMAIN} SELECT unit, count(*) AS n, (sum(cost) + CASE WHEN count(*) = 1 THEN {d.SINGLE} ELSE 0 END)::BIGINT AS full_cost,
   CASE WHEN count(*) > {d.MOST} THEN 'too_many_sources' WHEN sum(cost) + CASE WHEN count(*) = 1 THEN {d.SINGLE} ELSE 0 END > {LIMIT} THEN 'over_input_limit' ELSE 'ok' END AS status FROM s GROUP BY unit""",
     ),
-    "prefix_reachable": (prefix_reachable, f"WITH {_DOMAIN} SELECT unit, mask, budget FROM ev"),
+    "prefix_reachable": (prefix_reachable, f"WITH {_WHOLE} SELECT unit, mask, more, budget FROM ev"),
     "cost_bounds": (
         cost_bounds,
         f"""WITH {_DOMAIN}, b AS (SELECT unit, budget, min(cost) FILTER (WHERE status IS DISTINCT FROM 'FAIL') AS lower, min(cost) FILTER (WHERE status = 'PASS') AS upper, count(*) FILTER (WHERE status IS NULL) AS unseen, count(*) FILTER (WHERE status = 'UNKNOWN') AS unknown FROM ev GROUP BY ALL)

@@ -44,13 +44,13 @@ def bases(units: DataFrame) -> DataFrame:
     return units.select("unit", "n", F.explode(F.expr(fold)).alias("base"))
 
 
-def context(base_sets: DataFrame, sources: DataFrame) -> DataFrame:
+def context(base_sets: DataFrame, sources: DataFrame, holds: str = "(shiftright(base, int(id - 1)) & 1) = 1") -> DataFrame:
     """Sources outside each base in order: of a session of the base first, nearest, best score, id.
 
-    ``sources``: unit, id, session (null belongs to none), position, score. Returns unit, n, base, id, place (from 1).
+    ``sources``: unit, id, session (null belongs to none), position, score. ``holds``: SQL of the condition that a base holds an id. Returns unit, n, base, id, place (from 1).
     """
-    extras = base_sets.join(sources, "unit").where("(shiftright(base, int(id - 1)) & 1) = 0")
-    inside = base_sets.join(sources.select("unit", "id", "session", F.col("position").alias("at")), "unit").where("(shiftright(base, int(id - 1)) & 1) = 1").drop("id", "n")
+    extras = base_sets.join(sources, "unit").where(f"NOT ({holds})")
+    inside = base_sets.join(sources.select("unit", "id", "session", F.col("position").alias("at")), "unit").where(holds).drop("id", "n")
     near = extras.join(inside, ["unit", "base", "session"]).groupBy("unit", "base", "id").agg(F.min(F.abs(F.col("position") - F.col("at"))).alias("distance"))
     ranked = extras.join(near, ["unit", "base", "id"], "left")
     order = Window.partitionBy("unit", "base").orderBy(F.col("distance").isNull(), "distance", F.col("score").desc(), "id")
@@ -82,12 +82,12 @@ def candidates(base_sets: DataFrame, ordered: DataFrame, shortlist: int, units:
 SINGLE = 60
 
 
-def with_cost(sets: DataFrame, costs: DataFrame) -> DataFrame:
+def with_cost(sets: DataFrame, costs: DataFrame, ids: str = IDS.format(mask="mask")) -> DataFrame:
     """Adds ``prefix_costs``, the cost of each prefix of the sorted ids, and ``cost`` (0 for the empty set).
 
-    ``costs``: unit, ``costs`` (array by id).
+    ``costs``: unit, ``costs`` (array by id). ``ids``: SQL of the sorted ids of a set.
     """
-    steps = f"aggregate({IDS.format(mask='mask')}, named_struct('sum', 0L, 'all', cast(array() AS array<bigint>)), (s, i) -> named_struct('sum', s.sum + get(costs, i - 1), 'all', array_append(s.all, s.sum + get(costs, i - 1) + if(size(s.all) = 0, {SINGLE}L, 0L))), s -> s.all)"
+    steps = f"aggregate({ids}, named_struct('sum', 0L, 'all', cast(array() AS array<bigint>)), (s, i) -> named_struct('sum', s.sum + get(costs, int(i - 1)), 'all', array_append(s.all, s.sum + get(costs, int(i - 1)) + if(size(s.all) = 0, {SINGLE}L, 0L))), s -> s.all)"
     priced = sets.join(costs, "unit").withColumn("prefix_costs", F.expr(steps))
     return priced.withColumn("cost", F.coalesce(F.expr("get(prefix_costs, size(prefix_costs) - 1)"), F.lit(0))).drop("costs")
 
