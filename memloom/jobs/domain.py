@@ -97,7 +97,7 @@ def prefix_reachable(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def cost_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bounds on the cheapest passing set of each unit and budget."""
-    return d.bounds(_evaluated(spark, sf_dir), "unit", "budget")
+    return d.bounds(_whole_evaluated(spark, sf_dir), "unit", "budget")
 
 
 def budget_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -242,7 +242,7 @@ QUERIES = {
     "prefix_reachable": (prefix_reachable, f"WITH {_WHOLE} SELECT unit, mask, more, budget FROM ev"),
     "cost_bounds": (
         cost_bounds,
-        f"""WITH {_DOMAIN}, b AS (SELECT unit, budget, min(cost) FILTER (WHERE status IS DISTINCT FROM 'FAIL') AS lower, min(cost) FILTER (WHERE status = 'PASS') AS upper, count(*) FILTER (WHERE status IS NULL) AS unseen, count(*) FILTER (WHERE status = 'UNKNOWN') AS unknown FROM ev GROUP BY ALL)
+        f"""WITH {_WHOLE}, b AS (SELECT unit, budget, min(cost) FILTER (WHERE status IS DISTINCT FROM 'FAIL') AS lower, min(cost) FILTER (WHERE status = 'PASS') AS upper, count(*) FILTER (WHERE status IS NULL) AS unseen, count(*) FILTER (WHERE status = 'UNKNOWN') AS unknown FROM ev GROUP BY ALL)
 SELECT *, upper - lower AS gap, coalesce(upper = lower, false) AS closed FROM b""",
     ),
     "budget_archive": (budget_archive, f"WITH {_DOMAIN} SELECT unit, budget, count(*) AS reachable, count(*) FILTER (WHERE status = 'PASS') AS successful, (min(row(cost, ids, mask)) FILTER (WHERE status = 'PASS'))[3] AS best_mask FROM ev GROUP BY ALL"),
