@@ -102,10 +102,9 @@ def cost_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def budget_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per unit and budget: reachable and passing sets, and the cheapest passing one (ties by ids)."""
-    rows = _evaluated(spark, sf_dir).withColumn("ids", d.ids_of("mask"))
-    best = F.min(F.when(F.col("status") == "PASS", F.struct("cost", "ids", "mask")))
-    out = rows.groupBy("unit", "budget").agg(F.count(F.lit(1)).alias("reachable"), F.count_if(F.col("status") == "PASS").alias("successful"), best.alias("best"))
-    return out.select("unit", "budget", "reachable", "successful", F.col("best.mask").alias("best_mask"))
+    best = F.min(F.when(F.col("status") == "PASS", F.struct("cost", "ids", "mask", "more")))
+    out = _whole_evaluated(spark, sf_dir).groupBy("unit", "budget").agg(F.count(F.lit(1)).alias("reachable"), F.count_if(F.col("status") == "PASS").alias("successful"), best.alias("best"))
+    return out.select("unit", "budget", "reachable", "successful", F.col("best.mask").alias("best_mask"), F.col("best.more").alias("best_more"))
 
 
 def form_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -245,7 +244,7 @@ QUERIES = {
         f"""WITH {_WHOLE}, b AS (SELECT unit, budget, min(cost) FILTER (WHERE status IS DISTINCT FROM 'FAIL') AS lower, min(cost) FILTER (WHERE status = 'PASS') AS upper, count(*) FILTER (WHERE status IS NULL) AS unseen, count(*) FILTER (WHERE status = 'UNKNOWN') AS unknown FROM ev GROUP BY ALL)
 SELECT *, upper - lower AS gap, coalesce(upper = lower, false) AS closed FROM b""",
     ),
-    "budget_archive": (budget_archive, f"WITH {_DOMAIN} SELECT unit, budget, count(*) AS reachable, count(*) FILTER (WHERE status = 'PASS') AS successful, (min(row(cost, ids, mask)) FILTER (WHERE status = 'PASS'))[3] AS best_mask FROM ev GROUP BY ALL"),
+    "budget_archive": (budget_archive, f"WITH {_WHOLE}, b AS (SELECT unit, budget, count(*) AS reachable, count(*) FILTER (WHERE status = 'PASS') AS successful, min(row(cost, ids, mask, more)) FILTER (WHERE status = 'PASS') AS w FROM ev GROUP BY ALL) SELECT unit, budget, reachable, successful, w[3] AS best_mask, w[4] AS best_more FROM b"),
     "form_coverage": (
         form_coverage,
         f"WITH {_DOMAIN} SELECT unit, mask, EXISTS (SELECT 1 FROM p WHERE p.unit = dom.unit AND (p1 & mask) = p1) AND EXISTS (SELECT 1 FROM q WHERE q.unit = dom.unit AND (p2 & mask) = p2) AS covers FROM dom",
