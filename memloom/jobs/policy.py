@@ -174,7 +174,7 @@ SELECT *, evidence = found AS covered FROM g""",
     ),
     "beneficial_switch": (
         beneficial_switch,
-        f"""WITH {domain._DOMAIN}, b AS (SELECT unit, budget, min(cost) FILTER (WHERE status = 'PASS') AS upper FROM ev GROUP BY ALL),
+        f"""WITH {domain._WHOLE}, b AS (SELECT unit, budget, min(cost) FILTER (WHERE status = 'PASS') AS upper FROM ev GROUP BY ALL),
   l AS (SELECT *, lag(upper) OVER w AS before, lag(budget) OVER w AS had FROM b WINDOW w AS (PARTITION BY unit ORDER BY budget))
 SELECT unit, budget, CASE WHEN upper IS NULL THEN 'none' WHEN before IS NULL THEN 'gained' WHEN upper < before THEN 'cheaper' ELSE 'same' END AS switch FROM l WHERE had IS NOT NULL""",
     ),
