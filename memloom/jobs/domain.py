@@ -109,7 +109,7 @@ def budget_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def form_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether each set holds a package of every requirement."""
-    return _domain(spark, sf_dir).join(_units(spark, sf_dir).drop("n"), "unit").select("unit", "mask", d.covers().alias("covers"))
+    return _whole_domain(spark, sf_dir).join(_whole_units(spark, sf_dir).drop("n"), "unit").select("unit", "mask", "more", sets.covers().alias("covers"))
 
 
 def evaluation_order(spark: SparkSession, sf_dir: str, most: int = 16) -> DataFrame:
@@ -247,7 +247,7 @@ SELECT *, upper - lower AS gap, coalesce(upper = lower, false) AS closed FROM b"
     "budget_archive": (budget_archive, f"WITH {_WHOLE}, b AS (SELECT unit, budget, count(*) AS reachable, count(*) FILTER (WHERE status = 'PASS') AS successful, min(row(cost, ids, mask, more)) FILTER (WHERE status = 'PASS') AS w FROM ev GROUP BY ALL) SELECT unit, budget, reachable, successful, w[3] AS best_mask, w[4] AS best_more FROM b"),
     "form_coverage": (
         form_coverage,
-        f"WITH {_DOMAIN} SELECT unit, mask, EXISTS (SELECT 1 FROM p WHERE p.unit = dom.unit AND (p1 & mask) = p1) AND EXISTS (SELECT 1 FROM q WHERE q.unit = dom.unit AND (p2 & mask) = p2) AS covers FROM dom",
+        f"WITH {_WHOLE} SELECT unit, mask, more, EXISTS (SELECT 1 FROM p WHERE p.unit = dom.unit AND list_has_all(ids, p1)) AND EXISTS (SELECT 1 FROM q WHERE q.unit = dom.unit AND list_has_all(ids, p2)) AS covers FROM dom",
     ),
     "archive_jaccard": (
         archive_jaccard,

@@ -46,6 +46,14 @@ def named(ids) -> tuple[int, str]:
     return mask - (1 << 64) if mask >> 63 else mask, ",".join(str(i) for i in ids if i > 64)
 
 
+def test_sets_are_those_of_plain_loops(spark, folder):
+    got = RUN["form_coverage"](spark, folder).collect()
+    assert len(got) == len({(r.unit, r.mask, r.more) for r in got})
+    for unit in UNITS:
+        assert {(r.mask, r.more) for r in got if r.unit == unit} == {named(x) for x in sets_of(unit)}
+    assert all(r.covers for r in got)
+
+
 def test_budgets_reach_sets_of_wide_and_costly_units(spark, folder):
     cost = lambda unit, i: -(-(UNITS[unit][1] + (i - 1) % 3) * 13 // 10)
     got = {(r.unit, r.mask, r.more, r.budget) for r in RUN["prefix_reachable"](spark, folder).collect()}
@@ -57,7 +65,7 @@ def test_budgets_reach_sets_of_wide_and_costly_units(spark, folder):
     assert got == want and {55, 34, 21} <= {x[0] for x in got}
 
 
-@pytest.mark.parametrize("name", ["prefix_reachable", "cost_bounds", "budget_archive", "beneficial_switch"])
+@pytest.mark.parametrize("name", ["prefix_reachable", "cost_bounds", "budget_archive", "beneficial_switch", "form_coverage"])
 def test_same_rows_as_duckdb_and_no_unit_lost(spark, folder, name):
     assert compare(spark, RUN[name], SQL[name], folder)
     units = {r.unit for r in RUN[name](spark, folder).select("unit").distinct().collect()}
