@@ -158,8 +158,8 @@ def train_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def archive_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Similarity of what neighbouring budgets let pass."""
-    passing = _evaluated(spark, sf_dir).where("status = 'PASS'").select("unit", "mask", "budget")
-    flags = passing.groupBy("unit", "mask").agg(*(F.max((F.col("budget") == b).cast("int")).alias(f"b{b}") for b in BUDGETS))
+    passing = _whole_evaluated(spark, sf_dir).where("status = 'PASS'").select("unit", "mask", "more", "budget")
+    flags = passing.groupBy("unit", "mask", "more").agg(*(F.max((F.col("budget") == b).cast("int")).alias(f"b{b}") for b in BUDGETS))
     shared = lambda a, b: F.sum(F.col(f"b{a}") * F.col(f"b{b}")) / F.nullif(F.sum(F.greatest(f"b{a}", f"b{b}")), F.lit(0))
     return flags.groupBy("unit").agg(F.round(shared(128, 256), 9).alias("j_128_256"), F.round(shared(256, 512), 9).alias("j_256_512"))
 
@@ -251,7 +251,7 @@ SELECT *, upper - lower AS gap, coalesce(upper = lower, false) AS closed FROM b"
     ),
     "archive_jaccard": (
         archive_jaccard,
-        f"""WITH {_DOMAIN}, f AS (SELECT unit, mask, max((budget = 128)::INT) AS a, max((budget = 256)::INT) AS b, max((budget = 512)::INT) AS c FROM ev WHERE status = 'PASS' GROUP BY ALL)
+        f"""WITH {_WHOLE}, f AS (SELECT unit, mask, more, max((budget = 128)::INT) AS a, max((budget = 256)::INT) AS b, max((budget = 512)::INT) AS c FROM ev WHERE status = 'PASS' GROUP BY ALL)
 SELECT unit, round(sum(a * b)::DOUBLE / nullif(sum(greatest(a, b)), 0), 9) AS j_128_256, round(sum(b * c)::DOUBLE / nullif(sum(greatest(b, c)), 0), 9) AS j_256_512 FROM f GROUP BY 1""",
     ),
     "evaluation_order": (evaluation_order, f"WITH {_DOMAIN} SELECT unit, mask, place FROM (SELECT unit, mask, row_number() OVER (PARTITION BY unit ORDER BY mask <> (1::BIGINT << n) - 1, cost, ids) AS place FROM dom) WHERE place <= 16"),
