@@ -114,7 +114,7 @@ def form_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def evaluation_order(spark: SparkSession, sf_dir: str, most: int = 16) -> DataFrame:
     """The first sets of each unit in the order of their evaluation: the full set, then by cost and ids."""
-    return d.evaluation_order(_domain(spark, sf_dir), most).select("unit", "mask", "place")
+    return d.evaluation_order(_whole_domain(spark, sf_dir), most, "size(ids) <> n", "ids").select("unit", "mask", "more", "place")
 
 
 def _solutions(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
@@ -254,7 +254,7 @@ SELECT *, upper - lower AS gap, coalesce(upper = lower, false) AS closed FROM b"
         f"""WITH {_WHOLE}, f AS (SELECT unit, mask, more, max((budget = 128)::INT) AS a, max((budget = 256)::INT) AS b, max((budget = 512)::INT) AS c FROM ev WHERE status = 'PASS' GROUP BY ALL)
 SELECT unit, round(sum(a * b)::DOUBLE / nullif(sum(greatest(a, b)), 0), 9) AS j_128_256, round(sum(b * c)::DOUBLE / nullif(sum(greatest(b, c)), 0), 9) AS j_256_512 FROM f GROUP BY 1""",
     ),
-    "evaluation_order": (evaluation_order, f"WITH {_DOMAIN} SELECT unit, mask, place FROM (SELECT unit, mask, row_number() OVER (PARTITION BY unit ORDER BY mask <> (1::BIGINT << n) - 1, cost, ids) AS place FROM dom) WHERE place <= 16"),
+    "evaluation_order": (evaluation_order, f"WITH {_WHOLE} SELECT unit, mask, more, place FROM (SELECT unit, mask, more, row_number() OVER (PARTITION BY unit ORDER BY len(ids) <> n, cost, ids) AS place FROM dom) WHERE place <= 16"),
     "conservative_cost": (conservative_cost, f"WITH {_DOMAIN}, {_SOLUTIONS} SELECT unit, mask, max(cost) AS conservative_cost, string_agg(architecture, ',' ORDER BY architecture) FILTER (WHERE cost <= 256) AS feasible FROM sol GROUP BY ALL".replace("string_agg(", "coalesce(string_agg(").replace("WHERE cost <= 256) AS", "WHERE cost <= 256), '') AS")),
     "architecture_gain": (
         architecture_gain,

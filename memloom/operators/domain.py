@@ -116,10 +116,10 @@ def bounds(evaluated: DataFrame, *keys: str) -> DataFrame:
     return out.withColumns({"gap": F.col("upper") - F.col("lower"), "closed": F.coalesce(F.col("upper") == F.col("lower"), F.lit(False))})
 
 
-def evaluation_order(sets: DataFrame, most: int) -> DataFrame:
-    """The first ``most`` sets of each unit with their ``place`` (from 1): the full set, then by cost, then by ids."""
-    order = Window.partitionBy("unit").orderBy(F.expr(f"mask <> {FULL}"), "cost", "_ids")
-    placed = sets.withColumn("_ids", ids_of("mask")).withColumn("place", F.row_number().over(order).cast("long"))
+def evaluation_order(sets: DataFrame, most: int, partial: str = f"mask <> {FULL}", ids: str = IDS.format(mask="mask")) -> DataFrame:
+    """The first ``most`` sets of each unit with their ``place`` (from 1): the full set, then by cost, then by ids. ``partial``, ``ids``: SQL of whether a set is not the full one, and of its sorted ids."""
+    order = Window.partitionBy("unit").orderBy(F.expr(partial), "cost", "_ids")
+    placed = sets.withColumn("_ids", F.expr(ids)).withColumn("place", F.row_number().over(order).cast("long"))
     return placed.where(F.col("place") <= most).drop("_ids")
 
 
