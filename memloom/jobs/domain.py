@@ -119,7 +119,15 @@ def evaluation_order(spark: SparkSession, sf_dir: str, most: int = 16) -> DataFr
 
 def _solutions(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
     """Evaluated sets under each architecture, whose structure costs ``index * size`` more, with a stand-in audit and columns of the domain."""
-    rows = _domain(spark, sf_dir).withColumn("size", F.bit_count("mask"))
+    return _structured(_domain(spark, sf_dir).withColumn("size", F.bit_count("mask")), *more)
+
+
+def _whole_solutions(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+    """The same for all sets of all units."""
+    return _structured(_whole_domain(spark, sf_dir).withColumn("size", F.size("ids")), "more", *more)
+
+
+def _structured(rows: DataFrame, *more: str) -> DataFrame:
     index = F.explode(F.array(*(F.lit(i) for i in range(len(ARCHITECTURES))))).alias("g")
     rows = rows.select("unit", "mask", "cost", "size", *more, index).withColumn("architecture", F.element_at(F.array(*map(F.lit, ARCHITECTURES)), F.col("g") + 1))
     status = F.expr("CASE pmod(mask % 5 * 7 + unit + g * 3, 4) WHEN 0 THEN 'PASS' WHEN 1 THEN 'FAIL' WHEN 2 THEN 'UNKNOWN' ELSE 'PASS' END")
@@ -128,7 +136,7 @@ def _solutions(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
 
 def conservative_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cost of each set under its dearest architecture, and the architectures that a budget of 256 leaves it."""
-    return d.architecture_choice(_solutions(spark, sf_dir), 256).withColumn("feasible", F.array_join("feasible", ","))
+    return d.architecture_choice(_whole_solutions(spark, sf_dir), 256, "more").withColumn("feasible", F.array_join("feasible", ","))
 
 
 def architecture_gain(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -228,6 +236,7 @@ _WHOLE = f"""
 
 _SOLUTIONS = f"""sol AS (SELECT unit, mask, {list(ARCHITECTURES)}[g + 1] AS architecture, cost + g * len(ids) * 9 AS cost, CASE (mask % 5 * 7 + unit + g * 3) % 4 WHEN 0 THEN 'PASS' WHEN 1 THEN 'FAIL' WHEN 2 THEN 'UNKNOWN' ELSE 'PASS' END AS status
   FROM (SELECT *, unnest(range(0, {len(ARCHITECTURES)})) AS g FROM dom))"""
+_WHOLE_SOLUTIONS = _SOLUTIONS.replace("SELECT unit, mask, ", "SELECT unit, mask, more, ").replace("(mask % 5 * 7 + unit + g * 3) % 4", "((mask % 5 * 7 + unit + g * 3) % 4 + 4) % 4")
 
 QUERIES = {
     "package_product": (package_product, f"WITH {_DOMAIN} SELECT unit, base FROM bases"),
@@ -255,7 +264,7 @@ SELECT *, upper - lower AS gap, coalesce(upper = lower, false) AS closed FROM b"
 SELECT unit, round(sum(a * b)::DOUBLE / nullif(sum(greatest(a, b)), 0), 9) AS j_128_256, round(sum(b * c)::DOUBLE / nullif(sum(greatest(b, c)), 0), 9) AS j_256_512 FROM f GROUP BY 1""",
     ),
     "evaluation_order": (evaluation_order, f"WITH {_WHOLE} SELECT unit, mask, more, place FROM (SELECT unit, mask, more, row_number() OVER (PARTITION BY unit ORDER BY len(ids) <> n, cost, ids) AS place FROM dom) WHERE place <= 16"),
-    "conservative_cost": (conservative_cost, f"WITH {_DOMAIN}, {_SOLUTIONS} SELECT unit, mask, max(cost) AS conservative_cost, string_agg(architecture, ',' ORDER BY architecture) FILTER (WHERE cost <= 256) AS feasible FROM sol GROUP BY ALL".replace("string_agg(", "coalesce(string_agg(").replace("WHERE cost <= 256) AS", "WHERE cost <= 256), '') AS")),
+    "conservative_cost": (conservative_cost, f"WITH {_WHOLE}, {_WHOLE_SOLUTIONS} SELECT unit, mask, more, max(cost) AS conservative_cost, string_agg(architecture, ',' ORDER BY architecture) FILTER (WHERE cost <= 256) AS feasible FROM sol GROUP BY ALL".replace("string_agg(", "coalesce(string_agg(").replace("WHERE cost <= 256) AS", "WHERE cost <= 256), '') AS")),
     "architecture_gain": (
         architecture_gain,
         f"""WITH {_DOMAIN}, {_SOLUTIONS}, v AS (SELECT *, CASE status WHEN 'PASS' THEN 1e0 WHEN 'FAIL' THEN -1e0 ELSE 0e0 END AS utility FROM sol),

@@ -123,10 +123,10 @@ def evaluation_order(sets: DataFrame, most: int, partial: str = f"mask <> {FULL}
     return placed.where(F.col("place") <= most).drop("_ids")
 
 
-def architecture_choice(solutions: DataFrame, budget: int) -> DataFrame:
-    """``unit, mask, conservative_cost`` (the dearest architecture's) and ``feasible``, the architectures within the budget in order; the empty set is Flat only."""
+def architecture_choice(solutions: DataFrame, budget: int, *more: str) -> DataFrame:
+    """``unit, mask, conservative_cost`` (the dearest architecture's) and ``feasible``, the architectures within the budget in order; the empty set is Flat only. ``more``: further columns that tell sets apart."""
     allowed = (F.col("cost") <= budget) & ((F.col("mask") != 0) | (F.col("architecture") == "Flat"))
-    return solutions.groupBy("unit", "mask").agg(F.max("cost").alias("conservative_cost"), F.array_sort(F.collect_set(F.when(allowed, F.col("architecture")))).alias("feasible"))
+    return solutions.groupBy("unit", "mask", *more).agg(F.max("cost").alias("conservative_cost"), F.array_sort(F.collect_set(F.when(allowed, F.col("architecture")))).alias("feasible"))
 
 
 def utility_of(status: Column) -> Column:
