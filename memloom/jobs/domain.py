@@ -141,7 +141,7 @@ def conservative_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def architecture_gain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per unit: sets for which some architecture is better than Flat, the mean gain in utility, and the best gain."""
-    gains = d.architecture_gain(_solutions(spark, sf_dir))
+    gains = d.architecture_gain(_whole_solutions(spark, sf_dir), "more")
     return gains.groupBy("unit").agg(F.count_if(F.col("gain") > 0).alias("better"), F.round(F.avg("gain"), 9).alias("mean_gain"), F.max("gain").alias("best_gain"))
 
 
@@ -267,8 +267,8 @@ SELECT unit, round(sum(a * b)::DOUBLE / nullif(sum(greatest(a, b)), 0), 9) AS j_
     "conservative_cost": (conservative_cost, f"WITH {_WHOLE}, {_WHOLE_SOLUTIONS} SELECT unit, mask, more, max(cost) AS conservative_cost, string_agg(architecture, ',' ORDER BY architecture) FILTER (WHERE cost <= 256) AS feasible FROM sol GROUP BY ALL".replace("string_agg(", "coalesce(string_agg(").replace("WHERE cost <= 256) AS", "WHERE cost <= 256), '') AS")),
     "architecture_gain": (
         architecture_gain,
-        f"""WITH {_DOMAIN}, {_SOLUTIONS}, v AS (SELECT *, CASE status WHEN 'PASS' THEN 1e0 WHEN 'FAIL' THEN -1e0 ELSE 0e0 END AS utility FROM sol),
-  x AS (SELECT unit, mask, max(utility) - max(utility) FILTER (WHERE architecture = 'Flat') AS gain FROM v GROUP BY ALL)
+        f"""WITH {_WHOLE}, {_WHOLE_SOLUTIONS}, v AS (SELECT *, CASE status WHEN 'PASS' THEN 1e0 WHEN 'FAIL' THEN -1e0 ELSE 0e0 END AS utility FROM sol),
+  x AS (SELECT unit, mask, more, max(utility) - max(utility) FILTER (WHERE architecture = 'Flat') AS gain FROM v GROUP BY ALL)
 SELECT unit, count(*) FILTER (WHERE gain > 0) AS better, round(avg(gain), 9) AS mean_gain, max(gain) AS best_gain FROM x GROUP BY 1""",
     ),
     "solution_labels": (

@@ -134,10 +134,10 @@ def utility_of(status: Column) -> Column:
     return F.when(status == "PASS", 1.0).when(status == "UNKNOWN", 0.0).when(status == "FAIL", -1.0).otherwise(F.raise_error(F.lit("unknown status")).cast("double"))
 
 
-def architecture_gain(solutions: DataFrame) -> DataFrame:
-    """``unit, mask, gain``: utility of a set's best architecture over that of Flat."""
+def architecture_gain(solutions: DataFrame, *more: str) -> DataFrame:
+    """``unit, mask, gain``: utility of a set's best architecture over that of Flat. ``more``: further columns that tell sets apart."""
     rows = solutions.withColumn("_u", utility_of(F.col("status")))
-    return rows.groupBy("unit", "mask").agg((F.max("_u") - F.max(F.when(F.col("architecture") == "Flat", F.col("_u")))).alias("gain"))
+    return rows.groupBy("unit", "mask", *more).agg((F.max("_u") - F.max(F.when(F.col("architecture") == "Flat", F.col("_u")))).alias("gain"))
 
 
 def first_of_archives(solutions: DataFrame) -> DataFrame:
