@@ -154,7 +154,7 @@ def solution_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def train_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per unit and budget: labels (cheap sets with a stand-in mark), those among them that never passed, and whether the row can train."""
-    rows = _evaluated(spark, sf_dir).withColumn("label", F.expr("pmod(mask + unit, 3) = 0 AND status IN ('PASS', 'UNKNOWN') AND (status = 'PASS' OR unit % 4 = 0)"))
+    rows = _whole_evaluated(spark, sf_dir).withColumn("label", F.expr("pmod(mask % 3 + unit, 3) = 0 AND status IN ('PASS', 'UNKNOWN') AND (status = 'PASS' OR unit % 4 = 0)"))
     return d.label_check(rows, "unit", "budget")
 
 
@@ -277,7 +277,7 @@ SELECT unit, count(*) FILTER (WHERE gain > 0) AS better, round(avg(gain), 9) AS
     ),
     "train_rows": (
         train_rows,
-        f"""WITH {_DOMAIN}, l AS (SELECT *, (mask + unit) % 3 = 0 AND (status = 'PASS' OR (status = 'UNKNOWN' AND unit % 4 = 0)) AS label FROM ev)
+        f"""WITH {_WHOLE}, l AS (SELECT *, (mask % 3 + unit) % 3 = 0 AND (status = 'PASS' OR (status = 'UNKNOWN' AND unit % 4 = 0)) AS label FROM ev)
 SELECT unit, budget, count(*) FILTER (WHERE label) AS labels, count(*) FILTER (WHERE label AND status <> 'PASS') AS unverified, count(*) FILTER (WHERE label) > 0 AND count(*) FILTER (WHERE label AND status <> 'PASS') = 0 AS usable FROM l GROUP BY ALL""",
     ),
     "train_selection": (
