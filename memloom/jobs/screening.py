@@ -9,6 +9,7 @@ from memloom.jobs import domain as j
 from memloom.jobs.features import DIMENSION
 from memloom.operators import domain as d
 from memloom.operators import screening as s
+from memloom.operators.sets import covers
 from memloom.sources.tables import table
 
 #: Units that a batch goes on with; budget of a candidate; queries of a unit, those of the probe, and the mean that it must reach.
@@ -33,15 +34,15 @@ def salient_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _gated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates with their gate; the probe's answers are stand-ins."""
-    sets = j._solutions(spark, sf_dir, "prefix_costs").join(j._units(spark, sf_dir).select("unit", "requirements"), "unit")
+    sets = j._whole_solutions(spark, sf_dir, "ids", "prefix_costs").join(j._whole_units(spark, sf_dir).select("unit", "requirements"), "unit")
     probe = F.expr(f"aggregate(sequence(0, {PROBED - 1}), 0L, (a, q) -> a + pmod(mask % 97 * 31 + unit * 7 + q * 13, 100)) / {100 * PROBED}D")
-    gate = lambda proxy: s.gate(d.covers(), F.col("cost"), BUDGET, proxy, LEAST, F.col("status"), d.reachable(F.lit(BUDGET)))
-    return sets.withColumns({"gate": gate(probe), "would_pass": gate(F.lit(1.0)) == "admitted"}).select("unit", "mask", "architecture", "gate", "would_pass")
+    gate = lambda proxy: s.gate(covers(), F.col("cost"), BUDGET, proxy, LEAST, F.col("status"), d.reachable(F.lit(BUDGET)))
+    return sets.withColumns({"gate": gate(probe), "would_pass": gate(F.lit(1.0)) == "admitted"}).select("unit", "mask", "more", "architecture", "gate", "would_pass")
 
 
 def screening_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The gate at which each candidate ends."""
-    return _gated(spark, sf_dir).select("unit", "mask", "architecture", "gate")
+    return _gated(spark, sf_dir).select("unit", "mask", "more", "architecture", "gate")
 
 
 def screening_savings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,9 +64,9 @@ def topic_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.topic_blocks(rows, DIMENSION, 8).select(F.col("id").alias("vec_id"), "block")
 
 
-_GATED = f"""{j._DOMAIN}, {j._SOLUTIONS}, sized AS (SELECT sol.*, dom.prefix, EXISTS (SELECT 1 FROM p WHERE p.unit = dom.unit AND (p1 & dom.mask) = p1) AND EXISTS (SELECT 1 FROM q WHERE q.unit = dom.unit AND (p2 & dom.mask) = p2) AS covers,
-    list_sum(list_transform(range(0, {PROBED}), lambda k: (sol.mask % 97 * 31 + sol.unit * 7 + k * 13) % 100)) / {100 * PROBED}e0 AS probe FROM sol JOIN dom ON dom.unit = sol.unit AND dom.mask = sol.mask),
-  gated AS (SELECT unit, mask, architecture, CASE WHEN NOT covers THEN 'need' WHEN cost > {BUDGET} THEN 'budget' WHEN probe < {LEAST}::DOUBLE THEN 'proxy' WHEN status <> 'PASS' THEN lower(status) WHEN len(list_filter(prefix, lambda c: c > {BUDGET})) > 0 THEN 'unreachable' ELSE 'admitted' END AS gate,
+_GATED = f"""{j._WHOLE}, {j._WHOLE_SOLUTIONS}, sized AS (SELECT sol.*, dom.prefix, EXISTS (SELECT 1 FROM p WHERE p.unit = dom.unit AND list_has_all(dom.ids, p1)) AND EXISTS (SELECT 1 FROM q WHERE q.unit = dom.unit AND list_has_all(dom.ids, p2)) AS covers,
+    list_sum(list_transform(range(0, {PROBED}), lambda k: ((sol.mask % 97 * 31 + sol.unit * 7 + k * 13) % 100 + 100) % 100)) / {100 * PROBED}e0 AS probe FROM sol JOIN dom ON dom.unit = sol.unit AND dom.mask = sol.mask AND dom.more = sol.more),
+  gated AS (SELECT unit, mask, more, architecture, CASE WHEN NOT covers THEN 'need' WHEN cost > {BUDGET} THEN 'budget' WHEN probe < {LEAST}::DOUBLE THEN 'proxy' WHEN status <> 'PASS' THEN lower(status) WHEN len(list_filter(prefix, lambda c: c > {BUDGET})) > 0 THEN 'unreachable' ELSE 'admitted' END AS gate,
     covers AND cost <= {BUDGET} AND status = 'PASS' AND len(list_filter(prefix, lambda c: c > {BUDGET})) = 0 AS would_pass FROM sized)"""
 
 QUERIES = {
@@ -90,7 +91,7 @@ SELECT batch, id, strength FROM r QUALIFY row_number() OVER (PARTITION BY batch
   r AS (SELECT *, row_number() OVER (PARTITION BY batch, session ORDER BY strength DESC, time, id) > 1 AS later FROM w)
 SELECT batch, id, strength FROM r QUALIFY row_number() OVER (PARTITION BY batch ORDER BY later, strength DESC, time, id) <= {MOST}""",
     ),
-    "screening_gates": (screening_gates, f"WITH {_GATED} SELECT unit, mask, architecture, gate FROM gated"),
+    "screening_gates": (screening_gates, f"WITH {_GATED} SELECT unit, mask, more, architecture, gate FROM gated"),
     "screening_savings": (
         screening_savings,
         f"""WITH {_GATED}, z AS (SELECT unit, mask, count(*) AS pairs, count(*) FILTER (WHERE gate NOT IN ('need', 'budget')) AS probed, count(*) FILTER (WHERE gate NOT IN ('need', 'budget', 'proxy')) AS full_audits,
