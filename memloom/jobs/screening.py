@@ -47,7 +47,7 @@ def screening_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def screening_savings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the gates save and lose in each unit."""
-    return s.replayed(_gated(spark, sf_dir), ASKED, PROBED, "unit")
+    return s.replayed(_gated(spark, sf_dir), ASKED, PROBED, "unit", more=("more",))
 
 
 def first_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,7 +94,7 @@ SELECT batch, id, strength FROM r QUALIFY row_number() OVER (PARTITION BY batch
     "screening_gates": (screening_gates, f"WITH {_GATED} SELECT unit, mask, more, architecture, gate FROM gated"),
     "screening_savings": (
         screening_savings,
-        f"""WITH {_GATED}, z AS (SELECT unit, mask, count(*) AS pairs, count(*) FILTER (WHERE gate NOT IN ('need', 'budget')) AS probed, count(*) FILTER (WHERE gate NOT IN ('need', 'budget', 'proxy')) AS full_audits,
+        f"""WITH {_GATED}, z AS (SELECT unit, mask, more, count(*) AS pairs, count(*) FILTER (WHERE gate NOT IN ('need', 'budget')) AS probed, count(*) FILTER (WHERE gate NOT IN ('need', 'budget', 'proxy')) AS full_audits,
     count(*) FILTER (WHERE gate NOT IN ('need', 'budget', 'proxy') AND architecture = 'Flat') AS flat, count(*) FILTER (WHERE gate = 'admitted') AS admitted, count(*) FILTER (WHERE gate = 'proxy' AND would_pass) AS lost FROM gated GROUP BY ALL)
 SELECT unit, sum(pairs)::BIGINT AS candidates, sum(admitted)::BIGINT AS admitted, sum(lost)::BIGINT AS lost, sum(pairs * {ASKED})::BIGINT AS evaluations_all,
   sum((probed > 0)::INT * {PROBED} + full_audits * {ASKED} - (flat > 0)::INT * {PROBED})::BIGINT AS evaluations_gated FROM z GROUP BY 1""",

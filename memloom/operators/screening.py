@@ -79,14 +79,14 @@ def gate(covers: Column, cost: Column, budget: int, proxy: Column, least: float,
     )
 
 
-def replayed(gated: DataFrame, queries: int, proxies: int, *keys: str) -> DataFrame:
+def replayed(gated: DataFrame, queries: int, proxies: int, *keys: str, more: tuple[str, ...] = ()) -> DataFrame:
     """Per key: candidates, those admitted, those that a proxy lost, and evaluations without and with the gates.
 
     ``gated``: keys, mask, architecture, gate, would_pass (boolean: admitted without the proxy). A set is probed once, built Flat,
-    if one of its architectures passes the free gates; its full audit under Flat takes the probe's answers over.
+    if one of its architectures passes the free gates; its full audit under Flat takes the probe's answers over. ``more``: further columns that tell sets apart.
     """
     full = ~F.col("gate").isin("need", "budget", "proxy")
-    sets = gated.groupBy(*keys, "mask").agg(
+    sets = gated.groupBy(*keys, "mask", *more).agg(
         F.count(F.lit(1)).alias("pairs"), F.count_if(~F.col("gate").isin("need", "budget")).alias("probed"),
         F.count_if(full).alias("full"), F.count_if(full & (F.col("architecture") == "Flat")).alias("flat"), F.count_if(F.col("gate") == "admitted").alias("admitted"),
         F.count_if((F.col("gate") == "proxy") & F.col("would_pass")).alias("lost"),
