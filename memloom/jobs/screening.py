@@ -52,10 +52,10 @@ def screening_savings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def first_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether the affordable solution of the highest stand-in score passes, and how much dearer than the cheapest passing one it is."""
-    affordable = j._solutions(spark, sf_dir).where(F.col("cost") <= BUDGET)
-    key = F.expr("struct(pmod(mask % 97 * 31 + char_length(architecture) * 17 + unit, 101), -mask, architecture)")
-    chosen = affordable.groupBy("unit").agg(F.max_by(F.struct("mask", "architecture"), key).alias("best")).select("unit", "best.*")
-    return s.first_choice(chosen, affordable.where("status = 'PASS'")).withColumn("excess", F.round("excess", 9))
+    affordable = j._whole_solutions(spark, sf_dir).where(F.col("cost") <= BUDGET)
+    key = F.expr("struct(pmod(mask % 97 * 31 + char_length(architecture) * 17 + unit, 101), ~mask, more, architecture)")
+    chosen = affordable.groupBy("unit").agg(F.max_by(F.struct("mask", "more", "architecture"), key).alias("best")).select("unit", "best.*")
+    return s.first_choice(chosen, affordable.where("status = 'PASS'"), "more").withColumn("excess", F.round("excess", 9))
 
 
 def topic_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,10 +101,10 @@ SELECT unit, sum(pairs)::BIGINT AS candidates, sum(admitted)::BIGINT AS admitted
     ),
     "first_choice": (
         first_choice,
-        f"""WITH {j._DOMAIN}, {j._SOLUTIONS}, ok AS (SELECT * FROM sol WHERE cost <= {BUDGET}),
-  c AS (SELECT * FROM ok QUALIFY row_number() OVER (PARTITION BY unit ORDER BY (mask % 97 * 31 + length(architecture) * 17 + unit) % 101 DESC, mask, architecture DESC) = 1),
+        f"""WITH {j._WHOLE}, {j._WHOLE_SOLUTIONS}, ok AS (SELECT * FROM sol WHERE cost <= {BUDGET}),
+  c AS (SELECT * FROM ok QUALIFY row_number() OVER (PARTITION BY unit ORDER BY ((mask % 97 * 31 + length(architecture) * 17 + unit) % 101 + 101) % 101 DESC, mask, more DESC, architecture DESC) = 1),
   a AS (SELECT unit, min(cost) AS best, count(*) AS n FROM ok WHERE status = 'PASS' GROUP BY 1)
-SELECT c.unit, mask, architecture, coalesce(n, 0) AS successful, status = 'PASS' AS passed, CASE WHEN status = 'PASS' THEN round((cost - best)::DOUBLE / greatest(best, 1), 9) END AS excess FROM c LEFT JOIN a ON a.unit = c.unit""",
+SELECT c.unit, mask, more, architecture, coalesce(n, 0) AS successful, status = 'PASS' AS passed, CASE WHEN status = 'PASS' THEN round((cost - best)::DOUBLE / greatest(best, 1), 9) END AS excess FROM c LEFT JOIN a ON a.unit = c.unit""",
     ),
     "topic_blocks": (topic_blocks, None),
 }

@@ -98,14 +98,14 @@ def replayed(gated: DataFrame, queries: int, proxies: int, *keys: str, more: tup
     )
 
 
-def first_choice(chosen: DataFrame, archive: DataFrame) -> DataFrame:
+def first_choice(chosen: DataFrame, archive: DataFrame, *more: str) -> DataFrame:
     """Adds to the chosen solution of each unit ``successful`` (size of its archive), ``passed``, and ``excess``: relative cost over the cheapest, if it passed.
 
-    ``chosen``: unit, mask, architecture. ``archive``: the passing solutions with cost.
+    ``chosen``: unit, mask, architecture. ``archive``: the passing solutions with cost. ``more``: further columns that tell sets apart.
     """
     best = archive.groupBy("unit").agg(F.min("cost").alias("_best"), F.count(F.lit(1)).alias("successful"))
-    hit = archive.groupBy("unit", "mask", "architecture").agg(F.min("cost").alias("_cost"))
-    out = chosen.join(hit, ["unit", "mask", "architecture"], "left").join(best, "unit", "left")
+    hit = archive.groupBy("unit", "mask", *more, "architecture").agg(F.min("cost").alias("_cost"))
+    out = chosen.join(hit, ["unit", "mask", *more, "architecture"], "left").join(best, "unit", "left")
     excess = (F.col("_cost") - F.col("_best")) / F.greatest("_best", F.lit(1))
     return out.withColumns({"successful": F.coalesce("successful", F.lit(0)), "passed": F.col("_cost").isNotNull(), "excess": excess}).drop("_best", "_cost")
 

@@ -65,7 +65,7 @@ def test_budgets_reach_sets_of_wide_and_costly_units(spark, folder):
     assert got == want and {55, 34, 21} <= {x[0] for x in got}
 
 
-@pytest.mark.parametrize("name", ["prefix_reachable", "cost_bounds", "budget_archive", "beneficial_switch", "form_coverage", "archive_jaccard", "evaluation_order", "conservative_cost", "architecture_gain", "train_rows", "screening_gates", "screening_savings"])
+@pytest.mark.parametrize("name", ["prefix_reachable", "cost_bounds", "budget_archive", "beneficial_switch", "form_coverage", "archive_jaccard", "evaluation_order", "conservative_cost", "architecture_gain", "train_rows", "screening_gates", "screening_savings", "first_choice"])
 def test_same_rows_as_duckdb_and_no_unit_lost(spark, folder, name):
     assert compare(spark, RUN[name], SQL[name], folder)
     units = {r.unit for r in RUN[name](spark, folder).select("unit").distinct().collect()}
