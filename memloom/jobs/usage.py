@@ -101,13 +101,13 @@ def session_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bootstrap_ci(spark: SparkSession, sf_dir: str, draws: int = 2000, seed: int = 7) -> DataFrame:
-    """95 % interval of the mean score gap to 'view' over samples, by resampling them with replacement."""
+    """95 % interval of the mean score gap to 'view' over samples, by resampling as many of them with replacement."""
     means = _arm_means(spark, sf_dir)
     base = means.where("arm = 'view'").select("sample_id", F.col("score").alias("base"))
     gaps = means.where("arm <> 'view'").join(base, "sample_id").select("arm", F.col("sample_id").alias("id"), F.round(F.col("base") - F.col("score"), 12).alias("gap"))
     sorted_means = F.array_sort(F.collect_list("mean"))
     at = lambda share: F.round(F.element_at("means", int(share * (draws - 1)) + 1), 9)
-    return bootstrap.resampled_means(gaps, "arm", draws, seed).groupBy("arm").agg(sorted_means.alias("means")).select("arm", at(0.025).alias("low"), at(0.975).alias("high"))
+    return bootstrap.picked_means(gaps, "arm", draws, seed).groupBy("arm").agg(sorted_means.alias("means")).select("arm", at(0.025).alias("low"), at(0.975).alias("high"))
 
 
 def paired_bound(spark: SparkSession, sf_dir: str, draws: int = 10_000, seed: int = 7) -> DataFrame:
@@ -228,6 +228,13 @@ def _resampled(draws: int, seed: int) -> str:
   resampled AS (SELECT arm, draw, sum(gap * {often}) / nullif(sum({often}), 0) AS mean FROM picked GROUP BY arm, draw)"""
 
 
+def _picked(draws: int, seed: int) -> str:
+    """CTEs from ``g`` (arm, id, gap) to ``resampled`` (arm, draw, mean): each draw picks as many rows as the arm has."""
+    return f"""numbered AS (SELECT arm, gap, row_number() OVER (PARTITION BY arm ORDER BY id) AS k, count(*) OVER (PARTITION BY arm) AS n FROM g WHERE gap IS NOT NULL),
+  drawn AS (SELECT arm, n, draw, {bootstrap.pick_sql('k', 'draw', seed)} % n + 1 AS k FROM (SELECT *, unnest(range(1, {draws + 1})) AS draw FROM numbered)),
+  resampled AS (SELECT d.arm, draw, sum(gap) / any_value(d.n) AS mean FROM drawn d JOIN numbered x ON x.arm = d.arm AND x.k = d.k GROUP BY d.arm, draw)"""
+
+
 _STATE = "SELECT user_id, min(event_id) AS place, max_by(value, event_id) AS value, count(*) AS version FROM events GROUP BY 1"
 
 QUERIES = {
@@ -263,7 +270,7 @@ SELECT model, min(budget) FILTER (WHERE passed) AS budget FROM p GROUP BY 1""",
     ),
     "bootstrap_ci": (
         bootstrap_ci,
-        f"""WITH {_MEANS}, g AS (SELECT a.arm, a.sample_id AS id, round(b.score - a.score, 12) AS gap FROM m a JOIN m b ON a.sample_id = b.sample_id AND b.arm = 'view' WHERE a.arm <> 'view'), {_resampled(2000, 7)}
+        f"""WITH {_MEANS}, g AS (SELECT a.arm, a.sample_id AS id, round(b.score - a.score, 12) AS gap FROM m a JOIN m b ON a.sample_id = b.sample_id AND b.arm = 'view' WHERE a.arm <> 'view'), {_picked(2000, 7)}
 SELECT arm, round(list_sort(list(mean))[50], 9) AS low, round(list_sort(list(mean))[1950], 9) AS high FROM resampled GROUP BY 1""",
     ),
     "paired_summary": (
