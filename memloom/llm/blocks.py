@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from memloom.llm.components import unsent
+
 UNIT = ["group", "block_a", "block_b"]
 #: Members up to which a unit is compared together with others.
 SMALL = 64
@@ -33,7 +35,7 @@ def bucket_blocks(members: DataFrame, most: int, weight: str | None = None, heav
     heavy = F.sum(weight) / F.lit(heaviest) if weight else F.lit(0)
     sizes = members.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.ceil(heavy).alias("_w")).where("n > 1")
     sizes = sizes.select("group", F.least(F.col("n"), F.greatest(F.ceil(F.col("n") / F.lit(most)), F.col("_w"))).cast("int").alias("n_blocks"))
-    return members.join(sizes, "group").withColumn("block", F.pmod(F.xxhash64("id"), F.col("n_blocks")).cast("int"))
+    return members.join(unsent(sizes), "group").withColumn("block", F.pmod(F.xxhash64("id"), F.col("n_blocks")).cast("int"))
 
 
 def block_pairs(placed: DataFrame) -> DataFrame:

@@ -8,6 +8,14 @@ from pyspark.sql import functions as F
 from memloom.sources.scratch import drop, materialize
 
 
+def unsent(rows: DataFrame) -> DataFrame:
+    """``rows`` as a side of a join that is never broadcast.
+
+    Broadcasts are chosen by the compressed bytes of a shuffle or a file; the table that the driver builds of these is some twenty times as large where rows are few numbers.
+    """
+    return rows.hint("merge")
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``id, component`` for every node of ``edges``: the smallest id that its edges reach.
 
@@ -28,10 +36,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         before = state
         both = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = both.where("v > u").join(unsent(least), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = materialize(large.distinct(), "large-star")
         drop(stars)
-        joined = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u")
+        joined = large.join(unsent(large.groupBy("u").agg(F.min("v").alias("m"))), "u")
         small = joined.select("u", F.col("m").alias("v")).unionByName(joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")))
         stars = materialize(small.distinct(), "small-star")
         drop(large)

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from memloom.llm.arrow_text import tidy
 from memloom.llm.blocks import MEMBER_ROWS, UNIT, block_pairs, bucket_blocks, dealt, member_rows, pairs_of_units, whole_units
+from memloom.llm.components import unsent
 from memloom.llm.ngram_jaccard import linked
 from memloom.sources.scratch import drop, materialize
 
@@ -251,13 +252,13 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, sample: in
     kind = "group long, block_a int, block_b int, block int, table int, id long, code long"
     placed = dealt(block_pairs(bucket_blocks(buckets, BLOCK)))
     met = materialize(placed.select(*UNIT, "block", "table", "id", "code").mapInArrow(tidy(_meetings(chunks)), kind), "met")
-    units = dealt(met.join(classes.select(F.col("node").alias("id"), "copies", "embedding"), "id"))
+    units = dealt(unsent(met).join(unsent(classes.select(F.col("node").alias("id"), "copies", "embedding")), "id"))
     compared = materialize(units.select(*UNIT, "block", "table", "id", "code", "copies", "embedding").mapInArrow(tidy(_rerank(threshold, chunks)), MEMBER_ROWS), "compared")
     drop(met, codes)
 
     found = linked(compared, classes).select("node", "links", "component_id")
-    known = classes.withColumn("fit", F.lit(True)).join(found, "node", "left")
-    out = source.join(known, ["label", "embedding", "fit"], "left")
+    known = unsent(classes.withColumn("fit", F.lit(True))).join(unsent(found), "node", "left")
+    out = source.join(unsent(known), ["label", "embedding", "fit"], "left")
     return out.select(
         F.col("id").alias(id_column),
         F.coalesce(F.coalesce("links", F.lit(0)) + F.col("copies") - 1, F.lit(0)).alias("n_links"),

@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from memloom.llm.arrow_text import WordValues, ragged_take, row_blocks, text_bytes, tidy
 from memloom.llm.blocks import MEMBER_ROWS, UNIT, block_pairs, bucket_blocks, dealt, member_rows, pairs_of_units, whole_units
 from memloom.llm.columns import set_aside
-from memloom.llm.components import components
+from memloom.llm.components import components, unsent
 from memloom.sources.scratch import drop, materialize
 
 N, THRESHOLD, TOLERANCE = 5, 0.8, 1e-6
@@ -205,9 +205,9 @@ def linked(compared: DataFrame, classes: DataFrame) -> DataFrame:
     """
     links = compared.groupBy("id").agg(F.sum("links").alias("links"))
     found = components(compared.select(F.col("id").alias("a"), F.col("root").alias("b")))
-    nodes = links.join(found, "id").withColumnRenamed("id", "node")
-    smallest = nodes.join(classes.select("node", "rep"), "node").groupBy("component").agg(F.min("rep").alias("component_id"))
-    return nodes.join(smallest, "component")
+    nodes = unsent(links).join(unsent(found), "id").withColumnRenamed("id", "node")
+    smallest = unsent(nodes).join(unsent(classes.select("node", "rep")), "node").groupBy("component").agg(F.min("rep").alias("component_id"))
+    return unsent(nodes).join(unsent(smallest), "component")
 
 
 def _linked_rows(source: DataFrame, threshold: float, tolerance: float) -> DataFrame:

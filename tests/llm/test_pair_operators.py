@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from memloom.llm import itq_neardup, line_dedup, ngram_jaccard
 from memloom.llm import queries as q
+from memloom.llm.blocks import bucket_blocks
 from memloom.llm.components import components
 
 SF = "/root/testdata/sf0.001"
@@ -44,6 +45,15 @@ class TestComponents:
     def test_no_edges(self, spark):
         assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
+    def test_no_side_that_grows_is_broadcast(self, spark):
+        plan = lambda df: (df.collect(), df._jdf.queryExecution().executedPlan().toString())[1]
+        members = spark.range(4000).selectExpr("id % 500 AS group", "id")
+        assert "Broadcast" not in plan(bucket_blocks(members, 1024))
+        rows = spark.range(200).selectExpr("id AS vec_id", "array(float(1 + id div 4), float(1 + id div 2), 1F) AS embedding", "0 AS label")
+        assert "Broadcast" not in plan(itq_neardup.near_duplicates(rows))
+        compared, classes = spark.range(100).selectExpr("id", "1L AS links", "id - id % 5 AS root"), spark.range(100).selectExpr("id AS node", "id AS rep")
+        assert "Broadcast" not in plan(ngram_jaccard.linked(compared, classes))
+
 
 def levenshtein(a, b):
     row = list(range(len(b) + 1))
