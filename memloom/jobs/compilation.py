@@ -31,8 +31,8 @@ def _sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sets.select("unit", "n", "mask", F.explode(F.array(*map(F.lit, pricing.CONTRACTS))).alias("architecture"))
 
 
-def _domain(spark: SparkSession, sf_dir: str, count=pricing.by_bytes, limit: int = INPUT_LIMIT) -> DataFrame:
-    priced, _ = pricing.with_costs(_sets(spark, sf_dir), _sources(spark, sf_dir), count)
+def _domain(spark: SparkSession, sf_dir: str, count=pricing.by_bytes, limit: int = INPUT_LIMIT, parts: bool = False) -> DataFrame:
+    priced, _ = pricing.with_costs(_sets(spark, sf_dir), _sources(spark, sf_dir), count, parts=parts)
     return materialize(pricing.capped(priced, limit, *pricing.KEYS), "domain")
 
 
@@ -45,7 +45,7 @@ def exact_domain_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same, counted by a tokenizer."""
     with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
         definition = f.read()
-    return _domain(spark, sf_dir, pricing.by_tokenizer(definition), 8192).select(*pricing.KEYS, "mask", "cost", "reach")
+    return _domain(spark, sf_dir, pricing.by_tokenizer(definition), 8192, pricing.adds_up(definition)).select(*pricing.KEYS, "mask", "cost", "reach")
 
 
 def _audited(rows: DataFrame) -> DataFrame:

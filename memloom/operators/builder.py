@@ -101,30 +101,39 @@ SYSTEM = (
 _CAPITALS = [f"{i:04X}" for i in (*range(0x0B, 0x10), *range(0x1A, 0x20)) if i not in (0x0C, 0x0D)]
 
 
+def source_row(s: Column) -> Column:
+    """A source as the builder's input has it: its fields sorted."""
+    fields = ["id", "position", "session", "source_id", "source_offset", "speaker", "text", "time"]
+    value = {"text": lambda s: F.coalesce(s["text"], F.lit("")), "source_id": lambda s: F.coalesce(s["source_id"].cast("string"), s["id"].cast("string"))}
+    return F.struct(*(value.get(x, lambda s, x=x: s[x])(s).alias(x) for x in fields))
+
+
+def canonical_json(value: Column) -> Column:
+    """A struct as JSON text: nulls kept, no spaces, escapes in small letters."""
+    text = F.to_json(value, {"ignoreNullFields": "false"})
+
+    def lowered(text: Column) -> Column:
+        out = text
+        for code in _CAPITALS:  # behind an even number of backslashes only: a backslash of the text itself is doubled
+            out = F.regexp_replace(out, rf"(?<!\\)((?:\\\\)*)\\u{code}", rf"$1\\u{code.lower()}")
+        return F.when(F.contains(text, F.lit("\\u")), out).otherwise(text)  # most texts have no such character
+
+    return F.get(F.transform(F.array(text), lowered), 0)
+
+
 def input_json(sources: str, structure: str, architecture: Column, contract: Column, schema: str) -> Column:
     """The builder's input as canonical JSON: keys sorted, no spaces, nulls kept, no question.
 
     ``sources``: array of structs (id, source_id, session, speaker, time, position, source_offset, text), written in the order of
     their ids; ``structure``: a struct with sorted fields. Equal inputs give equal text, whose SHA-256 names them.
     """
-    fields = ["id", "position", "session", "source_id", "source_offset", "speaker", "text", "time"]
-    value = {"text": lambda s: F.coalesce(s["text"], F.lit("")), "source_id": lambda s: F.coalesce(s["source_id"].cast("string"), s["id"].cast("string"))}
-    row = lambda s: F.struct(*(value.get(x, lambda s, x=x: s[x])(s).alias(x) for x in fields))
     output = F.struct(F.struct(F.lit("string").alias("m"), F.lit("integer[]").alias("src")).alias("item"), F.lit(MAX_ITEMS).alias("max_items"), F.lit("array").alias("type"))
     envelope = F.struct(
         architecture.alias("architecture"), contract.alias("architecture_contract"), output.alias("output"), F.lit(schema).alias("schema"),
-        F.transform(F.array_sort(sources, lambda a, b: F.sign(a["id"] - b["id"]).cast("int")), row).alias("sources"), F.col(structure).alias("structure"),
+        F.transform(F.array_sort(sources, lambda a, b: F.sign(a["id"] - b["id"]).cast("int")), source_row).alias("sources"), F.col(structure).alias("structure"),
         F.lit(SYSTEM).alias("system"), F.lit(True).alias("write_stage"),
     )
-    text = F.to_json(envelope, {"ignoreNullFields": "false"})
-
-    def lowered(text: Column) -> Column:
-        out = text
-        for code in _CAPITALS:  # behind an even number of backslashes only: a backslash of the text itself is doubled
-            out = F.regexp_replace(out, rf"(?<!\\)((?:\\\\)*)\\u{code}", rf"$1\\u{code.lower()}")
-        return F.when(F.contains(text, F.lit("\\u")), out).otherwise(text)  # most texts have no such character
-
-    return F.get(F.transform(F.array(text), lowered), 0)
+    return canonical_json(envelope)
 
 
 def future_queries(rows: DataFrame) -> Column:

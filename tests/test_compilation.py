@@ -70,6 +70,33 @@ def test_a_tokenizer_counts_the_same_inputs(spark):
     assert {(r.architecture, r.mask): r.cost for r in got.collect()} == want
 
 
+def test_parts_cost_what_whole_inputs_do_and_are_counted_once(spark):
+    vocabulary = pytest.importorskip("public_tokenizers")
+    definition = open(vocabulary.path("byte_bpe_50k.json"), encoding="utf-8").read()
+    count = pricing.by_tokenizer(definition)
+    assert pricing.adds_up(definition) and not pricing.adds_up(json.dumps(json.loads(definition) | {"normalizer": {"type": "NFC"}}))
+    odd = ["", "<|endoftext|>", "it's '", ' "}', "}", "null", "\\", "\x0b \x1f", "5", " id", "ß漢字 12", "<|endoftext|>\n"]
+    rows = units([(1, 5), (2, 64), (3, 1), (4, 3)]) + [(5, len(odd), [(i, f"5:{i}", None, None, None, i, None, t) for i, t in enumerate(odd, 1)])]
+    rows.append((6, 2, [(1, "6:1", None, "me", "null", 1, None, "a"), (2, "6:2", None, "me", "12", 2, None, "b")]))  # with a time
+    rows.append((7, 3, [(1, "7:1", None, "me", None, 1, None, "a"), (3, "7:3", None, "me", None, 3, None, "b"), (3, "7:3", None, "me", None, 3, None, "c")]))  # ids repeat, and one is missing
+    sets = {(u, a, n, m) for u, n, _ in rows for a in pricing.CONTRACTS for m in [0, (1 << n) - 1, *(1 << i for i in range(n)), *(random.getrandbits(n) for _ in range(6))]}
+    frame = spark.createDataFrame([(u, a, n, signed(m)) for u, a, n, m in sets], "unit long, architecture string, n long, mask long")
+    sources = spark.createDataFrame(rows, SOURCES)
+    want = sorted(map(tuple, pricing.price(frame, sources, count).collect()))
+    assert sorted(map(tuple, pricing.price(frame, sources, count, parts=True).collect())) == want and len(want) == len(sets)
+    # forty units of the same shapes: each source and each shape is written once, not each set
+    many = units([(u, 6) for u in range(40)])
+    frame = spark.createDataFrame([(u, a, 6, m) for u in range(40) for a in pricing.CONTRACTS for m in range(64)], "unit long, architecture string, n long, mask long")
+    counted = []
+
+    def noted(priced):
+        counted.append(priced.count())
+        return count(priced)
+
+    pricing.price(frame, spark.createDataFrame(many, SOURCES), noted, parts=True)
+    assert sum(counted) == 2 * 63 + 40 * 6 + 64  # shapes, sources, stand-ins
+
+
 def test_cap_and_status(spark):
     rows = [(1, 2, 0, 0), (1, 2, 1, 60), (1, 2, 3, 50), (2, 1, 1, 101), (2, 1, 0, 0), (3, 2, 3, 100), (3, 2, 2, 100)]
     frame = spark.createDataFrame(rows, "unit long, n long, mask long, cost long")
