@@ -99,6 +99,35 @@ def test_salient_units_keep_each_session(spark):
     assert len(screening.salient(df, 9).collect()) == 5
 
 
+def test_strengths_are_those_of_loops_in_any_blocks(spark, monkeypatch):
+    import random
+
+    random.seed(3)
+    rows = [(b, random.randint(0, 9), 100 * b + i, [f"t{int(random.paretovariate(0.6))}" for _ in range(random.randint(0, 9))] if i else None) for b in range(3) for i in range(60)]
+    df = spark.createDataFrame(rows, "batch int, session int, id int, terms array<string>")
+    want = {(b, i): len({s2 for b2, s2, _, t2 in rows if b2 == b and s2 != s and set(t or []) & set(t2 or [])}) for b, s, i, t in rows}
+    for units, held in ((16_384, 4_000_000), (7, 11)):
+        monkeypatch.setattr(screening, "UNITS", units)
+        monkeypatch.setattr(screening, "HELD", held)
+        assert {(r.batch, r.id): r.strength for r in screening.strengths(df).collect()} == want and max(want.values()) > 5
+
+
+def test_what_salience_moves_does_not_grow_with_pairs(spark, tmp_path):
+    # 400 sessions that share their terms, and long texts
+    rows = spark.range(800).selectExpr("0 AS batch", "id div 2 AS session", "id", "id AS time", "transform(sequence(1, 20), x -> concat('term', x)) AS terms", "concat_ws(' ', transform(sequence(1, 300), x -> concat(id, 'w', x))) AS text")
+    plan = lambda df: (df.collect(), df._jdf.queryExecution().executedPlan().toString())[1]
+    assert "Generate explode(sessions" not in plan(screening.strengths(rows))
+    best = screening.salient(rows, 3)
+    assert [(r.id, r.strength) for r in best.orderBy("id").collect()] == [(0, 399), (2, 399), (4, 399)] and set(best.columns) == {"batch", "session", "id", "time", "strength"}
+
+
+def test_frequent_words_are_bounded(spark):
+    sets = spark.range(64).selectExpr("sequence(0L, id) AS set")
+    words, place = screening.frequent_words(sets, 20)
+    assert 5 < len(words) <= 20 and list(words) == list(range(len(words))) and list(place) == list(range(len(words), 0, -1))
+    assert len(screening.frequent_words(sets, 0)[0]) == 0
+
+
 def test_near_copies_are_those_of_all_pairs(spark):
     import random
 
