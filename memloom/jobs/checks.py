@@ -9,6 +9,7 @@ from memloom.jobs import retrieval
 from memloom.jobs.retrieval import _DENSE, _LABELLED, _TOP5, _bm25_sql
 from memloom.operators import builder, cache, structure
 from memloom.operators import retrieval as r
+from memloom.sources.scratch import materialize
 from memloom.sources.tables import table
 
 
@@ -61,9 +62,9 @@ def struct_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _cache(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Cache rows of labelled documents that ask by text and by vector, and the questions; evidence are two neighbours by id."""
     vectors = table(spark, sf_dir, "embeddings").where("label IS NOT NULL").select(F.col("vec_id").alias("source_id"), "label")
-    docs = retrieval._docs(spark, sf_dir).join(vectors, "source_id")
+    docs = materialize(retrieval._docs(spark, sf_dir).join(vectors, "source_id"), "labelled")
     asked = docs.where("source_id % 20 = 0").select("label", F.col("source_id").alias("question_id"), "text")
-    lexical = r.bm25_top_k(asked, docs, 10, "label", itself=False).select("question_id", "source_id", "rank")
+    lexical = r.bm25_top_k(asked, docs, 10, "label", itself=False, blocks=True).select("question_id", "source_id", "rank")
     dense = r.top_k(retrieval._dense(spark, sf_dir, 10, docs.select("source_id").distinct()), 10, "question_id").select("question_id", "source_id", "rank")
     evidence = asked.where("question_id % 60 <> 0").select("question_id", F.explode(F.expr("array(question_id + 1, question_id + 5, question_id + 10)")).alias("source_id"))
     return cache.rows_of(r.fuse(lexical, dense, 10, "question_id"), lexical, dense, evidence, asked, "question_id"), asked

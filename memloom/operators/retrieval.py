@@ -8,6 +8,9 @@ inside each task before the shuffle. Where fewer than k documents share a token,
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,6 +41,17 @@ def bm25(questions: DataFrame, docs: DataFrame, *sample: str, question_id: str =
     if not sample:  # the whole corpus is one sample
         one = lambda frame: frame.withColumn("_sample", F.lit(0))
         return bm25(one(questions), one(docs), "_sample", question_id=question_id, source_id=source_id).drop("_sample")
+    asked, found = _weights(questions, docs, *sample, question_id=question_id, source_id=source_id)
+    pairs = found.join(asked, [*sample, "token"])
+    return pairs.groupBy(*sample, question_id, source_id).agg(F.sum(F.col("repeats") * F.col("idf") * F.col("frequency") * F.lit(K1 + 1) / (F.col("frequency") + _scale())).alias("score"))
+
+
+def _scale() -> Column:
+    return F.lit(K1) * (F.lit(1.0 - B) + F.lit(B) * F.col("length") / F.greatest("avg_length", F.lit(1e-9)))
+
+
+def _weights(questions: DataFrame, docs: DataFrame, *sample: str, question_id: str, source_id: str) -> tuple[DataFrame, DataFrame]:
+    """``sample, question_id, token, repeats, idf, avg_length`` of the questions, and ``sample, source_id, token, frequency, length`` of the documents, of tokens that both have."""
     asked = materialize(postings(questions, *sample, question_id).select(*sample, question_id, "token", F.col("frequency").alias("repeats")), "asked")
     counts = materialize(asked_postings(docs, asked.select(*sample, "token").distinct(), *sample, source_id=source_id), "postings")
     lengths = counts.groupBy(*sample, source_id).agg(F.max("length").alias("length"))
@@ -47,9 +61,76 @@ def bm25(questions: DataFrame, docs: DataFrame, *sample: str, question_id: str =
     weighed = materialize(asked.join(document_frequency(found, *sample), [*sample, "token"]).join(stats, list(sample)), "weighed")
     n, df = F.col("n_docs"), F.col("df")
     idf = F.log(F.lit(1.0) + (n - df + F.lit(0.5)) / (df + F.lit(0.5)))
-    pairs = found.join(weighed.withColumn("idf", idf), [*sample, "token"])
-    f, scale = F.col("frequency"), F.lit(K1) * (F.lit(1.0 - B) + F.lit(B) * F.col("length") / F.greatest("avg_length", F.lit(1e-9)))
-    return pairs.groupBy(*sample, question_id, source_id).agg(F.sum(F.col("repeats") * F.col("idf") * f * F.lit(K1 + 1) / (f + scale)).alias("score"))
+    return weighed.withColumn("idf", idf), found
+
+
+#: Questions and documents of a block.
+BLOCK = 2048
+
+
+def _best(k: int, itself: bool, sample: tuple[str, ...], question_id: str, source_id: str):
+    def best(questions: pa.Table, docs: pa.Table) -> pa.Table:
+        asked, ids = questions[question_id].to_numpy(zero_copy_only=False), docs[source_id].to_numpy(zero_copy_only=False)
+        rows, sources, scores = [], [], []
+        if len(asked) and len(ids):
+            names = np.array([str(x) for x in ids.tolist()])
+            flat = lambda column: (column.combine_chunks().flatten(), np.concatenate([[0], np.cumsum(pc.list_value_length(column).to_numpy())]))
+            items, at = flat(docs["items"])
+            value = items.field("value").to_numpy(zero_copy_only=False)
+            known, token = np.unique(items.field("token").to_numpy(zero_copy_only=False), return_inverse=True)
+            order = np.argsort(token, kind="stable")
+            doc, value = np.repeat(np.arange(len(ids)), np.diff(at))[order], value[order]
+            starts = np.concatenate([[0], np.cumsum(np.bincount(token, minlength=len(known)))])
+            items, at = flat(questions["items"])
+            wanted, weight = items.field("token").to_numpy(zero_copy_only=False), items.field("value").to_numpy(zero_copy_only=False)
+            place = np.minimum(np.searchsorted(known, wanted), max(0, len(known) - 1))
+            place = np.where(known[place] == wanted, place, -1) if len(known) else np.full(len(wanted), -1)
+            for q, question in enumerate(asked.tolist()):
+                tokens, own = place[at[q] : at[q + 1]], weight[at[q] : at[q + 1]]
+                tokens, own = tokens[tokens >= 0], own[tokens >= 0]
+                size = starts[tokens + 1] - starts[tokens]
+                ends = np.cumsum(size)
+                if not len(ends):
+                    continue
+                use = np.repeat(starts[tokens] - (ends - size), size) + np.arange(ends[-1])
+                row = np.bincount(doc[use], np.repeat(own, size) * value[use], minlength=len(ids))
+                met = row > 0
+                if not itself:
+                    met &= ids != question
+                row = np.where(met, np.round(row, 9), -np.inf)
+                hit = np.flatnonzero(row >= np.partition(row, len(row) - k)[len(row) - k]) if len(row) > k else np.arange(len(row))
+                hit = hit[np.lexsort((names[hit], -row[hit]))][:k]
+                hit = hit[row[hit] > -np.inf]
+                rows.append(np.full(len(hit), q))
+                sources.append(hit)
+                scores.append(row[hit])
+        join = lambda x, kind: np.concatenate(x).astype(kind) if x else np.zeros(0, kind)
+        rows = pa.array(join(rows, np.int64))
+        columns = [questions[c].take(rows) for c in (*sample, question_id)] + [docs[source_id].take(pa.array(join(sources, np.int64))), pa.array(join(scores, np.float64))]
+        return pa.table(columns, names=[*sample, question_id, source_id, "score"])
+
+    return best
+
+
+def bm25_blocks(questions: DataFrame, docs: DataFrame, k: int, *sample: str, itself: bool = True, question_id: str = "question_id", source_id: str = "source_id") -> DataFrame:
+    """``sample, question_id, source_id, score``: for each question at least its k best documents of those that share a token with it, each block's own k.
+
+    For many long questions, nearly all of which share a token with nearly all documents. Questions and documents of a sample are dealt into blocks, and each pair of blocks is
+    one task's work; a row a question and document is never made. Tokens go as hashes, scores are rounded to 9 places, equal ones in order of the id as a string.
+    """
+    asked, found = _weights(questions, docs, *sample, question_id=question_id, source_id=source_id)
+    item = lambda value: F.collect_list(F.struct(F.xxhash64("token").alias("token"), value.alias("value"))).alias("items")
+    q = asked.groupBy(*sample, question_id).agg(item(F.col("repeats") * F.col("idf")))
+    average = asked.groupBy(*sample).agg(F.max("avg_length").alias("avg_length"))
+    d = found.join(average, list(sample)).groupBy(*sample, source_id).agg(item(F.col("frequency") * F.lit(K1 + 1) / (F.col("frequency") + _scale())))
+    # tokens in one order: equal documents get equal sums
+    q, d = (materialize(x.withColumn("items", F.array_sort("items")), name) for x, name in ((q, "questions"), (d, "documents")))
+    blocks = lambda rows, name: rows.groupBy(*sample).agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias(name))
+    sizes = blocks(q, "_q").join(blocks(d, "_d"), list(sample))
+    placed = lambda rows, key, own, other: rows.join(sizes, list(sample)).withColumn(own, F.pmod(F.xxhash64(key), F.col(f"_{own}")).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.col(f"_{other}") - 1))).drop("_q", "_d")
+    left, right = placed(q, question_id, "q", "d"), placed(d, source_id, "d", "q")
+    kind = ", ".join(f"`{c}` {x.schema[c].dataType.simpleString()}" for x, c in (*((q, c) for c in sample), (q, question_id), (d, source_id)))
+    return left.groupBy(*sample, "q", "d").cogroup(right.groupBy(*sample, "q", "d")).applyInArrow(_best(k, itself, sample, question_id, source_id), f"{kind}, score double")
 
 
 def asked_postings(docs: DataFrame, vocabulary: DataFrame, *sample: str, source_id: str = "source_id") -> DataFrame:
@@ -65,16 +146,18 @@ def asked_postings(docs: DataFrame, vocabulary: DataFrame, *sample: str, source_
     return rows.groupBy(*sample, source_id, "length", "token").agg(F.count(F.lit(1)).alias("frequency"))
 
 
-def bm25_top_k(questions: DataFrame, docs: DataFrame, k: int, *sample: str, itself: bool = True, question_id: str = "question_id", source_id: str = "source_id") -> DataFrame:
-    """The k best documents of each question of its sample, those with score 0 included. ``itself``: a document may answer its own question.
+def bm25_top_k(questions: DataFrame, docs: DataFrame, k: int, *sample: str, itself: bool = True, blocks: bool = False, question_id: str = "question_id", source_id: str = "source_id") -> DataFrame:
+    """The k best documents of each question of its sample, those with score 0 included. ``itself``: a document may answer its own question. ``blocks``: questions are many and long, see :func:`bm25_blocks`.
 
     The first k + 1 unscored documents are among the first 2 k + 1 of the sample in order of the id as a string.
     """
     if not sample:
         one = lambda frame: frame.withColumn("_sample", F.lit(0))
-        return bm25_top_k(one(questions), one(docs), k, "_sample", itself=itself, question_id=question_id, source_id=source_id).drop("_sample")
+        return bm25_top_k(one(questions), one(docs), k, "_sample", itself=itself, blocks=blocks, question_id=question_id, source_id=source_id).drop("_sample")
     other = F.lit(True) if itself else F.col(question_id) != F.col(source_id)
-    top = materialize(top_k(bm25(questions, docs, *sample, question_id=question_id, source_id=source_id).where(other), k, *sample, question_id, source_id=source_id), "bm25")
+    names = {"question_id": question_id, "source_id": source_id}
+    scored = bm25_blocks(questions, docs, k, *sample, itself=itself, **names) if blocks else bm25(questions, docs, *sample, **names).where(other)
+    top = materialize(top_k(scored, k, *sample, question_id, source_id=source_id), "bm25")
     order = Window.partitionBy(*sample).orderBy(F.col(source_id).cast("string"))
     first = docs.select(*sample, source_id).withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= 2 * k + 1).drop("_r")
     few = questions.select(*sample, question_id).join(top.groupBy(*sample, question_id).agg(F.count(F.lit(1)).alias("_n")), [*sample, question_id], "left").where(F.coalesce("_n", F.lit(0)) < k)

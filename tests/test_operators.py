@@ -50,6 +50,31 @@ def test_repeated_query_tokens_count_twice_and_ties_go_by_id(spark):
     assert [r.source_id for r in retrieval.top_k(once, 5, "question_id").orderBy("rank").collect()] == [10, 9]  # "10" < "9"
 
 
+@pytest.mark.parametrize(("size", "itself"), [(2048, True), (5, False)])
+def test_blocks_of_questions_find_what_pairs_do_and_make_no_row_a_pair(spark, monkeypatch, size, itself):
+    import random
+
+    random.seed(6)
+    monkeypatch.setattr(retrieval, "BLOCK", size)
+    text = lambda: " ".join(f"w{int(random.paretovariate(0.7)) % 90}" for _ in range(random.randint(0, 25)))
+    rows = [(s, 100 * s + i, text()) for s in range(3) for i in range(40)]
+    rows += [(s, i + 50, t) for s, i, t in rows[::4]] + [(3, 400, "alone"), (3, 401, ""), (4, 500, None)]
+    docs = spark.createDataFrame(rows, "sample int, source_id long, text string").repartition(3)
+    asked = docs.where("source_id % 3 = 0 OR sample > 2").withColumnRenamed("source_id", "question_id")
+    top = lambda blocks: {tuple(r) for r in retrieval.bm25_top_k(asked, docs, 4, "sample", itself=itself, blocks=blocks).select("sample", "question_id", "source_id", "rank", F.round("score", 6)).collect()}
+    found = top(True)
+    assert found == top(False) and len(found) > 200
+    best = retrieval.bm25_blocks(asked, docs, 4, "sample", itself=itself)
+    best.collect()
+    plan = best._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "sum(" not in plan
+    words = docs.withColumn("source_id", F.concat(F.lit("d"), "source_id")), asked.withColumn("question_id", F.concat(F.lit("d"), "question_id"))
+    named = retrieval.bm25_top_k(words[1], words[0], 4, "sample", itself=itself, blocks=True).select("sample", "question_id", "source_id", "rank")
+    assert {tuple(r) for r in named.collect()} == {(s, f"d{q}", f"d{d}", rank) for s, q, d, rank, _ in found}
+    whole = lambda blocks: {tuple(r) for r in retrieval.bm25_top_k(asked.drop("sample"), docs.drop("sample"), 2, blocks=blocks).select("question_id", "source_id", "rank").collect()}
+    assert whole(True) == whole(False)
+
+
 def test_recall_without_evidence_is_one(spark):
     asked = spark.createDataFrame([(1,), (2,)], "question_id long")
     evidence = spark.createDataFrame([(1, 5), (1, 6)], "question_id long, source_id long")
