@@ -121,12 +121,13 @@ def bm25_blocks(questions: DataFrame, docs: DataFrame, k: int, *sample: str, its
     asked, found = _weights(questions, docs, *sample, question_id=question_id, source_id=source_id)
     item = lambda value: F.collect_list(F.struct(F.xxhash64("token").alias("token"), value.alias("value"))).alias("items")
     q = asked.groupBy(*sample, question_id).agg(item(F.col("repeats") * F.col("idf")))
-    average = asked.groupBy(*sample).agg(F.max("avg_length").alias("avg_length"))
+    # tables of a row a sample are stored, so that their size is known: a join on the sample alone would deal all documents of a sample to one task
+    average = materialize(asked.groupBy(*sample).agg(F.max("avg_length").alias("avg_length")), "averages")
     d = found.join(average, list(sample)).groupBy(*sample, source_id).agg(item(F.col("frequency") * F.lit(K1 + 1) / (F.col("frequency") + _scale())))
     # tokens in one order: equal documents get equal sums
     q, d = (materialize(x.withColumn("items", F.array_sort("items")), name) for x, name in ((q, "questions"), (d, "documents")))
     blocks = lambda rows, name: rows.groupBy(*sample).agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias(name))
-    sizes = blocks(q, "_q").join(blocks(d, "_d"), list(sample))
+    sizes = materialize(blocks(q, "_q").join(blocks(d, "_d"), list(sample)), "sizes")
     placed = lambda rows, key, own, other: rows.join(sizes, list(sample)).withColumn(own, F.pmod(F.xxhash64(key), F.col(f"_{own}")).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.col(f"_{other}") - 1))).drop("_q", "_d")
     left, right = placed(q, question_id, "q", "d"), placed(d, source_id, "d", "q")
     kind = ", ".join(f"`{c}` {x.schema[c].dataType.simpleString()}" for x, c in (*((q, c) for c in sample), (q, question_id), (d, source_id)))

@@ -68,6 +68,7 @@ def test_blocks_of_questions_find_what_pairs_do_and_make_no_row_a_pair(spark, mo
     best.collect()
     plan = best._jdf.queryExecution().executedPlan().toString()
     assert "FlatMapCoGroupsInArrow" in plan and "sum(" not in plan
+    assert all(" q#" in x.split(")")[0] for x in plan.split("hashpartitioning(sample#")[1:])  # never by the sample alone
     words = docs.withColumn("source_id", F.concat(F.lit("d"), "source_id")), asked.withColumn("question_id", F.concat(F.lit("d"), "question_id"))
     named = retrieval.bm25_top_k(words[1], words[0], 4, "sample", itself=itself, blocks=True).select("sample", "question_id", "source_id", "rank")
     assert {tuple(r) for r in named.collect()} == {(s, f"d{q}", f"d{d}", rank) for s, q, d, rank, _ in found}
