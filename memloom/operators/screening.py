@@ -161,6 +161,7 @@ def _near_copies(marked: DataFrame, sets: DataFrame, similarity: float) -> DataF
     shared = F.size(F.array_intersect("x_set", "y_set"))
     close = both.where(shared >= similarity * (F.size("x_set") + F.size("y_set") - shared) - 1e-9)
     close = materialize(close.select("batch", "x", "y", "x_first", "y_first"), "close")
+    drop(pairs, whole)
     other = close.select("batch", F.col("x").alias("class"), F.col("y_first").alias("other")).unionByName(close.select("batch", F.col("y").alias("class"), F.col("x_first").alias("other")))
     earliest = other.unionByName(first.select("batch", "class", F.col("first").alias("other"))).groupBy("batch", "class").agg(F.min("other").alias("other"))
     return marked.select("batch", "time", "id", "class").join(earliest, ["batch", "class"]).where(F.col("other") < F.struct("time", "id")).select("batch", "id")
@@ -182,7 +183,10 @@ def salient(units: DataFrame, most: int, similarity: float | None = None) -> Dat
     earliest = Window.partitionBy("batch", "_text").orderBy("time", "id")
     left = materialize(marked.withColumn("_n", F.row_number().over(earliest)).where("_n = 1").drop("_n", "_text"), "left")
     kept = left.select("batch", "session", "id", "time", "terms")
-    once = strengths(kept if similarity is None else materialize(kept.join(_near_copies(left, sets, similarity), ["batch", "id"], "left_anti"), "kept"))
+    if similarity is not None:
+        kept = materialize(kept.join(_near_copies(left, sets, similarity), ["batch", "id"], "left_anti"), "kept")
+        drop(left)
+    once = strengths(kept)
     order = [F.col("strength").desc(), F.col("time"), F.col("id")]
     best = once.drop("terms").withColumn("_s", F.row_number().over(Window.partitionBy("batch", "session").orderBy(*order)) > 1)
     return best.withColumn("_n", F.row_number().over(Window.partitionBy("batch").orderBy("_s", *order))).where(F.col("_n") <= most).drop("_n", "_s")
